@@ -4,12 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import exact_dedup, secret_scan
+from quarry.llm import exact_dedup, packing, pieces, secret_scan, token_counts, toxicity
 from quarry.llm.common import table
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.maintain(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_documents(table(spark, sf_dir, "documents"))
 
@@ -18,9 +27,17 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_secret_scan, op8_exact_dedup)}
+    return {f.__name__: f for f in (op3_token_counts, op5_toxicity, op7_secret_scan, op8_exact_dedup, op9_packing, op10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_secret_scan": secret_scan.SQL, "op8_exact_dedup": exact_dedup.SQL}
+    return {"op3_token_counts": token_counts.SQL, "op7_secret_scan": secret_scan.SQL, "op8_exact_dedup": exact_dedup.SQL}
