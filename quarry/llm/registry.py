@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import exact_dedup, packing, pieces, secret_scan, token_counts, toxicity
+from quarry.llm import exact_dedup, packing, pieces, secret_scan, simhash, token_counts, toxicity
 from quarry.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.maintain(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -36,7 +40,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts, op5_toxicity, op7_secret_scan, op8_exact_dedup, op9_packing, op10_pieces)}
+    return {f.__name__: f for f in (op3_token_counts, op4_simhash, op5_toxicity, op7_secret_scan, op8_exact_dedup, op9_packing, op10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -27,7 +27,7 @@ MAX_TOXIC, MAX_CLEAN = 3000, 5000
 MAX_TERMS = 4096
 #: Least G statistic (likelihood ratio) of a term between the classes.
 LEAST_G = 20.0
-NEIGHBOURS, BLOCK = 15, 64
+NEIGHBOURS, BLOCK = 9, 64
 #: Weight of the prior in a vote.
 PRIOR_WEIGHT = 0.2
 HOLD_OUT = 5
