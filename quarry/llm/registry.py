@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import exact_dedup, packing, phrases, pieces, secret_scan, simhash, token_counts, toxicity
+from quarry.llm import exact_dedup, katz, packing, phrases, pieces, secret_scan, simhash, token_counts, toxicity
 from quarry.llm.common import table
 
 
+def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_phrases, op3_token_counts, op4_simhash, op5_toxicity, op7_secret_scan, op8_exact_dedup, op9_packing, op10_pieces)}
+    return {f.__name__: f for f in (op1_katz, op2_phrases, op3_token_counts, op4_simhash, op5_toxicity, op7_secret_scan, op8_exact_dedup, op9_packing, op10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:

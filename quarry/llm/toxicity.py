@@ -11,6 +11,7 @@ probabilities by a monotone fit over the examples, each of which is scored witho
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import zlib
@@ -213,8 +214,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     return ToxicityModel(terms, idf, taken, share)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per document row: doc_id, held_out, score, predicted, evidence.
+def score_documents(docs: DataFrame, labels: DataFrame, with_text_id: bool = False) -> DataFrame:
+    """One row per document row: doc_id, held_out, score, predicted, evidence (and text_id, the text's SHA-256, if asked for).
 
     Nulls: a null text is an empty text; an empty text (or one without any chosen term) gets the share of
     label 1 among the examples that have none either. A null doc_id is not held out and never an example.
@@ -223,7 +224,8 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     model = fit(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = ["doc_id", "held_out", "score", "predicted", "evidence"]
+    fields = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32()), ("evidence", pa.string())]
+    fields += [("text_id", pa.string())] if with_text_id else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = shared.value.score
@@ -231,9 +233,10 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
             ids = batch.column(0).to_pylist()
             got = [score(t.as_py()) for t in batch.column(1)]
             scores = [s for s, _ in got]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([held_out(i) for i in ids], pa.bool_()), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array([e for _, e in got], pa.string())],
-                names=names,
-            )
+            cols = [ids, [held_out(i) for i in ids], scores, [int(s >= 0.5) for s in scores], [e for _, e in got]]
+            if with_text_id:
+                cols.append([hashlib.sha256(t.as_py().encode()).hexdigest() for t in batch.column(1)])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, fields)], names=[n for n, _ in fields])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, evidence string")
+    schema = "doc_id long, held_out boolean, score double, predicted int, evidence string" + (", text_id string" if with_text_id else "")
+    return id_and_text(docs).mapInArrow(run, schema)
