@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import exact_dedup, katz, packing, phrases, pieces, secret_scan, simhash, token_counts, toxicity
+from quarry.llm import exact_dedup, katz, packing, phrases, pieces, secret_scan, simhash, suffix_dedup, token_counts, toxicity
 from quarry.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_documents(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_katz, op2_phrases, op3_token_counts, op4_simhash, op5_toxicity, op7_secret_scan, op8_exact_dedup, op9_packing, op10_pieces)}
+    return {f.__name__: f for f in (op1_katz, op2_phrases, op3_token_counts, op4_simhash, op5_toxicity, op6_suffix_dedup, op7_secret_scan, op8_exact_dedup, op9_packing, op10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
