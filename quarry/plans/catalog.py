@@ -1,11 +1,359 @@
-"""The engine's own queries by name, with their DuckDB SQL."""
+"""The engine's own queries by name, with their DuckDB SQL.
+
+A document is a page (file_name = source, page = doc_id), benchmark items are questions, and a question
+is answerable if some document holds its text.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.functions import text as T
+from quarry.operators import answers as A
+from quarry.operators import chunking, evaluation, library, retrieval
+from quarry.streaming import pieces as streams
+
+TOP, FETCH = 3, 20
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _docs(spark, d):
+    return _table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("source").alias("file_name"), F.col("doc_id").alias("page"))
+
+
+def _questions(spark, d):
+    return _table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+
+
+def _bm25(spark, d, k):
+    return retrieval.Bm25Index(_docs(spark, d)).search(_questions(spark, d), k)
+
+
+def _vectors(spark, d):
+    v = _table(spark, d, "embeddings")
+    return v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")), v.select(F.col("vec_id").alias("chunk_id"), "embedding")
+
+
+def tr_tokenize_stats(spark, d):
+    """Tokens and distinct tokens per document."""
+    t = T.raw_tokens(F.col("text"))
+    return _docs(spark, d).select(F.col("chunk_id").alias("doc_id"), F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
+
+
+def stem_vocabulary(spark, d):
+    """Every distinct token with its stem and document frequency."""
+    rows = _docs(spark, d).select("chunk_id", F.explode(F.array_distinct(T.raw_tokens(F.col("text")))).alias("token"))
+    return rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).withColumn("stem", T.light_stem(F.col("token")))
+
+
+def normalized_text(spark, d):
+    n = T.normalize_text(F.col("text"))
+    return _docs(spark, d).select(F.col("chunk_id").alias("doc_id"), F.length(n).cast("long").alias("n_chars"), F.sha2(n, 256).alias("text_sha256"))
+
+
+def chunk_ids(spark, d):
+    return _docs(spark, d).select(F.col("chunk_id").alias("doc_id"), T.chunk_id(F.col("text"), F.col("file_name"), F.col("page")).alias("chunk_id"), T.source_label(F.col("file_name"), F.col("page"), F.lit("")).alias("label"))
+
+
+def duplicate_documents(spark, d):
+    files = _docs(spark, d).select(F.col("chunk_id").cast("string").alias("file_name"), "chunk_id", T.content_hash(F.col("text")).alias("content_hash"))
+    return library.duplicates(files, "chunk_id").select(F.col("chunk_id").alias("doc_id"), F.col("duplicate_of").cast("long").alias("duplicate_of"))
+
+
+def text_layer_status(spark, d):
+    return library.text_layer(_docs(spark, d))
+
+
+def chunk_documents(spark, d):
+    return chunking.chunk_documents(_docs(spark, d).select("file_name", "page", "text"))
+
+
+def chunk_stats(spark, d):
+    return chunk_documents(spark, d).groupBy("file_name").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("token_count").alias("n_tokens"), F.max("token_count").alias("max_tokens"))
+
+
+def bm25_idf(spark, d):
+    return retrieval.Bm25Index(_docs(spark, d)).idf.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def bm25_topk(spark, d):
+    return _bm25(spark, d, FETCH)
+
+
+def dense_topk(spark, d):
+    return retrieval.dense_search(*_vectors(spark, d), 10)
+
+
+def rrf_fusion(spark, d):
+    """Stemmed and unstemmed term rankings fused."""
+    docs, questions = _docs(spark, d), _questions(spark, d)
+    lists = [retrieval.Bm25Index(docs, stem=s).search(questions, FETCH) for s in (True, False)]
+    return retrieval.reciprocal_rank_fusion(lists, limit=FETCH)
+
+
+def fusion_consensus(spark, d):
+    return rrf_fusion(spark, d).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_fused"), F.sum((F.col("retriever_hits") > 1).cast("long")).alias("n_consensus"))
+
+
+def rerank_minscore(spark, d):
+    """BM25 candidates ordered anew by the share of the question's distinct words that the document has."""
+    docs, questions = _docs(spark, d), _questions(spark, d)
+    c = _bm25(spark, d, FETCH).join(questions, "query_id").join(docs.select("chunk_id", "text"), "chunk_id")
+    q = F.array_distinct(T.raw_tokens(F.col("query_text")))
+    share = F.round(F.size(F.array_intersect(q, T.raw_tokens(F.col("text")))) / F.size(q), 6)
+    return retrieval.rerank(c, share, TOP, 0.5).select("query_id", "chunk_id", "score", "rank")
+
+
+def context_pack(spark, d):
+    docs = _docs(spark, d).select("chunk_id", F.size(T.raw_tokens(F.col("text"))).cast("long").alias("token_count"))
+    packed = A.pack_context(_bm25(spark, d, FETCH).join(docs, "chunk_id"), 1000)
+    return packed.select("query_id", "chunk_id", "rank", "tokens_so_far")
+
+
+def _said(spark, d):
+    """Assistant turns with markers and tags put in, as answers."""
+    c = _table(spark, d, "conversations").where("role = 'assistant'")
+    key = (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id")
+    n = F.length("text")
+    return c.select(key, F.concat("text", F.lit(" ["), (n % 7).cast("string"), F.lit("] ["), (n % 3).cast("string"), F.lit("] [123]")).alias("cited"), "text")
+
+
+def citation_markers(spark, d):
+    valid, unknown = A.valid_markers(F.col("cited"), F.lit(3)), A.invalid_markers(F.col("cited"), F.lit(3))
+    as_text = lambda a: F.concat_ws(",", F.transform(a, lambda m: m.cast("string")))
+    return _said(spark, d).select("query_id", as_text(valid).alias("valid"), as_text(unknown).alias("unknown"))
+
+
+def abstention_flags(spark, d):
+    phrase = F.when(F.length("text") % 2 == 0, F.lit(A.ABSTAIN_PHRASE + ".")).otherwise(F.col("text"))
+    return _said(spark, d).select("query_id", A.abstained(phrase).alias("abstained"))
+
+
+def reasoning_strip(spark, d):
+    t = F.concat(F.lit("<think>a\nb</THINK> "), "text", F.when(F.length("text") % 2 == 0, F.lit(" <think>open")).otherwise(F.lit("")))
+    return _said(spark, d).select("query_id", F.sha2(T.strip_reasoning(t), 256).alias("text_sha256"))
+
+
+def groundedness_parse(spark, d):
+    n = F.length("text")
+    verdict = F.concat(F.lit("desteklenen: "), (n % 6).cast("string"), F.lit("\nTOPLAM: "), (n % 5).cast("string"))
+    return _said(spark, d).select("query_id", F.round(A.groundedness(verdict), 6).alias("groundedness"))
+
+
+def sse_frames(spark, d):
+    return streams.frames(_said(spark, d).select("query_id", F.col("text").alias("piece"))).select("query_id", "frame")
+
+
+def stream_filter(spark, d):
+    """Answers with a thinking block, dealt out in pieces of 7 characters."""
+    t = F.concat(F.lit("<think>x < y</think>"), "text")
+    at = F.explode(F.sequence(F.lit(0), F.floor(F.length("t") / 7).cast("int")))
+    rows = _said(spark, d).select("query_id", t.alias("t")).select("query_id", at.alias("seq"), "t")
+    return streams.filter_pieces(rows.select("query_id", "seq", F.substring("t", F.col("seq") * 7 + 1, 7).alias("piece")))
+
+
+def _golden(spark, d):
+    """questions (query_id, kind) and expected (query_id, file_name, page)."""
+    docs = _docs(spark, d)
+    q = _questions(spark, d).where("query_text <> ''")
+    # the question set is read in one block and met with every document once
+    blocks = q.agg(F.collect_list(F.struct("query_id", "query_text")).alias("block"))
+    hits = docs.join(F.broadcast(blocks)).select("file_name", "page", F.explode(F.filter("block", lambda b: F.contains(F.col("text"), b["query_text"]))).alias("b")).select(F.col("b.query_id").alias("query_id"), "file_name", "page")
+    kind = F.when(F.col("n").isNull(), "unanswerable").otherwise("answerable").alias("kind")
+    return _questions(spark, d).join(hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left").select("query_id", kind), hits
+
+
+def _retrieved(spark, d):
+    return _bm25(spark, d, FETCH).withColumn("page", F.col("chunk_id")).join(_docs(spark, d).select("page", "file_name"), "page").select("query_id", "rank", "file_name", "page", "score")
+
+
+def retrieval_metrics(spark, d):
+    questions, expected = _golden(spark, d)
+    m = evaluation.retrieval_metrics(questions, expected, _retrieved(spark, d), TOP)
+    return m.select("query_id", "kind", "first_relevant_rank", "hit", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "reciprocal_rank")])
+
+
+def _results(spark, d):
+    """Metrics with a stand-in answerer that abstains unless its best hit scores 20 or more, and cites its first hit."""
+    m = retrieval_metrics(spark, d)
+    best = _retrieved(spark, d).where("rank = 1").select("query_id", "score")
+    r = m.join(best, "query_id", "left").withColumn("abstained", F.coalesce(F.col("score") < 20, F.lit(True)))
+    r = r.withColumn("n_citations", F.when(F.col("abstained"), 0).otherwise(1)).withColumn("facts_ok", (F.col("kind") != "answerable") | F.col("hit"))
+    r = r.withColumn("forbidden", F.lit(False)).withColumn("citations_correct", F.col("abstained") | (F.col("kind") != "answerable") | F.coalesce(F.col("first_relevant_rank") == 1, F.lit(False)))
+    return evaluation.judged(r)
+
+
+def eval_summary(spark, d):
+    s = evaluation.summary(_results(spark, d))
+    return s.select("n_questions", "n_answerable", *[F.round(c, 6).alias(c) for c in s.columns[2:]])
+
+
+def diagnosis(spark, d):
+    return evaluation.diagnosis(evaluation.summary(_results(spark, d))).select(F.col("at").cast("long").alias("at"), "finding")
+
+
+def golden_validation(spark, d):
+    """The derived set with every seventh id repeated under kind unanswerable."""
+    questions, expected = _golden(spark, d)
+    n = expected.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    q = questions.join(n, "query_id", "left").select(F.col("query_id").cast("string").alias("id"), "kind", F.coalesce("n", F.lit(0)).alias("n_sources"), F.lit(0).alias("n_must_contain"))
+    again = q.where("cast(id as int) % 7 = 0").withColumn("kind", F.lit("unanswerable"))
+    return evaluation.golden_problems(q.unionByName(again))
+
+
+def _files(spark, d):
+    """Sources as files; the hash is over their documents' ids and texts."""
+    rows = _docs(spark, d).groupBy("file_name").agg(F.sum(F.length("text")).alias("chars"), F.count(F.lit(1)).alias("n"), F.min("page").alias("first"))
+    return rows.select("file_name", F.concat_ws(":", "chars", "n").alias("content_hash"), "n", "first")
+
+
+def _manifest(spark, d):
+    """Files with an even first page are known; of those, every fourth has changed since."""
+    f = _files(spark, d).where("first % 2 = 0")
+    ids = _docs(spark, d).groupBy("file_name").agg(F.collect_list(F.col("page").cast("string")).alias("chunk_ids"))
+    changed = F.when(F.col("first") % 4 == 0, F.concat("content_hash", F.lit("x"))).otherwise(F.col("content_hash"))
+    return f.join(ids, "file_name").select("file_name", changed.alias("content_hash"), F.lit("ok").alias("status"), F.col("n").alias("chunk_count"), "chunk_ids", F.lit("m").alias("embedder_model_id"))
+
+
+def manifest_currency(spark, d):
+    index = _docs(spark, d).where("page <> 2").select(F.col("page").cast("string").alias("chunk_id"))
+    return library.currency(_files(spark, d).select("file_name", "content_hash"), _manifest(spark, d), index, "m")
+
+
+def library_listing(spark, d):
+    return library.listing(_files(spark, d).select("file_name"), _manifest(spark, d))
+
+
+def incremental_add(spark, d):
+    """Chunks that an index of the even documents lacks, each id once."""
+    ids = chunk_ids(spark, d)
+    return library.new_chunks(ids.select("chunk_id"), ids.where("doc_id % 2 = 0").select("chunk_id"))
+
+
+def ingest_report(spark, d):
+    s = text_layer_status(spark, d)
+    return s.agg(F.count(F.lit(1)).alias("n_files"), F.sum("page_count").alias("n_pages"), F.sum((F.col("status") == "ok").cast("long")).alias("n_ok"), F.sum((F.col("status") != "ok").cast("long")).alias("n_needs_ocr"))
+
+
+def safe_file_names(spark, d):
+    p = _table(spark, d, "pages")
+    return p.select("page_id", library.safe_name(F.col("url")).alias("safe_name"))
+
+
+_SUFFIX = "|".join(T.SUFFIXES)
+_TOKENS = f"regexp_extract_all(lower(translate(coalesce(text, ''), '{T.TR_UPPER}', '{T.TR_LOWER}')), '[0-9a-zçğıöşü]+')"
+
+
+def _sql_stem(c: str) -> str:
+    for _ in range(T.STEM_PASSES):
+        c = f"regexp_replace({c}, '^(.{{{T.MIN_STEM},}}?)(?:{_SUFFIX})$', '\\1')"
+    return c
+
+
+_SQL_HARD = f"CASE WHEN len(s) > {T.MIN_STEM} THEN left(s, len(s) - 1) || translate(right(s, 1), 'ğbcd', 'kpçt') ELSE s END"
+
+
+def _sql_bm25(stem: bool, p: str = "") -> str:
+    """CTEs ending in {p}hits(query_id, chunk_id, score, rank)."""
+    words = f"SELECT w, {_SQL_HARD} AS term FROM (SELECT w, {_sql_stem('w')} AS s FROM (SELECT DISTINCT w FROM {p}occ UNION SELECT DISTINCT w FROM {p}qocc))" if stem else f"SELECT DISTINCT w, w AS term FROM (SELECT w FROM {p}occ UNION SELECT w FROM {p}qocc)"
+    return f"""{p}occ AS (SELECT doc_id, unnest({_TOKENS}) AS w FROM documents),
+{p}qocc AS (SELECT item_id, unnest({_TOKENS}) AS w FROM benchmark),
+{p}words AS ({words}),
+{p}post AS (SELECT term, doc_id, count(*) AS tf FROM {p}occ JOIN {p}words USING (w) GROUP BY ALL),
+{p}len AS (SELECT doc_id, sum(tf) AS dl FROM {p}post GROUP BY doc_id),
+{p}st AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(dl) FROM {p}len) / (SELECT count(*) FROM documents) AS avgdl),
+{p}raw AS (SELECT term, count(*) AS df, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS r FROM {p}post, {p}st GROUP BY term, n),
+{p}idf AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM {p}raw) ELSE r END AS idf FROM {p}raw),
+{p}q AS (SELECT item_id, term, count(*) AS qtf FROM {p}qocc JOIN {p}words USING (w) GROUP BY ALL),
+{p}sc AS (SELECT item_id AS query_id, doc_id AS chunk_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+  FROM {p}q JOIN {p}idf USING (term) JOIN {p}post USING (term) JOIN {p}len USING (doc_id), {p}st GROUP BY item_id, doc_id),
+{p}hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM {p}sc) WHERE rank <= {FETCH})"""
+
+
+_FUSED = f"""{_sql_bm25(True, 'x')}, {_sql_bm25(False, 'y')},
+every AS (SELECT query_id, chunk_id, 0 AS l, rank FROM xhits UNION ALL SELECT query_id, chunk_id, 1, rank FROM yhits),
+fused AS (SELECT query_id, chunk_id, round(sum(1 / (60 + rank)), 9) AS score, count(*) AS retriever_hits, min(l * 1000 + rank) AS seen FROM every GROUP BY ALL),
+ranked AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen) AS rank, retriever_hits FROM fused),
+rrf AS (SELECT * FROM ranked WHERE rank <= {FETCH})"""
+
+_SAID = "said AS (SELECT conv_id * 1000 + turn AS query_id, text, len(text) AS n FROM conversations WHERE role = 'assistant')"
+
+_GOLDEN = "expected AS (SELECT item_id AS query_id, source AS file_name, doc_id AS page FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.text <> ''),\ngolden AS (SELECT item_id AS query_id, CASE WHEN item_id IN (SELECT query_id FROM expected) THEN 'answerable' ELSE 'unanswerable' END AS kind FROM benchmark)"
+
+_METRICS = f"""{_sql_bm25(True)}, {_GOLDEN},
+marked AS (SELECT h.*, e.page IS NOT NULL AS rel FROM hits h LEFT JOIN expected e ON e.query_id = h.query_id AND e.page = h.chunk_id),
+per AS (SELECT query_id, min(rank) FILTER (rel) AS first, avg(CASE WHEN rel THEN 1.0 ELSE 0.0 END) FILTER (rank <= {TOP}) AS prec, count(*) FILTER (rel AND rank <= {TOP}) AS found FROM marked GROUP BY query_id),
+metrics AS (SELECT g.query_id, g.kind, first AS first_relevant_rank, coalesce(first <= {TOP}, false) AS hit,
+  round(coalesce(found / nullif((SELECT count(*) FROM expected e WHERE e.query_id = g.query_id), 0), 0.0), 6) AS recall,
+  round(coalesce(prec, 0.0), 6) AS precision, round(coalesce(1 / first, 0.0), 6) AS reciprocal_rank FROM golden g LEFT JOIN per USING (query_id))"""
+
+_JUDGED = f"""{_METRICS},
+said AS (SELECT m.*, coalesce(h.score < 20, true) AS abstained, kind = 'answerable' AS ans FROM metrics m LEFT JOIN (SELECT * FROM hits WHERE rank = 1) h USING (query_id)),
+judged AS (SELECT *, abstained <> ans AS abst_ok, NOT ans AND NOT abstained AS halluc, NOT ans OR NOT abstained AS cited, NOT ans OR hit AS facts, abstained OR NOT ans OR coalesce(first_relevant_rank = 1, false) AS cit_ok FROM said),
+summary AS (SELECT count(*) AS n_questions, count(*) FILTER (ans) AS n_answerable,
+  {', '.join(f"round(coalesce(avg({c}::DOUBLE) FILTER (ans), 0.0), 6) AS {n}" for c, n in (('recall', 'recall'), ('hit::INT', 'hit_rate'), ('reciprocal_rank', 'mrr'), ('precision', 'precision'), ('cited::INT', 'citation_rate'), ('cit_ok::INT', 'citation_accuracy'), ('facts::INT', 'fact_accuracy')))},
+  {', '.join(f"round(coalesce(avg(({c})::INT::DOUBLE), 0.0), 6) AS {n}" for c, n in (('abst_ok', 'abstention_accuracy'), ('halluc', 'hallucination_rate'), ('abst_ok AND NOT halluc AND facts AND cited AND cit_ok', 'pass_rate')))} FROM judged)"""
+
+_FILES = "files AS (SELECT source AS file_name, sum(len(coalesce(text, ''))) || ':' || count(*) AS content_hash, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY source)"
+
+_CHUNK_ID = "substr(sha256(coalesce(text, '') || chr(0) || source || chr(0) || doc_id), 1, 32)"
+
+SQL = {
+    "tr_tokenize_stats": f"SELECT doc_id, len({_TOKENS}) AS n_tokens, len(list_distinct({_TOKENS})) AS n_distinct FROM documents",
+    "stem_vocabulary": f"SELECT token, df, {_SQL_HARD} AS stem FROM (SELECT token, df, {_sql_stem('token')} AS s FROM (SELECT token, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct({_TOKENS})) AS token FROM documents) GROUP BY token))",
+    "chunk_ids": f"SELECT doc_id, {_CHUNK_ID} AS chunk_id, source || ' · s.' || doc_id AS label FROM documents",
+    "duplicate_documents": "SELECT doc_id, first AS duplicate_of FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents) WHERE first <> doc_id",
+    "text_layer_status": "SELECT file_name, page_count, total_chars, CASE WHEN total_chars >= 100 THEN 'ok' ELSE 'no_text_layer' END AS status FROM (SELECT source AS file_name, count(*) AS page_count, sum(len(trim(coalesce(text, ''), ' '))) AS total_chars FROM documents GROUP BY source)",
+    "bm25_idf": f"WITH {_sql_bm25(True)} SELECT term, df, round(idf, 6) AS idf FROM idf",
+    "bm25_topk": f"WITH {_sql_bm25(True)} SELECT query_id, chunk_id, score, rank FROM hits",
+    "dense_topk": "SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)) WHERE rank <= 10",
+    "rrf_fusion": f"WITH {_FUSED} SELECT query_id, chunk_id, score, rank, retriever_hits FROM rrf",
+    "fusion_consensus": f"WITH {_FUSED} SELECT query_id, count(*) AS n_fused, count(*) FILTER (retriever_hits > 1) AS n_consensus FROM rrf GROUP BY query_id",
+    "rerank_minscore": f"""WITH {_sql_bm25(True)},
+qs AS (SELECT item_id, list_distinct({_TOKENS}) AS qt FROM benchmark), ds AS (SELECT doc_id, {_TOKENS} AS dt FROM documents),
+re AS (SELECT query_id, chunk_id, rank AS former, round(len(list_intersect(qt, dt)) / len(qt), 6) AS score FROM hits JOIN qs ON item_id = query_id JOIN ds ON doc_id = chunk_id)
+SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, former) AS rank FROM re WHERE score >= 0.5) WHERE rank <= {TOP}""",
+    "context_pack": f"""WITH {_sql_bm25(True)}
+SELECT query_id, chunk_id, rank, tokens_so_far FROM (SELECT query_id, chunk_id, rank, sum(n) OVER (PARTITION BY query_id ORDER BY rank)::BIGINT AS tokens_so_far FROM hits JOIN (SELECT doc_id, len({_TOKENS}) AS n FROM documents) ON doc_id = chunk_id) WHERE tokens_so_far <= 1000 OR rank = 1""",
+    "citation_markers": f"""WITH {_SAID}, m AS (SELECT query_id, n % 7 AS a, n % 3 AS b FROM said)
+SELECT query_id, CASE WHEN a BETWEEN 1 AND 3 AND b >= 1 AND a <> b THEN least(a, b) || ',' || greatest(a, b) WHEN a BETWEEN 1 AND 3 THEN a::VARCHAR WHEN b >= 1 THEN b::VARCHAR ELSE '' END AS valid,
+  CASE WHEN (a < 1 OR a > 3) AND b < 1 AND a <> b THEN a || ',' || b WHEN a < 1 OR a > 3 THEN a::VARCHAR WHEN b < 1 THEN b::VARCHAR ELSE '' END AS unknown FROM m""",
+    "abstention_flags": f"WITH {_SAID} SELECT query_id, n % 2 = 0 AS abstained FROM said",
+    "reasoning_strip": f"WITH {_SAID} SELECT query_id, sha256(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS text_sha256 FROM said",
+    "groundedness_parse": f"WITH {_SAID} SELECT query_id, CASE WHEN n % 5 > 0 THEN round(least(1.0, (n % 6) / (n % 5)), 6) END AS groundedness FROM said",
+    "sse_frames": f"WITH {_SAID} SELECT query_id, 'data: ' || replace(text, chr(10), '\\n') || chr(10) || chr(10) AS frame FROM said",
+    "stream_filter": f"WITH {_SAID} SELECT query_id, text FROM said",
+    "retrieval_metrics": f"WITH {_METRICS} SELECT * FROM metrics",
+    "eval_summary": f"WITH {_JUDGED} SELECT * FROM summary",
+    "diagnosis": f"""WITH {_JUDGED}, f AS (SELECT list_filter([CASE WHEN hallucination_rate > 0 THEN 'hallucination' END, CASE WHEN hit_rate < 0.8 THEN 'retrieval' WHEN mrr < 0.5 THEN 'ranking' END,
+  CASE WHEN precision < 0.4 AND hit_rate >= 0.8 THEN 'noise' END, CASE WHEN citation_accuracy < 0.9 THEN 'wrong_citations' END, CASE WHEN citation_rate < 0.9 THEN 'missing_citations' END, CASE WHEN fact_accuracy < 0.8 AND hit_rate >= 0.8 THEN 'lost_facts' END], lambda x: x IS NOT NULL) AS l FROM summary),
+g AS (SELECT CASE WHEN len(l) = 0 THEN ['none'] ELSE l END AS l FROM f) SELECT unnest(range(len(l))) AS at, unnest(l) AS finding FROM g""",
+    "golden_validation": f"""WITH {_GOLDEN}, q AS (SELECT query_id::VARCHAR AS id, kind, (SELECT count(*) FROM expected e WHERE e.query_id = g.query_id) AS n FROM golden g),
+a AS (SELECT * FROM q UNION ALL SELECT id, 'unanswerable', n FROM q WHERE id::INT % 7 = 0)
+SELECT id, 'duplicate_id' AS problem FROM a GROUP BY id HAVING count(*) > 1 UNION ALL SELECT id, 'answerable_without_source' FROM a WHERE kind = 'answerable' AND n = 0
+UNION ALL SELECT id, 'unanswerable_with_source' FROM a WHERE kind = 'unanswerable' AND n > 0 UNION ALL SELECT NULL, 'no_negative_example' WHERE NOT EXISTS (SELECT 1 FROM a WHERE kind = 'unanswerable')""",
+    "manifest_currency": f"WITH {_FILES} SELECT file_name, content_hash, first % 2 = 0 AND first % 4 <> 0 AND file_name NOT IN (SELECT source FROM documents WHERE doc_id = 2) AS is_current FROM files",
+    "library_listing": f"WITH {_FILES} SELECT file_name, CASE WHEN first % 2 = 0 THEN 'ok' ELSE 'skipped' END AS status, CASE WHEN first % 2 = 0 THEN n ELSE 0 END AS chunk_count, first % 2 = 0 AS is_searchable, false AS needs_ocr FROM files",
+    "incremental_add": f"SELECT DISTINCT {_CHUNK_ID} AS chunk_id FROM documents WHERE {_CHUNK_ID} NOT IN (SELECT {_CHUNK_ID} FROM documents WHERE doc_id % 2 = 0)",
+    "ingest_report": "SELECT count(*) AS n_files, sum(p)::BIGINT AS n_pages, count(*) FILTER (c >= 100) AS n_ok, count(*) FILTER (c < 100) AS n_needs_ocr FROM (SELECT count(*) AS p, sum(len(trim(coalesce(text, ''), ' '))) AS c FROM documents GROUP BY source)",
+}
+
+_QUERIES = (
+    tr_tokenize_stats, stem_vocabulary, normalized_text, chunk_ids, duplicate_documents, text_layer_status, chunk_documents, chunk_stats, bm25_idf, bm25_topk, dense_topk, rrf_fusion, fusion_consensus,
+    rerank_minscore, context_pack, citation_markers, abstention_flags, reasoning_strip, groundedness_parse, sse_frames, stream_filter, retrieval_metrics, eval_summary, diagnosis, golden_validation,
+    manifest_currency, library_listing, incremental_add, ingest_report, safe_file_names,
+)
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in _QUERIES}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
