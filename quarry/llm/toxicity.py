@@ -139,7 +139,7 @@ class ToxicityModel:
         self.index = BlockMaxIndex(idf, vectors)
         self.prior = float((self.weight * self.labels).sum() / self.weight.sum()) if examples else 0.0
         votes = np.array([self.vote(self.index.nearest(v, NEIGHBOURS, without=i)) for i, v in enumerate(vectors)])
-        blank = np.array([not v for v in vectors])
+        blank = np.array([not v for v in vectors], dtype=bool)
         of = lambda rows: float((self.weight * self.labels)[rows].sum() / self.weight[rows].sum()) if rows.any() else self.prior
         self.blank_score = of(blank)
         self.knots = monotone_fit(votes[~blank], self.labels[~blank], self.weight[~blank]) if (~blank).any() else (np.array([0.0]), np.array([self.prior]))
