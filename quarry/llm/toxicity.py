@@ -24,10 +24,13 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import id_and_text
 
-MAX_TOXIC, MAX_CLEAN = 3000, 5000
-MAX_TERMS = 4096
+MAX_TOXIC, MAX_CLEAN = 2000, 3000
+MAX_TERMS = 1000
 #: Least G statistic (likelihood ratio) of a term between the classes.
 LEAST_G = 20.0
+#: Least ratio between a term's shares of the two classes. Longer texts have more of every common word; such
+#: terms say little and would give nearly every text a vector of its own.
+LEAST_RATIO = 3.0
 NEIGHBOURS, BLOCK = 9, 64
 #: Weight of the prior in a vote.
 PRIOR_WEIGHT = 0.2
@@ -197,7 +200,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     log_part = lambda seen, of: F.when(seen > 0, seen * F.log(seen * total / ((F.col("a") + F.col("b")) * of))).otherwise(0.0) if of else F.lit(0.0)
     rest = lambda seen, of: F.when(of - seen > 0, (of - seen) * F.log((of - seen) * total / ((total - F.col("a") - F.col("b")) * of))).otherwise(0.0) if of else F.lit(0.0)
     g = 2 * (log_part(F.col("a"), n[0]) + log_part(F.col("b"), n[1]) + rest(F.col("a"), n[0]) + rest(F.col("b"), n[1]))
-    terms = [r["term"] for r in used.where("a + b >= 3").withColumn("g", g).where(F.col("g") >= LEAST_G).orderBy(F.desc("g"), "term").limit(MAX_TERMS).collect()]
+    shares = [(F.col(c) + 0.5) / (n[y] + 1) for c, y in (("a", 0), ("b", 1))]
+    ratio = F.greatest(shares[0] / shares[1], shares[1] / shares[0])
+    terms = [r["term"] for r in used.where("a + b >= 3").withColumn("g", g).where((F.col("g") >= LEAST_G) & (ratio >= LEAST_RATIO)).orderBy(F.desc("g"), "term").limit(MAX_TERMS).collect()]
     chosen = Terms(terms)
 
     def in_corpus(texts, _):
