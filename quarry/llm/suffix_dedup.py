@@ -28,7 +28,7 @@ from quarry.llm.phrases import _powers
 
 MATCH, GRAM = 100, 16
 REACH = MATCH - GRAM  # bytes of a window that can stand left of its anchor
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 12 << 20
 _SLICE = 1 << 20
 #: Prefixes that the splitters are taken from, over all chunks.
 SAMPLE = 20_000
@@ -43,7 +43,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = made = 0
 
     def row() -> pa.RecordBatch:
-        cols = [(part << 32) + made, packed(np.array([0 if i is None else i for i in ids], np.int64)), packed(np.array([i is not None for i in ids], np.uint8)), packed(np.array([len(t) for t in texts], np.int64)), zlib.compress(b"".join(texts), 1)]
+        cols = [(part << 32) + made, packed(np.array([0 if i is None else i for i in ids], np.int64)), packed(np.array([i is not None for i in ids], np.uint8)), packed(np.array([len(t) for t in texts], np.int64)), zlib.compress(b"".join(texts), 4)]
         return pa.RecordBatch.from_arrays([pa.array([c], pa.int64() if i == 0 else pa.binary()) for i, c in enumerate(cols)], names=["chunk", "doc_ids", "has_id", "lengths", "data"])
 
     for batch in batches:
@@ -301,12 +301,11 @@ class SuffixDedup:
 
         def sample(row: dict) -> dict:
             c = Chunk(row)
-            at, h = c.anchors()
-            at = at[np.isin(h, np.concatenate([unpacked_sorted(k) for k in row["keys"]]))]
+            at = c.anchors()[0]
             at = at[:: max(1, -(-len(at) // per_chunk))]
             return {"gram": pa.array([c.data[i : i + GRAM] for i in at.tolist()], pa.binary())}
 
-        grams16 = sorted(bytes(r["gram"]).ljust(GRAM, b"\0") for r in _rows(joined, sample, "gram binary").collect())  # at most SAMPLE, or one a chunk
+        grams16 = sorted(bytes(r["gram"]).ljust(GRAM, b"\0") for r in _rows(self.chunks, sample, "gram binary").collect())  # at most SAMPLE, or one a chunk
         n = self.n
         splitters = np.array(sorted({grams16[len(grams16) * i // n] for i in range(1, n)}) if grams16 else [], f"S{GRAM}")
 
