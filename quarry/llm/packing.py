@@ -9,7 +9,6 @@ Sequences are numbered bucket by bucket, without gaps.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import id_and_text, row_key, written
-from quarry.llm.word_ids import END_ID, encoder
+from quarry.llm.word_ids import encode_texts, encoder
 
 MAX_TOKENS = 2048
 #: Parts of a bucket that are numbered apart.
@@ -42,15 +41,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, most: int = MAX_TOKENS) -> Data
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path)
-        end = array("I", [END_ID]).tobytes()
+        words = encoder(tokenizer_path)
         for batch in batches:
             out: list[list[int]] = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = memoryview(encode(text.as_py()) + end)
-                n = len(ids) // 4
-                for start, size in cuts(n, most):
-                    for col, value in zip(out, (doc_id, start, size, zlib.crc32(ids[start * 4 : (start + size) * 4]), n)):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode_texts(words, batch.column(1))):
+                for start, size in cuts(len(ids), most):
+                    for col, value in zip(out, (doc_id, start, size, zlib.crc32(ids[start : start + size]), len(ids))):
                         col.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=names)
 
