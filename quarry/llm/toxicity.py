@@ -133,12 +133,13 @@ def monotone_fit(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) ->
 class ToxicityModel:
     """Examples, index and calibration; small enough to go with each task (bounded by the constants)."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple[int, str, int]], share: tuple[float, float]):
-        self.terms = Terms(terms)
+    def __init__(self, terms: Terms, idf: np.ndarray, examples: list[tuple[int, tuple, int]], share: tuple[float, float]):
+        """examples: (doc_id, term counts, label)."""
+        self.terms = terms
         self.doc_ids = [e[0] for e in examples]
         self.labels = np.array([e[2] for e in examples], dtype=float)
         self.weight = np.where(self.labels > 0, share[1], share[0])
-        vectors = [self.terms.found(e[1]) for e in examples]
+        vectors = [e[1] for e in examples]
         self.index = BlockMaxIndex(idf, vectors)
         self.prior = float((self.weight * self.labels).sum() / self.weight.sum()) if examples else 0.0
         votes = np.array([self.vote(self.index.nearest(v, NEIGHBOURS, without=i)) for i, v in enumerate(vectors)])
@@ -185,7 +186,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     sample = [r for y, most in ((1, MAX_TOXIC), (0, MAX_CLEAN)) for r in known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
     rows = spark.createDataFrame(sample, "doc_id long, toxic int")
-    examples = id_and_text(docs).join(F.broadcast(rows), "doc_id").select("doc_id", "text", "toxic")
+    # one row for an example, however often its id is repeated
+    examples = id_and_text(docs).join(F.broadcast(rows), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
 
     def by_class(texts, toxic):
         seen: dict[str, list[int]] = {}
@@ -214,9 +216,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 
     df = {r["at"]: r["n"] for r in partial_counts(id_and_text(docs).select("text", F.lit(0).alias("toxic")), in_corpus, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()}
     idf = np.array([math.log((1 + df.get(-1, 0)) / (1 + df.get(i, 0))) + 1 for i in range(len(terms))])
-    taken = sorted((r["doc_id"], r["text"], r["toxic"]) for r in examples.collect())  # at most MAX_TOXIC + MAX_CLEAN rows
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [chosen.found(t.as_py()) for t in batch.column(1)]
+            cols = [batch.column(0), pa.array([[t for t, _ in v] for v in found], pa.list_(pa.int64())), pa.array([[n for _, n in v] for v in found], pa.list_(pa.int64())), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "at", "n", "toxic"])
+
+    # at most MAX_TOXIC + MAX_CLEAN rows of at most MAX_TERMS pairs; the texts stay on the executors
+    taken = sorted((r["doc_id"], tuple(zip(r["at"], r["n"])), r["toxic"]) for r in examples.mapInArrow(vectors, "doc_id long, at array<long>, n array<long>, toxic int").collect())
     share = tuple(totals.get(y, 0) / max(1, n[y]) for y in (0, 1))
-    return ToxicityModel(terms, idf, taken, share)
+    return ToxicityModel(chosen, idf, taken, share)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, with_text_id: bool = False) -> DataFrame:
