@@ -1,19 +1,21 @@
 """Katz backoff language model: Good-Turing discounted counts, exactly normalised backoff weights.
 
-Words are 64-bit hashes. The model's vocabulary of contexts and targets is every word with at least
-N / 2**17 of the N training tokens (so never more than 2**17, whatever the corpus), the end token, and one
-class for all rarer words; within the class a word has its Good-Turing share of the unigram model, and
-one unknown word has the unseen mass. Unigram and bigram counts cover all training documents and are
-stored in partitioned tables.
+Words are 64-bit hashes. Every word of the training documents is a context and a target, whatever the
+corpus; one unknown word has the unseen mass. Unigram and bigram counts cover all training documents and
+are stored in partitioned tables; nothing that grows with the vocabulary is gathered or broadcast.
 
 The corpus is worked on in chunks of a few million tokens. A chunk's row holds its documents as numbers
 into its own sorted word list, so each distinct word or bigram of a chunk is sent once to the place that
-sums it, and the sum is sent back once. Scoring evaluates a token by its bigram where that was seen, else
-by its context's backoff weight times the unigram model.
+sums it, and the sum is sent back once. A word's place numbers it, and a bigram is the pair of those numbers.
+Bigrams go to their context's place, which so knows all that follows it and sends back what its backoff
+weight needs; those of the few contexts with a large share of the tokens are dealt by the pair. Scoring
+evaluates a token by its bigram where that was seen, else by its context's backoff weight times the
+unigram model.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import fresh_path, id_and_text, shuffle_partitions, written
@@ -29,10 +31,11 @@ from quarry.llm.phrases import _powers
 from quarry.llm.simhash import LOWER
 
 HOLD_OUT, HELD = 7, 2
-VOCABULARY_BITS = 17
-CHUNK_TOKENS = 4_000_000
+CHUNK_TOKENS = 2_500_000
 #: Counts up to this are discounted.
 GT_LIMIT = 5
+#: A context with this part of the tokens or more (so no more contexts than this) has its bigrams dealt to all places.
+HOT_SHARE = 1024
 #: The end token's hash; words hash to other values but for one in 2**64.
 END = np.uint64(7)
 _SLICE = 1 << 20
@@ -120,13 +123,12 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Chunk:
-    """One chunk's arrays; classes are numbers of the vocabulary, 0 for rarer words."""
+    """One chunk's arrays; seq holds places in the chunk's sorted words."""
 
     def __init__(self, row: dict):
         has = unpacked(row["has_id"], np.uint8)
         self.doc_ids = [int(i) if h else None for i, h in zip(unpacked(row["doc_ids"], np.int64), has)]
         self.lengths = unpacked(row["lengths"], np.int64)
-        self.words = unpacked_sorted(row["words"])
         self.seq = unpacked(row["seq"], np.uint32).astype(np.int64)
         self.held = np.array([held_out(i) for i in self.doc_ids], bool)
         self.firsts = np.cumsum(self.lengths) - self.lengths
@@ -134,20 +136,60 @@ class Chunk:
     def in_training(self) -> np.ndarray:
         return np.repeat(~self.held, self.lengths)
 
-    def classes(self, vocabulary: np.ndarray) -> np.ndarray:
-        """Class of each word: its place in the sorted vocabulary + 1, or 0."""
-        if not len(vocabulary):
-            return np.zeros(len(self.words), np.int64)
-        at = np.minimum(np.searchsorted(vocabulary, self.words), len(vocabulary) - 1)
-        return np.where(vocabulary[at] == self.words, at + 1, 0).astype(np.int64)
+    def numbered(self, replies: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        """Number and training count of each word of the chunk; places hold ranges of the sorted words."""
+        replies.sort(key=lambda r: r["place"])
+        return tuple(np.concatenate([unpacked(r[k], np.uint64) for r in replies]) for k in ("ids", "n"))
 
-    def bigrams(self, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each token: the pair (context class, class) as one number, and the class. A text starts after an end."""
-        now = self.classes(vocabulary)[self.seq]
-        end = int(np.searchsorted(vocabulary, END)) + 1
-        before = np.concatenate([[end], now[:-1]])
-        before[self.firsts] = end
-        return ((before << 32) | now).astype(np.uint64), now
+    def before(self) -> np.ndarray:
+        """The context of each token; a text starts after an end."""
+        out = np.concatenate([[0], self.seq[:-1]])
+        out[self.firsts] = self.seq[self.lengths[0] - 1]
+        return out
+
+
+class Pairs:
+    """A chunk's distinct bigrams whose context is known, in the order of places; and its known contexts likewise."""
+
+    def __init__(self, c: Chunk, ids: np.ndarray, hot: np.ndarray, n: int):
+        before = c.before()
+        self.known = ids[before] > 0
+        keys, at = np.unique((ids[before[self.known]] << np.uint64(32)) | ids[c.seq[self.known]], return_inverse=True)
+        place = pair_places(keys, hot, n)
+        order = np.argsort(place, kind="stable")
+        self.keys, self.place = keys[order], place[order]
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        self.at = back[at]  # of each token with a known context
+        del at
+        contexts = np.unique(before[self.known])
+        contexts = contexts[np.argsort(ids[contexts])]
+        is_hot = among(ids[contexts], hot)
+        self.hot, cold = contexts[is_hot], contexts[~is_hot]
+        self.cold = cold[np.argsort(places(ids[cold], n), kind="stable")]
+
+
+def places(x: np.ndarray, n: int) -> np.ndarray:
+    return ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(n)
+
+
+def among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(x), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
+
+
+def pair_places(keys: np.ndarray, hot: np.ndarray, n: int) -> np.ndarray:
+    context = keys >> np.uint64(32)
+    return np.where(among(context, hot), places(keys ^ (keys >> np.uint64(29)), n), places(context, n))
+
+
+def _messages(chunk: int, place: np.ndarray, **columns) -> dict:
+    """One row a place from arrays in the order of places; columns are (array, how to pack it)."""
+    ends = np.flatnonzero(np.diff(place, append=np.uint64(2**64 - 1)) != 0) + 1
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    out = {"place": pa.array([int(place[i]) for i in starts], pa.int32()), "chunk": pa.array([chunk] * len(starts), pa.int64())}
+    return out | {k: pa.array([pack(x[a:b]) for a, b in zip(starts, ends)], pa.binary()) for k, (x, pack) in columns.items()}
 
 
 def _rows(df: DataFrame, make, schema: str) -> DataFrame:
@@ -155,8 +197,8 @@ def _rows(df: DataFrame, make, schema: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                yield pa.RecordBatch.from_pydict(make(row))
+            for i in range(batch.num_rows):  # rows are large
+                yield pa.RecordBatch.from_pydict(make(batch.slice(i, 1).to_pylist()[0]))
 
     return df.mapInArrow(run, schema)
 
@@ -178,165 +220,255 @@ def discounted(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 
 class Unigrams:
-    """The unigram model over classes, and what scoring needs to know of single words; bounded by the vocabulary."""
+    """The unigram model by training counts."""
 
-    def __init__(self, total: int, distinct: int, n: dict[int, int], vocabulary: np.ndarray, counts: np.ndarray):
+    def __init__(self, total: int, distinct: int, n: dict[int, int]):
         self.total, self.distinct = total, distinct
         self.d = discounts(n)
-        self.vocabulary = vocabulary
-        self.share = discounted(counts, self.d) / max(1, total)
         seen = sum(discounted(np.array([r]), self.d)[0] * k for r, k in n.items() if r <= GT_LIMIT) / max(1, total)
         self.unknown = max(1 - seen - (1 - sum(r * k for r, k in n.items() if r <= GT_LIMIT) / max(1, total)), 0.0) or 1.0 / (total + 1)
         norm = 1.0 + self.unknown if self.unknown == 1.0 / (total + 1) else 1.0
-        self.share, self.unknown, self.norm = self.share / norm, self.unknown / norm, norm
-        self.classes = np.concatenate([[1 - self.share.sum()], self.share])  # the class of rarer words holds the unknown one
+        self.unknown, self.norm = self.unknown / norm, norm
 
     def of_word(self, counts: np.ndarray) -> np.ndarray:
         """Probability of words with these counts (0: unknown)."""
         return np.where(counts > 0, discounted(counts, self.d) / max(1, self.total) / self.norm, self.unknown)
 
 
+class AllWords(Unigrams):
+    """The model with each word's probability by number, the unknown word at 0; only for models that fit the driver."""
+
+    def __init__(self, law: Unigrams, table: DataFrame):
+        self.__dict__.update(law.__dict__)
+        ids, counts = [np.concatenate([np.zeros(0, np.int64), *[unpacked(r[k], np.uint64).astype(np.int64) for r in table.collect()]]) for k in ("ids", "n")]
+        self.counts = np.zeros(ids.max(initial=0) + 1, np.int64)
+        self.counts[ids] = counts
+        self.classes = np.where(self.counts > 0, self.of_word(self.counts), 0.0)
+        self.classes[0] = self.unknown
+
+
+def weights(c: np.ndarray, n: np.ndarray, uni: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Backoff weights and the scale of seen bigrams, for contexts with counts c, n[r - 1] followers seen r times and followers' unigram sum."""
+    kept = c - (np.arange(1, len(d))[:, None] * n * (1 - d[1:, None])).sum(0)
+    # a context without a discounted count still leaves 1 of c + 1 for what it wasn't seen with
+    mass = np.maximum(1 - kept / c, 1 / (c + 1))
+    some = 1 - uni > 1e-12  # else every word was seen after this one: nothing to back off to
+    return np.where(some, mass / np.where(some, 1 - uni, 1.0), 0.0), np.where(some, 1 - mass, 1.0) * c / kept
+
+
 class KatzModel:
-    """Count tables (Parquet, under path) and the bounded parts of a model fitted on chunks."""
+    """Count tables (Parquet, under path) and the few parameters of a model fitted on chunks."""
 
     def __init__(self, docs: DataFrame, path: str | None = None):
         spark = self.spark = docs.sparkSession
         self.path = path or fresh_path(spark, "katz")
         self.chunks = written(id_and_text(docs).mapInArrow(_chunks, CHUNK), "katz-chunks")
-        self.n = shuffle_partitions(spark)
+        # a place holds about what two chunks do
+        self.n = max(shuffle_partitions(spark), -(-self.chunks.count() // 2))
         self._count_words()
         self._count_bigrams()
 
+    def _exchanged(self, sent: DataFrame, summed, schema: str, name: str) -> DataFrame:
+        """What summed (rows of a place -> batch) gives for each place, by kind."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            by_place: dict[int, list[dict]] = {}
+            for b in batches:
+                for r in b.to_pylist():
+                    by_place.setdefault(r["place"], []).append(r)
+            for p in sorted(by_place):
+                yield summed(by_place.pop(p))
+
+        got = sent.repartitionById(self.n, F.col("place")).mapInArrow(run, schema)
+        got.write.partitionBy("kind").parquet(f"{self.path}/{name}")
+        # kind is the first column of what was made and the last of what is read
+        return self.spark.read.schema(", ".join([*schema.split(", ")[1:], "kind string"])).parquet(f"{self.path}/{name}")
+
     def _count_words(self) -> None:
+        n = self.n
+
         def words(row: dict) -> dict:
-            c = Chunk(row)
-            n = np.bincount(c.seq[c.in_training()], minlength=len(c.words))
-            return {"word": pa.array(c.words.view(np.int64)), "chunk": pa.array(np.full(len(n), row["chunk"])), "n": pa.array(n, pa.int64())}
-
-        sent = _rows(self.chunks, words, "word long, chunk long, n long")
-        # a word has one row a chunk at most, so no group is large
-        summed = sent.select("word", "chunk", F.sum("n").over(Window.partitionBy("word")).alias("count"), (F.row_number().over(Window.partitionBy("word").orderBy("chunk")) == 1).alias("first"))
-        back = summed.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("word", "count", "first"))).alias("r")).select("chunk", F.col("r.word").alias("w"), F.col("r.count").alias("c"), F.col("r.first").alias("first"))
-        self.word_counts = written(back, "katz-words")
-        own = self.word_counts.select(F.explode(F.arrays_zip("w", "c", "first")).alias("r")).where("r.first AND r.c > 0").select(F.col("r.w").alias("word"), F.col("r.c").alias("count"))
-        own.withColumn("part", F.pmod(F.col("word"), F.lit(16)).cast("int")).write.partitionBy("part").parquet(f"{self.path}/unigrams")
-        table = self.spark.read.schema("word long, count long, part int").parquet(f"{self.path}/unigrams")
-        total, distinct = table.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1))).first()
-        n = {r["count"]: r["k"] for r in table.where(F.col("count") <= GT_LIMIT + 1).groupBy("count").agg(F.count(F.lit(1)).alias("k")).collect()}
-        least = max(1, -(-total // 2**VOCABULARY_BITS))
-        # at most 2**VOCABULARY_BITS words can have that share of the tokens; the end token joins them
-        chosen = {r["word"]: r["count"] for r in table.where((F.col("count") >= least) | (F.col("word") == int(END))).collect()}
-        chosen.setdefault(int(END), 0)
-        words = np.array(list(chosen), np.int64).view(np.uint64)
-        order = np.argsort(words)
-        self.unigrams = Unigrams(total, distinct, n, words[order], np.array(list(chosen.values()), np.int64)[order])
+            c, w = Chunk(row), unpacked_sorted(row["words"])
+            counts = np.bincount(c.seq[c.in_training()], minlength=len(w)).astype(np.uint32)
+            # hashes are even, so ranges of them are; a chunk's sorted words stay in order
+            return _messages(row["chunk"], ((w >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32), keys=(w, packed_sorted), n=(counts, packed))
+
+        def summed(rows: list[dict]) -> pa.RecordBatch:
+            place, keys = rows[0]["place"], [unpacked_sorted(r["keys"]) for r in rows]
+            words, at = np.unique(np.concatenate(keys), return_inverse=True)
+            totals = np.bincount(at, weights=np.concatenate([unpacked(r["n"], np.uint32) for r in rows])).astype(np.uint64)
+            # frequent words get small numbers
+            seen = np.flatnonzero(totals)
+            seen = seen[np.argsort(totals[seen], kind="stable")[::-1]]
+            if len(seen) and len(seen) * n + place >= 2**32:
+                raise OverflowError("words have numbers of 32 bits")
+            ids = np.zeros(len(words), np.uint64)
+            ids[seen] = np.arange(len(seen)).astype(np.uint64) * np.uint64(n) + np.uint64(place + 1)
+            cuts = np.cumsum([len(k) for k in keys])[:-1]
+            known = totals > 0
+            return pa.RecordBatch.from_pydict({
+                "kind": ["reply"] * len(rows) + ["model"],
+                "place": pa.array([place] * (len(rows) + 1), pa.int32()),
+                "chunk": pa.array([*[r["chunk"] for r in rows], -1], pa.int64()),
+                "keys": pa.array([*[None] * len(rows), packed_sorted(words[known])], pa.binary()),
+                "ids": pa.array([packed(x) for x in [*np.split(ids[at], cuts), ids[known]]], pa.binary()),
+                "n": pa.array([packed(x) for x in [*np.split(totals[at], cuts), totals[known]]], pa.binary()),
+            })
+
+        self.words = self._exchanged(_rows(self.chunks, words, "place int, chunk long, keys binary, n binary"), summed, "kind string, place int, chunk long, keys binary, ids binary, n binary", "unigrams")
+        model = self.words.where("kind = 'model'")
+        total, distinct, n_of = self._counts_of_counts(model)
+        self.law = Unigrams(total, distinct, n_of)
+        least = max(1, -(-total // HOT_SHARE))
+
+        def frequent(row: dict) -> dict:
+            return {"id": pa.array(unpacked(row["ids"], np.uint64)[unpacked(row["n"], np.uint64) >= least].astype(np.int64))}
+
+        self.hot = np.sort(np.array([r["id"] for r in _rows(model.select("ids", "n"), frequent, "id long").collect()], np.uint64))  # HOT_SHARE at most
+
+    def _counts_of_counts(self, model: DataFrame) -> tuple[int, int, dict[int, int]]:
+        """Sum and number of the counts, and how many are r for the small r."""
+
+        def of_place(row: dict) -> dict:
+            counts = unpacked(row["n"], np.uint64).astype(np.int64)
+            r = np.arange(1, GT_LIMIT + 2)
+            return {"r": pa.array([0, -1, *r]), "k": pa.array([int(counts.sum()), len(counts), *[int((counts == i).sum()) for i in r]])}
+
+        k = {r["r"]: r["k"] for r in _rows(model.select("n"), of_place, "r long, k long").groupBy("r").agg(F.sum("k").alias("k")).collect()}
+        return k.pop(0, 0), k.pop(-1, 0), {r: x for r, x in k.items() if x}
+
+    def _numbered_chunks(self) -> DataFrame:
+        """Chunks (without their words) with the numbers and counts of their words."""
+        replies = self.words.where("kind = 'reply'").groupBy("chunk").agg(F.collect_list(F.struct("place", "ids", "n")).alias("w"))
+        return self.chunks.drop("words").join(replies, "chunk")
 
     def _count_bigrams(self) -> None:
-        shared = self.spark.sparkContext.broadcast(self.unigrams)
-        n = self.n
+        n, law, hot = self.n, self.law, self.hot
 
         def pairs(row: dict) -> dict:
             c = Chunk(row)
-            every, _ = c.bigrams(shared.value.vocabulary)
-            keys, at = np.unique(every, return_inverse=True)
-            counts = np.bincount(at[c.in_training()], minlength=len(keys))
-            place = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(n)
-            out = {"place": [], "chunk": [], "keys": [], "n": []}
-            for p in range(n):
-                mine = place == p
-                if mine.any():
-                    out["place"].append(p)
-                    out["chunk"].append(row["chunk"])
-                    out["keys"].append(packed_sorted(keys[mine]))
-                    out["n"].append(packed(counts[mine].astype(np.uint32)))
-            return {"place": pa.array(out["place"], pa.int32()), "chunk": pa.array(out["chunk"], pa.int64()), "keys": pa.array(out["keys"], pa.binary()), "n": pa.array(out["n"], pa.binary())}
-
-        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows = [r for b in batches for r in b.to_pylist()]
-            if not rows:
-                return
-            keys = [unpacked_sorted(r["keys"]) for r in rows]
-            all_keys, at = np.unique(np.concatenate(keys), return_inverse=True)
+            ids, counts = c.numbered(row.pop("w"))
+            p = Pairs(c, ids, hot, n)
+            found = np.bincount(p.at[c.in_training()[p.known]], minlength=len(p.keys)).astype(np.uint32)
+            target = np.zeros(len(p.keys), np.uint64)
+            target[p.at] = counts[c.seq[p.known]]
+            return _messages(row["chunk"], p.place, keys=(p.keys, packed_sorted), n=(found, packed), target=(target, packed))
+
+        def summed(rows: list[dict]) -> pa.RecordBatch:
+            sent = [unpacked_sorted(r["keys"]) for r in rows]
+            keys, at = np.unique(np.concatenate(sent), return_inverse=True)
             totals = np.bincount(at, weights=np.concatenate([unpacked(r["n"], np.uint32) for r in rows])).astype(np.int64)
-            replies = np.split(totals[at], np.cumsum([len(k) for k in keys])[:-1])
-            place = [r["place"] for r in rows]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(["reply"] * len(rows) + ["model"]), pa.array([*place, place[0]], pa.int32()), pa.array([*[r["chunk"] for r in rows], -1], pa.int64()), pa.array([*[r["keys"] for r in rows], packed_sorted(all_keys)], pa.binary()), pa.array([packed(x.astype(np.uint64)) for x in [*replies, totals]], pa.binary())],
-                names=["kind", "place", "chunk", "keys", "n"],
-            )
-
-        sent = _rows(self.chunks, pairs, "place int, chunk long, keys binary, n binary")
-        # one place's distinct pairs are 1/n of all, and hold a pair once a chunk
-        got = sent.repartitionById(n, F.col("place")).mapInArrow(summed, "kind string, place int, chunk long, keys binary, n binary")
-        got.write.partitionBy("kind").parquet(f"{self.path}/bigrams")
-        self.bigrams = self.spark.read.schema("place int, chunk long, keys binary, n binary, kind string").parquet(f"{self.path}/bigrams")
-        model = self.bigrams.where("kind = 'model'").select("keys", "n")
-
-        def counts_of_counts(row: dict) -> dict:
-            r, k = np.unique(unpacked(row["n"], np.uint64).astype(np.int64), return_counts=True)
-            return {"r": pa.array(r[r <= GT_LIMIT + 1]), "k": pa.array(k[r <= GT_LIMIT + 1])}
-
-        found = _rows(model, counts_of_counts, "r long, k long").where("r > 0").groupBy("r").agg(F.sum("k").alias("k")).collect()
-        d = self.d = discounts({r["r"]: r["k"] for r in found})
-
-        def by_context(row: dict) -> dict:
-            keys, counts = unpacked_sorted(row["keys"]), unpacked(row["n"], np.uint64).astype(np.int64)
-            keys, counts = keys[counts > 0], counts[counts > 0]
-            context, at = np.unique(keys >> np.uint64(32), return_inverse=True)
-            uni = shared.value.classes[(keys & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-            sums = [np.bincount(at, weights=x, minlength=len(context)) for x in (counts, discounted(counts, d), uni)]
-            return {"v": pa.array(context.astype(np.int64)), **{k: pa.array(x.astype(float)) for k, x in zip(("c", "kept", "uni"), sums)}}
-
-        size = len(self.unigrams.classes)
-        self.context = np.zeros(size)  # training count of each context class
-        self.backoff = np.ones(size)
-        self.scale = np.ones(size)
-        for r in _rows(model, by_context, "v long, c double, kept double, uni double").groupBy("v").agg(*[F.sum(x).alias(x) for x in ("c", "kept", "uni")]).collect():  # one row a class
-            v, left = r["v"], 1 - r["uni"]
-            self.context[v] = r["c"]
-            if left > 1e-9:
-                # a context without a discounted count still leaves 1 of c + 1 for what it wasn't seen with
-                mass = max(1 - r["kept"] / r["c"], 1 / (r["c"] + 1))
-                self.backoff[v], self.scale[v] = mass / left, (1 - mass) * r["c"] / r["kept"]
-            else:  # every class was seen after this one: nothing to back off to
-                self.backoff[v], self.scale[v] = 0.0, r["c"] / r["kept"]
+            target = np.zeros(len(keys), np.int64)
+            target[at] = np.concatenate([unpacked(r["target"], np.uint64) for r in rows]).astype(np.int64)
+            replies = [packed(x.astype(np.uint64)) for x in np.split(totals[at], np.cumsum([len(k) for k in sent])[:-1])]
+            context, of = np.unique(keys >> np.uint64(32), return_inverse=True)
+            seen = totals > 0
+            times = np.array([np.bincount(of[totals == r], minlength=len(context)) for r in range(1, GT_LIMIT + 1)], np.uint32)
+            uni = np.bincount(of[seen], weights=law.of_word(target[seen]), minlength=len(context))
+            out = {"context": [], "times": [], "uni": []}
+
+            def add(which: np.ndarray, names: np.ndarray | None) -> None:
+                out["context"].append(None if names is None else packed_sorted(names))
+                out["times"].append(packed(times[:, which].ravel()))
+                out["uni"].append(packed(uni[which]))
+
+            for k in sent:
+                mine = np.unique(k >> np.uint64(32))
+                add(np.searchsorted(context, mine[~among(mine, hot)]), None)
+            for which in (among(context, hot), ~among(context, hot)):
+                add(np.flatnonzero(which), context[which])
+            place = rows[0]["place"]
+            return pa.RecordBatch.from_pydict({
+                "kind": ["reply"] * len(rows) + ["hot", "context", "model"],
+                "place": pa.array([place] * (len(rows) + 3), pa.int32()),
+                "chunk": pa.array([*[r["chunk"] for r in rows], -1, -1, -1], pa.int64()),
+                "keys": pa.array([*[None] * (len(rows) + 2), packed_sorted(keys[seen])], pa.binary()),
+                "n": pa.array([*replies, None, None, packed(totals[seen].astype(np.uint64))], pa.binary()),
+                **{k: pa.array([*x, None], pa.binary()) for k, x in out.items()},
+            })
+
+        sent = _rows(self._numbered_chunks(), pairs, "place int, chunk long, keys binary, n binary, target binary")
+        self.bigrams = self._exchanged(sent, summed, "kind string, place int, chunk long, keys binary, n binary, context binary, times binary, uni binary", "bigrams")
+        self.d = discounts(self._counts_of_counts(self.bigrams.where("kind = 'model'"))[2])
+        sums = self._contexts("hot").groupBy("v").agg(*[F.sum(x).alias(x) for x in ("uni", *self._TIMES)]).collect()  # HOT_SHARE rows at most
+        self.of_hot = {r["v"]: (r["uni"], [r[x] for x in self._TIMES]) for r in sums}
+
+    _TIMES = tuple(f"n{r}" for r in range(1, GT_LIMIT + 1))
+
+    def _contexts(self, kind: str) -> DataFrame:
+        """Rows of contexts: the sum of their followers' unigram probabilities and how many were seen 1, 2, ... times."""
+
+        def rows(row: dict) -> dict:
+            times = unpacked(row["times"], np.uint32).astype(np.int64).reshape(GT_LIMIT, -1)
+            return {"v": pa.array(unpacked_sorted(row["context"]).astype(np.int64)), "uni": pa.array(unpacked(row["uni"], np.float64)), **{k: pa.array(x) for k, x in zip(self_times, times)}}
+
+        self_times = self._TIMES
+        return _rows(self.bigrams.where(F.col("kind") == kind).select("context", "times", "uni"), rows, "v long, uni double, " + ", ".join(f"{x} long" for x in self_times))
+
+    @functools.cached_property
+    def unigrams(self) -> AllWords:
+        """Every word's probability in the driver: for small models only; fitting and scoring don't use it."""
+        return AllWords(self.law, self.words.where("kind = 'model'").select("ids", "n"))
+
+    @functools.cached_property
+    def _gathered(self) -> tuple[np.ndarray, np.ndarray]:
+        c = self.unigrams.counts
+        backoff, scale = np.ones(len(c)), np.ones(len(c))
+        found = {r["v"]: (r["uni"], [r[x] for x in self._TIMES]) for r in self._contexts("context").collect()} | self.of_hot
+        for v, (uni, times) in found.items():
+            backoff[v], scale[v] = (x[0] for x in weights(c[[v]], np.array(times)[:, None], np.array([uni]), self.d))
+        return backoff, scale
+
+    # for small models only, by number of the context
+    context = property(lambda self: self.unigrams.counts)
+    backoff = property(lambda self: self._gathered[0])
+    scale = property(lambda self: self._gathered[1])
 
     def score(self) -> DataFrame:
         """One row per document of the chunks."""
-        spark = self.spark
-        shared = spark.sparkContext.broadcast((self.unigrams, self.d, self.context, self.backoff, self.scale))
+        law, d, hot, n, of_hot = self.law, self.d, self.hot, self.n, self.of_hot
 
         def run(row: dict) -> dict:
-            uni, d, context, backoff, scale = shared.value
             c = Chunk(row)
-            count = np.zeros(len(c.words), np.int64)
-            w = np.array(row["w"], np.int64).view(np.uint64)
-            count[np.searchsorted(c.words, w)] = np.array(row["c"], np.int64)
-            every, now = c.bigrams(uni.vocabulary)
-            keys = np.concatenate([unpacked_sorted(r["keys"]) for r in row["replies"]])
-            seen = np.concatenate([unpacked(r["n"], np.uint64) for r in row["replies"]]).astype(np.int64)
-            order = np.argsort(keys)
-            pair = seen[order][np.searchsorted(keys[order], every)]
-            before = (every >> np.uint64(32)).astype(np.int64)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                by_pair = discounted(pair, d) / context[before] * scale[before]
-            p = np.where(pair > 0, by_pair, backoff[before] * uni.classes[now])
-            within = np.where(c.classes(uni.vocabulary) > 0, 1.0, uni.of_word(count) / uni.classes[0] if uni.classes[0] > 0 else 1.0)
-            logs = np.log10(np.maximum(p, 1e-300)) + np.log10(within)[c.seq]
-            base = np.log10((count + 1) / (uni.total + uni.distinct + 1))[c.seq]
+            ids, counts = c.numbered(row.pop("w"))
+            p = Pairs(c, ids, hot, n)
+            count, before = counts.astype(np.int64), c.before()
+            replies = sorted(row.pop("replies") or [], key=lambda r: r["place"])
+            uni, times = np.zeros(len(ids)), np.zeros((GT_LIMIT, len(ids)), np.int64)
+            if replies:
+                uni[p.cold] = np.concatenate([unpacked(r["uni"], np.float64) for r in replies])
+                times[:, p.cold] = np.concatenate([unpacked(r["times"], np.uint32).reshape(GT_LIMIT, -1) for r in replies], axis=1)
+            for v in p.hot:
+                uni[v], times[:, v] = of_hot[int(ids[v])]
+            known = np.concatenate([p.cold, p.hot])
+            backoff, scale = np.ones(len(ids)), np.ones(len(ids))
+            backoff[known], scale[known] = weights(count[known], times[:, known], uni[known], d)
+            pairs = np.concatenate([np.zeros(0, np.uint64), *[unpacked(r["n"], np.uint64) for r in replies]]).astype(np.int64)
+            pair = np.zeros(len(c.seq), np.int64)
+            pair[p.known] = pairs[p.at]
+            del replies, p, pairs, times
+            of_word = law.of_word(count)
+            logs = np.empty(len(c.seq))
+            for a in range(0, len(logs), _SLICE):
+                v, w, seen = before[a : a + _SLICE], c.seq[a : a + _SLICE], pair[a : a + _SLICE]
+                by_pair = discounted(seen, d) / np.maximum(count, 1)[v] * scale[v]
+                logs[a : a + _SLICE] = np.log10(np.maximum(np.where(seen > 0, by_pair, backoff[v] * of_word[w]), 1e-300))
+            del before, pair
+            base = np.log10((count + 1) / (law.total + law.distinct + 1))[c.seq]
             per = lambda x: np.add.reduceat(x, c.firsts)  # noqa: E731  every document has an end token at least
             return {
                 "doc_id": pa.array(c.doc_ids, pa.int64()),
                 "held_out": pa.array(c.held),
                 "n_tokens": pa.array(c.lengths),
                 "n_known": pa.array(per((count > 0).astype(np.int64)[c.seq])),
-                "train_tokens": pa.array(np.full(len(c.lengths), uni.total, np.int64)),
+                "train_tokens": pa.array(np.full(len(c.lengths), law.total, np.int64)),
                 "base_score": pa.array(per(base)),
                 "score": pa.array(per(logs)),
             }
 
-        replies = self.bigrams.where("kind = 'reply'").groupBy("chunk").agg(F.collect_list(F.struct("keys", "n")).alias("replies"))
-        rows = self.chunks.join(self.word_counts.select("chunk", "w", "c"), "chunk").join(replies, "chunk")
+        replies = self.bigrams.where("kind = 'reply'").groupBy("chunk").agg(F.collect_list(F.struct("place", "n", "times", "uni")).alias("replies"))
+        # a chunk without a known context has no replies
+        rows = self._numbered_chunks().join(replies, "chunk", "left")
         return _rows(rows, run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -223,3 +224,43 @@ def test_toxicity_learns(spark):
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
     out = toxicity.score_documents(docs, labels).collect()
     assert len(out) == 401 and all(x.predicted == int(x.doc_id % 4 == 0) for x in out if x.doc_id is not None)
+
+
+def brute_katz(rows):
+    """Scores of all rows by Katz bigrams over every word of the training rows."""
+    docs = [(i, [*re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")), None]) for i, t in rows]
+    train = [w for i, w in docs if not katz.held_out(i)]
+    words, after = Counter(w for d in train for w in d), {}
+    for d in train:
+        for v, w in zip([None, *d], d):
+            after.setdefault(v, Counter())[w] += 1
+    law = katz.Unigrams(sum(words.values()), len(words), Counter(words.values()))
+    d = katz.discounts(Counter(n for x in after.values() for n in x.values()))
+    cut = lambda n: n * (d[n] if n <= katz.GT_LIMIT else 1.0)
+    one = lambda w: float(law.of_word(np.array([words[w]]))[0])
+    weights = {}
+    for v, x in after.items():
+        kept = sum(map(cut, x.values()))
+        mass = max(1 - kept / words[v], 1 / (words[v] + 1))
+        weights[v] = mass / (1 - sum(map(one, x))), (1 - mass) / kept
+    out = []
+    for i, t in docs:
+        p = [cut(after[v][w]) * weights[v][1] if v in after and after[v][w] else weights.get(v, (1.0,))[0] * one(w) for v, w in zip([None, *t], t)]
+        out.append((str(i), len(t), float(np.log10(p).sum())))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("hot", [4, 1 << 40])
+def test_katz_knows_rare_words(spark, monkeypatch, hot):
+    """A word far below 1 of 2**17 tokens has bigrams of its own."""
+    monkeypatch.setattr(katz, "HOT_SHARE", hot)
+    monkeypatch.setattr(katz, "CHUNK_TOKENS", 40_000)
+    r = random.Random(7)
+    rare = [f"r{i}" for i in range(150)]
+    rows = [(i, " ".join(["the of"] * 20_000)) for i in range(10)]
+    rows += [(i, " ".join(r.choice(rare) if r.random() < 0.7 else "the" for _ in range(12)) + (" new words" if i % 3 == 0 else "")) for i in range(10, 60)]
+    rows.append((None, None))
+    out = katz.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got, want = sorted((str(x.doc_id), x.n_tokens, x.score) for x in out), brute_katz(rows)
+    assert [x[:2] for x in got] == [x[:2] for x in want] and any(x.held_out for x in out)
+    assert np.allclose([x[2] for x in got], [x[2] for x in want], rtol=1e-9)
