@@ -8,6 +8,10 @@ bytes), front-coded, and exchanged by ranges of their first 16 bytes; runs are m
 compares strings only beyond prefixes it knows. The merged order's common prefix lengths tell which suffixes
 agree on how many bytes to the right; the same is found for the bytes to the left. Two anchors
 that agree on both sides of a window's offset hold the same window, and all but the earliest lose it.
+
+A string at more than HOT_COPIES anchors isn't sorted: its place would hold them all. The windows around its
+anchors are dealt by 128-bit hashes of their 100 bytes instead, each once from a chunk, so a place gets a
+window at most once a chunk.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ CHUNK_BYTES = 12 << 20
 _SLICE = 1 << 20
 #: Prefixes that the splitters are taken from, over all chunks.
 SAMPLE = 20_000
+#: A string at more anchors than this is found by its windows' hashes.
+HOT_COPIES = 10_000
 
 CHUNK = "chunk long, doc_ids binary, has_id binary, lengths binary, data binary"
 
@@ -124,6 +130,45 @@ def contexts(c: Chunk, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return rows, left, right, doc
 
 
+def window_starts(c: Chunk, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the windows around these anchors start, in order and each once, and their documents."""
+    doc = np.searchsorted(c.ends, at, "right")
+    first = np.maximum(at - REACH, c.ends[doc] - c.lengths[doc])
+    last = np.minimum(at, c.ends[doc] - MATCH)
+    steps = np.zeros(len(c.data) + 1, np.int32)
+    fit = first <= last
+    np.add.at(steps, first[fit], 1)
+    np.add.at(steps, last[fit] + 1, -1)
+    starts = np.flatnonzero(np.cumsum(steps))
+    return starts, np.searchsorted(c.ends, starts, "right")
+
+
+def window_hashes(data: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the windows that start there."""
+    words = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), 8) if len(starts) else None
+    out = np.empty((2, len(starts)), np.uint64)
+    for s in range(0, len(starts), _SLICE):
+        part = starts[s : s + _SLICE]
+        h, g = np.full(len(part), 0x243F6A8885A308D3, np.uint64), np.full(len(part), 0x13198A2E03707344, np.uint64)
+        for i in [*range(0, MATCH - 7, 8), MATCH - 8]:
+            w = words[part + i].view("<u8").ravel()
+            h = (h ^ w) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(32)
+            g = (g + w) * np.uint64(0xBF58476D1CE4E5B9)
+            g ^= g >> np.uint64(29)
+        out[:, s : s + _SLICE] = h, g
+    return out[0], out[1]
+
+
+def _joined_spans(chunk, doc: np.ndarray, start: np.ndarray) -> dict:
+    """Windows that start there, neighbours as one span."""
+    by = np.lexsort((start, doc))
+    doc, start = doc[by], start[by]
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)])
+    end = np.concatenate([new[1:], [True]])
+    return _spans(chunk, doc[new], start[new], start[end] + MATCH)
+
+
 def front_coded(rows: np.ndarray) -> tuple[np.ndarray, bytes]:
     """Common prefix length of each sorted row with the row before, and the bytes that differ from it on."""
     lcp = _neighbour_lcp(rows)
@@ -265,8 +310,8 @@ class SuffixDedup:
         self.chunks = written(id_and_text(docs).mapInArrow(_chunks, CHUNK), "suffix-chunks")
 
     def shared_grams(self) -> DataFrame:
-        """chunk, and the hashes of its anchors' strings that occur at another anchor too."""
-        n = self.n
+        """chunk, and the hashes of its anchors' strings that occur at another anchor too; hot: at very many."""
+        n, limit = self.n, HOT_COPIES
 
         def hashes(row: dict) -> dict:
             keys, counts = np.unique(Chunk(row).anchors()[1], return_counts=True)
@@ -276,7 +321,7 @@ class SuffixDedup:
                 "place": pa.array([p for p, _ in parts], pa.int32()),
                 "chunk": pa.array([row["chunk"]] * len(parts), pa.int64()),
                 "keys": pa.array([packed_sorted(keys[m]) for _, m in parts], pa.binary()),
-                "twice": pa.array([packed((counts[m] > 1).astype(np.uint8)) for _, m in parts], pa.binary()),
+                "copies": pa.array([packed(counts[m].astype(np.uint32)) for _, m in parts], pa.binary()),
             }
 
         def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,15 +329,15 @@ class SuffixDedup:
             if not rows:
                 return
             keys = [unpacked_sorted(r["keys"]) for r in rows]
-            every, at, counts = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-            twice = np.concatenate([unpacked(r["twice"], np.uint8) for r in rows]) > 0
-            shared = (counts > 1)[at] | twice
-            back = [k[s] for k, s in zip(keys, np.split(shared, np.cumsum([len(k) for k in keys])[:-1]))]
-            yield pa.RecordBatch.from_arrays([pa.array([r["chunk"] for r in rows], pa.int64()), pa.array([packed_sorted(k) for k in back], pa.binary())], names=["chunk", "keys"])
+            _, at = np.unique(np.concatenate(keys), return_inverse=True)
+            copies = np.bincount(at, weights=np.concatenate([unpacked(r["copies"], np.uint32) for r in rows]))[at]
+            each = [(k, c) for k, c in zip(keys, np.split(copies, np.cumsum([len(k) for k in keys])[:-1]))]
+            back = [[packed_sorted(k[m(c)]) for k, c in each] for m in (lambda c: (c > 1) & (c <= limit), lambda c: c > limit)]
+            yield pa.RecordBatch.from_arrays([pa.array([r["chunk"] for r in rows], pa.int64()), *[pa.array(x, pa.binary()) for x in back]], names=["chunk", "keys", "hot"])
 
-        sent = _rows(self.chunks, hashes, "place int, chunk long, keys binary, twice binary")
-        got = sent.repartitionById(n, F.col("place")).mapInArrow(known, "chunk long, keys binary")
-        return written(got.groupBy("chunk").agg(F.collect_list("keys").alias("keys")), "suffix-grams")
+        sent = _rows(self.chunks, hashes, "place int, chunk long, keys binary, copies binary")
+        got = sent.repartitionById(n, F.col("place")).mapInArrow(known, "chunk long, keys binary, hot binary")
+        return written(got.groupBy("chunk").agg(F.collect_list("keys").alias("keys"), F.collect_list("hot").alias("hot")), "suffix-grams")
 
     def runs(self, grams: DataFrame) -> DataFrame:
         """Front-coded sorted runs by place, and the spans of anchors whose whole surroundings repeat within a chunk."""
@@ -309,13 +354,34 @@ class SuffixDedup:
         n = self.n
         splitters = np.array(sorted({grams16[len(grams16) * i // n] for i in range(1, n)}) if grams16 else [], f"S{GRAM}")
 
+        def windows(chunk: int, c: Chunk, hot: np.ndarray, rid: np.ndarray, out: list[dict]) -> None:
+            """The windows around hot anchors: the earliest of equal ones to their places, the others are gone."""
+            start, doc = window_starts(c, hot)
+            if not len(start):
+                return
+            h, g = window_hashes(c.data, start)
+            start -= (c.ends - c.lengths)[doc]
+            by = np.lexsort((start, doc, rid[doc], g, h))
+            h, g, start, doc = (x[by] for x in (h, g, start, doc))
+            first = np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
+            if not first.all():
+                out.append(_joined_spans(chunk, doc[~first], start[~first]))
+            h, g, start, doc = (x[first] for x in (h, g, start, doc))
+            place = (h >> np.uint64(40)) % np.uint64(n)
+            for p in np.unique(place).tolist():
+                m = place == p
+                out.append({"kind": "window", "place": int(p), "chunk": chunk, "a": packed_sorted(h[m]), "b": packed(g[m]), "c": packed(rid[doc[m]]), "d": packed(doc[m].astype(np.uint32)), "e": packed(start[m].astype(np.uint32)), "f": b""})
+
         def make(row: dict) -> dict:
             c = Chunk(row)
             at, h = c.anchors()
+            hot = at[np.isin(h, np.concatenate([unpacked_sorted(k) for k in row["hot"]]))]
             at = at[np.isin(h, np.concatenate([unpacked_sorted(k) for k in row["keys"]]))]
             out: list[dict] = []
             kept: list[tuple[np.ndarray, ...]] = []
             rid = np.array([NULL_ID if i is None else i for i in c.doc_ids], np.int64)
+            if len(hot):
+                windows(row["chunk"], c, hot, rid, out)
 
             def collapse(rows, left, right, doc, where):
                 """One anchor for each surroundings, the earliest; the others' windows all repeat it."""
@@ -387,9 +453,34 @@ class SuffixDedup:
 
         return runs.where("kind = 'run'").repartitionById(self.n, F.col("place")).mapInArrow(merge, ROW)
 
+    def repeated_windows(self, runs: DataFrame) -> DataFrame:
+        """Spans of the windows around hot anchors that an earlier chunk or document has too."""
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = [r for b in batches for r in b.to_pylist()]
+            if not rows:
+                return
+            keys = [unpacked_sorted(r["a"]) for r in rows]
+            of = np.repeat(np.arange(len(rows)), [len(k) for k in keys])
+            h, g = np.concatenate(keys), np.concatenate([unpacked(r["b"], np.uint64) for r in rows])
+            rid = np.concatenate([unpacked(r["c"], np.int64) for r in rows])
+            chunk = np.array([r["chunk"] for r in rows], np.int64)
+            by = np.lexsort((chunk[of], rid, g, h))
+            again = by[1:][(h[by[1:]] == h[by[:-1]]) & (g[by[1:]] == g[by[:-1]])]
+            gone = np.zeros(len(of), bool)
+            gone[again] = True
+            out = []
+            for r, m in zip(rows, np.split(gone, np.cumsum([len(k) for k in keys])[:-1])):
+                if m.any():
+                    out.append(_joined_spans(r["chunk"], unpacked(r["d"], np.uint32)[m].astype(np.int64), unpacked(r["e"], np.uint32)[m].astype(np.int64)))
+            if out:
+                yield pa.RecordBatch.from_pydict(_table(out))
+
+        return runs.where("kind = 'window'").repartitionById(self.n, F.col("place")).mapInArrow(compare, ROW)
+
     def result(self) -> DataFrame:
         runs = self.runs(self.shared_grams())
-        spans = runs.where("kind = 'gone'").unionByName(self.merged(runs)).groupBy("chunk").agg(F.collect_list(F.struct("a", "b", "c")).alias("gone"))
+        spans = runs.where("kind = 'gone'").unionByName(self.merged(runs)).unionByName(self.repeated_windows(runs)).groupBy("chunk").agg(F.collect_list(F.struct("a", "b", "c")).alias("gone"))
 
         def cut(row: dict) -> dict:
             c = Chunk(row)

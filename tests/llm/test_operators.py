@@ -264,3 +264,31 @@ def test_katz_knows_rare_words(spark, monkeypatch, hot):
     got, want = sorted((str(x.doc_id), x.n_tokens, x.score) for x in out), brute_katz(rows)
     assert [x[:2] for x in got] == [x[:2] for x in want] and any(x.held_out for x in out)
     assert np.allclose([x[2] for x in got], [x[2] for x in want], rtol=1e-9)
+
+
+def test_suffix_dedup_deals_hot_strings_by_windows(spark, monkeypatch):
+    """A passage in all documents between different surroundings: no string brings more than HOT_COPIES rows to its place."""
+    monkeypatch.setattr(suffix_dedup, "HOT_COPIES", 5, raising=False)
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 5_000)
+    r = random.Random(8)
+    some = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage, pair = some(300), some(200)
+    rows = [(i, some(r.randint(0, 200)) + passage + some(r.randint(0, 200))) for i in range(40)]
+    rows += [(50, pair), (51, "x" + pair), (52, passage * 2), (None, passage[:150]), (40, rows[3][1]), (40, rows[3][1])]
+    job = suffix_dedup.SuffixDedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    times = Counter()
+    for run in job.runs(job.shared_grams()).where("kind = 'run'").collect():
+        for t in suffix_dedup._decoded(suffix_dedup.unpacked(run.a, np.uint8).astype(np.int64), zlib.decompress(run.b), suffix_dedup.MATCH):
+            times[t[:16]] += 1
+    assert times and max(times.values()) <= 5
+    seen, want = set(), []
+    for i, t in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0)):
+        b = t.encode()
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - 99):
+            if b[p : p + 100] in seen:
+                gone[p : p + 100] = True
+            seen.add(b[p : p + 100])
+        want.append((str(i), int(gone.sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
+    got = suffix_dedup.SuffixDedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).result().collect()
+    assert sorted(want) == sorted((str(x.doc_id), x.n_removed, x.kept_sha256) for x in got)
