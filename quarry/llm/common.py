@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,9 +32,11 @@ def row_key(col: str = "doc_id") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset in local mode (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -42,14 +46,35 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back, so that a lost executor costs no recomputation."""
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """A write in here drops its shuffle files when it is done: what it wrote is all that later steps read."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write df to the shared folder (in one folder for each value of column by) and read it back, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    with shuffles_dropped(spark):
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that written() wrote and nothing reads any more."""
+    for t in tables:
+        for folder in {f.rpartition("/")[0].partition("/kind=")[0] for f in t.inputFiles()}:
+            p = t.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -1,16 +1,16 @@
 """Removal of repeated passages by a common-prefix-aware distributed merge sort of suffixes.
 
-Only suffixes at anchors are sorted. An anchor is a position whose 16-byte string has the least hash among
-the 85 such strings of some 100-byte window; equal windows have the same anchors at the same offsets, so
-every repeat of 100 bytes shows at an anchor whose 16-byte string occurs elsewhere too. Anchors whose
-string occurs once are dropped first. The rest are sorted within their chunk by what follows them (100
-bytes), front-coded, and exchanged by ranges of their first 16 bytes; runs are merged by a loser tree that
+Only suffixes at anchors are sorted. The anchor of a 100-byte window is the position in it whose 16-byte string
+has the least hash among the window's 85; equal windows have their anchors at the same offset, so every
+repeat of 100 bytes shows at an anchor whose 16-byte string is another anchor's too. Anchors whose
+string occurs once are dropped first. The rest are sorted within their chunk by what follows them (up to 100
+bytes, as far as their own windows reach), front-coded, and exchanged by ranges of their first 16 bytes; runs are merged by a loser tree that
 compares strings only beyond prefixes it knows. The merged order's common prefix lengths tell which suffixes
 agree on how many bytes to the right; the same is found for the bytes to the left. Two anchors
 that agree on both sides of a window's offset hold the same window, and all but the earliest lose it.
 
-A string at more than HOT_COPIES anchors isn't sorted: its place would hold them all. The windows around its
-anchors are dealt by 128-bit hashes of their 100 bytes instead, each once from a chunk, so a place gets a
+A string at more than HOT_COPIES anchors isn't sorted: its place would hold them all. Its anchors' windows
+are dealt by 128-bit hashes of their 100 bytes instead, each once from a chunk, so a place gets a
 window at most once a chunk.
 """
 
@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import NULL_ID, fresh_path, id_and_text, shuffle_partitions, written
+from quarry.llm.common import NULL_ID, id_and_text, shuffle_partitions, written
 from quarry.llm.katz import _rows, packed, packed_sorted, unpacked, unpacked_sorted
 from quarry.llm.phrases import _powers
 
@@ -34,8 +34,9 @@ MATCH, GRAM = 100, 16
 REACH = MATCH - GRAM  # bytes of a window that can stand left of its anchor
 CHUNK_BYTES = 12 << 20
 _SLICE = 1 << 20
-#: Prefixes that the splitters are taken from, over all chunks.
-SAMPLE = 20_000
+_PLACE = np.uint64((1 << 21) - 1)  # room for a place in a slice
+#: Chunks that the splitters are taken from, and prefixes of each; they decide how evenly places are filled, not what is found.
+SAMPLE_CHUNKS, SAMPLE = 16, 2_000
 #: A string at more anchors than this is found by its windows' hashes.
 HOT_COPIES = 10_000
 
@@ -72,30 +73,29 @@ class Chunk:
         self.ends = np.cumsum(self.lengths)
         self.data = zlib.decompress(row["data"])
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in the chunk's bytes, and the hashes of the 16 bytes there."""
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Anchors by position: where, the hash of the 16 bytes there, and the first and last start of their windows.
+
+        Each window within a document belongs to one anchor, the least of its strings (the leftmost of equals).
+        """
         a = np.frombuffer(self.data, np.uint8)
-        at, hashes = [], []
-        margin = 2 * MATCH
+        out: list[tuple[np.ndarray, ...]] = []
         for s in range(0, len(a), _SLICE):
-            lo, hi = max(0, s - margin), min(len(a), s + _SLICE + margin)
-            if hi - lo < MATCH:
+            h = _gram_hashes(a[s : s + _SLICE + MATCH - 1])
+            n = min(_SLICE, len(a) - MATCH + 1 - s)
+            if n <= 0:
+                break
+            # the low bits hold the place, so that the least value tells where it stands
+            least = _slide((h & ~_PLACE) | np.arange(len(h), dtype=np.uint64), REACH + 1, np.minimum)[:n]
+            start = np.arange(s, s + n)
+            start = start[self.ends[np.searchsorted(self.ends, start, "right")] - start >= MATCH]
+            if not len(start):
                 continue
-            h = _gram_hashes(a[lo:hi])
-            # a string over a document's end is none
-            for end in self.ends[np.searchsorted(self.ends, lo, "right") : np.searchsorted(self.ends, hi)]:
-                h[max(0, end - lo - GRAM + 1) : max(0, end - lo)] = np.uint64(2**64 - 1)
-            low = _slide(h, REACH + 1, np.minimum)
-            top = _slide(np.concatenate([np.zeros(REACH, np.uint64), low, np.zeros(REACH, np.uint64)]), REACH + 1, np.maximum)
-            chosen = np.flatnonzero((top == h) & (h != np.uint64(2**64 - 1)))
-            chosen = chosen[(chosen + lo >= s) & (chosen + lo < s + _SLICE)]
-            at.append(chosen + lo)
-            hashes.append(h[chosen])
-        at = np.concatenate(at) if at else np.empty(0, np.int64)
-        hashes = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        doc = np.searchsorted(self.ends, at, "right")
-        enough = self.lengths[doc] >= MATCH if len(at) else np.empty(0, bool)
-        return at[enough], hashes[enough]
+            at = (least[start - s] & _PLACE).astype(np.int64)
+            new = np.concatenate([[True], at[1:] != at[:-1]])
+            out.append((at[new] + s, h[at[new]], start[new], start[np.concatenate([new[1:], [True]])]))
+        kinds = (np.int64, np.uint64, np.int64, np.int64)
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else tuple(np.empty(0, k) for k in kinds)
 
 
 def _gram_hashes(a: np.ndarray) -> np.ndarray:
@@ -118,29 +118,20 @@ def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(x[: len(x) - (width - have)], x[width - have :]) if width > have else x
 
 
-def contexts(c: Chunk, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each anchor: the 84 bytes before and the 100 from it on (zeros outside its document), their lengths, its document."""
+def contexts(c: Chunk, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each anchor: the 84 bytes before and the 100 from it on (zeros outside its windows), their lengths, its document."""
     a = np.frombuffer(b"\0" * REACH + c.data + b"\0" * MATCH, np.uint8)
-    doc = np.searchsorted(c.ends, at, "right")
-    left = np.minimum(REACH, at - (c.ends[doc] - c.lengths[doc]))
-    right = np.minimum(MATCH, c.ends[doc] - at)
+    left, right = at - first, last + MATCH - at
     rows = np.lib.stride_tricks.sliding_window_view(a, REACH + MATCH)[at].copy()
     col = np.arange(REACH + MATCH)
     rows[(col < REACH - left[:, None]) | (col >= REACH + right[:, None])] = 0
-    return rows, left, right, doc
+    return rows, left, right, np.searchsorted(c.ends, at, "right")
 
 
-def window_starts(c: Chunk, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the windows around these anchors start, in order and each once, and their documents."""
-    doc = np.searchsorted(c.ends, at, "right")
-    first = np.maximum(at - REACH, c.ends[doc] - c.lengths[doc])
-    last = np.minimum(at, c.ends[doc] - MATCH)
-    steps = np.zeros(len(c.data) + 1, np.int32)
-    fit = first <= last
-    np.add.at(steps, first[fit], 1)
-    np.add.at(steps, last[fit] + 1, -1)
-    starts = np.flatnonzero(np.cumsum(steps))
-    return starts, np.searchsorted(c.ends, starts, "right")
+def window_starts(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """All starts from each first to its last."""
+    n = last - first + 1
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 def window_hashes(data: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -301,13 +292,13 @@ def _table(rows: list[dict]) -> dict:
 
 
 class SuffixDedup:
-    """The steps of the removal; tables are written under path."""
+    """The steps of the removal, each over written tables."""
 
-    def __init__(self, docs: DataFrame, path: str | None = None):
+    def __init__(self, docs: DataFrame):
         self.spark = docs.sparkSession
-        self.path = path or fresh_path(self.spark, "suffix-dedup")
-        self.n = shuffle_partitions(self.spark)
         self.chunks = written(id_and_text(docs).mapInArrow(_chunks, CHUNK), "suffix-chunks")
+        # a place holds no more than about a chunk does, however large the input
+        self.n = max(shuffle_partitions(self.spark), self.chunks.count())
 
     def shared_grams(self) -> DataFrame:
         """chunk, and the hashes of its anchors' strings that occur at another anchor too; hot: at very many."""
@@ -316,7 +307,7 @@ class SuffixDedup:
         def hashes(row: dict) -> dict:
             keys, counts = np.unique(Chunk(row).anchors()[1], return_counts=True)
             place = (keys >> np.uint64(40)) % np.uint64(n)
-            parts = [(p, m) for p in range(n) if (m := place == p).any()]
+            parts = [(p, place == p) for p in np.unique(place).tolist()]
             return {
                 "place": pa.array([p for p, _ in parts], pa.int32()),
                 "chunk": pa.array([row["chunk"]] * len(parts), pa.int64()),
@@ -342,26 +333,26 @@ class SuffixDedup:
     def runs(self, grams: DataFrame) -> DataFrame:
         """Front-coded sorted runs by place, and the spans of anchors whose whole surroundings repeat within a chunk."""
         joined = self.chunks.join(grams, "chunk")
-        per_chunk = max(1, SAMPLE // max(1, self.chunks.count()))
 
         def sample(row: dict) -> dict:
             c = Chunk(row)
             at = c.anchors()[0]
-            at = at[:: max(1, -(-len(at) // per_chunk))]
+            at = at[:: max(1, -(-len(at) // SAMPLE))]
             return {"gram": pa.array([c.data[i : i + GRAM] for i in at.tolist()], pa.binary())}
 
-        grams16 = sorted(bytes(r["gram"]).ljust(GRAM, b"\0") for r in _rows(self.chunks, sample, "gram binary").collect())  # at most SAMPLE, or one a chunk
+        some = self.chunks.orderBy(F.xxhash64("chunk")).limit(SAMPLE_CHUNKS)
+        grams16 = sorted(bytes(r["gram"]).ljust(GRAM, b"\0") for r in _rows(some, sample, "gram binary").collect())  # SAMPLE_CHUNKS * SAMPLE at most
         n = self.n
         splitters = np.array(sorted({grams16[len(grams16) * i // n] for i in range(1, n)}) if grams16 else [], f"S{GRAM}")
 
-        def windows(chunk: int, c: Chunk, hot: np.ndarray, rid: np.ndarray, out: list[dict]) -> None:
-            """The windows around hot anchors: the earliest of equal ones to their places, the others are gone."""
-            start, doc = window_starts(c, hot)
-            if not len(start):
-                return
+        def windows(chunk: int, c: Chunk, start: np.ndarray, rid: np.ndarray, out: list[dict]) -> None:
+            """The windows of hot anchors: the earliest of equal ones to their places, the others are gone."""
+            doc = np.searchsorted(c.ends, start, "right")
+            by = np.lexsort((start, doc, rid[doc]))
+            start, doc = start[by], doc[by]
             h, g = window_hashes(c.data, start)
-            start -= (c.ends - c.lengths)[doc]
-            by = np.lexsort((start, doc, rid[doc], g, h))
+            start = start - (c.ends - c.lengths)[doc]
+            by = np.lexsort((g, h))  # stable: equal windows stay in order
             h, g, start, doc = (x[by] for x in (h, g, start, doc))
             first = np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
             if not first.all():
@@ -374,14 +365,16 @@ class SuffixDedup:
 
         def make(row: dict) -> dict:
             c = Chunk(row)
-            at, h = c.anchors()
-            hot = at[np.isin(h, np.concatenate([unpacked_sorted(k) for k in row["hot"]]))]
-            at = at[np.isin(h, np.concatenate([unpacked_sorted(k) for k in row["keys"]]))]
+            at, h, first, last = c.anchors()
+            hot = np.isin(h, np.concatenate([unpacked_sorted(k) for k in row["hot"]]))
+            shared = np.isin(h, np.concatenate([unpacked_sorted(k) for k in row["keys"]]))
             out: list[dict] = []
             kept: list[tuple[np.ndarray, ...]] = []
             rid = np.array([NULL_ID if i is None else i for i in c.doc_ids], np.int64)
-            if len(hot):
-                windows(row["chunk"], c, hot, rid, out)
+            if hot.any():
+                windows(row["chunk"], c, window_starts(first[hot], last[hot]), rid, out)
+            at, first, last = at[shared], first[shared], last[shared]
+            del h, hot, shared
 
             def collapse(rows, left, right, doc, where):
                 """One anchor for each surroundings, the earliest; the others' windows all repeat it."""
@@ -392,7 +385,6 @@ class SuffixDedup:
                 key = key[by]
                 first = np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]) if len(key) else np.empty(0, bool)
                 again = by[~first]
-                again = again[left[again] + right[again] >= MATCH]
                 if len(again):
                     begins = c.ends[doc[again]] - c.lengths[doc[again]]
                     out.append(_spans(row["chunk"], doc[again], where[again] - left[again] - begins, where[again] + right[again] - begins))
@@ -400,10 +392,8 @@ class SuffixDedup:
                 return tuple(x[mine] for x in (rows, left, right, doc, where))
 
             for s in range(0, len(at), 100_000):
-                part = at[s : s + 100_000]
-                rows, left, right, doc = contexts(c, part)
-                fit = left + right >= MATCH
-                kept.append(collapse(*(x[fit] for x in (rows, left, right, doc, part))))
+                part = slice(s, s + 100_000)
+                kept.append(collapse(*contexts(c, at[part], first[part], last[part]), at[part]))
             if kept:
                 rows, left, right, doc, where = collapse(*(np.concatenate(x) for x in zip(*kept)))
                 suffix = np.ascontiguousarray(rows[:, REACH:])
@@ -418,8 +408,7 @@ class SuffixDedup:
                     out.append({"kind": "run", "place": p, "chunk": row["chunk"], "a": packed(lcp.astype(np.uint8)), "b": zlib.compress(tails, 1), "c": zlib.compress(rows[m][:, :REACH].tobytes(), 1), "d": packed(sides.ravel()), "e": packed(np.stack([rid[doc[m]], doc[m].astype(np.int64)]).ravel()), "f": packed((where - begins)[m].astype(np.int64))})
             return _table(out)
 
-        _rows(joined, make, ROW).write.partitionBy("kind").parquet(f"{self.path}/runs")
-        return self.spark.read.schema(ROW).parquet(f"{self.path}/runs")
+        return written(_rows(joined, make, ROW), "suffix-runs", by="kind")
 
     def merged(self, runs: DataFrame) -> DataFrame:
         """Spans (chunk, documents, starts, ends) that the merge of all runs of a place shows to repeat."""
