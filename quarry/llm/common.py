@@ -58,21 +58,19 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, by: str | None = None, path: str | None = None) -> DataFrame:
     """Write df to the shared folder (in one folder for each value of column by) and read it back, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = fresh_path(spark, name)
+    path = path or fresh_path(spark, name)
     with shuffles_dropped(spark):
         (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(*tables: DataFrame) -> None:
-    """Delete tables that written() wrote and nothing reads any more."""
-    for t in tables:
-        for folder in {f.rpartition("/")[0].partition("/kind=")[0] for f in t.inputFiles()}:
-            p = t.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-            p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

@@ -1,41 +1,49 @@
-"""Katz backoff language model: Good-Turing discounted counts, exactly normalised backoff weights.
+"""Katz backoff language model of order 3: Good-Turing discounted counts, exactly normalised backoff weights.
 
 Words are 64-bit hashes. Every word of the training documents is a context and a target, whatever the
-corpus; one unknown word has the unseen mass. Unigram and bigram counts cover all training documents and
-are stored in partitioned tables; nothing that grows with the vocabulary is gathered or broadcast.
+corpus; one unknown word has the unseen mass. Counts of one, two and three words cover all training documents
+and are stored in tables, a row a place and a folder a kind; nothing that grows with the corpus is
+gathered or broadcast. The discounts of each order are Simple Good-Turing's: a line through the logarithms
+of the counts of counts gives Katz's factors, which so exist for any corpus.
 
 The corpus is worked on in chunks of a few million tokens. A chunk's row holds its documents as numbers
-into its own sorted word list, so each distinct word or bigram of a chunk is sent once to the place that
-sums it, and the sum is sent back once. A word's place numbers it, and a bigram is the pair of those numbers.
-Bigrams go to their context's place, which so knows all that follows it and sends back what its backoff
-weight needs; those of the few contexts with a large share of the tokens are dealt by the pair. Scoring
-evaluates a token by its bigram where that was seen, else by its context's backoff weight times the
-unigram model.
+into its own sorted word list, so each distinct n-gram of a chunk is sent once to the place that
+sums it, and the sum is sent back once, with the n-gram's number: an n-gram is the pair of its context's
+number and its last word's. N-grams go to the place that numbered their context, which so knows all that
+follows it and sends back what its backoff weight needs; those of the few contexts with a large share of the
+tokens are dealt by the pair. Scoring evaluates a token by its trigram where that was seen, else by its
+context's backoff weight times the bigram model of the shorter context, and that likewise by single words.
 """
 
 from __future__ import annotations
 
-import functools
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import fresh_path, id_and_text, shuffle_partitions, written
+from quarry.llm.common import delete, fresh_path, id_and_text, shuffle_partitions, written
 from quarry.llm.phrases import _powers
 from quarry.llm.simhash import LOWER
 
 HOLD_OUT, HELD = 7, 2
-CHUNK_TOKENS = 2_500_000
+CHUNK_TOKENS = 2_000_000
 #: Counts up to this are discounted.
 GT_LIMIT = 5
+#: Counts of counts up to this one make the line of Simple Good-Turing.
+FIT_LIMIT = 1000
+#: Its slope must be under -1 (then all factors are in (0, 1)); tiny corpora whose slope isn't have this one.
+LEAST_SLOPE = -1.05
 #: A context with this part of the tokens or more (so no more contexts than this) has its bigrams dealt to all places.
 HOT_SHARE = 1024
+#: Slots of a place from this one on stand for hot contexts.
+HOT_SLOT = 1 << 31
 #: The end token's hash; words hash to other values but for one in 2**64.
 END = np.uint64(7)
 _SLICE = 1 << 20
@@ -50,12 +58,12 @@ def held_out(doc_id: int | None) -> bool:
 
 def packed(values: np.ndarray) -> bytes:
     """Little-endian integers as compressed byte planes."""
-    return zlib.compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.dtype.itemsize).T.tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.dtype.itemsize).T.tobytes(), 3)
 
 
 def unpacked(data: bytes, dtype) -> np.ndarray:
     size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(size, -1).T).view(dtype).ravel()
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(size, -1).T).view(dtype).ravel()
 
 
 def packed_sorted(keys: np.ndarray) -> bytes:
@@ -89,26 +97,32 @@ def word_hashes(text: str) -> np.ndarray:
     return np.concatenate([*out, [END]]) if out else np.array([END])
 
 
-CHUNK = "chunk long, doc_ids binary, has_id binary, lengths binary, words binary, seq binary"
+CHUNK = "kind string, chunk long, doc_ids binary, has_id binary, lengths binary, seq binary, words binary, n binary"
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each chunk a row of its documents (kind seq) and one of its words with their training counts (kind words)."""
     ids: list[int | None] = []
     docs: list[np.ndarray] = []
     tokens = made = 0
     part = TaskContext.get().partitionId()
 
-    def row() -> pa.RecordBatch:
+    def rows() -> pa.RecordBatch:
         words, seq = np.unique(np.concatenate(docs), return_inverse=True)
-        cols = [
-            [(part << 32) + made],
-            [packed(np.array([0 if i is None else i for i in ids], np.int64))],
-            [packed(np.array([i is not None for i in ids], np.uint8))],
-            [packed(np.array([len(d) for d in docs], np.int64))],
-            [packed_sorted(words)],
-            [packed(seq.astype(np.uint32))],
-        ]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i == 0 else pa.binary()) for i, c in enumerate(cols)], names=["chunk", "doc_ids", "has_id", "lengths", "words", "seq"])
+        lengths = np.array([len(d) for d in docs], np.int64)
+        trained = np.repeat([not held_out(i) for i in ids], lengths)
+        n = np.bincount(seq[trained], minlength=len(words)).astype(np.uint32)
+        two = lambda of_seq, of_words: pa.array([of_seq, of_words], pa.binary())
+        return pa.RecordBatch.from_pydict({
+            "kind": ["seq", "words"],
+            "chunk": pa.array([(part << 32) + made] * 2, pa.int64()),
+            "doc_ids": two(packed(np.array([0 if i is None else i for i in ids], np.int64)), None),
+            "has_id": two(packed(np.array([i is not None for i in ids], np.uint8)), None),
+            "lengths": two(packed(lengths), None),
+            "seq": two(packed(seq.astype(np.uint32)), None),
+            "words": two(None, packed_sorted(words)),
+            "n": two(None, packed(n)),
+        })
 
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -116,61 +130,84 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             docs.append(word_hashes(text.as_py()))
             tokens += len(docs[-1])
             if tokens >= CHUNK_TOKENS:
-                yield row()
+                yield rows()
                 ids, docs, tokens, made = [], [], 0, made + 1
     if ids:
-        yield row()
+        yield rows()
+
+
+def joined(replies: list[dict], column: str, dtype) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype), *[unpacked(r[column], dtype) for r in replies]])
 
 
 class Chunk:
-    """One chunk's arrays; seq holds places in the chunk's sorted words."""
+    """One chunk's arrays; seq holds places in the chunk's sorted words, ids and counts are those words' numbers and training counts."""
 
     def __init__(self, row: dict):
         has = unpacked(row["has_id"], np.uint8)
         self.doc_ids = [int(i) if h else None for i, h in zip(unpacked(row["doc_ids"], np.int64), has)]
         self.lengths = unpacked(row["lengths"], np.int64)
-        self.seq = unpacked(row["seq"], np.uint32).astype(np.int64)
+        self.seq = unpacked(row["seq"], np.uint32)
         self.held = np.array([held_out(i) for i in self.doc_ids], bool)
         self.firsts = np.cumsum(self.lengths) - self.lengths
-
-    def in_training(self) -> np.ndarray:
-        return np.repeat(~self.held, self.lengths)
-
-    def numbered(self, replies: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-        """Number and training count of each word of the chunk; places hold ranges of the sorted words."""
-        replies.sort(key=lambda r: r["place"])
-        return tuple(np.concatenate([unpacked(r[k], np.uint64) for r in replies]) for k in ("ids", "n"))
+        self.trained = np.repeat(~self.held, self.lengths)
+        # places hold ranges of the sorted words
+        words = sorted(row["words"], key=lambda r: r["place"])
+        self.ids, self.counts = joined(words, "ids", np.uint64), joined(words, "n", np.uint64).astype(np.int64)
+        self.word = self.ids[self.seq]
 
     def before(self) -> np.ndarray:
-        """The context of each token; a text starts after an end."""
-        out = np.concatenate([[0], self.seq[:-1]])
+        """The word before each token, by its place in the chunk's words; a text starts after an end."""
+        out = np.concatenate([self.seq[:1], self.seq[:-1]])
         out[self.firsts] = self.seq[self.lengths[0] - 1]
         return out
 
 
-class Pairs:
-    """A chunk's distinct bigrams whose context is known, in the order of places; and its known contexts likewise."""
-
-    def __init__(self, c: Chunk, ids: np.ndarray, hot: np.ndarray, n: int):
-        before = c.before()
-        self.known = ids[before] > 0
-        keys, at = np.unique((ids[before[self.known]] << np.uint64(32)) | ids[c.seq[self.known]], return_inverse=True)
-        place = pair_places(keys, hot, n)
-        order = np.argsort(place, kind="stable")
-        self.keys, self.place = keys[order], place[order]
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        self.at = back[at]  # of each token with a known context
-        del at
-        contexts = np.unique(before[self.known])
-        contexts = contexts[np.argsort(ids[contexts])]
-        is_hot = among(ids[contexts], hot)
-        self.hot, cold = contexts[is_hot], contexts[~is_hot]
-        self.cold = cold[np.argsort(places(ids[cold], n), kind="stable")]
+class Ngrams:
+    """A chunk's distinct n-grams whose context (a number for each token, 0: unknown) is known, in the order of places.
 
+    names: the contexts, those that are hot last; keys: a place's slot of the context and the last word's
+    number; at: each token's n-gram, for the tokens in known.
+    """
 
-def places(x: np.ndarray, n: int) -> np.ndarray:
-    return ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(n)
+    def __init__(self, context: np.ndarray, word: np.ndarray, hot: np.ndarray, n: int):
+        self.known = context > 0
+        names, of = np.unique(context[self.known], return_inverse=True)
+        is_hot, home = among(names, hot), (names - np.uint64(1)) % np.uint64(n)
+        order = np.lexsort((names, np.where(is_hot, np.uint64(n), home)))
+        rank = np.empty(len(names), np.uint64)
+        rank[order] = np.arange(len(names), dtype=np.uint64)
+        self.names, self.cold, home = names[order], int((~is_hot).sum()), home[order]
+        slot = np.where(is_hot[order], np.uint64(HOT_SLOT) + np.searchsorted(hot, self.names).astype(np.uint64), (self.names - np.uint64(1)) // np.uint64(n))
+        keys, at = np.unique((rank[of] << np.uint64(32)) | word[self.known], return_inverse=True)
+        del of
+        self.of, last = (keys >> np.uint64(32)).astype(np.int64), keys & np.uint64(2**32 - 1)
+        mixed = (self.names[self.of] * np.uint64(0x9E3779B97F4A7C15)) ^ (last * np.uint64(0xBF58476D1CE4E5B9))
+        place = np.where(self.of >= self.cold, (mixed >> np.uint64(32)) % np.uint64(n), home[self.of])
+        keys = (slot[self.of] << np.uint64(32)) | last
+        by = np.argsort(place, kind="stable")
+        self.keys, self.place, self.of = keys[by], place[by], self.of[by]
+        back = np.empty(len(by), np.uint32)
+        back[by] = np.arange(len(by), dtype=np.uint32)
+        self.at = back[at]
+
+    def messages(self, chunk: int, trained: np.ndarray, lower: np.ndarray) -> dict:
+        """Rows to the places: training counts in the chunk, and what the place needs of each n-gram's lower order (lower: by token)."""
+        target = np.zeros(len(self.keys), np.uint64)
+        target[self.at] = lower[self.known]
+        n = np.bincount(self.at[trained[self.known]], minlength=len(self.keys)).astype(np.uint32)
+        return _messages(chunk, self.place, keys=(self.keys, packed_sorted), n=(n, packed), lower=(target, packed))
+
+    def told(self, replies: list[dict], of_hot: list[tuple[float, list[int]]], hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What the places reply: training count of each n-gram; sum of lower orders and times by context."""
+        replies = sorted(replies or [], key=lambda r: r["place"])
+        low, times = np.zeros(len(self.names)), np.zeros((GT_LIMIT, len(self.names)), np.uint32)
+        low[: self.cold] = joined(replies, "low", np.float64)
+        if replies:
+            times[:, : self.cold] = np.concatenate([unpacked(r["times"], np.uint32).reshape(GT_LIMIT, -1) for r in replies], axis=1)
+        for i in range(self.cold, len(self.names)):
+            low[i], times[:, i] = of_hot[int(np.searchsorted(hot, self.names[i]))]
+        return joined(replies, "n", np.uint32).astype(np.int64), low, times
 
 
 def among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -179,11 +216,6 @@ def among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
 
 
-def pair_places(keys: np.ndarray, hot: np.ndarray, n: int) -> np.ndarray:
-    context = keys >> np.uint64(32)
-    return np.where(among(context, hot), places(keys ^ (keys >> np.uint64(29)), n), places(context, n))
-
-
 def _messages(chunk: int, place: np.ndarray, **columns) -> dict:
     """One row a place from arrays in the order of places; columns are (array, how to pack it)."""
     ends = np.flatnonzero(np.diff(place, append=np.uint64(2**64 - 1)) != 0) + 1
@@ -204,69 +236,67 @@ def _rows(df: DataFrame, make, schema: str) -> DataFrame:
 
 
 def discounts(n: dict[int, int], limit: int = GT_LIMIT) -> np.ndarray:
-    """Katz's factors d[r] for counts r = 0..limit from counts of counts; absolute ones where those aren't in (0, 1)."""
-    out = np.array([1.0] + [(r - 0.5) / r for r in range(1, limit + 1)])
-    n1 = n.get(1, 0)
-    if n1 and all(n.get(r, 0) for r in range(1, limit + 2)):
-        tail = (limit + 1) * n[limit + 1] / n1
-        d = [((r + 1) * n[r + 1] / n[r] / r - tail) / (1 - tail) if tail < 1 else 0.0 for r in range(1, limit + 1)]
-        if all(0 < x < 1 for x in d):
-            out[1:] = d
-    return out
+    """Katz's factors d[r] for counts r = 0..limit from counts of counts, which a line smooths (Simple Good-Turing).
+
+    Each count of counts is spread over the gap to its neighbours; the line's slope b gives counts of counts
+    in proportion to r ** b. Fewer than two different counts have LEAST_SLOPE.
+    """
+    r = np.array(sorted(k for k in n if k > 0 and n[k]), float)
+    slope = LEAST_SLOPE
+    if len(r) > 1:
+        gaps = np.concatenate([[r[1]], r[2:] - r[:-2], [2 * (r[-1] - r[-2])]]) / 2
+        slope = min(slope, float(np.polyfit(np.log(r), np.log(np.array([n[int(k)] for k in r]) / gaps), 1)[0]))
+    up_to = np.arange(1, limit + 1)
+    tail = (limit + 1.0) ** (1 + slope)
+    return np.concatenate([[1.0], (((up_to + 1) / up_to) ** (1 + slope) - tail) / (1 - tail)])
 
 
 def discounted(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
     return counts * np.where(counts < len(d), d[np.minimum(counts, len(d) - 1)], 1.0)
 
 
+def weights(c: np.ndarray, times: np.ndarray, low: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Backoff weights and the scale of seen n-grams, for contexts with counts c, times[r - 1] followers seen r times and followers' lower orders summing to low."""
+    kept = c - (np.arange(1, len(d))[:, None] * times * (1 - d[1:, None])).sum(0)
+    # a context without a discounted count still leaves 1 of c + 1 for what it wasn't seen with
+    mass = np.maximum(1 - kept / c, 1 / (c + 1))
+    some = 1 - low > 1e-12  # else every word was seen after this one: nothing to back off to
+    return np.where(some, mass / np.where(some, 1 - low, 1.0), 0.0), np.where(some, 1 - mass, 1.0) * c / kept
+
+
 class Unigrams:
-    """The unigram model by training counts."""
+    """The model of single words by training counts: the empty context, with the unknown word as all that wasn't seen."""
 
     def __init__(self, total: int, distinct: int, n: dict[int, int]):
         self.total, self.distinct = total, distinct
         self.d = discounts(n)
-        seen = sum(discounted(np.array([r]), self.d)[0] * k for r, k in n.items() if r <= GT_LIMIT) / max(1, total)
-        self.unknown = max(1 - seen - (1 - sum(r * k for r, k in n.items() if r <= GT_LIMIT) / max(1, total)), 0.0) or 1.0 / (total + 1)
-        norm = 1.0 + self.unknown if self.unknown == 1.0 / (total + 1) else 1.0
-        self.unknown, self.norm = self.unknown / norm, norm
+        self.unknown, self.scale = 1.0, 0.0
+        if total:
+            times = np.array([[n.get(r, 0)] for r in range(1, GT_LIMIT + 1)])
+            self.unknown, self.scale = (float(x[0]) for x in weights(np.array([total]), times, np.zeros(1), self.d))
 
     def of_word(self, counts: np.ndarray) -> np.ndarray:
         """Probability of words with these counts (0: unknown)."""
-        return np.where(counts > 0, discounted(counts, self.d) / max(1, self.total) / self.norm, self.unknown)
-
-
-class AllWords(Unigrams):
-    """The model with each word's probability by number, the unknown word at 0; only for models that fit the driver."""
-
-    def __init__(self, law: Unigrams, table: DataFrame):
-        self.__dict__.update(law.__dict__)
-        ids, counts = [np.concatenate([np.zeros(0, np.int64), *[unpacked(r[k], np.uint64).astype(np.int64) for r in table.collect()]]) for k in ("ids", "n")]
-        self.counts = np.zeros(ids.max(initial=0) + 1, np.int64)
-        self.counts[ids] = counts
-        self.classes = np.where(self.counts > 0, self.of_word(self.counts), 0.0)
-        self.classes[0] = self.unknown
-
-
-def weights(c: np.ndarray, n: np.ndarray, uni: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Backoff weights and the scale of seen bigrams, for contexts with counts c, n[r - 1] followers seen r times and followers' unigram sum."""
-    kept = c - (np.arange(1, len(d))[:, None] * n * (1 - d[1:, None])).sum(0)
-    # a context without a discounted count still leaves 1 of c + 1 for what it wasn't seen with
-    mass = np.maximum(1 - kept / c, 1 / (c + 1))
-    some = 1 - uni > 1e-12  # else every word was seen after this one: nothing to back off to
-    return np.where(some, mass / np.where(some, 1 - uni, 1.0), 0.0), np.where(some, 1 - mass, 1.0) * c / kept
+        return np.where(counts > 0, discounted(counts, self.d) / max(1, self.total) * self.scale, self.unknown)
 
 
 class KatzModel:
-    """Count tables (Parquet, under path) and the few parameters of a model fitted on chunks."""
+    """Count tables (Parquet, under path) and the few parameters of a model fitted on documents."""
 
     def __init__(self, docs: DataFrame, path: str | None = None):
         spark = self.spark = docs.sparkSession
         self.path = path or fresh_path(spark, "katz")
-        self.chunks = written(id_and_text(docs).mapInArrow(_chunks, CHUNK), "katz-chunks")
-        # a place holds about what two chunks do
-        self.n = max(shuffle_partitions(spark), -(-self.chunks.count() // 2))
-        self._count_words()
-        self._count_bigrams()
+        chunks = written(id_and_text(docs).mapInArrow(_chunks, CHUNK), "chunks", by="kind", path=f"{self.path}/chunks")
+        self.chunks = chunks.where("kind = 'seq'").select("chunk", "doc_ids", "has_id", "lengths", "seq")
+        # a place holds about what a chunk does
+        self.n = max(shuffle_partitions(spark), self.chunks.count())
+        self._count_words(chunks.where("kind = 'words'").select("chunk", "words", "n"))
+        delete(spark, f"{self.path}/chunks/kind=words")
+        self.hot: dict[int, np.ndarray] = {}
+        self.of_hot: dict[int, list] = {}
+        self.d = {1: self.law.d}
+        for order in (2, 3):
+            self._count_ngrams(order)
 
     def _exchanged(self, sent: DataFrame, summed, schema: str, name: str) -> DataFrame:
         """What summed (rows of a place -> batch) gives for each place, by kind."""
@@ -280,18 +310,15 @@ class KatzModel:
                 yield summed(by_place.pop(p))
 
         got = sent.repartitionById(self.n, F.col("place")).mapInArrow(run, schema)
-        got.write.partitionBy("kind").parquet(f"{self.path}/{name}")
-        # kind is the first column of what was made and the last of what is read
-        return self.spark.read.schema(", ".join([*schema.split(", ")[1:], "kind string"])).parquet(f"{self.path}/{name}")
+        return written(got, name, by="kind", path=f"{self.path}/{name}")
 
-    def _count_words(self) -> None:
+    def _count_words(self, chunks: DataFrame) -> None:
         n = self.n
 
         def words(row: dict) -> dict:
-            c, w = Chunk(row), unpacked_sorted(row["words"])
-            counts = np.bincount(c.seq[c.in_training()], minlength=len(w)).astype(np.uint32)
+            w = unpacked_sorted(row["words"])
             # hashes are even, so ranges of them are; a chunk's sorted words stay in order
-            return _messages(row["chunk"], ((w >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32), keys=(w, packed_sorted), n=(counts, packed))
+            return _messages(row["chunk"], ((w >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32), keys=(w, packed_sorted), n=(unpacked(row["n"], np.uint32), packed))
 
         def summed(rows: list[dict]) -> pa.RecordBatch:
             place, keys = rows[0]["place"], [unpacked_sorted(r["keys"]) for r in rows]
@@ -315,114 +342,122 @@ class KatzModel:
                 "n": pa.array([packed(x) for x in [*np.split(totals[at], cuts), totals[known]]], pa.binary()),
             })
 
-        self.words = self._exchanged(_rows(self.chunks, words, "place int, chunk long, keys binary, n binary"), summed, "kind string, place int, chunk long, keys binary, ids binary, n binary", "unigrams")
-        model = self.words.where("kind = 'model'")
-        total, distinct, n_of = self._counts_of_counts(model)
-        self.law = Unigrams(total, distinct, n_of)
-        least = max(1, -(-total // HOT_SHARE))
+        sent = _rows(chunks, words, "place int, chunk long, keys binary, n binary")
+        self.words = self._exchanged(sent, summed, "kind string, place int, chunk long, keys binary, ids binary, n binary", "order1")
+        self.law = Unigrams(*self._counts_of_counts(self.words, np.uint64))
 
-        def frequent(row: dict) -> dict:
-            return {"id": pa.array(unpacked(row["ids"], np.uint64)[unpacked(row["n"], np.uint64) >= least].astype(np.int64))}
+    def _counts_of_counts(self, table: DataFrame, dtype) -> tuple[int, int, dict[int, int]]:
+        """Sum and number of the counts, and how many are r for the r up to FIT_LIMIT."""
 
-        self.hot = np.sort(np.array([r["id"] for r in _rows(model.select("ids", "n"), frequent, "id long").collect()], np.uint64))  # HOT_SHARE at most
+        def of_place(row: dict) -> dict:
+            counts = unpacked(row["n"], dtype).astype(np.int64)
+            r, k = np.unique(counts[counts <= FIT_LIMIT], return_counts=True)
+            return {"r": pa.array([0, -1, *r.tolist()], pa.int64()), "k": pa.array([int(counts.sum()), len(counts), *k.tolist()], pa.int64())}
 
-    def _counts_of_counts(self, model: DataFrame) -> tuple[int, int, dict[int, int]]:
-        """Sum and number of the counts, and how many are r for the small r."""
+        rows = _rows(table.where("kind = 'model'").select("n"), of_place, "r long, k long").groupBy("r").agg(F.sum("k").alias("k")).collect()  # FIT_LIMIT + 2 at most
+        k = {r["r"]: r["k"] for r in rows}
+        return k.pop(0, 0), k.pop(-1, 0), k
 
-        def of_place(row: dict) -> dict:
-            counts = unpacked(row["n"], np.uint64).astype(np.int64)
-            r = np.arange(1, GT_LIMIT + 2)
-            return {"r": pa.array([0, -1, *r]), "k": pa.array([int(counts.sum()), len(counts), *[int((counts == i).sum()) for i in r]])}
+    def _frequent(self, table: DataFrame, dtype) -> np.ndarray:
+        """Numbers of the table's words or n-grams with 1 in HOT_SHARE of the tokens or more, of which there are HOT_SHARE at most."""
+        least = max(1, -(-self.law.total // HOT_SHARE))
 
-        k = {r["r"]: r["k"] for r in _rows(model.select("n"), of_place, "r long, k long").groupBy("r").agg(F.sum("k").alias("k")).collect()}
-        return k.pop(0, 0), k.pop(-1, 0), {r: x for r, x in k.items() if x}
+        def frequent(row: dict) -> dict:
+            return {"id": pa.array(unpacked(row["ids"], np.uint64)[unpacked(row["n"], dtype) >= least].astype(np.int64))}
+
+        return np.sort(np.array([r["id"] for r in _rows(table.where("kind = 'model'").select("ids", "n"), frequent, "id long").collect()], np.uint64))
+
+    def _with_replies(self, orders: tuple[int, ...]) -> DataFrame:
+        """Chunks with what the places of single words and of these orders replied."""
+        out = self.chunks
+        replies = self.words.where("kind = 'reply'").groupBy("chunk").agg(F.collect_list(F.struct("place", "ids", "n")).alias("words"))
+        out = out.join(replies, "chunk")
+        for order in orders:
+            rows = self.ngrams[order].where("kind = 'reply'")
+            # a chunk without a known context has no replies
+            out = out.join(rows.groupBy("chunk").agg(F.collect_list(F.struct("place", "ids", "n", "low", "times")).alias(f"order{order}")), "chunk", "left")
+        return out
 
-    def _numbered_chunks(self) -> DataFrame:
-        """Chunks (without their words) with the numbers and counts of their words."""
-        replies = self.words.where("kind = 'reply'").groupBy("chunk").agg(F.collect_list(F.struct("place", "ids", "n")).alias("w"))
-        return self.chunks.drop("words").join(replies, "chunk")
+    ngrams: dict[int, DataFrame]
 
-    def _count_bigrams(self) -> None:
-        n, law, hot = self.n, self.law, self.hot
+    def _count_ngrams(self, order: int) -> None:
+        n, law = self.n, self.law
+        if order == 2:
+            self.ngrams = {}
+            self.hot[2] = self._frequent(self.words, np.uint64)
+        else:
+            self.hot[3] = self._frequent(self.ngrams[2], np.uint32)
+        hot, d = self.hot, self.d
 
-        def pairs(row: dict) -> dict:
+        def sent(row: dict) -> dict:
             c = Chunk(row)
-            ids, counts = c.numbered(row.pop("w"))
-            p = Pairs(c, ids, hot, n)
-            found = np.bincount(p.at[c.in_training()[p.known]], minlength=len(p.keys)).astype(np.uint32)
-            target = np.zeros(len(p.keys), np.uint64)
-            target[p.at] = counts[c.seq[p.known]]
-            return _messages(row["chunk"], p.place, keys=(p.keys, packed_sorted), n=(found, packed), target=(target, packed))
+            before = c.before()
+            two = Ngrams(c.ids[before], c.word, hot[2], n)
+            if order == 2:
+                return two.messages(row["chunk"], c.trained, c.counts.astype(np.uint64)[c.seq])
+            number, count = numbers_of(c, two, row["order2"])
+            return Ngrams(context_of(c, number), c.word, hot[3], n).messages(row["chunk"], c.trained, count)
+
+        def lower(x: np.ndarray) -> np.ndarray:
+            # of trigrams' lower orders the context's constant factor is left to the chunks
+            return law.of_word(x) if order == 2 else discounted(x, d[2])
 
         def summed(rows: list[dict]) -> pa.RecordBatch:
-            sent = [unpacked_sorted(r["keys"]) for r in rows]
-            keys, at = np.unique(np.concatenate(sent), return_inverse=True)
+            place, keys = rows[0]["place"], [unpacked_sorted(r["keys"]) for r in rows]
+            cuts = np.cumsum([len(k) for k in keys])[:-1]
+            every, at = np.unique(np.concatenate(keys), return_inverse=True)
             totals = np.bincount(at, weights=np.concatenate([unpacked(r["n"], np.uint32) for r in rows])).astype(np.int64)
-            target = np.zeros(len(keys), np.int64)
-            target[at] = np.concatenate([unpacked(r["target"], np.uint64) for r in rows]).astype(np.int64)
-            replies = [packed(x.astype(np.uint64)) for x in np.split(totals[at], np.cumsum([len(k) for k in sent])[:-1])]
-            context, of = np.unique(keys >> np.uint64(32), return_inverse=True)
+            target = np.zeros(len(every), np.int64)
+            target[at] = np.concatenate([unpacked(r["lower"], np.uint64) for r in rows]).astype(np.int64)
             seen = totals > 0
-            times = np.array([np.bincount(of[totals == r], minlength=len(context)) for r in range(1, GT_LIMIT + 1)], np.uint32)
-            uni = np.bincount(of[seen], weights=law.of_word(target[seen]), minlength=len(context))
-            out = {"context": [], "times": [], "uni": []}
-
-            def add(which: np.ndarray, names: np.ndarray | None) -> None:
-                out["context"].append(None if names is None else packed_sorted(names))
-                out["times"].append(packed(times[:, which].ravel()))
-                out["uni"].append(packed(uni[which]))
-
-            for k in sent:
+            slot, of = np.unique(every >> np.uint64(32), return_inverse=True)
+            times = np.array([np.bincount(of[totals == r], minlength=len(slot)) for r in range(1, GT_LIMIT + 1)], np.uint32)
+            low = np.bincount(of[seen], weights=lower(target[seen]), minlength=len(slot))
+            ids = np.zeros(len(every), np.uint64)
+            ids[seen] = np.arange(seen.sum()).astype(np.uint64) * np.uint64(n) + np.uint64(place + 1)
+            if len(slot) and seen.sum() >= HOT_SLOT:
+                raise OverflowError("a place numbers fewer than 2**31 n-grams")
+            out: dict[str, list] = {c: [] for c in ("keys", "ids", "n", "slots", "low", "times")}
+
+            def add(**columns: bytes) -> None:
+                for c in out:
+                    out[c].append(columns.get(c))
+
+            stats = lambda which: {"low": packed(low[which]), "times": packed(times[:, which].ravel())}
+            for k, part in zip(keys, np.split(at, cuts)):
                 mine = np.unique(k >> np.uint64(32))
-                add(np.searchsorted(context, mine[~among(mine, hot)]), None)
-            for which in (among(context, hot), ~among(context, hot)):
-                add(np.flatnonzero(which), context[which])
-            place = rows[0]["place"]
+                numbers = {"ids": packed(ids[part])} if order == 2 else {}
+                add(n=packed(totals[part].astype(np.uint32)), **numbers, **stats(np.searchsorted(slot, mine[mine < HOT_SLOT])))
+            cold = slot < HOT_SLOT
+            add(keys=packed_sorted(every[seen]), n=packed(totals[seen].astype(np.uint32)), ids=packed(ids[seen]) if order == 2 else None)
+            add(slots=packed_sorted(slot[cold]), **stats(cold))
+            add(slots=packed_sorted(slot[~cold]), **stats(~cold))
             return pa.RecordBatch.from_pydict({
-                "kind": ["reply"] * len(rows) + ["hot", "context", "model"],
+                "kind": ["reply"] * len(rows) + ["model", "context", "hot"],
                 "place": pa.array([place] * (len(rows) + 3), pa.int32()),
                 "chunk": pa.array([*[r["chunk"] for r in rows], -1, -1, -1], pa.int64()),
-                "keys": pa.array([*[None] * (len(rows) + 2), packed_sorted(keys[seen])], pa.binary()),
-                "n": pa.array([*replies, None, None, packed(totals[seen].astype(np.uint64))], pa.binary()),
-                **{k: pa.array([*x, None], pa.binary()) for k, x in out.items()},
+                **{c: pa.array(x, pa.binary()) for c, x in out.items()},
             })
 
-        sent = _rows(self._numbered_chunks(), pairs, "place int, chunk long, keys binary, n binary, target binary")
-        self.bigrams = self._exchanged(sent, summed, "kind string, place int, chunk long, keys binary, n binary, context binary, times binary, uni binary", "bigrams")
-        self.d = discounts(self._counts_of_counts(self.bigrams.where("kind = 'model'"))[2])
-        sums = self._contexts("hot").groupBy("v").agg(*[F.sum(x).alias(x) for x in ("uni", *self._TIMES)]).collect()  # HOT_SHARE rows at most
-        self.of_hot = {r["v"]: (r["uni"], [r[x] for x in self._TIMES]) for r in sums}
-
-    _TIMES = tuple(f"n{r}" for r in range(1, GT_LIMIT + 1))
+        messages = _rows(self._with_replies(tuple(range(2, order))), sent, "place int, chunk long, keys binary, n binary, lower binary")
+        schema = "kind string, place int, chunk long, keys binary, ids binary, n binary, slots binary, low binary, times binary"
+        self.ngrams[order] = self._exchanged(messages, summed, schema, f"order{order}")
+        self.d[order] = discounts(self._counts_of_counts(self.ngrams[order], np.uint32)[2])
+        self.of_hot[order] = self._sums_of_hot(order)
 
-    def _contexts(self, kind: str) -> DataFrame:
-        """Rows of contexts: the sum of their followers' unigram probabilities and how many were seen 1, 2, ... times."""
+    def _sums_of_hot(self, order: int) -> list[tuple[float, list[int]]]:
+        """Sum of lower orders and times of each hot context, over all places."""
+        names = [f"n{r}" for r in range(1, GT_LIMIT + 1)]
 
         def rows(row: dict) -> dict:
             times = unpacked(row["times"], np.uint32).astype(np.int64).reshape(GT_LIMIT, -1)
-            return {"v": pa.array(unpacked_sorted(row["context"]).astype(np.int64)), "uni": pa.array(unpacked(row["uni"], np.float64)), **{k: pa.array(x) for k, x in zip(self_times, times)}}
-
-        self_times = self._TIMES
-        return _rows(self.bigrams.where(F.col("kind") == kind).select("context", "times", "uni"), rows, "v long, uni double, " + ", ".join(f"{x} long" for x in self_times))
-
-    @functools.cached_property
-    def unigrams(self) -> AllWords:
-        """Every word's probability in the driver: for small models only; fitting and scoring don't use it."""
-        return AllWords(self.law, self.words.where("kind = 'model'").select("ids", "n"))
-
-    @functools.cached_property
-    def _gathered(self) -> tuple[np.ndarray, np.ndarray]:
-        c = self.unigrams.counts
-        backoff, scale = np.ones(len(c)), np.ones(len(c))
-        found = {r["v"]: (r["uni"], [r[x] for x in self._TIMES]) for r in self._contexts("context").collect()} | self.of_hot
-        for v, (uni, times) in found.items():
-            backoff[v], scale[v] = (x[0] for x in weights(c[[v]], np.array(times)[:, None], np.array([uni]), self.d))
-        return backoff, scale
-
-    # for small models only, by number of the context
-    context = property(lambda self: self.unigrams.counts)
-    backoff = property(lambda self: self._gathered[0])
-    scale = property(lambda self: self._gathered[1])
+            at = unpacked_sorted(row["slots"]) - np.uint64(HOT_SLOT)
+            return {"at": pa.array(at.astype(np.int64)), "low": pa.array(unpacked(row["low"], np.float64)), **{k: pa.array(x) for k, x in zip(names, times)}}
+
+        table = self.ngrams[order].where("kind = 'hot'").select("slots", "low", "times")
+        parts = _rows(table, rows, "at long, low double, " + ", ".join(f"{x} long" for x in names))
+        found = {r["at"]: (r["low"], [r[x] for x in names]) for r in parts.groupBy("at").agg(*[F.sum(x).alias(x) for x in ("low", *names)]).collect()}  # HOT_SHARE rows at most
+        return [found.get(i, (0.0, [0] * GT_LIMIT)) for i in range(len(self.hot[order]))]
 
     def score(self) -> DataFrame:
         """One row per document of the chunks."""
@@ -430,53 +465,72 @@ class KatzModel:
 
         def run(row: dict) -> dict:
             c = Chunk(row)
-            ids, counts = c.numbered(row.pop("w"))
-            p = Pairs(c, ids, hot, n)
-            count, before = counts.astype(np.int64), c.before()
-            replies = sorted(row.pop("replies") or [], key=lambda r: r["place"])
-            uni, times = np.zeros(len(ids)), np.zeros((GT_LIMIT, len(ids)), np.int64)
-            if replies:
-                uni[p.cold] = np.concatenate([unpacked(r["uni"], np.float64) for r in replies])
-                times[:, p.cold] = np.concatenate([unpacked(r["times"], np.uint32).reshape(GT_LIMIT, -1) for r in replies], axis=1)
-            for v in p.hot:
-                uni[v], times[:, v] = of_hot[int(ids[v])]
-            known = np.concatenate([p.cold, p.hot])
-            backoff, scale = np.ones(len(ids)), np.ones(len(ids))
-            backoff[known], scale[known] = weights(count[known], times[:, known], uni[known], d)
-            pairs = np.concatenate([np.zeros(0, np.uint64), *[unpacked(r["n"], np.uint64) for r in replies]]).astype(np.int64)
+            before = c.before()
+            two = Ngrams(c.ids[before], c.word, hot[2], n)
+            number, _ = numbers_of(c, two, row["order2"])
+            seen, low, times = two.told(row.pop("order2"), of_hot[2], hot[2])
+            # by word of the chunk: its count and weights as a context
+            place = np.argsort(c.ids, kind="stable")
+            place = place[np.searchsorted(c.ids[place], two.names)]
+            backoff, scale = np.ones(len(c.ids)), np.ones(len(c.ids))
+            backoff[place], scale[place] = weights(c.counts[place], times, low, d[2])
+            of_context = scale / np.maximum(c.counts, 1)
             pair = np.zeros(len(c.seq), np.int64)
-            pair[p.known] = pairs[p.at]
-            del replies, p, pairs, times
-            of_word = law.of_word(count)
-            logs = np.empty(len(c.seq))
-            for a in range(0, len(logs), _SLICE):
-                v, w, seen = before[a : a + _SLICE], c.seq[a : a + _SLICE], pair[a : a + _SLICE]
-                by_pair = discounted(seen, d) / np.maximum(count, 1)[v] * scale[v]
-                logs[a : a + _SLICE] = np.log10(np.maximum(np.where(seen > 0, by_pair, backoff[v] * of_word[w]), 1e-300))
-            del before, pair
-            base = np.log10((count + 1) / (law.total + law.distinct + 1))[c.seq]
+            pair[two.known] = seen[two.at]
+            del two, seen, low, times
+            p = np.where(pair > 0, discounted(pair, d[2]) * of_context[before], backoff[before] * law.of_word(c.counts)[c.seq])
+            three = Ngrams(context_of(c, number), c.word, hot[3], n)
+            del number
+            seen, low, times = three.told(row.pop("order3"), of_hot[3], hot[3])
+            # of each context (a bigram): its count, and the factor that its followers' bigrams share
+            count, factor = np.ones(len(three.names), np.int64), np.ones(len(three.names))
+            known = np.flatnonzero(three.known)
+            count[three.of[three.at]] = pair[known - 1]
+            factor[three.of[three.at]] = of_context[before[known]]
+            backoff, scale = weights(count, times, low * factor, d[3])
+            for a in range(0, len(known), _SLICE):
+                at = three.at[a : a + _SLICE]
+                of, k, m = three.of[at], known[a : a + _SLICE], seen[at]
+                p[k] = np.where(m > 0, discounted(m, d[3]) * (scale / count)[of], backoff[of] * p[k])
+            del three, seen, low, times
+            logs = np.log10(np.maximum(p, 1e-300))
+            base = np.log10((c.counts + 1) / (law.total + law.distinct + 1))[c.seq]
             per = lambda x: np.add.reduceat(x, c.firsts)  # noqa: E731  every document has an end token at least
             return {
                 "doc_id": pa.array(c.doc_ids, pa.int64()),
                 "held_out": pa.array(c.held),
                 "n_tokens": pa.array(c.lengths),
-                "n_known": pa.array(per((count > 0).astype(np.int64)[c.seq])),
+                "n_known": pa.array(per((c.counts > 0).astype(np.int64)[c.seq])),
                 "train_tokens": pa.array(np.full(len(c.lengths), law.total, np.int64)),
                 "base_score": pa.array(per(base)),
                 "score": pa.array(per(logs)),
             }
 
-        replies = self.bigrams.where("kind = 'reply'").groupBy("chunk").agg(F.collect_list(F.struct("place", "n", "times", "uni")).alias("replies"))
-        # a chunk without a known context has no replies
-        rows = self._numbered_chunks().join(replies, "chunk", "left")
-        return _rows(rows, run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        return _rows(self._with_replies((2, 3)), run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def numbers_of(c: Chunk, two: Ngrams, replies: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """By token: the number of the bigram that ends there (0: not seen) and its training count."""
+    replies = sorted(replies or [], key=lambda r: r["place"])
+    number, count = np.zeros(len(c.seq), np.uint64), np.zeros(len(c.seq), np.uint64)
+    number[two.known] = joined(replies, "ids", np.uint64)[two.at]
+    count[two.known] = joined(replies, "n", np.uint32)[two.at]
+    return number, count
+
+
+def context_of(c: Chunk, number: np.ndarray) -> np.ndarray:
+    """The bigram before each token; the first of a text has none."""
+    out = np.concatenate([number[:1], number[:-1]])
+    out[c.firsts] = 0
+    return out
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """Fit on the documents that are not held out and score all of them.
 
     Nulls: a null text is an empty text, which is one end token; a null doc_id is never held out. Repeated
-    rows count and are scored each. An empty table gives an empty result; other columns are ignored. If no
-    document is left for training, every word is unknown.
+    rows count and are scored each. A very long text is one document of its chunk, hashed slice by slice. An
+    empty table gives an empty result; other columns are ignored. If no document is left for training, every
+    word is unknown.
     """
     return KatzModel(docs).score()

@@ -185,24 +185,6 @@ def test_merge_of_runs_knows_its_prefixes():
     assert got == [0, *[lcp(a, b) for a, b in zip(merged, merged[1:])]]
 
 
-def test_katz_is_normalised(docs):
-    model = katz.KatzModel(docs)
-    rows = model.score().collect()
-    assert len(rows) == len(make()) and all(r.n_tokens >= 1 and r.score <= 0 for r in rows)
-    uni = model.unigrams
-    assert abs(uni.classes.sum() - 1) < 1e-9
-    counts = {}
-    for r in model.bigrams.where("kind = 'model'").collect():
-        for k, n in zip(katz.unpacked_sorted(r.keys), katz.unpacked(r.n, np.uint64)):
-            if n:
-                counts.setdefault(int(k) >> 32, {})[int(k) & 0xFFFFFFFF] = int(n)
-    for v, after in counts.items():
-        p = model.backoff[v] * uni.classes
-        for w, n in after.items():
-            p[w] = katz.discounted(np.array([n]), model.d)[0] / model.context[v] * model.scale[v]
-        assert abs(p.sum() - 1) < 1e-9
-
-
 def test_block_max_search_is_exact():
     r = random.Random(5)
     vectors = [tuple(sorted({r.randrange(30): r.randint(1, 4) for _ in range(r.randint(0, 6))}.items())) for _ in range(400)]
@@ -226,44 +208,111 @@ def test_toxicity_learns(spark):
     assert len(out) == 401 and all(x.predicted == int(x.doc_id % 4 == 0) for x in out if x.doc_id is not None)
 
 
-def brute_katz(rows):
-    """Scores of all rows by Katz bigrams over every word of the training rows."""
-    docs = [(i, [*re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")), None]) for i, t in rows]
-    train = [w for i, w in docs if not katz.held_out(i)]
-    words, after = Counter(w for d in train for w in d), {}
-    for d in train:
-        for v, w in zip([None, *d], d):
-            after.setdefault(v, Counter())[w] += 1
-    law = katz.Unigrams(sum(words.values()), len(words), Counter(words.values()))
-    d = katz.discounts(Counter(n for x in after.values() for n in x.values()))
-    cut = lambda n: n * (d[n] if n <= katz.GT_LIMIT else 1.0)
-    one = lambda w: float(law.of_word(np.array([words[w]]))[0])
-    weights = {}
-    for v, x in after.items():
-        kept = sum(map(cut, x.values()))
-        mass = max(1 - kept / words[v], 1 / (words[v] + 1))
-        weights[v] = mass / (1 - sum(map(one, x))), (1 - mass) / kept
-    out = []
-    for i, t in docs:
-        p = [cut(after[v][w]) * weights[v][1] if v in after and after[v][w] else weights.get(v, (1.0,))[0] * one(w) for v, w in zip([None, *t], t)]
-        out.append((str(i), len(t), float(np.log10(p).sum())))
-    return sorted(out)
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def slope_factors(counts):
+    """Simple Good-Turing by the book: a line through log counts of counts, then Katz's factors for 1 to 5."""
+    n = Counter(c for c in counts if c <= 1000)
+    r = sorted(n)
+    if len(r) < 2:
+        b = -1.05
+    else:
+        z = []
+        for i, x in enumerate(r):
+            q = r[i - 1] if i else 0
+            t = r[i + 1] if i + 1 < len(r) else 2 * x - q
+            z.append(n[x] / (0.5 * (t - q)))
+        x, y = np.log(r), np.log(z)
+        b = min(-1.05, ((x - x.mean()) * (y - y.mean())).sum() / ((x - x.mean()) ** 2).sum())
+    new = lambda k: (k + 1) * ((k + 1) / k) ** b  # noqa: E731  the Turing estimate of count k
+    tail = 6 * 6.0**b
+    return {k: (new(k) / k - tail) / (1 - tail) for k in range(1, 6)}
+
+
+class BruteKatz:
+    """Order 3 over Python dicts, evaluated recursively."""
+
+    def __init__(self, rows):
+        train = [[*words_of(t), None] for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+        self.words = Counter(w for d in train for w in d)
+        self.total = sum(self.words.values())
+        after = {1: {(): self.words}, 2: {}, 3: {}}
+        for d in train:
+            for v, w in zip([None, *d], d):
+                after[2].setdefault((v,), Counter())[w] += 1
+            for u, v, w in zip([None, *d], d, d[1:]):
+                after[3].setdefault((u, v), Counter())[w] += 1
+        self.after = after
+        self.d = {k: slope_factors(n for x in a.values() for n in x.values()) for k, a in after.items()}
+        self.made = {}
+
+    def of_context(self, context):
+        """Discounted probabilities of the seen words, and the backoff weight; None for an unknown context."""
+        if context not in self.made:
+            order = len(context) + 1
+            seen = self.after[order].get(context)
+            if seen is None:
+                self.made[context] = None
+            else:
+                c, d = sum(seen.values()), self.d[order]
+                cut = {w: n * d.get(n, 1.0) for w, n in seen.items()}
+                mass = max(1 - sum(cut.values()) / c, 1 / (c + 1))
+                low = sum(self.p(context[1:], w) for w in seen) if context else 0.0
+                self.made[context] = {w: x / sum(cut.values()) * (1 - mass) for w, x in cut.items()}, mass / (1 - low)
+        return self.made[context]
+
+    def p(self, context, w):
+        found = self.of_context(context)
+        shorter = (lambda: self.p(context[1:], w)) if context else (lambda: 1.0)  # the unknown word has all that is left
+        if found is None:
+            return shorter()
+        return found[0][w] if w in found[0] else found[1] * shorter()
+
+    def score(self, text):
+        d = [*words_of(text), None]
+        contexts = [(None,), *zip([None, *d], d)]
+        return sum(np.log10(self.p(c, w)) for c, w in zip(contexts, d))
+
+
+def check_katz(spark, rows):
+    got = {}
+    for x in katz.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        got.setdefault(str(x.doc_id), []).append(x)
+    model, n = BruteKatz(rows), 0
+    for i, t in rows:
+        x, d = got[str(i)].pop(), [*words_of(t), None]
+        n += x.held_out
+        assert x.held_out == (i is not None and zlib.crc32(str(i).encode()) % 7 == 2)
+        assert (x.n_tokens, x.n_known, x.train_tokens) == (len(d), sum(w in model.words for w in d), model.total)
+        base = sum(np.log10((model.words[w] + 1) / (model.total + len(model.words) + 1)) for w in d)
+        assert np.allclose([x.base_score, x.score], [base, model.score(t)], rtol=1e-9)
+    assert not any(got.values()) and n
+    for context in [(), (None,), *list(model.after[2])[:20], *list(model.after[3])[:40]]:
+        assert abs(sum(model.p(context, w) for w in [*model.words, "never seen"]) - 1) < 1e-9
+    assert all(0 < x < 1 for d in model.d.values() for x in d.values())
+
+
+def test_katz_equals_brute_force(spark):
+    """Every column over nulls, empty and repeated rows and a long text; contexts of all orders sum to 1."""
+    rows = [(i, t) for i, t, *_ in make()]
+    rows = [x for k, x in enumerate(rows) if x[0] is None or all(y[0] != x[0] for y in rows[:k])]
+    r = random.Random(9)
+    rows += [(i, " ".join(r.choice(["the", "a", "of", "zebra", f"w{r.randrange(60)}"]) for _ in range(r.randint(1, 60)))) for i in range(200, 260)]
+    check_katz(spark, [*rows, (300, " ".join(f"w{r.randrange(40)}" for _ in range(300_000)))])
 
 
 @pytest.mark.parametrize("hot", [4, 1 << 40])
 def test_katz_knows_rare_words(spark, monkeypatch, hot):
-    """A word far below 1 of 2**17 tokens has bigrams of its own."""
+    """A word far below 1 of 2**17 tokens has bigrams of its own; frequent contexts are dealt by the pair or not."""
     monkeypatch.setattr(katz, "HOT_SHARE", hot)
     monkeypatch.setattr(katz, "CHUNK_TOKENS", 40_000)
     r = random.Random(7)
     rare = [f"r{i}" for i in range(150)]
     rows = [(i, " ".join(["the of"] * 20_000)) for i in range(10)]
     rows += [(i, " ".join(r.choice(rare) if r.random() < 0.7 else "the" for _ in range(12)) + (" new words" if i % 3 == 0 else "")) for i in range(10, 60)]
-    rows.append((None, None))
-    out = katz.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
-    got, want = sorted((str(x.doc_id), x.n_tokens, x.score) for x in out), brute_katz(rows)
-    assert [x[:2] for x in got] == [x[:2] for x in want] and any(x.held_out for x in out)
-    assert np.allclose([x[2] for x in got], [x[2] for x in want], rtol=1e-9)
+    check_katz(spark, [*rows, (None, None)])
 
 
 def test_suffix_dedup_deals_hot_strings_by_windows(spark, monkeypatch):
