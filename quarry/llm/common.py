@@ -26,6 +26,12 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: a table that comes in fewer splits than there are cores (a small one) is dealt out, any other stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def row_key(col: str = "doc_id") -> Column:
     """A join key that is never null."""
     return F.coalesce(F.col(col), F.lit(NULL_ID).cast("long"))
@@ -67,6 +73,18 @@ def written(df: DataFrame, name: str, by: str | None = None, path: str | None =
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, path: str, key: str, n: int) -> DataFrame:
+    """Like written(), by hash of key in n buckets: a join with rows that are dealt by key into n parts leaves this side where it is."""
+    spark = df.sparkSession
+    name = f"quarry_{uuid.uuid4().hex}"
+    with shuffles_dropped(spark):
+        df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(name)
+    out = spark.read.table(name)
+    out.schema  # resolved now: the name isn't needed any more
+    spark.sql(f"DROP TABLE {name}")  # of a table with a path of its own this leaves the files
+    return out
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a written table that nothing reads any more."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -17,6 +17,7 @@ context's backoff weight times the bigram model of the shorter context, and that
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -28,12 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import delete, fresh_path, id_and_text, shuffle_partitions, written
+from quarry.llm.common import bucketed, delete, fresh_path, id_and_text, shuffle_partitions, spread, written
 from quarry.llm.phrases import _powers
 from quarry.llm.simhash import LOWER
 
 HOLD_OUT, HELD = 7, 2
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 1_500_000
 #: Counts up to this are discounted.
 GT_LIMIT = 5
 #: Counts of counts up to this one make the line of Simple Good-Turing.
@@ -100,7 +101,7 @@ def word_hashes(text: str) -> np.ndarray:
 CHUNK = "kind string, chunk long, doc_ids binary, has_id binary, lengths binary, seq binary, words binary, n binary"
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chunks(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each chunk a row of its documents (kind seq) and one of its words with their training counts (kind words)."""
     ids: list[int | None] = []
     docs: list[np.ndarray] = []
@@ -129,7 +130,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids.append(doc_id)
             docs.append(word_hashes(text.as_py()))
             tokens += len(docs[-1])
-            if tokens >= CHUNK_TOKENS:
+            if tokens >= size:
                 yield rows()
                 ids, docs, tokens, made = [], [], 0, made + 1
     if ids:
@@ -152,7 +153,7 @@ class Chunk:
         self.firsts = np.cumsum(self.lengths) - self.lengths
         self.trained = np.repeat(~self.held, self.lengths)
         # places hold ranges of the sorted words
-        words = sorted(row["words"], key=lambda r: r["place"])
+        words = sorted(row.pop("order1"), key=lambda r: r["place"])
         self.ids, self.counts = joined(words, "ids", np.uint64), joined(words, "n", np.uint64).astype(np.int64)
         self.word = self.ids[self.seq]
 
@@ -198,7 +199,7 @@ class Ngrams:
         n = np.bincount(self.at[trained[self.known]], minlength=len(self.keys)).astype(np.uint32)
         return _messages(chunk, self.place, keys=(self.keys, packed_sorted), n=(n, packed), lower=(target, packed))
 
-    def told(self, replies: list[dict], of_hot: list[tuple[float, list[int]]], hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def told(self, replies: list[dict] | None, of_hot: list[tuple[float, list[int]]], hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """What the places reply: training count of each n-gram; sum of lower orders and times by context."""
         replies = sorted(replies or [], key=lambda r: r["place"])
         low, times = np.zeros(len(self.names)), np.zeros((GT_LIMIT, len(self.names)), np.uint32)
@@ -286,17 +287,24 @@ class KatzModel:
     def __init__(self, docs: DataFrame, path: str | None = None):
         spark = self.spark = docs.sparkSession
         self.path = path or fresh_path(spark, "katz")
-        chunks = written(id_and_text(docs).mapInArrow(_chunks, CHUNK), "chunks", by="kind", path=f"{self.path}/chunks")
+        chunks = written(spread(id_and_text(docs)).mapInArrow(functools.partial(_chunks, CHUNK_TOKENS), CHUNK), "chunks", by="kind", path=f"{self.path}/chunks")
         self.chunks = chunks.where("kind = 'seq'").select("chunk", "doc_ids", "has_id", "lengths", "seq")
         # a place holds about what a chunk does
         self.n = max(shuffle_partitions(spark), self.chunks.count())
         self._count_words(chunks.where("kind = 'words'").select("chunk", "words", "n"))
         delete(spark, f"{self.path}/chunks/kind=words")
-        self.hot: dict[int, np.ndarray] = {}
+        self.ngrams: dict[int, DataFrame] = {}
+        self.hot: dict[int, np.ndarray] = {2: self._frequent(self.words, np.uint64)}
         self.of_hot: dict[int, list] = {}
         self.d = {1: self.law.d}
-        for order in (2, 3):
-            self._count_ngrams(order)
+        self.chunks = self._with_replies(self.chunks, 1)
+        self._count_ngrams(2)
+        self.hot[3] = self._frequent(self.ngrams[2], np.uint32)
+        # from here on chunks carry those replies, and lie where replies are sent
+        self.chunks = bucketed(self._with_replies(self.chunks, 2), f"{self.path}/replied", "chunk", self.n)
+        for part in ("chunks", "order1/kind=reply", "order2/kind=reply"):
+            delete(spark, f"{self.path}/{part}")
+        self._count_ngrams(3)
 
     def _exchanged(self, sent: DataFrame, summed, schema: str, name: str) -> DataFrame:
         """What summed (rows of a place -> batch) gives for each place, by kind."""
@@ -363,30 +371,23 @@ class KatzModel:
         least = max(1, -(-self.law.total // HOT_SHARE))
 
         def frequent(row: dict) -> dict:
-            return {"id": pa.array(unpacked(row["ids"], np.uint64)[unpacked(row["n"], dtype) >= least].astype(np.int64))}
-
-        return np.sort(np.array([r["id"] for r in _rows(table.where("kind = 'model'").select("ids", "n"), frequent, "id long").collect()], np.uint64))
-
-    def _with_replies(self, orders: tuple[int, ...]) -> DataFrame:
-        """Chunks with what the places of single words and of these orders replied."""
-        out = self.chunks
-        replies = self.words.where("kind = 'reply'").groupBy("chunk").agg(F.collect_list(F.struct("place", "ids", "n")).alias("words"))
-        out = out.join(replies, "chunk")
-        for order in orders:
-            rows = self.ngrams[order].where("kind = 'reply'")
-            # a chunk without a known context has no replies
-            out = out.join(rows.groupBy("chunk").agg(F.collect_list(F.struct("place", "ids", "n", "low", "times")).alias(f"order{order}")), "chunk", "left")
-        return out
+            many = unpacked(row["n"], dtype) >= least
+            # n-grams are numbered in their stored order
+            ids = unpacked(row["ids"], np.uint64) if row["ids"] else self_numbers(len(many), row["place"])
+            return {"id": pa.array(ids[many].astype(np.int64))}
+
+        self_numbers = functools.partial(numbered, self.n)
+        return np.sort(np.array([r["id"] for r in _rows(table.where("kind = 'model'").select("place", "ids", "n"), frequent, "id long").collect()], np.uint64))
 
-    ngrams: dict[int, DataFrame]
+    def _with_replies(self, chunks: DataFrame, order: int) -> DataFrame:
+        """Chunks with what the places of this order replied; a chunk without a known context has no replies."""
+        table = self.words if order == 1 else self.ngrams[order]
+        names = ["place", "ids", "n"] if order == 1 else ["place", "ids", "n", "low", "times"]
+        replies = table.where("kind = 'reply'").select("chunk", *names).repartition(self.n, "chunk").groupBy("chunk").agg(F.collect_list(F.struct(*names)).alias(f"order{order}"))
+        return (chunks if order == 3 else chunks.repartition(self.n, "chunk")).join(replies, "chunk", "left")
 
     def _count_ngrams(self, order: int) -> None:
         n, law = self.n, self.law
-        if order == 2:
-            self.ngrams = {}
-            self.hot[2] = self._frequent(self.words, np.uint64)
-        else:
-            self.hot[3] = self._frequent(self.ngrams[2], np.uint32)
         hot, d = self.hot, self.d
 
         def sent(row: dict) -> dict:
@@ -414,7 +415,7 @@ class KatzModel:
             times = np.array([np.bincount(of[totals == r], minlength=len(slot)) for r in range(1, GT_LIMIT + 1)], np.uint32)
             low = np.bincount(of[seen], weights=lower(target[seen]), minlength=len(slot))
             ids = np.zeros(len(every), np.uint64)
-            ids[seen] = np.arange(seen.sum()).astype(np.uint64) * np.uint64(n) + np.uint64(place + 1)
+            ids[seen] = numbered(n, int(seen.sum()), place)
             if len(slot) and seen.sum() >= HOT_SLOT:
                 raise OverflowError("a place numbers fewer than 2**31 n-grams")
             out: dict[str, list] = {c: [] for c in ("keys", "ids", "n", "slots", "low", "times")}
@@ -426,10 +427,10 @@ class KatzModel:
             stats = lambda which: {"low": packed(low[which]), "times": packed(times[:, which].ravel())}
             for k, part in zip(keys, np.split(at, cuts)):
                 mine = np.unique(k >> np.uint64(32))
-                numbers = {"ids": packed(ids[part])} if order == 2 else {}
+                numbers = {"ids": packed(np.diff(ids[part], prepend=np.uint64(0)))} if order == 2 else {}
                 add(n=packed(totals[part].astype(np.uint32)), **numbers, **stats(np.searchsorted(slot, mine[mine < HOT_SLOT])))
             cold = slot < HOT_SLOT
-            add(keys=packed_sorted(every[seen]), n=packed(totals[seen].astype(np.uint32)), ids=packed(ids[seen]) if order == 2 else None)
+            add(keys=packed_sorted(every[seen]), n=packed(totals[seen].astype(np.uint32)))
             add(slots=packed_sorted(slot[cold]), **stats(cold))
             add(slots=packed_sorted(slot[~cold]), **stats(~cold))
             return pa.RecordBatch.from_pydict({
@@ -439,7 +440,7 @@ class KatzModel:
                 **{c: pa.array(x, pa.binary()) for c, x in out.items()},
             })
 
-        messages = _rows(self._with_replies(tuple(range(2, order))), sent, "place int, chunk long, keys binary, n binary, lower binary")
+        messages = _rows(self.chunks, sent, "place int, chunk long, keys binary, n binary, lower binary")
         schema = "kind string, place int, chunk long, keys binary, ids binary, n binary, slots binary, low binary, times binary"
         self.ngrams[order] = self._exchanged(messages, summed, schema, f"order{order}")
         self.d[order] = discounts(self._counts_of_counts(self.ngrams[order], np.uint32)[2])
@@ -506,14 +507,20 @@ class KatzModel:
                 "score": pa.array(per(logs)),
             }
 
-        return _rows(self._with_replies((2, 3)), run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        return _rows(self._with_replies(self.chunks, 3), run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def numbered(n: int, many: int, place: int) -> np.ndarray:
+    """The numbers that a place gives to its n-grams, in order; n places share out all numbers."""
+    return np.arange(many, dtype=np.uint64) * np.uint64(n) + np.uint64(place + 1)
 
 
-def numbers_of(c: Chunk, two: Ngrams, replies: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+def numbers_of(c: Chunk, two: Ngrams, replies: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
     """By token: the number of the bigram that ends there (0: not seen) and its training count."""
     replies = sorted(replies or [], key=lambda r: r["place"])
     number, count = np.zeros(len(c.seq), np.uint64), np.zeros(len(c.seq), np.uint64)
-    number[two.known] = joined(replies, "ids", np.uint64)[two.at]
+    ids = [np.cumsum(unpacked(r["ids"], np.uint64), dtype=np.uint64) for r in replies]
+    number[two.known] = np.concatenate([np.zeros(0, np.uint64), *ids])[two.at]
     count[two.known] = joined(replies, "n", np.uint32)[two.at]
     return number, count
 

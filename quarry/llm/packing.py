@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import id_and_text, row_key, written
+from quarry.llm.common import id_and_text, row_key, spread, written
 from quarry.llm.word_ids import encode_texts, encoder
 
 MAX_TOKENS = 2048
@@ -50,7 +50,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, most: int = MAX_TOKENS) -> Data
                         col.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=names)
 
-    return id_and_text(docs).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return spread(id_and_text(docs)).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def pack(docs: DataFrame, tokenizer_path: str, most: int = MAX_TOKENS) -> DataFrame:

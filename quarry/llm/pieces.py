@@ -19,7 +19,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import id_and_text
+from quarry.llm.common import id_and_text, spread
 
 SPACE = "▁"  # stands for a blank in pieces (fixed value)
 #: Parts remembered per worker, and the longest part that is.
@@ -226,4 +226,4 @@ def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = False) -
             cols = list(zip(*rows)) or [()] * len(fields)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, fields)], names=[n for n, _ in fields])
 
-    return id_and_text(docs).mapInArrow(run, schema)
+    return spread(id_and_text(docs)).mapInArrow(run, schema)

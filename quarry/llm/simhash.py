@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import id_and_text, written
+from quarry.llm.common import id_and_text, spread, written
 from quarry.llm.components import components
 
 SHINGLE_WORDS, SEED = 4, 42
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = [fingerprint(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, fp long")
+    return spread(id_and_text(docs)).mapInArrow(run, "doc_id long, fp long")
 
 
 def _bits(fp: Column, shift: int, width: int) -> Column:

@@ -16,6 +16,7 @@ window at most once a chunk.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import NULL_ID, id_and_text, shuffle_partitions, written
+from quarry.llm.common import NULL_ID, delete, fresh_path, id_and_text, shuffle_partitions, spread, written
 from quarry.llm.katz import _rows, packed, packed_sorted, unpacked, unpacked_sorted
 from quarry.llm.phrases import _powers
 
@@ -43,7 +44,7 @@ HOT_COPIES = 10_000
 CHUNK = "chunk long, doc_ids binary, has_id binary, lengths binary, data binary"
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chunks(most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
     ids: list[int | None] = []
     texts: list[bytes] = []
@@ -58,7 +59,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids.append(doc_id)
             texts.append(text.as_py().encode("utf-8", "surrogatepass"))
             size += len(texts[-1])
-            if size >= CHUNK_BYTES:
+            if size >= most:
                 yield row()
                 ids, texts, size, made = [], [], 0, made + 1
     if ids:
@@ -292,11 +293,12 @@ def _table(rows: list[dict]) -> dict:
 
 
 class SuffixDedup:
-    """The steps of the removal, each over written tables."""
+    """The steps of the removal; each writes a table under path and deletes those that are not read any more."""
 
-    def __init__(self, docs: DataFrame):
+    def __init__(self, docs: DataFrame, path: str | None = None):
         self.spark = docs.sparkSession
-        self.chunks = written(id_and_text(docs).mapInArrow(_chunks, CHUNK), "suffix-chunks")
+        self.path = path or fresh_path(self.spark, "suffix-dedup")
+        self.chunks = written(spread(id_and_text(docs)).mapInArrow(functools.partial(_chunks, CHUNK_BYTES), CHUNK), "suffix-chunks")
         # a place holds no more than about a chunk does, however large the input
         self.n = max(shuffle_partitions(self.spark), self.chunks.count())
 
@@ -328,11 +330,11 @@ class SuffixDedup:
 
         sent = _rows(self.chunks, hashes, "place int, chunk long, keys binary, copies binary")
         got = sent.repartitionById(n, F.col("place")).mapInArrow(known, "chunk long, keys binary, hot binary")
-        return written(got.groupBy("chunk").agg(F.collect_list("keys").alias("keys"), F.collect_list("hot").alias("hot")), "suffix-grams")
+        return written(got.repartition(n, "chunk").groupBy("chunk").agg(F.collect_list("keys").alias("keys"), F.collect_list("hot").alias("hot")), "grams", path=f"{self.path}/grams")
 
     def runs(self, grams: DataFrame) -> DataFrame:
         """Front-coded sorted runs by place, and the spans of anchors whose whole surroundings repeat within a chunk."""
-        joined = self.chunks.join(grams, "chunk")
+        joined = self.chunks.repartition(self.n, "chunk").join(grams.repartition(self.n, "chunk"), "chunk")
 
         def sample(row: dict) -> dict:
             c = Chunk(row)
@@ -408,7 +410,9 @@ class SuffixDedup:
                     out.append({"kind": "run", "place": p, "chunk": row["chunk"], "a": packed(lcp.astype(np.uint8)), "b": zlib.compress(tails, 1), "c": zlib.compress(rows[m][:, :REACH].tobytes(), 1), "d": packed(sides.ravel()), "e": packed(np.stack([rid[doc[m]], doc[m].astype(np.int64)]).ravel()), "f": packed((where - begins)[m].astype(np.int64))})
             return _table(out)
 
-        return written(_rows(joined, make, ROW), "suffix-runs", by="kind")
+        runs = written(_rows(joined, make, ROW), "runs", by="kind", path=f"{self.path}/runs")
+        delete(self.spark, f"{self.path}/grams")
+        return runs
 
     def merged(self, runs: DataFrame) -> DataFrame:
         """Spans (chunk, documents, starts, ends) that the merge of all runs of a place shows to repeat."""
@@ -469,7 +473,10 @@ class SuffixDedup:
 
     def result(self) -> DataFrame:
         runs = self.runs(self.shared_grams())
-        spans = runs.where("kind = 'gone'").unionByName(self.merged(runs)).unionByName(self.repeated_windows(runs)).groupBy("chunk").agg(F.collect_list(F.struct("a", "b", "c")).alias("gone"))
+        spans = runs.where("kind = 'gone'").unionByName(self.merged(runs)).unionByName(self.repeated_windows(runs)).select("chunk", "a", "b", "c")
+        spans = written(spans, "suffix-spans")
+        delete(self.spark, f"{self.path}/runs")
+        spans = spans.repartition(self.n, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("a", "b", "c")).alias("gone"))
 
         def cut(row: dict) -> dict:
             c = Chunk(row)
@@ -490,7 +497,7 @@ class SuffixDedup:
                 out["kept_sha256"].append(hashlib.sha256(a[s:e][~g].tobytes() if n else c.data[s:e]).hexdigest())
             return {k: pa.array(v, pa.string() if k == "kept_sha256" else pa.int64()) for k, v in out.items()}
 
-        return _rows(self.chunks.join(spans, "chunk", "left"), cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        return _rows(self.chunks.repartition(self.n, "chunk").join(spans, "chunk", "left"), cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

@@ -1,12 +1,13 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Training: a bounded sample of labelled rows (MAX_TOXIC and MAX_CLEAN, by a hash of the id) gives the
-examples and the terms (words, and word starts of 4 to 8 letters) whose use differs between the classes;
-document frequencies of those terms are counted over all documents. The index over the examples is
-bounded by these parameters, so each Python worker holds it. A query looks at blocks of examples in the
-order of their score bounds and stops when no block can reach the k-th best: the result is exact.
-Votes are weighted by similarity and by how many labelled rows an example stands for, then mapped to
-probabilities by a monotone fit over the examples, each of which is scored without itself.
+Examples are a bounded sample of labelled rows (MAX_TOXIC, MAX_CLEAN and MAX_CHARS, by a hash of the id); each is indexed
+with all its terms: words, and word starts of 4 and 6 letters. A term weighs (1 + ln tf) * idf ** 2, with
+document frequencies over all documents. Examples with like terms share a block, and the index keeps
+the largest weight of each term in each block. Lists of rare terms are short and walked in full;
+frequent terms are kept block by block, and a block is looked at only if its bound can reach the text's
+k-th best so far, so the result is exact. All examples as near as the k-th vote, by similarity and by
+how many labelled rows they stand for; a monotone fit over the examples, each of which is scored
+without itself, maps votes to probabilities. The nearest examples are the evidence.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import hashlib
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,108 +24,163 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import id_and_text
+from quarry.llm.common import id_and_text, spread, written
 
-MAX_TOXIC, MAX_CLEAN = 2000, 3000
-MAX_TERMS = 1000
-#: Least G statistic (likelihood ratio) of a term between the classes.
-LEAST_G = 20.0
-#: Least ratio between a term's shares of the two classes. Longer texts have more of every common word; such
-#: terms say little and would give nearly every text a vector of its own.
-LEAST_RATIO = 3.0
-NEIGHBOURS, BLOCK = 9, 64
+#: Bounds of the example sample: rows of each class, and characters of an example's text (longer ones are no examples).
+MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1500, 1500, 20_000
+NEIGHBOURS, BLOCK = 100, 64
+#: Terms in this share of the examples are kept by blocks, rarer ones by lists.
+FREQUENT = 0.05
+#: Texts that are searched for together.
+BATCH = 128
 #: Weight of the prior in a vote.
 PRIOR_WEIGHT = 0.2
 HOLD_OUT = 5
 
 WORDS = re.compile(r"[^\W\d_]+")
-STARTS = (4, 5, 6, 7, 8)
+STARTS = (4, 6)
 
 
 def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(str(doc_id).encode()) % HOLD_OUT == 0 if doc_id is not None else False
 
 
-def term_set(text: str) -> set[str]:
-    """Words as they are, starts with a dash after them."""
-    words = set(WORDS.findall(text.lower()))
-    return words.union(*({w[:k] + "-" for w in words if len(w) > k} for k in STARTS))
+def term_counts(text: str) -> dict[str, int]:
+    """Counts of words as they are, and of starts with a dash after them."""
+    words = Counter(WORDS.findall(text.lower()))
+    out = dict(words)
+    for w, n in words.items():
+        size = len(w)
+        for k in STARTS:
+            if size > k:
+                t = w[:k] + "-"
+                out[t] = out.get(t, 0) + n
+    return out
 
 
 class Terms:
-    """Counts of the chosen terms in a text."""
+    """Places and counts of those terms of a text that the examples have too."""
 
     def __init__(self, terms: list[str]):
-        self.at = {t: i for i, t in enumerate(terms)}
-        self.words = {t for t in terms if t[-1] != "-"}
-        self.starts = {k: {t[:-1] for t in terms if t[-1] == "-" and len(t) == k + 1} for k in STARTS}
-
-    def found(self, text: str) -> tuple[tuple[int, int], ...]:
-        """(term, count) pairs in the order of the terms."""
-        words = WORDS.findall(text.lower())
-        distinct = set(words)
-        out = {self.at[w]: words.count(w) for w in distinct & self.words}
-        for k, starts in self.starts.items():
-            if starts and (hit := {w[:k] for w in distinct} & starts):
-                for s in hit:
-                    if n := sum(len(w) > k and w.startswith(s) for w in words):
-                        out[self.at[s + "-"]] = n
-        return tuple(sorted(out.items()))
+        self.words = {t: i for i, t in enumerate(terms) if t[-1] != "-"}
+        self.starts = [(k, {t[:-1]: i for i, t in enumerate(terms) if t[-1] == "-" and len(t) == k + 1}) for k in STARTS]
+        self.size = len(terms)
+
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        words = Counter(WORDS.findall(text.lower()))
+        names, n = list(words), np.array(list(words.values()), float)
+        found = [np.array([self.words.get(w, -1) for w in names], np.int64)]
+        for k, of in self.starts:
+            found.append(np.array([of.get(w[:k], -1) if len(w) > k else -1 for w in names], np.int64))
+        every = np.concatenate(found)
+        known = every >= 0
+        terms, at = np.unique(every[known], return_inverse=True)
+        return terms, np.bincount(at, weights=np.tile(n, len(found))[known], minlength=len(terms)) if len(terms) else np.zeros(0)
 
 
 class BlockMaxIndex:
-    """Exact top-k cosine over a bounded set of examples."""
+    """Exact nearest examples by cosine in the space of the examples' terms; bounded by the sample."""
 
-    def __init__(self, idf: np.ndarray, vectors: list[tuple[tuple[int, int], ...]]):
+    def __init__(self, idf: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]]):
+        """idf of each term; (terms, counts) of each example."""
         self.idf = idf
-        order = sorted(range(len(vectors)), key=lambda i: vectors[i])  # alike examples share blocks, which tightens the bounds
-        self.ids = np.array(order, dtype=np.int64)
-        n_blocks = (len(vectors) + BLOCK - 1) // BLOCK
-        lists: dict[int, list[tuple[int, float]]] = {}
-        for at, i in enumerate(order):
-            for term, w in self.weights(vectors[i]):
-                lists.setdefault(term, []).append((at, w))
-        self.postings: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        self.bounds: dict[int, np.ndarray] = {}
-        for term, rows in lists.items():
-            at, w = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-            bound = np.zeros(n_blocks)
-            np.maximum.at(bound, at // BLOCK, w)
-            self.postings[term] = (at, w, np.searchsorted(at, np.arange(n_blocks + 1) * BLOCK))
-            self.bounds[term] = bound
-
-    def weights(self, vector: tuple[tuple[int, int], ...]) -> list[tuple[int, float]]:
-        raw = [(t, (1 + math.log(n)) * self.idf[t]) for t, n in vector]
-        norm = math.sqrt(sum(w * w for _, w in raw)) or 1.0
-        return [(t, w / norm) for t, w in raw]
-
-    def nearest(self, vector: tuple[tuple[int, int], ...], k: int, without: int = -1) -> list[tuple[float, int]]:
-        """(cosine, example) of the k most similar, ties by the smaller example number; similarity 0 is none."""
-        terms = [(w, *self.postings[t], self.bounds[t]) for t, w in self.weights(vector) if t in self.postings]
-        if not terms:
-            return []
-        bound = sum(w * b for w, _, _, _, b in terms)
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or len(best) == k and bound[block] < -best[-1][0] - 1e-12:
-                break
-            scores = np.zeros(BLOCK)
-            for w, at, weight, starts, _ in terms:
-                a, b = starts[block], starts[block + 1]
-                scores[at[a:b] - block * BLOCK] += w * weight[a:b]
-            hits = np.nonzero(scores)[0]
-            # rounded: equal texts tie whatever the order of the sums
-            best += [(-round(float(scores[h]), 9), int(self.ids[block * BLOCK + h])) for h in hits if self.ids[block * BLOCK + h] != without]
-            best = sorted(best)[:k]
-        return [(-s, i) for s, i in best]
+        df = np.bincount(np.concatenate([np.zeros(0, np.int64), *[v[0] for v in vectors]]), minlength=len(idf))
+        # alike examples (by their most frequent terms) share blocks, which tightens the bounds
+        by_use = [tuple(sorted(v[0].tolist(), key=lambda t: (-df[t], t))[:12]) for v in vectors]
+        self.ids = np.array(sorted(range(len(vectors)), key=lambda i: by_use[i]), np.int64)
+        frequent = df >= max(2, FREQUENT * len(vectors))
+        self.column = np.where(frequent, np.cumsum(frequent) - 1, -1)
+        self.dense = np.zeros((len(vectors), int(frequent.sum())))
+        lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for row, i in enumerate(self.ids):
+            t, w = self.weights(*vectors[i])
+            c = self.column[t]
+            self.dense[row, c[c >= 0]] = w[c >= 0]
+            lists.append((t[c < 0], np.full((c < 0).sum(), row), w[c < 0]))
+        t, row, w = (np.concatenate([np.zeros(0, k), *x]) for k, x in zip((np.int64, np.int64, float), zip(*lists))) if lists else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        by = np.argsort(t, kind="stable")
+        self.row, self.weight = row[by], w[by]
+        self.starts = np.searchsorted(t[by], np.arange(len(idf) + 1))
+        self.edges = np.arange(0, len(vectors), BLOCK)
+        self.bounds = np.maximum.reduceat(self.dense, self.edges, axis=0) if len(vectors) else np.zeros((0, self.dense.shape[1]))
+
+    def weights(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(counts)) * self.idf[terms] ** 2
+        return terms, w / (math.sqrt(float((w * w).sum())) or 1.0)
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, without: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vector the examples as near as its k-th (ties all belong) and their cosines, nearest first; cosine 0 is none.
+
+        without: for each vector an example that doesn't count.
+        """
+        out = []
+        for a in range(0, len(vectors), BATCH):
+            out += self._nearest(vectors[a : a + BATCH], k, None if without is None else without[a : a + BATCH])
+        return out
+
+    def _nearest(self, vectors, k, without):
+        n, m = len(vectors), len(self.ids)
+        if not m:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * n
+        dense = np.zeros((n, self.dense.shape[1]))
+        scores = np.zeros((n, m))
+        for i, v in enumerate(vectors):
+            t, w = self.weights(*v)
+            c = self.column[t]
+            dense[i, c[c >= 0]] = w[c >= 0]
+            t, w = t[c < 0], w[c < 0]
+            sizes = self.starts[t + 1] - self.starts[t]
+            if total := int(sizes.sum()):
+                at = np.repeat(self.starts[t] - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)
+                scores[i] = np.bincount(self.row[at], weights=self.weight[at] * np.repeat(w, sizes), minlength=m)
+        hidden = None
+        if without is not None:
+            back = np.empty(m, np.int64)
+            back[self.ids] = np.arange(m)
+            hidden = back[without]
+        bound = dense @ self.bounds.T + np.maximum.reduceat(scores, self.edges, axis=1)
+        order = np.argsort(-bound, axis=1, kind="stable")
+        done = np.zeros(bound.shape, bool)
+        least = np.zeros(n)
+        blocks, step = bound.shape[1], max(1, -(-2 * k // BLOCK))
+        first = 0
+        while first < blocks:
+            wanted = np.zeros(bound.shape, bool)
+            np.put_along_axis(wanted, order[:, first : first + step], True, axis=1)
+            wanted &= (bound > 0) & (bound >= least[:, None] - 1e-9)
+            if not wanted.any():
+                break  # later blocks have no larger bounds
+            for b in np.flatnonzero(wanted.any(axis=0)):
+                rows, span = np.flatnonzero(wanted[:, b]), slice(self.edges[b], self.edges[b] + BLOCK)
+                scores[rows, span] += dense[rows] @ self.dense[span].T
+            done |= wanted
+            first, step = first + step, step * 2
+            if first < blocks and m > k:
+                seen = np.where(np.repeat(done, BLOCK, axis=1)[:, :m], scores, 0.0)
+                if hidden is not None:
+                    seen[np.arange(n), hidden] = 0.0
+                least = np.partition(seen, m - k, axis=1)[:, m - k]
+        scores[~np.repeat(done, BLOCK, axis=1)[:, :m]] = 0.0
+        if hidden is not None:
+            scores[np.arange(n), hidden] = 0.0
+        # rounded: equal texts tie whatever the order of the sums
+        scores = np.round(scores, 9)
+        out = []
+        for s in scores:
+            last = np.partition(s, m - k)[m - k] if m > k else 0.0
+            hit = np.flatnonzero((s >= last) & (s > 0))
+            hit = hit[np.lexsort((self.ids[hit], -s[hit]))]
+            out.append((self.ids[hit], s[hit]))
+        return out
 
 
 def monotone_fit(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of a non-decreasing map from vote to share of label 1 (pool adjacent violators)."""
-    order = np.argsort(votes, kind="stable")
+    """Knots of a non-decreasing map from vote to share of label 1 (pool adjacent violators; equal votes are one)."""
+    votes, at = np.unique(votes, return_inverse=True)
+    sums = [np.bincount(at, weights=x, minlength=len(votes)) for x in (weights, weights * labels, weights)]
     pools: list[list[float]] = []  # weight, weighted label sum, weighted vote sum
-    for v, y, w in zip(votes[order], labels[order], weights[order]):
-        pools.append([w, w * y, w * v])
+    for w, wy, wv in zip(sums[0], sums[1], sums[2] * votes):
+        pools.append([w, wy, wv])
         while len(pools) > 1 and pools[-2][1] * pools[-1][0] >= pools[-1][1] * pools[-2][0]:
             last = pools.pop()
             pools[-1] = [a + b for a, b in zip(pools[-1], last)]
@@ -133,125 +190,131 @@ def monotone_fit(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) ->
 class ToxicityModel:
     """Examples, index and calibration; small enough to go with each task (bounded by the constants)."""
 
-    def __init__(self, terms: Terms, idf: np.ndarray, examples: list[tuple[int, tuple, int]], share: tuple[float, float]):
-        """examples: (doc_id, term counts, label)."""
-        self.terms = terms
+    def __init__(self, index: BlockMaxIndex, examples: list[tuple[int, int]], vectors: list[tuple[np.ndarray, np.ndarray]], totals: dict[int, int]):
+        """examples: (doc_id, label); totals: labelled rows of each class that the examples stand for."""
+        self.index = index
+        self.neighbours = NEIGHBOURS
         self.doc_ids = [e[0] for e in examples]
-        self.labels = np.array([e[2] for e in examples], dtype=float)
-        self.weight = np.where(self.labels > 0, share[1], share[0])
-        vectors = [e[1] for e in examples]
-        self.index = BlockMaxIndex(idf, vectors)
-        self.prior = float((self.weight * self.labels).sum() / self.weight.sum()) if examples else 0.0
-        votes = np.array([self.vote(self.index.nearest(v, NEIGHBOURS, without=i)) for i, v in enumerate(vectors)])
-        blank = np.array([not v for v in vectors], dtype=bool)
-        of = lambda rows: float((self.weight * self.labels)[rows].sum() / self.weight[rows].sum()) if rows.any() else self.prior
-        self.blank_score = of(blank)
-        self.knots = monotone_fit(votes[~blank], self.labels[~blank], self.weight[~blank]) if (~blank).any() else (np.array([0.0]), np.array([self.prior]))
-        self.memo: dict = {}
-
-    def vote(self, near: list[tuple[float, int]]) -> float:
-        w = np.array([s * self.weight[i] for s, i in near])
-        y = np.array([self.labels[i] for _, i in near])
-        scale = PRIOR_WEIGHT * (w.mean() if len(w) else 1.0)
-        return float(((w * y).sum() + scale * self.prior) / (w.sum() + scale))
-
-    def score(self, text: str) -> tuple[float, str]:
+        self.labels = np.array([e[1] for e in examples], dtype=float)
+        self.weight = np.where(self.labels > 0, totals.get(1, 0) / max(1, self.labels.sum()), totals.get(0, 0) / max(1, (1 - self.labels).sum()))
+        self.prior = totals.get(1, 0) / max(1, sum(totals.values()))
+        near = index.nearest(vectors, self.neighbours, without=np.arange(len(vectors)))
+        votes = np.array([self.vote(*x) for x in near if len(x[0])])
+        found = np.array([len(x[0]) > 0 for x in near], bool)
+        self.knots = monotone_fit(votes, self.labels[found], self.weight[found]) if found.any() else (np.array([0.0]), np.array([self.prior]))
+
+    def vote(self, ids: np.ndarray, similarity: np.ndarray) -> float:
+        w = similarity * self.weight[ids]
+        scale = PRIOR_WEIGHT * w.mean()
+        # rounded: equal votes stay equal whatever the order of the sums
+        return round(float(((w * self.labels[ids]).sum() + scale * self.prior) / (w.sum() + scale)), 9)
+
+    def scores(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, str]]:
         """Probability of label 1, and the nearest examples as doc_id:label:similarity."""
-        vector = self.terms.found(text)
-        if vector not in self.memo:
-            if len(self.memo) > 100_000:
-                self.memo.clear()
-            near = self.index.nearest(vector, NEIGHBOURS)
-            p = float(np.interp(self.vote(near), *self.knots)) if vector else self.blank_score
-            evidence = ",".join(f"{self.doc_ids[i]}:{int(self.labels[i])}:{s:.4f}" for s, i in near[:3])
-            self.memo[vector] = (min(1.0, max(0.0, p)), evidence)
-        return self.memo[vector]
+        out = []
+        for ids, similarity in self.index.nearest(vectors, self.neighbours):
+            p = float(np.interp(self.vote(ids, similarity), *self.knots)) if len(ids) else self.prior
+            out.append((min(1.0, max(0.0, p)), ",".join(f"{self.doc_ids[i]}:{int(self.labels[i])}:{s:.4f}" for i, s in zip(ids[:3], similarity))))
+        return out
 
 
-def partial_counts(docs: DataFrame, count, schema: str) -> DataFrame:
-    """count(texts, labels) -> columns, called for each batch of (text, label) rows."""
+def sampled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """The examples (doc_id, toxic, text), one row an id however often it is repeated; and the labelled rows of each class."""
+    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    known = known.where(F.crc32(F.col("doc_id").cast("string")) % HOLD_OUT != 0)
+    short = docs.where(F.length(F.coalesce("text", F.lit(""))) <= MAX_CHARS)
+    totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    fit_for = known.join(short.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sample = [r for y, most in ((1, MAX_TOXIC), (0, MAX_CLEAN)) for r in fit_for.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
+    rows = docs.sparkSession.createDataFrame(sample, "doc_id long, toxic int")
+    return id_and_text(short).join(F.broadcast(rows), "doc_id").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text")), totals
+
+
+VECTOR = "doc_id long, text_id string, terms array<int>, n array<int>"
+
+
+def vectors_of(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """A row per document row, written: doc_id, the text's SHA-256, and which of these terms it has how often."""
+    shared = docs.sparkSession.sparkContext.broadcast(Terms(terms))  # as large as the examples' texts at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_pydict(count(batch.column(0), batch.column(1).to_pylist()))
+            texts = [t.as_py() for t in batch.column(1)]
+            found = [shared.value.counts(t) for t in texts]
+            ends = pa.array(np.cumsum([0, *[len(t) for t, _ in found]]), pa.int32())
+            flat = lambda at: pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x[at] for x in found]).astype(np.int32)))
+            ids = pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts])
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, flat(0), flat(1)], names=["doc_id", "text_id", "terms", "n"])
 
-    return docs.mapInArrow(run, schema)
+    return written(spread(id_and_text(docs)).mapInArrow(run, VECTOR), "toxicity-vectors")
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
-    """Learn from labelled rows that are not held out. docs: doc_id, text; labels: doc_id, toxic (0, 1, null)."""
-    spark = docs.sparkSession
-    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    known = known.where(F.crc32(F.col("doc_id").cast("string")) % HOLD_OUT != 0)
-    totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    sample = [r for y, most in ((1, MAX_TOXIC), (0, MAX_CLEAN)) for r in known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
-    rows = spark.createDataFrame(sample, "doc_id long, toxic int")
-    # one row for an example, however often its id is repeated
-    examples = id_and_text(docs).join(F.broadcast(rows), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
-
-    def by_class(texts, toxic):
-        seen: dict[str, list[int]] = {}
-        for text, y in zip(texts, toxic):
-            for t in term_set(text.as_py()):
-                seen.setdefault(t, [0, 0])[y] += 1
-        return {"term": pa.array(list(seen), pa.string()), "clean": pa.array([v[0] for v in seen.values()], pa.int64()), "toxic": pa.array([v[1] for v in seen.values()], pa.int64())}
-
-    n = {y: sum(r["toxic"] == y for r in sample) for y in (0, 1)}
-    used = partial_counts(examples.select("text", "toxic"), by_class, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b"))
-    total = max(1, n[0] + n[1])
-    log_part = lambda seen, of: F.when(seen > 0, seen * F.log(seen * total / ((F.col("a") + F.col("b")) * of))).otherwise(0.0) if of else F.lit(0.0)
-    rest = lambda seen, of: F.when(of - seen > 0, (of - seen) * F.log((of - seen) * total / ((total - F.col("a") - F.col("b")) * of))).otherwise(0.0) if of else F.lit(0.0)
-    g = 2 * (log_part(F.col("a"), n[0]) + log_part(F.col("b"), n[1]) + rest(F.col("a"), n[0]) + rest(F.col("b"), n[1]))
-    shares = [(F.col(c) + 0.5) / (n[y] + 1) for c, y in (("a", 0), ("b", 1))]
-    ratio = F.greatest(shares[0] / shares[1], shares[1] / shares[0])
-    terms = [r["term"] for r in used.where("a + b >= 3").withColumn("g", g).where((F.col("g") >= LEAST_G) & (ratio >= LEAST_RATIO)).orderBy(F.desc("g"), "term").limit(MAX_TERMS).collect()]
-    chosen = Terms(terms)
-
-    def in_corpus(texts, _):
-        seen: dict[int, int] = {-1: len(texts)}
-        for text in texts:
-            for t, _n in chosen.found(text.as_py()):
-                seen[t] = seen.get(t, 0) + 1
-        return {"at": pa.array(list(seen), pa.int64()), "n": pa.array(list(seen.values()), pa.int64())}
-
-    df = {r["at"]: r["n"] for r in partial_counts(id_and_text(docs).select("text", F.lit(0).alias("toxic")), in_corpus, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()}
-    idf = np.array([math.log((1 + df.get(-1, 0)) / (1 + df.get(i, 0))) + 1 for i in range(len(terms))])
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def inverse_frequency(vectors: DataFrame, size: int) -> np.ndarray:
+    """Of each term, from how many of all documents have it."""
+
+    def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(size + 1, np.int64)
+        for batch in batches:
+            n[:-1] += np.bincount(batch.column(0).flatten().to_numpy(), minlength=size)
+            n[-1] += batch.num_rows
+        hit = np.flatnonzero(n)
+        for a in range(0, len(hit), 50_000):
+            part = hit[a : a + 50_000]
+            yield pa.RecordBatch.from_pydict({"at": pa.array(part), "n": pa.array(n[part])})
+
+    counts = vectors.select("terms").mapInArrow(used, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # a row a term of the examples
+    df = np.zeros(size + 1)
+    df[counts["at"].to_numpy(np.int64)] = counts["n"].to_numpy(float)
+    return np.log((1 + df[-1]) / (1 + df[:-1])) + 1
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[ToxicityModel, DataFrame]:
+    """Learn from labelled rows that are not held out; the model, and the vectors of all documents that it scores.
+
+    docs: doc_id, text; labels: doc_id, toxic (0, 1, null).
+    """
+    examples, totals = sampled(docs, labels)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [chosen.found(t.as_py()) for t in batch.column(1)]
-            cols = [batch.column(0), pa.array([[t for t, _ in v] for v in found], pa.list_(pa.int64())), pa.array([[n for _, n in v] for v in found], pa.list_(pa.int64())), batch.column(2)]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "at", "n", "toxic"])
+            found = [term_counts(t.as_py()) for t in batch.column(2)]
+            cols = [batch.column(0), batch.column(1), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "toxic", "terms", "n"])
 
-    # at most MAX_TOXIC + MAX_CLEAN rows of at most MAX_TERMS pairs; the texts stay on the executors
-    taken = sorted((r["doc_id"], tuple(zip(r["at"], r["n"])), r["toxic"]) for r in examples.mapInArrow(vectors, "doc_id long, at array<long>, n array<long>, toxic int").collect())
-    share = tuple(totals.get(y, 0) / max(1, n[y]) for y in (0, 1))
-    return ToxicityModel(chosen, idf, taken, share)
+    # MAX_TOXIC + MAX_CLEAN rows at most, of texts of MAX_CHARS at most
+    taken = sorted(map(tuple, examples.mapInArrow(counted, "doc_id long, toxic int, terms array<string>, n array<int>").collect()))
+    terms = sorted({t for r in taken for t in r[2]})
+    at = {t: i for i, t in enumerate(terms)}
+    vectors = vectors_of(docs, terms)
+    own = [(np.array([at[t] for t in r[2]], np.int64), np.array(r[3], float)) for r in taken]
+    return ToxicityModel(BlockMaxIndex(inverse_frequency(vectors, len(terms)), own), [r[:2] for r in taken], own, totals), vectors
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, with_text_id: bool = False) -> DataFrame:
     """One row per document row: doc_id, held_out, score, predicted, evidence (and text_id, the text's SHA-256, if asked for).
 
-    Nulls: a null text is an empty text; an empty text (or one without any chosen term) gets the share of
-    label 1 among the examples that have none either. A null doc_id is not held out and never an example.
+    Nulls: a null text is an empty text; an empty text (or one that shares no term with any example) gets the
+    share of label 1 among the labelled rows, without evidence. A null doc_id is not held out and never an example.
     Labels that contradict for one document count as toxic. Without any label all scores are 0. Repeated
-    rows are scored each; an empty table gives an empty result; other columns are ignored.
+    rows are scored each and equal texts alike. Whole texts are scored whatever their length; as examples
+    those over MAX_CHARS don't serve. An empty table gives an empty result; other columns are ignored.
     """
-    model = fit(docs, labels)
+    model, vectors = fit(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32()), ("evidence", pa.string())]
     fields += [("text_id", pa.string())] if with_text_id else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = shared.value.score
         for batch in batches:
+            ends = batch.column(2).offsets.to_numpy()
+            terms, n = (batch.column(i).values.to_numpy() for i in (2, 3))
             ids = batch.column(0).to_pylist()
-            got = [score(t.as_py()) for t in batch.column(1)]
+            got = shared.value.scores([(terms[a:b], n[a:b]) for a, b in zip(ends, ends[1:])])
             scores = [s for s, _ in got]
             cols = [ids, [held_out(i) for i in ids], scores, [int(s >= 0.5) for s in scores], [e for _, e in got]]
             if with_text_id:
-                cols.append([hashlib.sha256(t.as_py().encode()).hexdigest() for t in batch.column(1)])
+                cols.append(batch.column(1))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, fields)], names=[n for n, _ in fields])
 
     schema = "doc_id long, held_out boolean, score double, predicted int, evidence string" + (", text_id string" if with_text_id else "")
-    return id_and_text(docs).mapInArrow(run, schema)
+    return vectors.mapInArrow(run, schema)

@@ -187,16 +187,100 @@ def test_merge_of_runs_knows_its_prefixes():
 
 def test_block_max_search_is_exact():
     r = random.Random(5)
-    vectors = [tuple(sorted({r.randrange(30): r.randint(1, 4) for _ in range(r.randint(0, 6))}.items())) for _ in range(400)]
-    index = toxicity.BlockMaxIndex(np.array([1 + i / 10 for i in range(30)]), vectors)
-    dense = np.zeros((400, 30))
+    vectors = [{r.choice([r.randrange(12), r.randrange(300)]): r.randint(1, 4) for _ in range(r.randint(0, 8))} for _ in range(700)]
+    vectors[600:] = vectors[:100]  # ties
+    arrays = [(np.array(sorted(v), np.int64), np.array([v[t] for t in sorted(v)], float)) for v in vectors]
+    idf = np.array([1 + i / 10 for i in range(300)])
+    index = toxicity.BlockMaxIndex(idf, arrays)
+    assert 0 < index.dense.shape[1] < 300 and len(index.edges) > 8
+    dense = np.zeros((700, 300))
     for i, v in enumerate(vectors):
-        for t, w in index.weights(v):
-            dense[i, t] = w
-    for q in vectors[:60]:
-        scores = np.round(dense @ np.array([dict(index.weights(q)).get(t, 0.0) for t in range(30)]), 9)
-        want = sorted(((-s, i) for i, s in enumerate(scores) if s > 0))[:9]
-        assert [i for _, i in index.nearest(q, 9)] == [i for _, i in want]
+        for t, n in v.items():
+            dense[i, t] = (1 + np.log(n)) * idf[t] ** 2
+        dense[i] /= np.linalg.norm(dense[i]) or 1
+    for i, (ids, similarity) in enumerate(index.nearest(arrays, 9, without=np.arange(700))):
+        s = np.round(dense @ dense[i], 9)
+        s[i] = 0
+        last = np.sort(s)[-9]
+        assert sorted(ids) == [j for j in range(700) if s[j] >= last and s[j] > 0]
+        assert np.allclose(similarity, s[ids], atol=1e-8)
+
+
+def brute_toxicity(rows, labels, k):
+    """Score and evidence of each text by dictionaries: every example's cosine, all ties of the k-th, the monotone fit by definition."""
+
+    def terms(text):
+        words = [w for w in re.findall(r"[^\W\d_]+", (text or "").lower())]
+        return Counter(words + [w[:n] + "-" for w in words for n in (4, 6) if len(w) > n])
+
+    toxic = {}
+    for i, y in labels:
+        if i is not None and y is not None and zlib.crc32(str(i).encode()) % 5:
+            toxic[i] = max(y, toxic.get(i, 0))
+    texts = {}
+    for i, t in rows:
+        if i in toxic:
+            texts[i] = min(t or "", texts.get(i, t or ""))
+    examples = [(i, toxic[i], terms(texts[i])) for i in sorted(texts)]
+    space = {t for e in examples for t in e[2]}
+    df = Counter(t for _, x in rows for t in terms(x) if t in space)
+    idf = {t: np.log((1 + len(rows)) / (1 + df[t])) + 1 for t in space}
+
+    def vector(counts):
+        v = {t: (1 + np.log(n)) * idf[t] ** 2 for t, n in counts.items() if t in space}
+        norm = np.sqrt(sum(x * x for x in v.values())) or 1.0
+        return {t: x / norm for t, x in v.items()}
+
+    vectors = [vector(e[2]) for e in examples]
+    n = Counter(toxic.values())
+    weight = {y: n[y] / sum(e[1] == y for e in examples) for y in (0, 1)}
+    prior = n[1] / len(toxic)
+
+    def near(v, without=None):
+        s = [(round(sum(x * u.get(t, 0.0) for t, x in v.items()), 9), i) for i, u in enumerate(vectors) if i != without]
+        s = sorted(((x, i) for x, i in s if x > 0), key=lambda x: (-x[0], x[1]))
+        return [x for x in s if len(s) <= k or x[0] >= s[k - 1][0]]
+
+    def vote(found):
+        w = [x * weight[examples[i][1]] for x, i in found]
+        scale = 0.2 * np.mean(w)
+        return round((sum(x for x, (_, i) in zip(w, found) if examples[i][1]) + scale * prior) / (sum(w) + scale), 9)
+
+    fitted = [(vote(f), examples[i][1], weight[examples[i][1]]) for i, v in enumerate(vectors) if (f := near(v, i))]
+    knots = toxicity.monotone_fit(*(np.array(x, float) for x in zip(*fitted)))
+    out = []
+    for i, t in rows:
+        found = near(vector(terms(t)))
+        p = float(np.interp(vote(found), *knots)) if found else prior
+        out.append((str(i), round(p, 6), ",".join(f"{examples[j][0]}:{examples[j][1]}:{s:.4f}" for s, j in found[:3])))
+    return sorted(out)
+
+
+def test_monotone_fit():
+    votes, y, w = np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.0, 1.0, 0.0, 1.0]), np.array([1.0, 1.0, 3.0, 1.0])
+    knots = toxicity.monotone_fit(votes, y, w)
+    assert np.allclose(knots[0], [0.1, 0.275, 0.4]) and np.allclose(knots[1], [0.0, 0.25, 1.0])
+
+
+def test_toxicity_equals_brute_force(spark, monkeypatch):
+    """Scores, evidence and classes over nulls, repeats, contradicting labels, a long text and clashing columns."""
+    monkeypatch.setattr(toxicity, "NEIGHBOURS", 7)
+    r = random.Random(6)
+    some = ["on", "the", "of", "reading", "readers", "hermits", "Übung", *[f"zz{chr(97 + i)}abcd" for i in range(20)]]
+    rows = [(i, " ".join([*(r.choice(some) for _ in range(r.randint(1, 30))), *(["idiotic", "idiots"][: 1 + i % 2] if i % 4 == 0 else [])])) for i in range(120)]
+    rows += [(200, None), (201, ""), (202, "12 !"), (None, "the idiots"), rows[4], rows[5], (203, "nothing alike"), (204, "the idiotic readers " * 9000)]
+    labels = [(i, int(i % 4 == 0)) for i in range(100)] + [(5, 1), (None, 1), (7, None), (999, 1), (204, 1)]
+    docs = spark.createDataFrame([(*x, "lang", 3, "n", "terms") for x in rows], "doc_id long, text string, text_id string, n long, score string, terms string").repartition(3)
+    out = toxicity.score_documents(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    got = sorted((str(x.doc_id), round(x.score, 6), x.evidence) for x in out)
+    short = [x for x in labels if x[0] not in (999, 204)]
+    want = brute_toxicity(rows, short, 7)
+    assert [x[0] for x in got] == [x[0] for x in want]
+    # 999 and 204 are labelled but no examples: classes count them
+    assert [x[2] for x in got] == [x[2] for x in want]
+    assert all(x.predicted == int(x.score >= 0.5) for x in out)
+    exact = toxicity.score_documents(docs, spark.createDataFrame(short, "doc_id long, toxic int")).collect()
+    assert sorted((str(x.doc_id), round(x.score, 6), x.evidence) for x in exact) == want
 
 
 def test_toxicity_learns(spark):
@@ -208,6 +292,13 @@ def test_toxicity_learns(spark):
     assert len(out) == 401 and all(x.predicted == int(x.doc_id % 4 == 0) for x in out if x.doc_id is not None)
 
 
+def test_toxicity_with_few_labels(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "c"), (3, None)], "doc_id long, text string")
+    of = lambda labels: [x.score for x in toxicity.score_documents(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()]
+    assert of([]) == [0.0] * 3
+    assert all(0 <= x <= 1 for x in of([(1, 1)])) and all(x == 0 for x in of([(1, 0), (2, 0)]))
+
+
 def words_of(text):
     return re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
 
