@@ -74,11 +74,11 @@ def written(df: DataFrame, name: str, by: str | None = None, path: str | None =
 
 
 def bucketed(df: DataFrame, path: str, key: str, n: int) -> DataFrame:
-    """Like written(), by hash of key in n buckets: a join with rows that are dealt by key into n parts leaves this side where it is."""
+    """Like written(), for rows that are dealt by hash of key into n parts: a join with others that are leaves this side where it is."""
     spark = df.sparkSession
     name = f"quarry_{uuid.uuid4().hex}"
     with shuffles_dropped(spark):
-        df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(name)
+        df.write.bucketBy(n, key).option("path", path).saveAsTable(name)
     out = spark.read.table(name)
     out.schema  # resolved now: the name isn't needed any more
     spark.sql(f"DROP TABLE {name}")  # of a table with a path of its own this leaves the files

@@ -41,6 +41,8 @@ GT_LIMIT = 5
 FIT_LIMIT = 1000
 #: Its slope must be under -1 (then all factors are in (0, 1)); tiny corpora whose slope isn't have this one.
 LEAST_SLOPE = -1.05
+#: Trigrams are exchanged in this many waves, a part of the places each, so that fewer of them are under way at once.
+WAVES = 2
 #: A context with this part of the tokens or more (so no more contexts than this) has its bigrams dealt to all places.
 HOT_SHARE = 1024
 #: Slots of a place from this one on stand for hot contexts.
@@ -67,6 +69,18 @@ def unpacked(data: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(size, -1).T).view(dtype).ravel()
 
 
+def packed_floats(values: np.ndarray) -> bytes:
+    """Floats of few different values: those, and which each is."""
+    some, at = np.unique(values, return_inverse=True)
+    head = packed(some)
+    return len(head).to_bytes(4, "little") + head + packed(at.astype(np.uint32))
+
+
+def unpacked_floats(data: bytes) -> np.ndarray:
+    size = int.from_bytes(data[:4], "little")
+    return unpacked(data[4 : 4 + size], np.float64)[unpacked(data[4 + size :], np.uint32)]
+
+
 def packed_sorted(keys: np.ndarray) -> bytes:
     return packed(np.diff(keys, prepend=keys.dtype.type(0)))
 
@@ -192,18 +206,19 @@ class Ngrams:
         back[by] = np.arange(len(by), dtype=np.uint32)
         self.at = back[at]
 
-    def messages(self, chunk: int, trained: np.ndarray, lower: np.ndarray) -> dict:
-        """Rows to the places: training counts in the chunk, and what the place needs of each n-gram's lower order (lower: by token)."""
+    def messages(self, chunk: int, trained: np.ndarray, lower: np.ndarray, wave: int, waves: int) -> dict:
+        """Rows to the places of a wave: training counts in the chunk, and what the place needs of each n-gram's lower order (lower: by token)."""
         target = np.zeros(len(self.keys), np.uint64)
         target[self.at] = lower[self.known]
         n = np.bincount(self.at[trained[self.known]], minlength=len(self.keys)).astype(np.uint32)
-        return _messages(chunk, self.place, keys=(self.keys, packed_sorted), n=(n, packed), lower=(target, packed))
+        now = self.place % np.uint64(waves) == wave
+        return _messages(chunk, self.place[now], keys=(self.keys[now], packed_sorted), n=(n[now], packed), lower=(target[now], packed))
 
     def told(self, replies: list[dict] | None, of_hot: list[tuple[float, list[int]]], hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """What the places reply: training count of each n-gram; sum of lower orders and times by context."""
         replies = sorted(replies or [], key=lambda r: r["place"])
         low, times = np.zeros(len(self.names)), np.zeros((GT_LIMIT, len(self.names)), np.uint32)
-        low[: self.cold] = joined(replies, "low", np.float64)
+        low[: self.cold] = np.concatenate([np.zeros(0), *[unpacked_floats(r["low"]) for r in replies]])
         if replies:
             times[:, : self.cold] = np.concatenate([unpacked(r["times"], np.uint32).reshape(GT_LIMIT, -1) for r in replies], axis=1)
         for i in range(self.cold, len(self.names)):
@@ -292,19 +307,24 @@ class KatzModel:
         # a place holds about what a chunk does
         self.n = max(shuffle_partitions(spark), self.chunks.count())
         self._count_words(chunks.where("kind = 'words'").select("chunk", "words", "n"))
-        delete(spark, f"{self.path}/chunks/kind=words")
+        self._delete("chunks/kind=words")
         self.ngrams: dict[int, DataFrame] = {}
         self.hot: dict[int, np.ndarray] = {2: self._frequent(self.words, np.uint64)}
         self.of_hot: dict[int, list] = {}
         self.d = {1: self.law.d}
-        self.chunks = self._with_replies(self.chunks, 1)
-        self._count_ngrams(2)
+        # from here on chunks lie where replies are sent, and carry those of single words
+        self.chunks = bucketed(self.chunks.repartition(self.n, "chunk").join(self._replies(1), "chunk"), f"{self.path}/numbered", "chunk", self.n)
+        self._delete("chunks", "order1/kind=reply")
+        self._count_ngrams(2, 1)
         self.hot[3] = self._frequent(self.ngrams[2], np.uint32)
-        # from here on chunks carry those replies, and lie where replies are sent
-        self.chunks = bucketed(self._with_replies(self.chunks, 2), f"{self.path}/replied", "chunk", self.n)
-        for part in ("chunks", "order1/kind=reply", "order2/kind=reply"):
-            delete(spark, f"{self.path}/{part}")
-        self._count_ngrams(3)
+        # a chunk without a known context has no replies
+        self.chunks = self.chunks.join(bucketed(self._replies(2), f"{self.path}/replied", "chunk", self.n), "chunk", "left")
+        self._delete("order2-0/kind=reply")
+        self._count_ngrams(3, WAVES)
+
+    def _delete(self, *parts: str) -> None:
+        for part in parts:
+            delete(self.spark, f"{self.path}/{part}")
 
     def _exchanged(self, sent: DataFrame, summed, schema: str, name: str) -> DataFrame:
         """What summed (rows of a place -> batch) gives for each place, by kind."""
@@ -379,25 +399,25 @@ class KatzModel:
         self_numbers = functools.partial(numbered, self.n)
         return np.sort(np.array([r["id"] for r in _rows(table.where("kind = 'model'").select("place", "ids", "n"), frequent, "id long").collect()], np.uint64))
 
-    def _with_replies(self, chunks: DataFrame, order: int) -> DataFrame:
-        """Chunks with what the places of this order replied; a chunk without a known context has no replies."""
+    def _replies(self, order: int) -> DataFrame:
+        """What the places of this order replied, a row a chunk."""
         table = self.words if order == 1 else self.ngrams[order]
         names = ["place", "ids", "n"] if order == 1 else ["place", "ids", "n", "low", "times"]
-        replies = table.where("kind = 'reply'").select("chunk", *names).repartition(self.n, "chunk").groupBy("chunk").agg(F.collect_list(F.struct(*names)).alias(f"order{order}"))
-        return (chunks if order == 3 else chunks.repartition(self.n, "chunk")).join(replies, "chunk", "left")
+        rows = table.where("kind = 'reply'").select("chunk", *names).repartition(self.n, "chunk")
+        return rows.groupBy("chunk").agg(F.collect_list(F.struct(*names)).alias(f"order{order}"))
 
-    def _count_ngrams(self, order: int) -> None:
+    def _count_ngrams(self, order: int, waves: int) -> None:
         n, law = self.n, self.law
         hot, d = self.hot, self.d
 
-        def sent(row: dict) -> dict:
+        def sent(wave: int, row: dict) -> dict:
             c = Chunk(row)
             before = c.before()
             two = Ngrams(c.ids[before], c.word, hot[2], n)
             if order == 2:
-                return two.messages(row["chunk"], c.trained, c.counts.astype(np.uint64)[c.seq])
+                return two.messages(row["chunk"], c.trained, c.counts.astype(np.uint64)[c.seq], wave, waves)
             number, count = numbers_of(c, two, row["order2"])
-            return Ngrams(context_of(c, number), c.word, hot[3], n).messages(row["chunk"], c.trained, count)
+            return Ngrams(context_of(c, number), c.word, hot[3], n).messages(row["chunk"], c.trained, count, wave, waves)
 
         def lower(x: np.ndarray) -> np.ndarray:
             # of trigrams' lower orders the context's constant factor is left to the chunks
@@ -424,7 +444,7 @@ class KatzModel:
                 for c in out:
                     out[c].append(columns.get(c))
 
-            stats = lambda which: {"low": packed(low[which]), "times": packed(times[:, which].ravel())}
+            stats = lambda which: {"low": packed_floats(low[which]), "times": packed(times[:, which].ravel())}
             for k, part in zip(keys, np.split(at, cuts)):
                 mine = np.unique(k >> np.uint64(32))
                 numbers = {"ids": packed(np.diff(ids[part], prepend=np.uint64(0)))} if order == 2 else {}
@@ -440,9 +460,10 @@ class KatzModel:
                 **{c: pa.array(x, pa.binary()) for c, x in out.items()},
             })
 
-        messages = _rows(self.chunks, sent, "place int, chunk long, keys binary, n binary, lower binary")
         schema = "kind string, place int, chunk long, keys binary, ids binary, n binary, slots binary, low binary, times binary"
-        self.ngrams[order] = self._exchanged(messages, summed, schema, f"order{order}")
+        message = "place int, chunk long, keys binary, n binary, lower binary"
+        parts = [self._exchanged(_rows(self.chunks, functools.partial(sent, wave), message), summed, schema, f"order{order}-{wave}") for wave in range(waves)]
+        self.ngrams[order] = functools.reduce(DataFrame.unionByName, parts)
         self.d[order] = discounts(self._counts_of_counts(self.ngrams[order], np.uint32)[2])
         self.of_hot[order] = self._sums_of_hot(order)
 
@@ -453,7 +474,7 @@ class KatzModel:
         def rows(row: dict) -> dict:
             times = unpacked(row["times"], np.uint32).astype(np.int64).reshape(GT_LIMIT, -1)
             at = unpacked_sorted(row["slots"]) - np.uint64(HOT_SLOT)
-            return {"at": pa.array(at.astype(np.int64)), "low": pa.array(unpacked(row["low"], np.float64)), **{k: pa.array(x) for k, x in zip(names, times)}}
+            return {"at": pa.array(at.astype(np.int64)), "low": pa.array(unpacked_floats(row["low"])), **{k: pa.array(x) for k, x in zip(names, times)}}
 
         table = self.ngrams[order].where("kind = 'hot'").select("slots", "low", "times")
         parts = _rows(table, rows, "at long, low double, " + ", ".join(f"{x} long" for x in names))
@@ -507,7 +528,7 @@ class KatzModel:
                 "score": pa.array(per(logs)),
             }
 
-        return _rows(self._with_replies(self.chunks, 3), run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        return _rows(self.chunks.join(self._replies(3), "chunk", "left"), run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def numbered(n: int, many: int, place: int) -> np.ndarray:
