@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,10 +94,59 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def salted_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner", salts: int = 16) -> DataFrame:
+    """left join right on key, where right has one row a key: a key that many rows of left share is dealt over salts tasks by their column by."""
+    salt = [F.lit(i) for i in range(salts)]
+    dealt = left.withColumn("join_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    return dealt.join(right.withColumn("join_salt", F.explode(F.array(*salt))), [key, "join_salt"], how).drop("join_salt")
+
+
+def with_text_key(docs: DataFrame) -> DataFrame:
+    """rid and sha, which name a row by id and text, and the whole row as a struct: no name of its columns can clash."""
+    return docs.select(row_key().alias("rid"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("sha"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+class Commits:
+    """Committed folders by id, each named by a marker file that is written once, after its data.
+
+    A folder without a marker counts as nothing, so a half-written commit can be tried again; of two writers of one id
+    the first to make the marker wins. A marker holds the folder (none if there is no data of its own) and a digest of the input.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self.hadoop = spark._jvm.org.apache.hadoop.fs
+        root = self.hadoop.Path(path)
+        self.fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def all(self) -> dict[str, tuple[str, str]]:
+        marks = self.fs.globStatus(self.hadoop.Path(f"{self.path}/commits/*.json")) or []
+        out = {}
+        for m in marks:
+            stream = self.fs.open(m.getPath())
+            data = bytes(stream.readAllBytes())
+            stream.close()
+            if data.endswith(b"}"):
+                said = json.loads(data)
+                out[said["id"]] = said["folder"], said["digest"]
+        return out
+
+    def new_folder(self) -> str:
+        return f"{self.path}/data/{uuid.uuid4().hex}"
+
+    def add(self, commit_id: str, folder: str, digest: str = "") -> bool:
+        mark = self.hadoop.Path(f"{self.path}/commits/{hashlib.sha256(commit_id.encode()).hexdigest()}.json")
+        try:
+            stream = self.fs.create(mark, commit_id not in self.all() and self.fs.exists(mark))  # replaces only a mark that was left unfinished
+        except Py4JJavaError:
+            return False
+        stream.write(json.dumps({"id": commit_id, "folder": folder, "digest": digest}).encode())
+        stream.close()
+        return True
+
+    def read(self, schema: str) -> DataFrame:
+        folders = sorted({f for f, _ in self.all().values() if f})
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -3,7 +3,7 @@
 Rows are range-partitioned by their normalised text with splitters that Spark samples, each partition
 is sorted externally, equal texts become neighbours and are compared in full by the window over the
 whole text. The range key is a bounded prefix of the text plus a salt, so the sample stays small on the
-driver and a text (or prefix) that a third of all rows share is dealt over SALTS ranges. Each
+driver and a text (or prefix) that a third of all rows share is dealt over SALTS ranges, or as many as there are shuffle partitions. Each
 (text, salt) run leaves one short head row; heads are then joined by the text's SHA-256.
 """
 
@@ -12,13 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import row_key, written
+from quarry.llm.common import row_key, shuffle_partitions, with_text_key, written
 
 SALTS = 32
 PREFIX_CHARS = 48
 
 
-def exact_dedup(docs: DataFrame, normalise=lambda c: c, keep: str = "max", salts: int = SALTS) -> DataFrame:
+def exact_dedup(docs: DataFrame, normalise=lambda c: c, keep: str = "max", salts: int | None = None) -> DataFrame:
     """One row per document row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Nulls: a null text is an empty text; a null doc_id loses to any other and is kept only in a group that
@@ -28,6 +28,7 @@ def exact_dedup(docs: DataFrame, normalise=lambda c: c, keep: str = "max", salts
     """
     if keep not in ("max", "min"):
         raise ValueError(f"keep must be max or min, not {keep!r}")
+    salts = salts or max(SALTS, shuffle_partitions(docs.sparkSession))
     best = F.max if keep == "max" else F.min
     text: Column = F.coalesce(normalise(F.coalesce(F.col("text"), F.lit(""))), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("body")).select(
@@ -67,9 +68,8 @@ def exact_dedup(docs: DataFrame, normalise=lambda c: c, keep: str = "max", salts
 
 def keep_unique(docs: DataFrame, keep: str = "max") -> DataFrame:
     """The rows of docs that exact_dedup keeps, with all their columns (repeated rows collapse to one)."""
-    kept = exact_dedup(docs, keep=keep).where("kept").select(row_key().alias("__rid"), F.col("text_sha256").alias("__sha"))
-    marked = docs.withColumns({"__rid": row_key(), "__sha": F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)})
-    return marked.join(kept, ["__rid", "__sha"], "left_semi").dropDuplicates(["__rid", "__sha"]).drop("__rid", "__sha")
+    kept = exact_dedup(docs, keep=keep).where("kept").select(row_key().alias("rid"), F.col("text_sha256").alias("sha"))
+    return with_text_key(docs).join(kept, ["rid", "sha"], "left_semi").dropDuplicates(["rid", "sha"]).select("row.*")
 
 
 SQL = """

@@ -3,7 +3,7 @@
 Every version of every path is content-addressed (SHA-256 of its text). The ledger records which
 (blob, rule version) pairs have been scanned and what was found; a scan reads only pairs that the
 ledger lacks, each distinct blob once however many paths hold it, and joins the findings back to
-all paths. A committed scan is one Parquet folder; a folder counts once its _SUCCESS marker is there.
+all paths. A committed scan is one Parquet folder; a folder counts once its commit marker is there.
 
 Matches are located without a Python loop: split() gives the gaps around the matches that
 regexp_extract_all() lists, and running sums of their lengths are the offsets (code points).
@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import fresh_path, path_exists
+from quarry.llm.common import Commits, fresh_path, salted_join, shuffles_dropped, with_text_key
 
 #: The kinds, in the order in which ties of a start are listed, with pattern and least length.
 #: A pattern holds no other group than those stated. For access and hex the least length is in the
@@ -66,62 +66,72 @@ def spans_text(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])))
 
 
-class BlobLedger:
-    """Findings of every (blob, rule version) pair scanned so far, under one folder.
+LEDGER = f"blob string, rule_version string, spans {SPAN}"
 
-    Folder layout: scan=<id>/ Parquet of (blob, rule_version, spans). Each scan id commits at most once.
-    """
+
+class BlobLedger:
+    """Findings of every (blob, rule version) pair scanned so far, under one folder. Each scan id commits at most once."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark = spark
         self.path = path or fresh_path(spark, "blob-ledger")
+        self.commits = Commits(spark, self.path)
 
     def rows(self) -> DataFrame:
-        schema = f"blob string, rule_version string, spans {SPAN}"
-        if not path_exists(self.spark, self.path):
-            return self.spark.createDataFrame([], schema)
         # one row for a pair, should two scans have raced
-        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(self.path).dropDuplicates(["blob", "rule_version"])
+        return self.commits.read(LEDGER).dropDuplicates(["blob", "rule_version"])
 
     def unseen(self, blobs: DataFrame, rule_version: str) -> DataFrame:
         """Distinct blobs (blob, text) without a row for this rule version."""
         distinct = blobs.groupBy("blob").agg(F.first("text").alias("text"))
-        if not path_exists(self.spark, self.path):
+        if not self.commits.all():
             return distinct
         return distinct.join(self.rows().where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
 
     def scan(self, versions: DataFrame, rule_version: str = RULES_VERSION, scan_id: str | None = None) -> int:
-        """Scan what is unseen of versions (blob, text) and commit it. Replaying a scan_id does nothing.
+        """Scan what is unseen of versions (blob, text) and commit it. Returns 1 if a commit was made, else 0.
 
-        Returns 1 if a commit was made, else 0.
+        Replaying a scan_id does nothing; it is an error with other blobs or rules. A scan that failed before
+        its commit counts as nothing and can be tried again.
         """
-        target = f"{self.path}/scan={scan_id or uuid.uuid4().hex}"
-        if path_exists(self.spark, f"{target}/_SUCCESS"):
-            return 0
+        digest = ""
+        if scan_id is not None:
+            blobs = versions.select("blob").distinct().agg(F.count(F.lit(1)), F.sum(F.xxhash64("blob").cast("decimal(38,0)"))).first()
+            digest = f"{rule_version}:{blobs[0]}:{blobs[1]}"
+            known = self.commits.all()
+            if scan_id in known:
+                if known[scan_id][1] != digest:
+                    raise ValueError(f"scan {scan_id!r} is committed with other blobs or rules")
+                return 0
         found = self.unseen(versions, rule_version).select("blob", F.lit(rule_version).alias("rule_version"), all_spans(F.col("text")).alias("spans"))
-        found.write.mode("overwrite").parquet(target)
-        return 1
+        folder = self.commits.new_folder()
+        with shuffles_dropped(self.spark):
+            found.write.parquet(folder)
+        return int(self.commits.add(scan_id or uuid.uuid4().hex, folder, digest))
 
     def findings(self, rule_version: str = RULES_VERSION) -> DataFrame:
         return self.rows().where(F.col("rule_version") == rule_version).select("blob", "spans")
 
 
-def with_blob(docs: DataFrame) -> DataFrame:
-    """docs and their blob ids in __blob; a null text is the empty blob."""
-    return docs.withColumn("__blob", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+def versions_of(docs: DataFrame) -> DataFrame:
+    """blob and text of each row; a null text is the empty blob."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.sha2(text, 256).alias("blob"), text.alias("text"))
 
 
 def scan_documents(docs: DataFrame, ledger: BlobLedger | None = None, rule_version: str = RULES_VERSION) -> DataFrame:
     """One row per document row: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
     Nulls: a null text is an empty blob; a null doc_id stays null. Repeated rows and copies are scanned
-    once and each gets the blob's spans. An empty table gives an empty result, other columns are ignored.
+    once and each gets the blob's spans. A very long text is one blob. An empty table gives an empty result,
+    other columns are ignored.
     """
     ledger = ledger or BlobLedger(docs.sparkSession)
-    rows = with_blob(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    ledger.scan(rows.select(F.col("__blob").alias("blob"), F.coalesce("text", F.lit("")).alias("text")), rule_version)
-    found = ledger.findings(rule_version)
-    joined = rows.select("doc_id", F.col("__blob").alias("blob")).join(found, "blob")
+    ledger.scan(versions_of(docs), rule_version)
+    # a blob without findings needs no row of the ledger
+    found = ledger.findings(rule_version).where(F.size("spans") > 0)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("blob"))
+    joined = salted_join(rows, found, "blob", "doc_id", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     text = spans_text(F.col("spans"))
     return joined.select("doc_id", *[count(kind) for kind, _ in RULES], F.sha2(text, 256).alias("base_sha256"), text.alias("spans"))
@@ -130,32 +140,27 @@ def scan_documents(docs: DataFrame, ledger: BlobLedger | None = None, rule_versi
 def redact(docs: DataFrame, ledger: BlobLedger | None = None, mask: str = "[SECRET]") -> DataFrame:
     """docs with every found span replaced by the mask (overlapping spans by one); n_chars follows the text.
 
-    Rows without findings come back as they were, null texts too.
+    Rows without findings come back as they were, null texts too; repeated rows are masked each.
     """
     ledger = ledger or BlobLedger(docs.sparkSession)
-    rows = with_blob(docs)
-    ledger.scan(rows.select(F.col("__blob").alias("blob"), F.coalesce("text", F.lit("")).alias("text")))
-    hits = ledger.findings().where(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
-    joined = rows.join(hits, "__blob", "left")
+    ledger.scan(versions_of(docs))
+    hits = ledger.findings().where(F.size("spans") > 0)
+    rows = with_text_key(docs).select(F.col("sha").alias("blob"), "rid", "row")
+    text = F.col("row.text")
     walked = F.aggregate(
-        "__spans",
+        "spans",
         F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")),
         lambda s, p: F.when(
             p["start"] >= s["pos"],
-            F.struct(p["stop"].alias("pos"), F.concat(s["out"], F.substring(F.col("text"), s["pos"] + 1, p["start"] - s["pos"]), F.lit(mask)).alias("out")),
+            F.struct(p["stop"].alias("pos"), F.concat(s["out"], F.substring(text, s["pos"] + 1, p["start"] - s["pos"]), F.lit(mask)).alias("out")),
         ).otherwise(F.struct(F.greatest(s["pos"], p["stop"]).alias("pos"), s["out"].alias("out"))),
     )
-    clean = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.concat(walked["out"], F.expr("substring(text, __walked.pos + 1)")))
-    out = joined.withColumn("__walked", walked).withColumn("__clean", clean)
-    cols = []
-    for c in docs.columns:
-        if c == "text":
-            cols.append(F.col("__clean").alias("text"))
-        elif c == "n_chars":
-            cols.append(F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("__clean").cast("long")).alias("n_chars"))
-        else:
-            cols.append(F.col(c))
-    return out.select(*cols)
+    out = salted_join(rows, hits, "blob", "rid", "left").withColumn("walked", walked)
+    clean = F.when(F.col("spans").isNull(), text).otherwise(F.concat(F.col("walked.out"), F.expr("substring(row.text, walked.pos + 1)")))
+    out = out.withColumn("clean", clean)
+    n_chars = F.when(F.col("spans").isNull(), F.col("row.n_chars") if "n_chars" in docs.columns else None).otherwise(F.length("clean").cast("long"))
+    new = {"text": F.col("clean"), "n_chars": n_chars}
+    return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def _sql_kind(at: int) -> str:

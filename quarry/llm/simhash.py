@@ -12,6 +12,7 @@ block. Chains are checked segment by segment before the full Hamming distance.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import id_and_text, spread, written
+from quarry.llm.common import id_and_text, row_key, salted_join, spread, with_text_key, written
 from quarry.llm.components import components
 
 SHINGLE_WORDS, SEED = 4, 42
@@ -57,14 +58,15 @@ def fingerprint(text: str) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (long) of each row; a null text is an empty one."""
+    """doc_id, fp (long) and text_id (SHA-256) of each row; a null text is an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            texts = [t.as_py() for t in batch.column(1)]
+            ids = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(fingerprint, texts), pa.int64()), pa.array(ids, pa.string())], names=["doc_id", "fp", "text_id"])
 
-    return spread(id_and_text(docs)).mapInArrow(run, "doc_id long, fp long")
+    return spread(id_and_text(docs)).mapInArrow(run, "doc_id long, fp long, text_id string")
 
 
 def _bits(fp: Column, shift: int, width: int) -> Column:
@@ -172,24 +174,37 @@ def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     return together.mapInArrow(_links, "a long, b long")
 
 
+def rooted(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """doc_id, fp, text_id of each row, root (the same for all rows of a component) and component_id (its least doc_id)."""
+    rows = written(fingerprints(docs), "fingerprints")
+    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = components(links(distinct, block)).select(F.col("node").alias("fp"), "root")
+    # only fingerprints with a link have to ask for their component's least id
+    linked_fps = written(distinct.join(roots, "fp"), "linked")
+    least = linked_fps.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = salted_join(linked_fps.select("fp", "root"), least, "root", "fp")
+    single = distinct.join(roots.select("fp"), "fp", "left_anti").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
+    return salted_join(rows, named.unionByName(single), "fp", "doc_id", salts=8)
+
+
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row per document row: doc_id, fingerprint (16 hex digits), component_id.
 
     component_id is the smallest doc_id of all documents that links (at most 4 differing bits) lead to.
     Nulls: a null text is an empty text; texts without words have fingerprint zero and link like any
     other. A null doc_id counts as larger than any: component_id is null only if the whole component has
-    no id. Repeated rows give repeated rows; an empty table an empty result; other columns are ignored.
+    no id. Repeated rows give repeated rows; a very long text is one row like any other; an empty table gives an
+    empty result; other columns are ignored.
     """
-    rows = written(fingerprints(docs), "fingerprints")
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(distinct, block))
-    rooted = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rooted(docs, block).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id names its component, with all their columns (null ids stay)."""
-    gone = near_duplicates(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each component the row with the smallest doc_id (nulls last, then the least SHA-256 of a text), with all its columns.
+
+    Rows are told apart by id and text: of rows that are equal in both one stays, and an id that is repeated
+    with another text is judged by that text alone.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("none"), row_key().alias("rid"), F.col("text_id").alias("sha"))
+    kept = rooted(docs).groupBy("root").agg(F.min(order).alias("first")).select("first.rid", "first.sha")
+    return with_text_key(docs).join(kept, ["rid", "sha"], "left_semi").dropDuplicates(["rid", "sha"]).select("row.*")

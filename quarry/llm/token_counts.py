@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import fresh_path, path_exists, written
+from quarry.llm.common import Commits, fresh_path, shuffles_dropped, written
 
 KEYS = ["source", "lang", "tokenizer_version"]
 SUMS = ["n_docs", "n_tokens"]
@@ -38,34 +38,44 @@ def revisions(rows: DataFrame, before: str, after: str) -> DataFrame:
 
 
 class TokenRollup:
-    """Committed deltas under one folder; a batch counts once its _SUCCESS marker is there."""
+    """Committed deltas under one folder; a batch counts once its marker is there, and never twice."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark = spark
         self.path = path or fresh_path(spark, "token-rollup")
+        self.commits = Commits(spark, self.path)
 
     def commit(self, batch_id: str, delta: DataFrame) -> bool:
-        """Add a batch of signed changes. False if that batch is committed already."""
-        target = f"{self.path}/batch={batch_id}"
-        if path_exists(self.spark, f"{target}/_SUCCESS"):
+        """Add a batch of signed changes. False if that batch is committed already; an error if it was with other changes."""
+        summed = delta.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS]).where("n_docs <> 0 OR n_tokens <> 0")
+        known = self.commits.all()
+        folder = self.commits.new_folder()
+        if batch_id not in known:
+            with shuffles_dropped(self.spark):
+                summed.write.parquet(folder)
+            summed = self.spark.read.schema(DELTA).parquet(folder)
+        rows = summed.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*KEYS, *SUMS).cast("decimal(38,0)"))).first()
+        digest = f"{rows[0]}:{rows[1]}"
+        if batch_id in known:
+            if known[batch_id][1] != digest:
+                raise ValueError(f"batch {batch_id!r} is committed with other changes")
             return False
-        summed = delta.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS])
-        summed.where("n_docs <> 0 OR n_tokens <> 0").write.mode("overwrite").parquet(target)
-        return True
+        return self.commits.add(batch_id, folder, digest)
 
     def deltas(self) -> DataFrame:
-        if not path_exists(self.spark, self.path):
-            return self.spark.createDataFrame([], DELTA)
-        return self.spark.read.schema(DELTA).option("recursiveFileLookup", "true").parquet(self.path)
+        return self.commits.read(DELTA)
 
     def totals(self) -> DataFrame:
         """KEYS and SUMS of all keys that still have documents or tokens."""
         return self.deltas().groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS]).where("n_docs <> 0 OR n_tokens <> 0")
 
     def compacted(self, path: str) -> TokenRollup:
-        """A new rollup whose one batch is this one's totals."""
+        """A new rollup whose data are this one's totals; it knows this one's batches, so their replays change nothing there either."""
+        known = self.commits.all()
         out = TokenRollup(self.spark, path)
-        out.commit("snapshot", self.totals())
+        for batch_id, (_, digest) in known.items():
+            out.commits.add(batch_id, "", digest)
+        out.commit(f"snapshot of {len(known)}", self.totals())
         return out
 
 

@@ -71,7 +71,7 @@ def test_secret_ledger_and_redaction(spark, docs, tmp_path):
     ledger = secret_scan.BlobLedger(spark, f"file://{tmp_path}/ledger")
     found = {r.doc_id: r.spans for r in secret_scan.scan_documents(docs, ledger).collect()}
     assert found[4] == "assign:0:21" and found[5] == "access:0:24" and found[0] == ""
-    versions = secret_scan.with_blob(docs).select(F.col("__blob").alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
+    versions = secret_scan.versions_of(docs)
     assert ledger.unseen(versions, secret_scan.RULES_VERSION).count() == 0
     assert ledger.unseen(versions, "next").count() > 0
     assert ledger.scan(versions, "next", "a") == 1 and ledger.scan(versions, "next", "a") == 0
@@ -87,6 +87,47 @@ def test_token_rollup_is_idempotent(spark, docs, tmp_path):
     assert sorted(map(str, rollup.compacted(f"file://{tmp_path}/small").totals().collect())) == first
 
 
+def test_commits_survive_failures_and_replays(spark, tmp_path):
+    delta = lambda n: spark.createDataFrame([("s", "en", "v", 1, n)], token_counts.DELTA)
+    rollup = token_counts.TokenRollup(spark, f"file://{tmp_path}/r")
+    delta(99).write.parquet(rollup.commits.new_folder())  # written, never committed
+    assert rollup.totals().collect() == []
+    assert rollup.commit("a", delta(5)) and not rollup.commit("a", delta(5))
+    with pytest.raises(ValueError):
+        rollup.commit("a", delta(6))
+    (tmp_path / "r/commits" / (hashlib.sha256(b"b").hexdigest() + ".json")).write_text("")  # a writer that died
+    assert rollup.commit("b", delta(7)) and not rollup.commit("b", delta(7))
+    assert not rollup.commits.add("b", rollup.commits.new_folder(), "")  # the second of two writers
+    assert rollup.totals().first().n_tokens == 12
+    small = rollup.compacted(f"file://{tmp_path}/small")
+    assert not small.commit("a", delta(5)) and small.totals().first().n_tokens == 12
+    assert small.commit("c", delta(1)) and small.totals().first().n_tokens == 13
+    ledger = secret_scan.BlobLedger(spark, f"file://{tmp_path}/l")
+    blobs = lambda *t: secret_scan.versions_of(spark.createDataFrame([(x,) for x in t], "text string"))
+    secret_scan.LEDGER and spark.createDataFrame([], secret_scan.LEDGER).write.parquet(ledger.commits.new_folder())
+    assert ledger.rows().collect() == [] and ledger.scan(blobs("x", "AKIA" + "C" * 16), scan_id="1") == 1
+    assert ledger.scan(blobs("x", "AKIA" + "C" * 16), scan_id="1") == 0 and ledger.rows().count() == 2
+    with pytest.raises(ValueError):
+        ledger.scan(blobs("y"), scan_id="1")
+    assert ledger.scan(blobs("x", "y"), scan_id="2") == 1 and ledger.rows().count() == 3
+
+
+def test_rows_keep_their_columns(spark):
+    """One hot text and id, nulls and columns named like the operators' own."""
+    texts = ["same text here, one two three"] * 40 + ["", None, "token = abcdef99", "other words", "same text here, one two three"]
+    rows = [(None if i == 43 else min(i, 42), t, f"s{i}", f"r{i}", i) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sha string, row string, join_salt int")
+    for out in (exact_dedup.keep_unique(docs), simhash.keep_one(docs), secret_scan.redact(docs)):
+        assert out.columns == docs.columns
+        by_mark = {r.row: r for r in out.collect()}
+        assert all((rows[r.join_salt][2], rows[r.join_salt][0]) == (r.sha, r.doc_id) for r in by_mark.values())
+        if out.count() == len(rows):
+            assert by_mark["r42"].text == "[SECRET]" and by_mark["r41"].text is None
+    assert {r.row for r in simhash.keep_one(docs).collect()} == {"r0", "r40", "r42", "r43"}
+    # doc_id 42 is there with two texts: each is judged for itself
+    assert {r.text for r in exact_dedup.keep_unique(docs).collect()} == {texts[0], "token = abcdef99", "other words", *{r.text for r in exact_dedup.keep_unique(docs).collect() if not r.text}}
+
+
 def test_pieces_equal_the_library(docs):
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     rows = pieces.encode_documents(docs, PIECES, with_ids=True).collect()
