@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import chunk_id
+from quarry.operators.retrieval import spread
 
 # Abbreviations after which a sentence goes on.
 ABBREVIATIONS = (
@@ -116,5 +117,5 @@ def chunk_documents(pages: DataFrame, rules: ChunkRules = ChunkRules(), count: C
             ]
             yield pd.DataFrame(rows, columns=["file_name", "page", "ordinal", "token_count", "text", "error"])
 
-    cut = pages.select("file_name", F.col("page").cast("long").alias("page"), "text").mapInPandas(run, "file_name string, page long, ordinal long, token_count long, text string, error string")
+    cut = spread(pages).select("file_name", F.col("page").cast("long").alias("page"), "text").mapInPandas(run, "file_name string, page long, ordinal long, token_count long, text string, error string")
     return cut.withColumn("chunk_id", chunk_id(F.col("text"), F.col("file_name"), F.col("page")))

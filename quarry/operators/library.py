@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.text import strip
+
 MIN_TEXT_CHARS = 100
+# Device names that are no file names.
 RESERVED = ["con", "prn", "aux", "nul", *[f"{d}{i}" for d in ("com", "lpt") for i in range(1, 10)]]
 
 
 def text_layer(pages: DataFrame) -> DataFrame:
     """Per file: pages, stripped characters, and whether there is enough text to index."""
-    chars = F.sum(F.length(F.trim(F.coalesce("text", F.lit("")))))
+    chars = F.sum(F.length(strip(F.coalesce("text", F.lit("")))))
     out = pages.groupBy("file_name").agg(F.count(F.lit(1)).alias("page_count"), chars.alias("total_chars"))
     return out.withColumn("status", F.when(F.col("total_chars") >= MIN_TEXT_CHARS, "ok").otherwise("no_text_layer"))
 
@@ -44,13 +47,17 @@ def listing(files: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def duplicates(files: DataFrame, order: str) -> DataFrame:
     """files (file_name, content_hash, order) -> first file with the same content under another name."""
-    first = F.first(F.struct("file_name")).over(Window.partitionBy("content_hash").orderBy(order))["file_name"]
-    return files.withColumn("duplicate_of", first).where(F.col("duplicate_of") != F.col("file_name"))
+    firsts = files.groupBy("content_hash").agg(F.min_by("file_name", order).alias("duplicate_of"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+    # a hash that very many files share is dealt over several tasks
+    salt = F.array(*[F.lit(i) for i in range(16)])
+    dealt = files.withColumn("join_salt", F.pmod(F.xxhash64("file_name"), F.lit(16)).cast("int"))
+    found = dealt.join(firsts.withColumn("join_salt", F.explode(salt)), ["content_hash", "join_salt"]).where(F.col("duplicate_of") != F.col("file_name"))
+    return found.select(*files.columns, "duplicate_of")
 
 
 def safe_name(raw: Column, max_length: int = 200) -> Column:
     """The last path part if it is a safe file name, else null. Input in NFC."""
-    name = F.trim(raw)
+    name = strip(raw)
     base = F.regexp_extract(F.translate(name, "\\", "/"), "[^/]*$", 0)
     stem = F.lower(F.regexp_replace(base, r"\.[^.]*$", ""))
     bad = (

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,55 +24,91 @@ def top_k(scored: DataFrame, k: int, *order: Column, by: str = "query_id") -> Da
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)).cast("long")).where(F.col("rank") <= k)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: a table that comes in fewer splits than there are cores (a small one) is dealt out, any other stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Bm25Index:
-    """Postings, lengths and idf as DataFrames.
+    """Postings with their chunks' lengths, and idf, as DataFrames. Chunk ids are unique.
 
-    Raw tokens are counted per chunk before they are stemmed, and only the distinct vocabulary is
-    stemmed, so the suffix patterns run once a word and not once an occurrence.
+    A text is tokenized once. Raw tokens are counted per chunk before they are stemmed, and only the distinct
+    vocabulary is stemmed, so the suffix patterns run once a word and not once an occurrence. The index stays
+    cached until release(); lineage rebuilds lost blocks.
     """
 
     def __init__(self, chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", stem: bool = True):
-        raw = chunks.select(F.col(id_col).alias("chunk_id"), F.explode(raw_tokens(F.col(text_col))).alias("raw")).groupBy("chunk_id", "raw").agg(F.count(F.lit(1)).alias("n"))
+        tokens = spread(chunks.select(F.col(id_col).alias("chunk_id"), F.col(text_col).alias("text"))).select("chunk_id", raw_tokens(F.col("text")).alias("tokens"))
+        # a chunk's tokens are counted where they are; what is dealt by word is one row a chunk and word
+        raw = tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("raw")).groupBy("raw", "chunk_id").agg(F.count(F.lit(1)).alias("n"), F.first("dl").alias("dl"))
+        self.stem, self._cached = stem, []
         if stem:
+            raw = raw.persist()
+            self._cached.append(raw)
             words = raw.select("raw").distinct().withColumn("term", light_stem(F.col("raw")))
-            raw = raw.join(words, "raw")
+            postings = raw.join(words, "raw").groupBy("term", "chunk_id").agg(F.sum("n").alias("tf"), F.first("dl").alias("dl"))
         else:
-            raw = raw.withColumn("term", F.col("raw"))
-        self.stem = stem
-        self.postings = raw.groupBy("term", "chunk_id").agg(F.sum("n").alias("tf")).persist()  # read by all that follows; lineage rebuilds lost blocks
-        self.lengths = self.postings.groupBy("chunk_id").agg(F.sum("tf").alias("dl"))
+            postings = raw.select(F.col("raw").alias("term"), "chunk_id", F.col("n").alias("tf"), "dl")
+        self.postings = postings.persist()
+        self._cached.append(self.postings)
         n_chunks = chunks.agg(F.count(F.lit(1)).alias("n_docs"))
-        self.stats = n_chunks.crossJoin(self.lengths.agg(F.sum("dl").alias("tokens"))).select("n_docs", (F.col("tokens") / F.col("n_docs")).alias("avgdl"))  # one row each
+        self.stats = n_chunks.crossJoin(self.postings.agg(F.sum("tf").alias("tokens"))).select("n_docs", (F.col("tokens") / F.col("n_docs")).alias("avgdl"))  # one row each
         df = self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         raw_idf = df.crossJoin(self.stats.select("n_docs")).withColumn("raw_idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
         floor = raw_idf.agg((F.avg("raw_idf") * EPSILON).alias("floor"))  # one row
         self.idf = raw_idf.crossJoin(floor).select("term", "df", F.when(F.col("raw_idf") < 0, F.col("floor")).otherwise(F.col("raw_idf")).alias("idf"))
 
+    def release(self) -> None:
+        for df in self._cached:
+            df.unpersist()
+
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         """queries: query_id, query_text. Candidates share a term with the query; a score may be zero or negative."""
         terms = queries.select("query_id", F.explode(raw_tokens(F.col("query_text"))).alias("term"))
         if self.stem:
             terms = terms.withColumn("term", light_stem(F.col("term")))
-        terms = terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")).join(self.idf, "term")
+        terms = terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")).join(self.idf, "term").crossJoin(F.broadcast(self.stats))
         part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-        scored = (
-            terms.join(self.postings, "term").join(self.lengths, "chunk_id").crossJoin(F.broadcast(self.stats))
-            .groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), DIGITS).alias("score"))
-        )
+        scored = terms.join(self.postings, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), DIGITS).alias("score"))
         return top_k(scored, k, F.desc("score"), F.asc("chunk_id"))
 
 
-def dense_search(queries: DataFrame, vectors: DataFrame, k: int, query_block: int = 256) -> DataFrame:
+def dense_search(queries: DataFrame, vectors: DataFrame, k: int, query_block: int = 4096) -> DataFrame:
     """Exact inner products of query vectors (query_id, query_vec) with all vectors (chunk_id, embedding).
 
-    The stated queries meet all rows in blocks: a block of queries is one array, each vector row is read once a
-    block, and only its k best per query leave a partition (window group limit).
+    The stated queries meet all rows in blocks of about query_block: a block goes with the tasks as one matrix, each
+    Arrow batch of vectors is one matrix product, and only the k best of a batch for each query leave it. Rows
+    with a null vector are no candidates.
     """
-    lane = F.floor((F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("query_id"), F.lit(16))).orderBy("query_id")) - 1) / query_block)
-    blocks = queries.withColumn("lane", lane).groupBy(F.pmod(F.xxhash64("query_id"), F.lit(16)), "lane").agg(F.collect_list(F.struct("query_id", "query_vec")).alias("block")).select("block")
-    dot = F.aggregate(F.zip_with("q.query_vec", "embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    scored = vectors.join(blocks).select("chunk_id", "embedding", F.explode("block").alias("q")).select(F.col("q.query_id").alias("query_id"), "chunk_id", F.round(dot, DIGITS).alias("score"))
-    return top_k(scored, k, F.desc("score"), F.asc("chunk_id"))
+    blocks = max(1, -(-queries.count() // query_block))
+    lane = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    kind = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["chunk_id"]
+
+    def best_of(ids: list, matrix: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                found = np.round(matrix @ flat.reshape(batch.num_rows, -1).T, DIGITS)
+                at = np.argpartition(-found, k - 1, axis=1)[:, : k] if k < batch.num_rows else np.broadcast_to(np.arange(batch.num_rows), found.shape)
+                if k < batch.num_rows:  # ties of the k-th all leave the batch
+                    row, col = np.nonzero(found >= np.take_along_axis(found, at, 1).min(axis=1)[:, None])
+                else:
+                    row, col = (x.ravel() for x in np.indices(found.shape))
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in row]), batch.column(0).take(pa.array(col)), pa.array(found[row, col])], names=["query_id", "chunk_id", "score"])
+
+        return run
+
+    rows = spread(vectors.where("embedding IS NOT NULL").select("chunk_id", "embedding"))
+    parts = []
+    for b in range(blocks):
+        block = queries.where((lane == b) & F.col("query_vec").isNotNull()).select("query_id", "query_vec").collect()  # about query_block rows
+        if block:
+            run = best_of([r["query_id"] for r in block], np.array([r["query_vec"] for r in block], np.float64))
+            parts.append(rows.mapInArrow(run, f"query_id {kind[0]}, chunk_id {kind[1]}, score double"))
+    if not parts:
+        return top_k(queries.sparkSession.createDataFrame([], f"query_id {kind[0]}, chunk_id {kind[1]}, score double"), k, F.desc("score"), F.asc("chunk_id"))
+    return top_k(reduce(DataFrame.unionByName, parts), k, F.desc("score"), F.asc("chunk_id"))
 
 
 def reciprocal_rank_fusion(lists: list[DataFrame], k: int = RRF_K, limit: int | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ is answerable if some document holds its text.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,6 +98,30 @@ def rrf_fusion(spark, d):
     return retrieval.reciprocal_rank_fusion(lists, limit=FETCH)
 
 
+def hybrid_topk(spark, d):
+    """Stemmed and unstemmed term retrievers fused by rank, cut to the first hits."""
+    docs = _docs(spark, d)
+    retrievers = [retrieval.Bm25Index(docs, stem=s).search for s in (True, False)]
+    return retrieval.hybrid(retrievers, _questions(spark, d), TOP, FETCH)
+
+
+def retrieval_stage_counts(spark, d):
+    """Per question: hits of each retriever, of their fusion, and those kept."""
+    docs, questions = _docs(spark, d), _questions(spark, d)
+    lists = [retrieval.Bm25Index(docs, stem=s).search(questions, FETCH) for s in (True, False)]
+    stages = {"stemmed": lists[0], "plain": lists[1], "fused": retrieval.reciprocal_rank_fusion(lists, limit=FETCH)}
+    rows = reduce(DataFrame.unionByName, [x.select("query_id", F.lit(name).alias("stage"), "rank") for name, x in stages.items()])
+    n = lambda name: F.count(F.when(F.col("stage") == name, 1)).alias(f"n_{name}")
+    return rows.groupBy("query_id").agg(*map(n, stages), F.count(F.when((F.col("stage") == "fused") & (F.col("rank") <= TOP), 1)).alias("n_kept"))
+
+
+def library_totals(spark, d):
+    """One row over the library: files, searchable ones, those without text, chunks."""
+    rows = library_listing(spark, d)
+    n = lambda c: F.count(F.when(F.col(c), 1))
+    return rows.agg(F.count(F.lit(1)).alias("n_files"), n("is_searchable").alias("n_searchable"), n("needs_ocr").alias("n_needs_ocr"), F.sum("chunk_count").alias("n_chunks"))
+
+
 def fusion_consensus(spark, d):
     return rrf_fusion(spark, d).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_fused"), F.sum((F.col("retriever_hits") > 1).cast("long")).alias("n_consensus"))
 
@@ -162,9 +187,10 @@ def _golden(spark, d):
     """questions (query_id, kind) and expected (query_id, file_name, page)."""
     docs = _docs(spark, d)
     q = _questions(spark, d).where("query_text <> ''")
-    # the question set is read in one block and met with every document once
-    blocks = q.agg(F.collect_list(F.struct("query_id", "query_text")).alias("block"))
-    hits = docs.join(F.broadcast(blocks)).select("file_name", "page", F.explode(F.filter("block", lambda b: F.contains(F.col("text"), b["query_text"]))).alias("b")).select(F.col("b.query_id").alias("query_id"), "file_name", "page")
+    # the stated question set meets every document in blocks of about 256 questions
+    lanes = max(1, -(-q.count() // 256))
+    blocks = q.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(lanes)).alias("lane")).agg(F.collect_list(F.struct("query_id", "query_text")).alias("block")).select("block")
+    hits = retrieval.spread(docs).crossJoin(blocks).select("file_name", "page", F.explode(F.filter("block", lambda b: F.contains(F.col("text"), b["query_text"]))).alias("b")).select(F.col("b.query_id").alias("query_id"), "file_name", "page")
     kind = F.when(F.col("n").isNull(), "unanswerable").otherwise("answerable").alias("kind")
     return _questions(spark, d).join(hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left").select("query_id", kind), hits
 
@@ -209,8 +235,9 @@ def golden_validation(spark, d):
 
 def _files(spark, d):
     """Sources as files; the hash is over their documents' ids and texts."""
-    rows = _docs(spark, d).groupBy("file_name").agg(F.sum(F.length("text")).alias("chars"), F.count(F.lit(1)).alias("n"), F.min("page").alias("first"))
-    return rows.select("file_name", F.concat_ws(":", "chars", "n").alias("content_hash"), "n", "first")
+    page = F.conv(F.substring(F.sha2(F.concat_ws(":", "page", "text"), 256), 1, 8), 16, 10).cast("long")
+    rows = _docs(spark, d).groupBy("file_name").agg(F.sum(page).alias("pages"), F.count(F.lit(1)).alias("n"), F.min("page").alias("first"))
+    return rows.select("file_name", F.concat_ws(":", "pages", "n").alias("content_hash"), "n", "first")
 
 
 def _manifest(spark, d):
@@ -300,7 +327,9 @@ summary AS (SELECT count(*) AS n_questions, count(*) FILTER (ans) AS n_answerabl
   {', '.join(f"round(coalesce(avg({c}::DOUBLE) FILTER (ans), 0.0), 6) AS {n}" for c, n in (('recall', 'recall'), ('hit::INT', 'hit_rate'), ('reciprocal_rank', 'mrr'), ('precision', 'precision'), ('cited::INT', 'citation_rate'), ('cit_ok::INT', 'citation_accuracy'), ('facts::INT', 'fact_accuracy')))},
   {', '.join(f"round(coalesce(avg(({c})::INT::DOUBLE), 0.0), 6) AS {n}" for c, n in (('abst_ok', 'abstention_accuracy'), ('halluc', 'hallucination_rate'), ('abst_ok AND NOT halluc AND facts AND cited AND cit_ok', 'pass_rate')))} FROM judged)"""
 
-_FILES = "files AS (SELECT source AS file_name, sum(len(coalesce(text, ''))) || ':' || count(*) AS content_hash, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY source)"
+_FILES = "files AS (SELECT source AS file_name, sum(('0x' || substr(sha256(doc_id || ':' || coalesce(text, '')), 1, 8))::BIGINT)::BIGINT || ':' || count(*) AS content_hash, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY source)"
+
+_STRIPPED = r"regexp_replace(coalesce(text, ''), '^[\s\x0b\x{85}\p{Z}]+|[\s\x0b\x{85}\p{Z}]+$', '', 'g')"
 
 _CHUNK_ID = "substr(sha256(coalesce(text, '') || chr(0) || source || chr(0) || doc_id), 1, 32)"
 
@@ -309,11 +338,14 @@ SQL = {
     "stem_vocabulary": f"SELECT token, df, {_SQL_HARD} AS stem FROM (SELECT token, df, {_sql_stem('token')} AS s FROM (SELECT token, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct({_TOKENS})) AS token FROM documents) GROUP BY token))",
     "chunk_ids": f"SELECT doc_id, {_CHUNK_ID} AS chunk_id, source || ' · s.' || doc_id AS label FROM documents",
     "duplicate_documents": "SELECT doc_id, first AS duplicate_of FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents) WHERE first <> doc_id",
-    "text_layer_status": "SELECT file_name, page_count, total_chars, CASE WHEN total_chars >= 100 THEN 'ok' ELSE 'no_text_layer' END AS status FROM (SELECT source AS file_name, count(*) AS page_count, sum(len(trim(coalesce(text, ''), ' '))) AS total_chars FROM documents GROUP BY source)",
+    "text_layer_status": f"SELECT file_name, page_count, total_chars, CASE WHEN total_chars >= 100 THEN 'ok' ELSE 'no_text_layer' END AS status FROM (SELECT source AS file_name, count(*) AS page_count, sum(len({_STRIPPED})) AS total_chars FROM documents GROUP BY source)",
     "bm25_idf": f"WITH {_sql_bm25(True)} SELECT term, df, round(idf, 6) AS idf FROM idf",
     "bm25_topk": f"WITH {_sql_bm25(True)} SELECT query_id, chunk_id, score, rank FROM hits",
     "dense_topk": "SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)) WHERE rank <= 10",
     "rrf_fusion": f"WITH {_FUSED} SELECT query_id, chunk_id, score, rank, retriever_hits FROM rrf",
+    "hybrid_topk": f"WITH {_FUSED} SELECT query_id, chunk_id, score, rank, retriever_hits FROM rrf WHERE rank <= {TOP}",
+    "retrieval_stage_counts": f"WITH {_FUSED} SELECT query_id, count(*) FILTER (s = 'x') AS n_stemmed, count(*) FILTER (s = 'y') AS n_plain, count(*) FILTER (s = 'f') AS n_fused, count(*) FILTER (s = 'f' AND rank <= {TOP}) AS n_kept FROM (SELECT query_id, 'x' AS s, rank FROM xhits UNION ALL SELECT query_id, 'y', rank FROM yhits UNION ALL SELECT query_id, 'f', rank FROM rrf) GROUP BY query_id",
+    "library_totals": f"WITH {_FILES} SELECT count(*) AS n_files, count(*) FILTER (first % 2 = 0) AS n_searchable, 0 AS n_needs_ocr, coalesce(sum(n) FILTER (first % 2 = 0), 0)::BIGINT AS n_chunks FROM files",
     "fusion_consensus": f"WITH {_FUSED} SELECT query_id, count(*) AS n_fused, count(*) FILTER (retriever_hits > 1) AS n_consensus FROM rrf GROUP BY query_id",
     "rerank_minscore": f"""WITH {_sql_bm25(True)},
 qs AS (SELECT item_id, list_distinct({_TOKENS}) AS qt FROM benchmark), ds AS (SELECT doc_id, {_TOKENS} AS dt FROM documents),
@@ -341,11 +373,11 @@ UNION ALL SELECT id, 'unanswerable_with_source' FROM a WHERE kind = 'unanswerabl
     "manifest_currency": f"WITH {_FILES} SELECT file_name, content_hash, first % 2 = 0 AND first % 4 <> 0 AND file_name NOT IN (SELECT source FROM documents WHERE doc_id = 2) AS is_current FROM files",
     "library_listing": f"WITH {_FILES} SELECT file_name, CASE WHEN first % 2 = 0 THEN 'ok' ELSE 'skipped' END AS status, CASE WHEN first % 2 = 0 THEN n ELSE 0 END AS chunk_count, first % 2 = 0 AS is_searchable, false AS needs_ocr FROM files",
     "incremental_add": f"SELECT DISTINCT {_CHUNK_ID} AS chunk_id FROM documents WHERE {_CHUNK_ID} NOT IN (SELECT {_CHUNK_ID} FROM documents WHERE doc_id % 2 = 0)",
-    "ingest_report": "SELECT count(*) AS n_files, sum(p)::BIGINT AS n_pages, count(*) FILTER (c >= 100) AS n_ok, count(*) FILTER (c < 100) AS n_needs_ocr FROM (SELECT count(*) AS p, sum(len(trim(coalesce(text, ''), ' '))) AS c FROM documents GROUP BY source)",
+    "ingest_report": f"SELECT count(*) AS n_files, sum(p)::BIGINT AS n_pages, count(*) FILTER (c >= 100) AS n_ok, count(*) FILTER (c < 100) AS n_needs_ocr FROM (SELECT count(*) AS p, sum(len({_STRIPPED})) AS c FROM documents GROUP BY source)",
 }
 
 _QUERIES = (
-    tr_tokenize_stats, stem_vocabulary, normalized_text, chunk_ids, duplicate_documents, text_layer_status, chunk_documents, chunk_stats, bm25_idf, bm25_topk, dense_topk, rrf_fusion, fusion_consensus,
+    tr_tokenize_stats, stem_vocabulary, normalized_text, chunk_ids, duplicate_documents, text_layer_status, chunk_documents, chunk_stats, bm25_idf, bm25_topk, dense_topk, rrf_fusion, hybrid_topk, retrieval_stage_counts, library_totals, fusion_consensus,
     rerank_minscore, context_pack, citation_markers, abstention_flags, reasoning_strip, groundedness_parse, sse_frames, stream_filter, retrieval_metrics, eval_summary, diagnosis, golden_validation,
     manifest_currency, library_listing, incremental_add, ingest_report, safe_file_names,
 )
