@@ -80,8 +80,10 @@ def bucketed(df: DataFrame, path: str, key: str, n: int) -> DataFrame:
     """Like written(), for rows that are dealt by hash of key into n parts: a join with others that are leaves this side where it is."""
     spark = df.sparkSession
     name = f"quarry_{uuid.uuid4().hex}"
-    with shuffles_dropped(spark):
-        df.write.bucketBy(n, key).option("path", path).saveAsTable(name)
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({key}) INTO {n} BUCKETS LOCATION '{path}'")
+    with shuffles_dropped(spark):  # an insert drops them, a write that makes the table would not
+        df.write.insertInto(name)
     out = spark.read.table(name)
     out.schema  # resolved now: the name isn't needed any more
     spark.sql(f"DROP TABLE {name}")  # of a table with a path of its own this leaves the files

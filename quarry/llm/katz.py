@@ -34,7 +34,7 @@ from quarry.llm.phrases import _powers
 from quarry.llm.simhash import LOWER
 
 HOLD_OUT, HELD = 7, 2
-CHUNK_TOKENS = 1_500_000
+CHUNK_TOKENS = 1_000_000
 #: Counts up to this are discounted.
 GT_LIMIT = 5
 #: Counts of counts up to this one make the line of Simple Good-Turing.
@@ -42,7 +42,7 @@ FIT_LIMIT = 1000
 #: Its slope must be under -1 (then all factors are in (0, 1)); tiny corpora whose slope isn't have this one.
 LEAST_SLOPE = -1.05
 #: Trigrams are exchanged in this many waves, a part of the places each, so that fewer of them are under way at once.
-WAVES = 2
+WAVES = 1
 #: A context with this part of the tokens or more (so no more contexts than this) has its bigrams dealt to all places.
 HOT_SHARE = 1024
 #: Slots of a place from this one on stand for hot contexts.
