@@ -42,7 +42,7 @@ FIT_LIMIT = 1000
 #: Its slope must be under -1 (then all factors are in (0, 1)); tiny corpora whose slope isn't have this one.
 LEAST_SLOPE = -1.05
 #: Trigrams are exchanged in this many waves, a part of the places each, so that fewer of them are under way at once.
-WAVES = 1
+WAVES = 2
 #: A context with this part of the tokens or more (so no more contexts than this) has its bigrams dealt to all places.
 HOT_SHARE = 1024
 #: Slots of a place from this one on stand for hot contexts.
@@ -179,15 +179,19 @@ class Chunk:
 
 
 class Ngrams:
-    """A chunk's distinct n-grams whose context (a number for each token, 0: unknown) is known, in the order of places.
+    """A chunk's distinct n-grams whose context is known, in the order of places.
 
+    context: for each token where its context's number stands in numbers, which are distinct but for 0 (unknown).
     names: the contexts, those that are hot last; keys: a place's slot of the context and the last word's
     number; at: each token's n-gram, for the tokens in known.
     """
 
-    def __init__(self, context: np.ndarray, word: np.ndarray, hot: np.ndarray, n: int):
-        self.known = context > 0
-        names, of = np.unique(context[self.known], return_inverse=True)
+    def __init__(self, context: np.ndarray, numbers: np.ndarray, word: np.ndarray, hot: np.ndarray, n: int):
+        self.known = numbers[context] > 0
+        here = np.zeros(len(numbers), bool)
+        here[context[self.known]] = True
+        names = numbers[here]
+        of = np.cumsum(here)[context[self.known]] - 1
         is_hot, home = among(names, hot), (names - np.uint64(1)) % np.uint64(n)
         order = np.lexsort((names, np.where(is_hot, np.uint64(n), home)))
         rank = np.empty(len(names), np.uint64)
@@ -413,11 +417,11 @@ class KatzModel:
         def sent(wave: int, row: dict) -> dict:
             c = Chunk(row)
             before = c.before()
-            two = Ngrams(c.ids[before], c.word, hot[2], n)
+            two = Ngrams(before, c.ids, c.word, hot[2], n)
             if order == 2:
                 return two.messages(row["chunk"], c.trained, c.counts.astype(np.uint64)[c.seq], wave, waves)
-            number, count = numbers_of(c, two, row["order2"])
-            return Ngrams(context_of(c, number), c.word, hot[3], n).messages(row["chunk"], c.trained, count, wave, waves)
+            context, numbers, count = bigrams_of(c, two, row["order2"])
+            return Ngrams(context, numbers, c.word, hot[3], n).messages(row["chunk"], c.trained, count, wave, waves)
 
         def lower(x: np.ndarray) -> np.ndarray:
             # of trigrams' lower orders the context's constant factor is left to the chunks
@@ -451,12 +455,11 @@ class KatzModel:
                 add(n=packed(totals[part].astype(np.uint32)), **numbers, **stats(np.searchsorted(slot, mine[mine < HOT_SLOT])))
             cold = slot < HOT_SLOT
             add(keys=packed_sorted(every[seen]), n=packed(totals[seen].astype(np.uint32)))
-            add(slots=packed_sorted(slot[cold]), **stats(cold))
             add(slots=packed_sorted(slot[~cold]), **stats(~cold))
             return pa.RecordBatch.from_pydict({
-                "kind": ["reply"] * len(rows) + ["model", "context", "hot"],
-                "place": pa.array([place] * (len(rows) + 3), pa.int32()),
-                "chunk": pa.array([*[r["chunk"] for r in rows], -1, -1, -1], pa.int64()),
+                "kind": ["reply"] * len(rows) + ["model", "hot"],
+                "place": pa.array([place] * (len(rows) + 2), pa.int32()),
+                "chunk": pa.array([*[r["chunk"] for r in rows], -1, -1], pa.int64()),
                 **{c: pa.array(x, pa.binary()) for c, x in out.items()},
             })
 
@@ -488,8 +491,8 @@ class KatzModel:
         def run(row: dict) -> dict:
             c = Chunk(row)
             before = c.before()
-            two = Ngrams(c.ids[before], c.word, hot[2], n)
-            number, _ = numbers_of(c, two, row["order2"])
+            two = Ngrams(before, c.ids, c.word, hot[2], n)
+            context, numbers, _ = bigrams_of(c, two, row["order2"])
             seen, low, times = two.told(row.pop("order2"), of_hot[2], hot[2])
             # by word of the chunk: its count and weights as a context
             place = np.argsort(c.ids, kind="stable")
@@ -501,8 +504,8 @@ class KatzModel:
             pair[two.known] = seen[two.at]
             del two, seen, low, times
             p = np.where(pair > 0, discounted(pair, d[2]) * of_context[before], backoff[before] * law.of_word(c.counts)[c.seq])
-            three = Ngrams(context_of(c, number), c.word, hot[3], n)
-            del number
+            three = Ngrams(context, numbers, c.word, hot[3], n)
+            del context, numbers
             seen, low, times = three.told(row.pop("order3"), of_hot[3], hot[3])
             # of each context (a bigram): its count, and the factor that its followers' bigrams share
             count, factor = np.ones(len(three.names), np.int64), np.ones(len(three.names))
@@ -536,21 +539,18 @@ def numbered(n: int, many: int, place: int) -> np.ndarray:
     return np.arange(many, dtype=np.uint64) * np.uint64(n) + np.uint64(place + 1)
 
 
-def numbers_of(c: Chunk, two: Ngrams, replies: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
-    """By token: the number of the bigram that ends there (0: not seen) and its training count."""
+def bigrams_of(c: Chunk, two: Ngrams, replies: list[dict] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bigram before each token, by its place in the numbers of bigrams (the last of them is 0, for none: a text's first token
+    has none); and by token the training count of the bigram that ends there."""
     replies = sorted(replies or [], key=lambda r: r["place"])
-    number, count = np.zeros(len(c.seq), np.uint64), np.zeros(len(c.seq), np.uint64)
     ids = [np.cumsum(unpacked(r["ids"], np.uint64), dtype=np.uint64) for r in replies]
-    number[two.known] = np.concatenate([np.zeros(0, np.uint64), *ids])[two.at]
+    numbers = np.concatenate([*ids, np.zeros(1, np.uint64)])
+    place, count = np.full(len(c.seq), len(numbers) - 1, np.uint32), np.zeros(len(c.seq), np.uint64)
+    place[two.known] = two.at
     count[two.known] = joined(replies, "n", np.uint32)[two.at]
-    return number, count
-
-
-def context_of(c: Chunk, number: np.ndarray) -> np.ndarray:
-    """The bigram before each token; the first of a text has none."""
-    out = np.concatenate([number[:1], number[:-1]])
-    out[c.firsts] = 0
-    return out
+    context = np.concatenate([place[:1], place[:-1]])
+    context[c.firsts] = len(numbers) - 1
+    return context, numbers, count
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
