@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,11 +63,16 @@ class Terms:
     """Places and counts of those terms of a text that the examples have too."""
 
     def __init__(self, terms: list[str]):
-        self.words = {t: i for i, t in enumerate(terms) if t[-1] != "-"}
-        self.starts = [(k, {t[:-1]: i for i, t in enumerate(terms) if t[-1] == "-" and len(t) == k + 1}) for k in STARTS]
-        self.size = len(terms)
+        self.terms = terms
+        self.words: dict[str, int] | None = None  # made where it is used, not in the driver
+
+    def make(self) -> None:
+        self.words = {t: i for i, t in enumerate(self.terms) if t[-1] != "-"}
+        self.starts = [(k, {t[:-1]: i for i, t in enumerate(self.terms) if t[-1] == "-" and len(t) == k + 1}) for k in STARTS]
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        if self.words is None:
+            self.make()
         words = Counter(WORDS.findall(text.lower()))
         names, n = list(words), np.array(list(words.values()), float)
         found = [np.array([self.words.get(w, -1) for w in names], np.int64)]
@@ -262,9 +268,9 @@ def inverse_frequency(vectors: DataFrame, size: int) -> np.ndarray:
             part = hit[a : a + 50_000]
             yield pa.RecordBatch.from_pydict({"at": pa.array(part), "n": pa.array(n[part])})
 
-    counts = vectors.select("terms").mapInArrow(used, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # a row a term of the examples
+    counts = vectors.select("terms").mapInArrow(used, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # a row a term of the examples
     df = np.zeros(size + 1)
-    df[counts["at"].to_numpy(np.int64)] = counts["n"].to_numpy(float)
+    df[counts["at"].to_numpy()] = counts["n"].to_numpy()
     return np.log((1 + df[-1]) / (1 + df[:-1])) + 1
 
 
@@ -282,12 +288,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[ToxicityModel, DataFrame]:
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "toxic", "terms", "n"])
 
     # MAX_TOXIC + MAX_CLEAN rows at most, of texts of MAX_CHARS at most
-    taken = sorted(map(tuple, examples.mapInArrow(counted, "doc_id long, toxic int, terms array<string>, n array<int>").collect()))
-    terms = sorted({t for r in taken for t in r[2]})
-    at = {t: i for i, t in enumerate(terms)}
+    taken = examples.mapInArrow(counted, "doc_id long, toxic int, terms array<string>, n array<int>").toArrow().sort_by("doc_id")
+    coded = pa.chunked_array([x.flatten() for x in taken["terms"].chunks], pa.string()).combine_chunks().dictionary_encode()
+    counts = np.concatenate([np.zeros(0), *[x.flatten().to_numpy() for x in taken["n"].chunks]])
+    by = pc.sort_indices(coded.dictionary).to_numpy()
+    terms = coded.dictionary.take(pa.array(by)).to_pylist()
+    at = np.empty(len(by), np.int64)
+    at[by] = np.arange(len(by))
+    codes = at[coded.indices.to_numpy()]
+    cuts = np.cumsum(pc.list_value_length(taken["n"]).to_numpy())[:-1]
+    own = list(zip(np.split(codes, cuts), np.split(counts, cuts))) if taken.num_rows else []
+    labelled = list(zip(taken["doc_id"].to_pylist(), taken["toxic"].to_pylist()))
+    del taken, coded, counts, codes
     vectors = vectors_of(docs, terms)
-    own = [(np.array([at[t] for t in r[2]], np.int64), np.array(r[3], float)) for r in taken]
-    return ToxicityModel(BlockMaxIndex(inverse_frequency(vectors, len(terms)), own), [r[:2] for r in taken], own, totals), vectors
+    return ToxicityModel(BlockMaxIndex(inverse_frequency(vectors, len(terms)), own), labelled, own, totals), vectors
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, with_text_id: bool = False) -> DataFrame:
