@@ -1,10 +1,12 @@
-"""Token-budgeted chunking of pages: paragraphs, sentences, words, with overlap; one Python fold per page."""
+"""Token-budgeted chunking of pages by offsets: a page becomes units with sizes, running sums give the cuts."""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate, pairwise
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,7 +20,8 @@ ABBREVIATIONS = (
     "vb.", "vs.", "bkz.", "örn.", "yy.", "no.", "sy.", "md.", "bkz", "dr.", "prof.", "doç.", "av.", "sn.", "mm.", "cm.", "km.", "kg.",
     "a.ş.", "ltd.", "şti.", "tl.", "usd.",
 )
-GAP = "\n\n"
+# Where paragraphs and sentences end, and what parts the units of a chunk.
+PARAGRAPH_END, SENTENCE_END, GAP = r"\n\s*\n", r"(?<=[.!?:])\s+", "\n\n"
 
 
 def count_words(text: str) -> int:
@@ -26,16 +29,11 @@ def count_words(text: str) -> int:
 
 
 def sentences(text: str) -> list[str]:
-    out: list[str] = []
-    for part in re.split(r"(?<=[.!?:])\s+", text):
-        folded = part.strip().lower()
-        if not folded:
-            continue
-        if out and (folded.startswith(ABBREVIATIONS) or out[-1].strip().lower().endswith(ABBREVIATIONS)):
-            out[-1] += " " + part
-        else:
-            out.append(part)
-    return out
+    """Sentences; the parts on both sides of an abbreviation are one."""
+    parts = [p for p in re.split(SENTENCE_END, text) if p.strip()]
+    folded = [p.strip().lower() for p in parts]
+    starts = [0, *(i for i in range(1, len(parts)) if not (folded[i].startswith(ABBREVIATIONS) or folded[i - 1].endswith(ABBREVIATIONS))), len(parts)]
+    return [" ".join(parts[a:b]) for a, b in pairwise(starts) if a < b]
 
 
 @dataclass(frozen=True)
@@ -50,56 +48,63 @@ class ChunkRules:
             raise ValueError("overlap < target <= hard_limit is required")
 
 
-def _longest_tail(items: list[str], limit: int, count: Callable[[str], int]) -> str:
-    taken = ""
-    for i in range(len(items) - 1, -1, -1):
-        longer = " ".join(items[i:])
-        if count(longer) > limit:
-            break
-        taken = longer
-    return taken
-
-
-def _units(text: str, rules: ChunkRules, count: Callable[[str], int]) -> Iterator[str]:
-    """Paragraphs that fit the target, else their sentences, else runs of words."""
-    for paragraph in filter(None, map(str.strip, re.split(r"\n\s*\n", text))):
-        if count(paragraph) <= rules.target:
-            yield paragraph
-            continue
-        for sentence in sentences(paragraph):
-            if count(sentence) <= rules.target:
-                yield sentence
+class Sizes:
+    """Running sums of the sizes of a list of texts."""
+
+    def __init__(self, texts: list[str], count: Callable[[str], int]):
+        self.sums = [0, *accumulate(map(count, texts))]
+
+    def of(self, a: int, b: int) -> int:
+        return self.sums[b] - self.sums[a]
+
+    def reach(self, a: int, room: int) -> int:
+        """The end of the longest run from a within room; a run has one text at least."""
+        return max(a + 1, bisect_right(self.sums, self.sums[a] + room) - 1)
+
+
+def _suffix(texts: list[str], room: int, count: Callable[[str], int]) -> str:
+    """The longest suffix of texts within room."""
+    sums = list(accumulate(map(count, reversed(texts))))
+    return " ".join(texts[len(texts) - bisect_right(sums, room) :])
+
+
+def units(text: str, target: int, count: Callable[[str], int]) -> list[str]:
+    """A page's paragraphs; those over the target as sentences, and sentences over it as runs of words."""
+    out: list[str] = []
+    for paragraph in filter(None, (p.strip() for p in re.split(PARAGRAPH_END, text))):
+        for part in [paragraph] if count(paragraph) <= target else sentences(paragraph):
+            if count(part) <= target:
+                out.append(part)
                 continue
-            run: list[str] = []
-            for word in sentence.split():
-                if run and count(" ".join([*run, word])) > rules.target:
-                    yield " ".join(run)
-                    run = []
-                run.append(word)
-            if run:
-                yield " ".join(run)
+            words = part.split()
+            sizes, a = Sizes(words, count), 0
+            while a < len(words):
+                b = sizes.reach(a, target)
+                out.append(" ".join(words[a:b]))
+                a = b
+    return out
 
 
 def chunk_page(text: str, rules: ChunkRules = ChunkRules(), count: Callable[[str], int] = count_words) -> list[str]:
-    """Chunk texts of one page, in order. A word over the hard limit makes a chunk of its own."""
-    groups: list[list[str]] = []
-    open_group: list[str] = []
-    for unit in _units(text, rules, count):
-        if open_group and count(GAP.join([*open_group, unit])) > rules.target:
-            groups.append(open_group)
-            joined = GAP.join(open_group)
-            tail = ""
-            if rules.overlap:
-                tail = _longest_tail(sentences(joined), rules.overlap, count) or _longest_tail(joined.split(), rules.overlap, count)
-            open_group = [tail] if tail else []
-        if open_group and count(GAP.join([*open_group, unit])) > rules.hard_limit:
-            open_group = []
-        open_group.append(unit)
-    if open_group:
-        groups.append(open_group)
-    if len(groups) > 1 and count(GAP.join(groups[-1])) < rules.least and count(GAP.join(groups[-2] + groups[-1])) <= rules.hard_limit:
-        groups[-2:] = [groups[-2] + groups[-1]]
-    return [GAP.join(g) for g in groups]
+    """Chunk texts of one page, in order. A word over the hard limit makes a chunk of its own.
+
+    count must be additive over texts parted by blanks, as words and the tokens of blank-splitting tokenizers are.
+    A chunk is an overlap (the end of the chunk before it, left out where it would break the hard limit) and a run of
+    units; a short last chunk joins the one before it.
+    """
+    parts = units(text, rules.target, count)
+    sizes, chunks, a, lead = Sizes(parts, count), [], 0, ""
+    while a < len(parts):
+        used = count(lead)
+        if used + sizes.of(a, a + 1) > rules.hard_limit:
+            lead, used = "", 0
+        b = sizes.reach(a, rules.target - used)
+        chunks.append(GAP.join(filter(None, [lead, *parts[a:b]])))
+        lead = _suffix(sentences(chunks[-1]), rules.overlap, count) or _suffix(chunks[-1].split(), rules.overlap, count)
+        a = b
+    if len(chunks) > 1 and count(chunks[-1]) < rules.least and count(chunks[-2]) + count(chunks[-1]) <= rules.hard_limit:
+        chunks[-2:] = [GAP.join(chunks[-2:])]
+    return chunks
 
 
 def chunk_documents(pages: DataFrame, rules: ChunkRules = ChunkRules(), count: Callable[[str], int] = count_words) -> DataFrame:
