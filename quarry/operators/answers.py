@@ -55,6 +55,13 @@ def resolve_citations(answers: DataFrame, used: DataFrame) -> DataFrame:
     return cited.join(used.withColumnRenamed("rank", "marker"), ["query_id", "marker"], "left")
 
 
+def answer_view(cited: DataFrame, preview_chars: int = 300) -> DataFrame:
+    """Resolved citations (marker, chunk_id, text, file_name, page, section, score) as they are shown; unknown markers have no row."""
+    return cited.where(F.col("chunk_id").isNotNull()).select(
+        "query_id", "marker", "chunk_id", source_label(F.col("file_name"), F.col("page"), F.col("section")).alias("label"), F.round("score", 4).alias("score"), F.substring("text", 1, preview_chars).alias("preview")
+    )
+
+
 def abstained(answer: Column, phrase: str = ABSTAIN_PHRASE) -> Column:
     return tr_contains(answer, F.lit(phrase)) & (F.length(answer) < 3 * len(phrase))
 
@@ -75,6 +82,11 @@ def missing_phrases(answer: Column, needles: Column) -> Column:
     return F.filter(needles, lambda n: ~F.contains(folded, tr_lower(n)))
 
 
+def found_phrases(answer: Column, needles: Column) -> Column:
+    folded = tr_lower(answer)
+    return F.filter(needles, lambda n: F.contains(folded, tr_lower(n)))
+
+
 def answer_pipeline(queries: DataFrame, hits: DataFrame, llm, template: str, budget: int = 4096) -> DataFrame:
     """queries (query_id, query_text) and ranked hits with chunk columns -> answers.
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.answers import found_phrases, missing_phrases, resolve_citations
+
 MEANS_ANSWERABLE = ("recall", "hit_rate", "mrr", "precision")
 
 
@@ -56,6 +58,33 @@ def judged(results: DataFrame) -> DataFrame:
     return out.withColumn("passed", F.col("abstention_correct") & ~F.col("hallucinated") & F.col("facts_ok") & F.col("cited") & F.col("citations_correct"))
 
 
+def wrong_citations(cited: DataFrame, expected: DataFrame) -> DataFrame:
+    """Resolved citations (query_id, marker, file_name, page, ...) whose source is none of the expected ones, for questions that expect some."""
+    asked = cited.where(F.col("file_name").isNotNull()).join(expected.select("query_id").distinct(), "query_id", "left_semi")
+    return source_matches(asked, expected).where(~F.col("is_relevant")).drop("is_relevant")
+
+
+def evaluate(questions: DataFrame, expected: DataFrame, used: DataFrame, answers: DataFrame, k: int) -> DataFrame:
+    """One judged row a question, measured on the chunks that the answer was made from; nothing is retrieved a second time.
+
+    questions: query_id, kind, must_contain, must_not_contain (arrays); used: query_id, rank, chunk_id, file_name, page;
+    answers: query_id, text, abstained. A question without an answer counts as an abstention.
+    """
+    cited = resolve_citations(answers, used).where(F.col("file_name").isNotNull())
+    n = cited.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_citations"))
+    wrong = wrong_citations(cited, expected).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_wrong"))
+    out = retrieval_metrics(questions, expected, used, k).join(answers.select("query_id", "text", "abstained"), "query_id", "left").join(n, "query_id", "left").join(wrong, "query_id", "left")
+    text, no_phrases = F.coalesce("text", F.lit("")), F.array().cast("array<string>")
+    out = out.withColumn("abstained", F.coalesce("abstained", F.lit(True))).withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_citations", "n_wrong")})
+    out = out.withColumn("facts_ok", (F.col("kind") != "answerable") | (F.size(missing_phrases(text, F.coalesce("must_contain", no_phrases))) == 0))
+    out = out.withColumn("forbidden", F.size(found_phrases(text, F.coalesce("must_not_contain", no_phrases))) > 0)
+    return judged(out.withColumn("citations_correct", F.col("n_wrong") == 0))
+
+
+def failures(results: DataFrame) -> DataFrame:
+    return results.where(~F.col("passed"))
+
+
 def diagnosis(row: DataFrame) -> DataFrame:
     """Names of the rules that a summary row breaks, in order; "none" if no rule is broken."""
     rules = [

@@ -45,6 +45,31 @@ def listing(files: DataFrame, manifest: DataFrame) -> DataFrame:
     return out.select(*files.columns, status.alias("status"), count.alias("chunk_count"), ((status == "ok") & (count > 0)).alias("is_searchable"), (status == "no_text_layer").alias("needs_ocr"))
 
 
+def with_report(files: DataFrame, report: DataFrame) -> DataFrame:
+    """Files in the order of their names with their status in an ingest report, null for those it lacks."""
+    return files.join(report.select("file_name", F.col("status").alias("reported")), "file_name", "left").orderBy("file_name")
+
+
+def ingest_plan(files: DataFrame, layers: DataFrame, current: DataFrame, manifest: DataFrame) -> DataFrame:
+    """What to do with each file: file_name, status, replaced.
+
+    files: file_name, error (null if it could be read); layers: text_layer's rows; current: currency's rows. Current
+    files are skipped, unreadable ones failed, and those without a text layer are tried again by the next run. Only
+    files that go in (status ok) take the place of rows that the manifest knows.
+    """
+    known = manifest.select("file_name", F.lit(True).alias("known")).distinct()
+    rows = files.join(current.select("file_name", "is_current"), "file_name", "left").join(layers.select("file_name", F.col("status").alias("layer")), "file_name", "left").join(known, "file_name", "left")
+    status = F.when(F.col("is_current"), "skipped").when(F.col("error").isNotNull(), "failed").when(F.col("layer") == "ok", "ok").otherwise("no_text_layer")
+    return rows.select("file_name", status.alias("status"), ((status == "ok") & F.coalesce("known", F.lit(False))).alias("replaced"))
+
+
+def ingested(index: DataFrame, plan: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The index after a run: rows of replaced files go, chunks of the files that go in come, each id once."""
+    kept = index.join(plan.where("replaced").select("file_name"), "file_name", "left_anti")
+    fresh = chunks.join(plan.where("status = 'ok'").select("file_name"), "file_name", "left_semi")
+    return kept.unionByName(new_chunks(fresh, kept))
+
+
 def duplicates(files: DataFrame, order: str) -> DataFrame:
     """files (file_name, content_hash, order) -> first file with the same content under another name."""
     firsts = files.groupBy("content_hash").agg(F.min_by("file_name", order).alias("duplicate_of"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.functions.embedding import HashingEmbedder
 from quarry.operators import answers as A
 from quarry.operators import chunking, evaluation, library, retrieval
 from quarry.streaming import pieces as streams
@@ -54,7 +55,7 @@ def stem_vocabulary(spark, d):
 
 
 def normalized_text(spark, d):
-    n = T.normalize_text(F.col("text"))
+    n = T.normalize_text(T.nfc(F.col("text")))
     return _docs(spark, d).select(F.col("chunk_id").alias("doc_id"), F.length(n).cast("long").alias("n_chars"), F.sha2(n, 256).alias("text_sha256"))
 
 
@@ -105,6 +106,22 @@ def hybrid_topk(spark, d):
     return retrieval.hybrid(retrievers, _questions(spark, d), TOP, FETCH)
 
 
+def _embedded(spark, d):
+    """Search by hashed word vectors: (queries, k) -> hits."""
+    e = HashingEmbedder()
+    passages = _docs(spark, d).select("chunk_id", e.passage(F.col("text")).alias("embedding"))
+    return lambda q, k: retrieval.dense_search(q.select("query_id", e.query(F.coalesce("query_text", F.lit(""))).alias("query_vec")), passages, k)
+
+
+def embedded_topk(spark, d):
+    return _embedded(spark, d)(_questions(spark, d), FETCH)
+
+
+def hybrid_embedded(spark, d):
+    """Terms and vectors fused by rank, cut to the first hits."""
+    return retrieval.hybrid([retrieval.Bm25Index(_docs(spark, d)).search, _embedded(spark, d)], _questions(spark, d), TOP, FETCH)
+
+
 def retrieval_stage_counts(spark, d):
     """Per question: hits of each retriever, of their fusion, and those kept."""
     docs, questions = _docs(spark, d), _questions(spark, d)
@@ -207,7 +224,7 @@ def retrieval_metrics(spark, d):
 
 def _results(spark, d):
     """Metrics with a stand-in answerer that abstains unless its best hit scores 20 or more, and cites its first hit."""
-    m = retrieval_metrics(spark, d)
+    m = evaluation.retrieval_metrics(*_golden(spark, d), _retrieved(spark, d), TOP)
     best = _retrieved(spark, d).where("rank = 1").select("query_id", "score")
     r = m.join(best, "query_id", "left").withColumn("abstained", F.coalesce(F.col("score") < 20, F.lit(True)))
     r = r.withColumn("n_citations", F.when(F.col("abstained"), 0).otherwise(1)).withColumn("facts_ok", (F.col("kind") != "answerable") | F.col("hit"))
@@ -215,6 +232,59 @@ def _results(spark, d):
     return evaluation.judged(r)
 
 
+def _used(spark, d):
+    """The chunks of each question's context, as packed."""
+    docs = _docs(spark, d).withColumn("token_count", F.size(T.raw_tokens(F.col("text"))).cast("long"))
+    return A.pack_context(_bm25(spark, d, FETCH).join(docs, "chunk_id"), 1000).withColumn("section", F.lit(""))
+
+
+def _answers(spark, d, used):
+    """An extractive answerer: the start of the first chunk with three markers, or the abstention phrase under a score of 20."""
+    best = used.where("rank = 1").select("query_id", F.when(F.col("score") >= 20, F.concat(F.substring("text", 1, 200), F.lit(" [1] [2] [9]"))).alias("told"))
+    text = F.coalesce("told", F.lit(A.ABSTAIN_PHRASE + "."))
+    return _questions(spark, d).join(best, "query_id", "left").select("query_id", text.alias("text"), A.abstained(text).alias("abstained"))
+
+
+def _cited(spark, d):
+    used = _used(spark, d)
+    return A.resolve_citations(_answers(spark, d, used), used)
+
+
+def citation_resolve(spark, d):
+    """Every citation of every answer; those that point to no chunk have nulls."""
+    return _cited(spark, d).select("query_id", "marker", "chunk_id", "file_name")
+
+
+def answer_view(spark, d):
+    return A.answer_view(_cited(spark, d))
+
+
+def wrong_citations(spark, d):
+    return evaluation.wrong_citations(_cited(spark, d), _golden(spark, d)[1]).select("query_id", "marker", "chunk_id")
+
+
+def _evaluated(spark, d):
+    """Questions must have their first word in the answer and may not have the phrase that a document never holds."""
+    questions, expected = _golden(spark, d)
+    first = F.slice(T.raw_tokens(F.col("query_text")), 1, 1)
+    asked = questions.join(_questions(spark, d), "query_id").select("query_id", "kind", first.alias("must_contain"), F.array(F.lit("[2] [9]")).alias("must_not_contain"))
+    used = _used(spark, d)
+    return evaluation.evaluate(asked, expected, used, _answers(spark, d, used), TOP)
+
+
+_SHOWN = ("query_id", "kind", "first_relevant_rank", "hit", "abstained", "n_citations", "n_wrong", "facts_ok", "forbidden", "citations_correct", "passed")
+
+
+def eval_used(spark, d):
+    """Every question judged on the chunks that its answer used."""
+    r = _evaluated(spark, d)
+    return r.select(*_SHOWN, *[F.round(c, 6).alias(c) for c in ("recall", "precision", "reciprocal_rank")])
+
+
+def eval_failures(spark, d):
+    return evaluation.failures(_evaluated(spark, d)).select("query_id", "kind", "abstained", "n_wrong")
+
+
 def eval_summary(spark, d):
     s = evaluation.summary(_results(spark, d))
     return s.select("n_questions", "n_answerable", *[F.round(c, 6).alias(c) for c in s.columns[2:]])
@@ -257,6 +327,25 @@ def library_listing(spark, d):
     return library.listing(_files(spark, d).select("file_name"), _manifest(spark, d))
 
 
+def _plan(spark, d):
+    """Files with a first page of 1 more than a multiple of 5 can't be read."""
+    error = F.when(F.col("first") % 5 == 1, F.lit("unreadable")).alias("error")
+    return library.ingest_plan(_files(spark, d).select("file_name", error), text_layer_status(spark, d), manifest_currency(spark, d), _manifest(spark, d))
+
+
+def incremental_ingest(spark, d):
+    """What a run does with each file, and the file's rows in the index after it."""
+    plan, chunks = _plan(spark, d), _docs(spark, d).select("chunk_id", "file_name")
+    index = chunks.where("chunk_id <> 2").join(_manifest(spark, d).select("file_name"), "file_name", "left_semi").select("chunk_id", "file_name")
+    n = library.ingested(index, plan, chunks).groupBy("file_name").agg(F.count(F.lit(1)).alias("n"))
+    return plan.join(n, "file_name", "left").select("file_name", "status", "replaced", F.coalesce("n", F.lit(0)).cast("long").alias("n_indexed"))
+
+
+def report_lookup(spark, d):
+    """Files by name with their status in the report of a run that took up the changed and the unknown ones."""
+    return library.with_report(_files(spark, d).select("file_name"), _plan(spark, d).where("status <> 'skipped'"))
+
+
 def incremental_add(spark, d):
     """Chunks that an index of the even documents lacks, each id once."""
     ids = chunk_ids(spark, d)
@@ -313,15 +402,43 @@ _SAID = "said AS (SELECT conv_id * 1000 + turn AS query_id, text, len(text) AS n
 
 _GOLDEN = "expected AS (SELECT item_id AS query_id, source AS file_name, doc_id AS page FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.text <> ''),\ngolden AS (SELECT item_id AS query_id, CASE WHEN item_id IN (SELECT query_id FROM expected) THEN 'answerable' ELSE 'unanswerable' END AS kind FROM benchmark)"
 
-_METRICS = f"""{_sql_bm25(True)}, {_GOLDEN},
-marked AS (SELECT h.*, e.page IS NOT NULL AS rel FROM hits h LEFT JOIN expected e ON e.query_id = h.query_id AND e.page = h.chunk_id),
+_METRICS_OF = f"""marked AS (SELECT h.*, e.page IS NOT NULL AS rel FROM @HITS@ h LEFT JOIN expected e ON e.query_id = h.query_id AND e.page = h.chunk_id),
 per AS (SELECT query_id, min(rank) FILTER (rel) AS first, avg(CASE WHEN rel THEN 1.0 ELSE 0.0 END) FILTER (rank <= {TOP}) AS prec, count(*) FILTER (rel AND rank <= {TOP}) AS found FROM marked GROUP BY query_id),
-metrics AS (SELECT g.query_id, g.kind, first AS first_relevant_rank, coalesce(first <= {TOP}, false) AS hit,
-  round(coalesce(found / nullif((SELECT count(*) FROM expected e WHERE e.query_id = g.query_id), 0), 0.0), 6) AS recall,
-  round(coalesce(prec, 0.0), 6) AS precision, round(coalesce(1 / first, 0.0), 6) AS reciprocal_rank FROM golden g LEFT JOIN per USING (query_id))"""
+exact AS (SELECT g.query_id, g.kind, first AS first_relevant_rank, coalesce(first <= {TOP}, false) AS hit,
+  coalesce(found / nullif((SELECT count(*) FROM expected e WHERE e.query_id = g.query_id), 0), 0.0) AS recall, coalesce(prec, 0.0) AS precision, coalesce(1 / first, 0.0) AS reciprocal_rank FROM golden g LEFT JOIN per USING (query_id)),
+metrics AS (SELECT * REPLACE (round(recall, 6) AS recall, round(precision, 6) AS precision, round(reciprocal_rank, 6) AS reciprocal_rank) FROM exact)"""
+
+_METRICS = f"{_sql_bm25(True)}, {_GOLDEN},\n{_METRICS_OF.replace('@HITS@', 'hits')}"
+
+_FOLD = "lower(translate({}, '" + T.TR_UPPER + "', '" + T.TR_LOWER + "'))"
+
+_USED = f"""{_sql_bm25(True)}, {_GOLDEN},
+used AS (SELECT * FROM (SELECT hits.*, sum(n) OVER (PARTITION BY query_id ORDER BY rank) AS so_far FROM hits JOIN (SELECT doc_id, len({_TOKENS}) AS n FROM documents) ON doc_id = chunk_id) WHERE so_far <= 1000 OR rank = 1),
+best AS (SELECT query_id, score, coalesce(text, '') AS text FROM used JOIN documents ON doc_id = chunk_id WHERE rank = 1),
+told AS (SELECT item_id AS query_id, CASE WHEN score >= 20 THEN substring(best.text, 1, 200) || ' [1] [2] [9]' ELSE '{A.ABSTAIN_PHRASE}.' END AS text FROM benchmark LEFT JOIN best ON query_id = item_id),
+answers AS (SELECT *, contains({_FOLD.format('text')}, {_FOLD.format("'" + A.ABSTAIN_PHRASE + "'")}) AND len(text) < {3 * len(A.ABSTAIN_PHRASE)} AS abstained FROM told),
+marks AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(text, '\\[(\\d{{1,2}})\\]', 1))::INT AS marker FROM answers WHERE NOT abstained),
+cited AS (SELECT m.query_id, marker, chunk_id, source AS file_name, score, text FROM marks m LEFT JOIN used u ON u.query_id = m.query_id AND rank = marker LEFT JOIN documents ON doc_id = chunk_id),
+wrong AS (SELECT query_id, marker, chunk_id FROM cited c WHERE chunk_id IS NOT NULL AND query_id IN (SELECT query_id FROM expected) AND NOT EXISTS (SELECT 1 FROM expected e WHERE e.query_id = c.query_id AND e.page = c.chunk_id))"""
+
+_EVAL_USED = f"""{_USED}, {_METRICS_OF.replace('@HITS@', 'used')},
+counted AS (SELECT m.*, a.text, a.abstained, (SELECT count(*) FROM cited c WHERE c.query_id = m.query_id AND chunk_id IS NOT NULL) AS n_citations, (SELECT count(*) FROM wrong w WHERE w.query_id = m.query_id) AS n_wrong, m.kind = 'answerable' AS ans,
+  (SELECT ({_TOKENS})[1] FROM benchmark WHERE item_id = m.query_id) AS word FROM metrics m JOIN answers a USING (query_id)),
+checked AS (SELECT *, NOT ans OR word IS NULL OR contains({_FOLD.format('text')}, {_FOLD.format('word')}) AS facts_ok, contains(text, '[2] [9]') AS forbidden, n_wrong = 0 AS citations_correct FROM counted),
+evaluated AS (SELECT *, abstained <> ans AND NOT ((NOT ans AND NOT abstained) OR forbidden) AND facts_ok AND (NOT ans OR n_citations > 0) AND citations_correct AS passed FROM checked)"""
+
+_EMBEDDED = f"""qv AS (SELECT item_id, b, count(*) AS c FROM (SELECT item_id, ('0x' || substr(md5(unnest({_TOKENS})), 1, 8))::BIGINT % 64 AS b FROM (SELECT item_id, 'query: ' || coalesce(text, '') AS text FROM benchmark)) GROUP BY ALL),
+dv AS (SELECT doc_id, b, count(*) AS c FROM (SELECT doc_id, ('0x' || substr(md5(unnest({_TOKENS})), 1, 8))::BIGINT % 64 AS b FROM (SELECT doc_id, 'passage: ' || coalesce(text, '') AS text FROM documents)) GROUP BY ALL),
+qn AS (SELECT item_id, sqrt(sum(c * c)) AS norm FROM qv GROUP BY item_id), dn AS (SELECT doc_id, sqrt(sum(c * c)) AS norm FROM dv GROUP BY doc_id),
+dots AS (SELECT item_id, doc_id, sum(qv.c * dv.c) AS dot FROM qv JOIN dv USING (b) GROUP BY ALL),
+cosines AS (SELECT qn.item_id AS query_id, dn.doc_id AS chunk_id, round(coalesce(dot, 0) / (qn.norm * dn.norm), 6) AS score FROM qn CROSS JOIN dn LEFT JOIN dots ON dots.item_id = qn.item_id AND dots.doc_id = dn.doc_id),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM cosines) WHERE rank <= {FETCH})"""
+
+_PLAN = f"""{{files}}, layers AS (SELECT source AS file_name, sum(len({{stripped}})) AS chars FROM documents GROUP BY source),
+plan AS (SELECT file_name, n, first, CASE WHEN first % 2 = 0 AND first % 4 <> 0 AND file_name NOT IN (SELECT source FROM documents WHERE doc_id = 2) THEN 'skipped' WHEN first % 5 = 1 THEN 'failed' WHEN chars < 100 THEN 'no_text_layer' ELSE 'ok' END AS status FROM files JOIN layers USING (file_name))"""
 
 _JUDGED = f"""{_METRICS},
-said AS (SELECT m.*, coalesce(h.score < 20, true) AS abstained, kind = 'answerable' AS ans FROM metrics m LEFT JOIN (SELECT * FROM hits WHERE rank = 1) h USING (query_id)),
+said AS (SELECT m.*, coalesce(h.score < 20, true) AS abstained, kind = 'answerable' AS ans FROM exact m LEFT JOIN (SELECT * FROM hits WHERE rank = 1) h USING (query_id)),
 judged AS (SELECT *, abstained <> ans AS abst_ok, NOT ans AND NOT abstained AS halluc, NOT ans OR NOT abstained AS cited, NOT ans OR hit AS facts, abstained OR NOT ans OR coalesce(first_relevant_rank = 1, false) AS cit_ok FROM said),
 summary AS (SELECT count(*) AS n_questions, count(*) FILTER (ans) AS n_answerable,
   {', '.join(f"round(coalesce(avg({c}::DOUBLE) FILTER (ans), 0.0), 6) AS {n}" for c, n in (('recall', 'recall'), ('hit::INT', 'hit_rate'), ('reciprocal_rank', 'mrr'), ('precision', 'precision'), ('cited::INT', 'citation_rate'), ('cit_ok::INT', 'citation_accuracy'), ('facts::INT', 'fact_accuracy')))},
@@ -331,6 +448,22 @@ _FILES = "files AS (SELECT source AS file_name, sum(('0x' || substr(sha256(doc_i
 
 _STRIPPED = r"regexp_replace(coalesce(text, ''), '^[\s\x0b\x{85}\p{Z}]+|[\s\x0b\x{85}\p{Z}]+$', '', 'g')"
 
+_PLAN = _PLAN.format(files=_FILES, stripped=_STRIPPED)
+
+# white space that is left once control characters are out, but for line ends
+_BLANKS = r"[\t\r \x{85}\x{2028}\x{2029}\p{Zs}]"
+_NORMALIZED = "nfc_normalize(coalesce(text, ''))"
+for _pattern, _new in (
+    (r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""), (r"(\p{L})-\n(\p{L})", r"\1\2"), (r"(\p{L})-\n(\p{L})", r"\1\2"), (_BLANKS + "{2,}", " "), (r"\n{3,}", "\n\n"),
+    (r"(?m)" + _BLANKS + "+$", ""), (r"^[\s\x{85}\p{Z}]+|[\s\x{85}\p{Z}]+$", ""),
+):
+    _NORMALIZED = f"regexp_replace({_NORMALIZED}, '{_pattern}', '{_new}', 'g')"
+
+_NAME = _STRIPPED.replace("text", "url")
+_SAFE = f"""SELECT page_id, CASE WHEN name <> '' AND base <> '' AND NOT regexp_matches(name, '[\\x00-\\x1f\\x7f-\\x9f\\x{{200b}}-\\x{{200f}}\\x{{2028}}-\\x{{202e}}]') AND NOT starts_with(base, '.') AND len(base) <= 200
+  AND lower(regexp_replace(base, '\\.[^.]*$', '')) NOT IN ({", ".join(f"'{r}'" for r in library.RESERVED)}) AND regexp_full_match(base, '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Nl}}\\p{{Pc}}\\s\\p{{Z}}.,()\\[\\]+&#@!''çğıöşüÇĞİÖŞÜ-]+') THEN base END AS safe_name
+FROM (SELECT page_id, name, regexp_extract(replace(name, '\\', '/'), '[^/]*$', 0) AS base FROM (SELECT page_id, {_NAME} AS name FROM pages))"""
+
 _CHUNK_ID = "substr(sha256(coalesce(text, '') || chr(0) || source || chr(0) || doc_id), 1, 32)"
 
 SQL = {
@@ -346,6 +479,19 @@ SQL = {
     "hybrid_topk": f"WITH {_FUSED} SELECT query_id, chunk_id, score, rank, retriever_hits FROM rrf WHERE rank <= {TOP}",
     "retrieval_stage_counts": f"WITH {_FUSED} SELECT query_id, count(*) FILTER (s = 'x') AS n_stemmed, count(*) FILTER (s = 'y') AS n_plain, count(*) FILTER (s = 'f') AS n_fused, count(*) FILTER (s = 'f' AND rank <= {TOP}) AS n_kept FROM (SELECT query_id, 'x' AS s, rank FROM xhits UNION ALL SELECT query_id, 'y', rank FROM yhits UNION ALL SELECT query_id, 'f', rank FROM rrf) GROUP BY query_id",
     "library_totals": f"WITH {_FILES} SELECT count(*) AS n_files, count(*) FILTER (first % 2 = 0) AS n_searchable, 0 AS n_needs_ocr, coalesce(sum(n) FILTER (first % 2 = 0), 0)::BIGINT AS n_chunks FROM files",
+    "normalized_text": f"SELECT doc_id, len(n) AS n_chars, sha256(n) AS text_sha256 FROM (SELECT doc_id, {_NORMALIZED} AS n FROM documents)",
+    "safe_file_names": _SAFE,
+    "embedded_topk": f"WITH {_EMBEDDED} SELECT query_id, chunk_id, score, rank FROM near",
+    "hybrid_embedded": f"""WITH {_sql_bm25(True)}, {_EMBEDDED}, every AS (SELECT query_id, chunk_id, 0 AS l, rank FROM hits UNION ALL SELECT query_id, chunk_id, 1, rank FROM near),
+fused AS (SELECT query_id, chunk_id, round(sum(1 / (60 + rank)), 9) AS score, count(*) AS retriever_hits, min(l * 1000 + rank) AS seen FROM every GROUP BY ALL)
+SELECT query_id, chunk_id, score, rank, retriever_hits FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen) AS rank FROM fused) WHERE rank <= {TOP}""",
+    "citation_resolve": f"WITH {_USED} SELECT query_id, marker, chunk_id, file_name FROM cited",
+    "answer_view": f"WITH {_USED} SELECT query_id, marker, chunk_id, file_name || ' · s.' || chunk_id AS label, round(score, 4) AS score, substring(coalesce(text, ''), 1, 300) AS preview FROM cited WHERE chunk_id IS NOT NULL",
+    "wrong_citations": f"WITH {_USED} SELECT query_id, marker, chunk_id FROM wrong",
+    "eval_used": f"WITH {_EVAL_USED} SELECT {', '.join(_SHOWN)}, recall, precision, reciprocal_rank FROM evaluated",
+    "eval_failures": f"WITH {_EVAL_USED} SELECT query_id, kind, abstained, n_wrong FROM evaluated WHERE NOT passed",
+    "incremental_ingest": f"WITH {_PLAN} SELECT file_name, status, first % 2 = 0 AND status = 'ok' AS replaced, CASE WHEN status = 'ok' THEN n WHEN first % 2 = 0 THEN n - (SELECT count(*) FROM documents WHERE doc_id = 2 AND source = file_name) ELSE 0 END AS n_indexed FROM plan",
+    "report_lookup": f"WITH {_PLAN} SELECT file_name, nullif(status, 'skipped') AS reported FROM plan",
     "fusion_consensus": f"WITH {_FUSED} SELECT query_id, count(*) AS n_fused, count(*) FILTER (retriever_hits > 1) AS n_consensus FROM rrf GROUP BY query_id",
     "rerank_minscore": f"""WITH {_sql_bm25(True)},
 qs AS (SELECT item_id, list_distinct({_TOKENS}) AS qt FROM benchmark), ds AS (SELECT doc_id, {_TOKENS} AS dt FROM documents),
@@ -377,9 +523,9 @@ UNION ALL SELECT id, 'unanswerable_with_source' FROM a WHERE kind = 'unanswerabl
 }
 
 _QUERIES = (
-    tr_tokenize_stats, stem_vocabulary, normalized_text, chunk_ids, duplicate_documents, text_layer_status, chunk_documents, chunk_stats, bm25_idf, bm25_topk, dense_topk, rrf_fusion, hybrid_topk, retrieval_stage_counts, library_totals, fusion_consensus,
+    tr_tokenize_stats, stem_vocabulary, normalized_text, chunk_ids, duplicate_documents, text_layer_status, chunk_documents, chunk_stats, bm25_idf, bm25_topk, dense_topk, rrf_fusion, hybrid_topk, embedded_topk, hybrid_embedded, retrieval_stage_counts, library_totals, fusion_consensus,
     rerank_minscore, context_pack, citation_markers, abstention_flags, reasoning_strip, groundedness_parse, sse_frames, stream_filter, retrieval_metrics, eval_summary, diagnosis, golden_validation,
-    manifest_currency, library_listing, incremental_add, ingest_report, safe_file_names,
+    citation_resolve, answer_view, wrong_citations, eval_used, eval_failures, manifest_currency, library_listing, incremental_ingest, report_lookup, incremental_add, ingest_report, safe_file_names,
 )
 
 

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import html
 import json
+import re
+import unicodedata
 import uuid
+from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +27,25 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder in order; none if it is absent."""
+    fs, p = _fs(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def _pointers(spark: SparkSession, path: str) -> list[str]:
+    """Pointers that were written whole, oldest first."""
+    found = [f"{path}/pointers/{name}" for name in _folders(spark, f"{path}/pointers")]
+    return [p for p in found if "_SUCCESS" in _folders(spark, p)]
+
+
+def _point(spark: SparkSession, path: str, version: str) -> None:
+    """A new pointer beside the former ones, so that readers always find one; two writers can't take one number."""
+    names = _folders(spark, f"{path}/pointers")
+    number = int(names[-1]) + 1 if names else 0
+    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/pointers/{number:010d}")
+
+
 def save_index(chunks: DataFrame, path: str, model_id: str, dimension: int) -> str:
     """Write chunks (with embedding) as a new version; readers see it once the pointer has moved."""
     spark = chunks.sparkSession
@@ -28,12 +54,12 @@ def save_index(chunks: DataFrame, path: str, model_id: str, dimension: int) -> s
     count = spark.read.parquet(f"{path}/{version}/chunks").count()
     meta = {"format": FORMAT, "model_id": model_id, "dimension": dimension, "count": count, "version": version}
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{path}/{version}/meta")
-    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/current")
+    _point(spark, path, version)
     return version
 
 
 def load_index(spark: SparkSession, path: str, model_id: str, dimension: int) -> DataFrame:
-    version = spark.read.text(f"{path}/current").first()["value"]
+    version = spark.read.text(_pointers(spark, path)[-1]).first()["value"]
     meta = json.loads(spark.read.text(f"{path}/{version}/meta").first()["value"])
     for name, want in (("format", FORMAT), ("model_id", model_id), ("dimension", dimension)):
         if meta[name] != want:
@@ -48,20 +74,75 @@ MANIFEST = "file_name string, content_hash string, status string, page_count lon
 
 
 def load_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """An absent or unreadable manifest is an empty one."""
-    fs, p = _fs(spark, path)
-    if not fs.exists(p):
-        return spark.createDataFrame([], MANIFEST)
-    return spark.read.schema(MANIFEST).json(path)
+    """A manifest that is absent, broken or of another format is an empty one."""
+    empty = spark.createDataFrame([], MANIFEST)
+    if not _folders(spark, path):
+        return empty
+    rows = spark.read.schema(MANIFEST + ", format int, broken string").option("columnNameOfCorruptRecord", "broken").json(path)
+    wrong = F.col("broken").isNotNull() | F.coalesce(F.col("format") != FORMAT, F.lit(True))
+    return empty if rows.where(wrong).head(1) else rows.drop("format", "broken")
 
 
 def upsert_manifest(manifest: DataFrame, changed: DataFrame, path: str) -> None:
     keep = manifest.join(changed.select("file_name"), "file_name", "left_anti")
-    keep.unionByName(changed).write.mode("errorifexists").json(path)
+    keep.unionByName(changed).withColumn("format", F.lit(FORMAT)).write.mode("errorifexists").json(path)
+
+
+GOLDEN = "query_id string, query_text string, kind string, expected array<struct<file_name: string, page: long>>, must_contain array<string>, must_not_contain array<string>"
+
+
+def save_golden(questions: DataFrame, path: str) -> None:
+    questions.withColumn("format", F.lit(FORMAT)).write.mode("errorifexists").json(path)
+
+
+def load_golden(spark: SparkSession, path: str) -> DataFrame:
+    """A question set; that it is absent or of another format is an error."""
+    rows = spark.read.schema(GOLDEN + ", format int").json(path)
+    if rows.where(F.coalesce(F.col("format") != FORMAT, F.lit(True))).head(1):
+        raise ValueError(f"{path} isn't a question set of format {FORMAT}")
+    return rows.drop("format")
+
+
+def save_evaluation(results: DataFrame, path: str, at: datetime) -> str:
+    """Results of a run in a folder of its own, named by the time in UTC; one that exists is never written again."""
+    target = f"{path}/eval_{at.astimezone(timezone.utc):%Y%m%dT%H%M%SZ}"
+    results.write.mode("errorifexists").json(target)
+    return target
+
+
+def load_prompt(spark: SparkSession, path: str, version: str, name: str) -> str:
+    """The template path/version/name.txt; an unknown version or name lists those there are."""
+    for folder, wanted in ((path, version), (f"{path}/{version}", f"{name}.txt")):
+        if wanted not in (there := _folders(spark, folder)):
+            raise KeyError(f"{wanted} is none of {there}")
+    return spark.read.text(f"{path}/{version}/{name}.txt", wholetext=True).first()["value"]
+
+
+#: How the bytes of a file become pages (page, text, error), by extension; others may be added.
+LOADERS: dict[str, Callable[[bytes], list[tuple[int, str]]]] = {
+    "txt": lambda data: [(1, data.decode("utf-8"))],
+    "html": lambda data: [(1, html.unescape(re.sub(r"(?is)<(script|style).*?</\1>|<[^>]+>", " ", data.decode("utf-8"))))],
+}
+
+
+def load_files(spark: SparkSession, path: str, loaders: dict[str, Callable[[bytes], list[tuple[int, str]]]] | None = None) -> DataFrame:
+    """Files of a folder (not below it) by the loader of their extension, in either case: file_name, content_hash, page, text, error.
+
+    Files without a loader are left out; one that its loader can't read has one row with the error and no text.
+    """
+    by = {k.lower(): f for k, f in (LOADERS if loaders is None else loaders).items()}
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for name, data in zip(batch["file_name"], batch["content"]):
+                digest = hashlib.sha256(data).hexdigest()[:32]
+                try:
+                    rows += [(name, digest, page, unicodedata.normalize("NFC", text), None) for page, text in by[name.rsplit(".", 1)[-1].lower()](bytes(data))]
+                except Exception as e:  # whatever a loader raises is that file's result
+                    rows.append((name, digest, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["file_name", "content_hash", "page", "text", "error"]).astype({"page": "Int64"})
 
-def read_pages(spark: SparkSession, path: str, extension: str = "txt") -> DataFrame:
-    """Files of a folder (not below it) as one page each: file_name, page, text, content_hash."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{extension}").load(path)
-    name = F.regexp_extract("path", "[^/]*$", 0)
-    return files.select(name.alias("file_name"), F.lit(1).alias("page"), F.decode("content", "UTF-8").alias("text"), F.substring(F.sha2("content", 256), 1, 32).alias("content_hash"))
+    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "[^/]*$", 0).alias("file_name"), "content")
+    known = files.where(F.lower(F.regexp_extract("file_name", r"\.([^.]+)$", 1)).isin(list(by)))
+    return known.mapInPandas(run, "file_name string, content_hash string, page long, text string, error string")

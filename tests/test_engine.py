@@ -1,3 +1,5 @@
+from datetime import datetime, timezone
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +87,75 @@ def test_answer_pipeline_without_context(spark):
     rows = {r.query_id: r for r in A.answer_pipeline(queries, hits, llm, "{context} {question} {abstain_phrase}").collect()}
     assert rows[1].citations == [1] and rows[1].unknown_markers == [4] and not rows[1].abstained
     assert rows[2].abstained and rows[2].citations == []
+
+
+def test_pages_keep_their_words_in_chunks():
+    rules = chunking.ChunkRules(20, 0, 1, 25)
+    page = "Bir bkz. iki no. üç. Dört!\n\n" + " ".join(f"s{i}" for i in range(65)) + "\n \nson"
+    got = chunking.chunk_page(page, rules)
+    assert " ".join(got).split() == page.split()
+    assert all(chunking.count_words(c) <= rules.hard_limit for c in got)
+    assert chunking.sentences("Bir bkz. iki no. üç. Dört!") == ["Bir bkz. iki no. üç.", "Dört!"]
+
+
+def test_files_by_loader(spark, tmp_path):
+    (tmp_path / "a.TXT").write_text("käse", encoding="utf-8")
+    (tmp_path / "b.html").write_text("<p>a &amp; b</p><script>x</script>", encoding="utf-8")
+    (tmp_path / "c.txt").write_bytes(b"\xff\xfe")
+    (tmp_path / "d.bin").write_bytes(b"1")
+    rows = {r.file_name: r for r in store.load_files(spark, f"file://{tmp_path}").collect()}
+    assert set(rows) == {"a.TXT", "b.html", "c.txt"}
+    assert rows["a.TXT"].text == "käse" and rows["b.html"].text.split() == ["a", "&", "b"]
+    assert rows["c.txt"].text is None and rows["c.txt"].error.startswith("UnicodeDecodeError")
+
+
+def test_manifest_is_empty_unless_whole(spark, tmp_path):
+    path = f"file://{tmp_path}/m"
+    assert store.load_manifest(spark, path).count() == 0
+    row = spark.createDataFrame([("f", "h", "ok", 1, 1, ["c"], "m", None, None)], store.MANIFEST)
+    store.upsert_manifest(store.load_manifest(spark, path), row, path)
+    assert [r.file_name for r in store.load_manifest(spark, path).collect()] == ["f"]
+    for name, line in (("broken", "{no"), ("other", '{"file_name": "f", "format": 9}')):
+        (tmp_path / name).write_text(line + "\n")
+        assert store.load_manifest(spark, f"file://{tmp_path}/{name}").count() == 0
+
+
+def test_question_sets_evaluations_and_prompts(spark, tmp_path):
+    path = f"file://{tmp_path}"
+    questions = spark.createDataFrame([("q", "nerede?", "answerable", [("f", 1)], ["x"], [])], store.GOLDEN)
+    store.save_golden(questions, f"{path}/golden")
+    assert store.load_golden(spark, f"{path}/golden").collect() == questions.collect()
+    questions.withColumn("format", F.lit(9)).write.json(f"{path}/later")
+    with pytest.raises(ValueError):
+        store.load_golden(spark, f"{path}/later")
+    at = datetime(2024, 1, 2, 3, 4, 5, tzinfo=timezone.utc)
+    assert store.save_evaluation(questions, path, at).endswith("/eval_20240102T030405Z")
+    with pytest.raises(Exception, match="exist"):
+        store.save_evaluation(questions, path, at)
+    (tmp_path / "v1").mkdir()
+    (tmp_path / "v1" / "answer.txt").write_text("{question}\n{context}")
+    assert store.load_prompt(spark, path, "v1", "answer") == "{question}\n{context}"
+    for version, name, there in (("v2", "answer", "v1"), ("v1", "judge", "answer.txt")):
+        with pytest.raises(KeyError, match=there):
+            store.load_prompt(spark, path, version, name)
+
+
+def test_readers_take_the_last_whole_pointer(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    chunks = spark.createDataFrame([("c1", [1.0, 0.0])], "chunk_id string, embedding array<float>")
+    store.save_index(chunks, path, "m", 2)
+    store.save_index(chunks.union(chunks), path, "m", 2)
+    (tmp_path / "index" / "pointers" / "0000000009").mkdir()  # a writer that was lost
+    assert store.load_index(spark, path, "m", 2).count() == 2
+
+
+def test_evaluation_uses_the_citations(spark):
+    from quarry.operators import evaluation
+
+    questions = spark.createDataFrame([(1, "answerable", ["Elma"], []), (2, "unanswerable", None, ["armut"])], "query_id long, kind string, must_contain array<string>, must_not_contain array<string>")
+    expected = spark.createDataFrame([(1, "f", None)], "query_id long, file_name string, page long")
+    used = spark.createDataFrame([(1, 1, "a", "f", 3), (1, 2, "b", "g", 1), (2, 1, "b", "g", 1)], "query_id long, rank long, chunk_id string, file_name string, page long")
+    answers = spark.createDataFrame([(1, "elma [1] [2] [7]", False), (2, "ARMUT [1]", False)], "query_id long, text string, abstained boolean")
+    one, two = evaluation.evaluate(questions, expected, used, answers, 3).orderBy("query_id").collect()
+    assert (one.hit, one.n_citations, one.n_wrong, one.facts_ok, one.citations_correct, one.passed) == (True, 2, 1, True, False, False)
+    assert (two.n_wrong, two.forbidden, two.hallucinated, two.passed) == (0, True, True, False)
