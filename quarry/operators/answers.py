@@ -73,8 +73,8 @@ def grounded(is_abstained: Column, n_citations: Column) -> Column:
 def groundedness(verdict: Column) -> Column:
     """Supported / total from a judge's text; null without both numbers or with a total of zero."""
     number = lambda name: F.try_to_number(F.nullif(F.regexp_extract(verdict, rf"(?i){name}:\s*(\d+)", 1), F.lit("")), F.lit("999999999")).cast("double")
-    total = number("TOPLAM")
-    return F.when(total > 0, F.least(F.lit(1.0), number("DESTEKLENEN") / total))
+    total, supported = number("TOPLAM"), number("DESTEKLENEN")
+    return F.when((total > 0) & supported.isNotNull(), F.least(F.lit(1.0), supported / total))
 
 
 def missing_phrases(answer: Column, needles: Column) -> Column:

@@ -173,18 +173,24 @@ def citation_markers(spark, d):
 
 
 def abstention_flags(spark, d):
-    phrase = F.when(F.length("text") % 2 == 0, F.lit(A.ABSTAIN_PHRASE + ".")).otherwise(F.col("text"))
-    return _said(spark, d).select("query_id", A.abstained(phrase).alias("abstained"))
+    """Answers that are the phrase in upper or mixed case, hold it in their midst, or lack it."""
+    n, phrase = F.length("text"), A.ABSTAIN_PHRASE
+    t = F.when(n % 4 == 0, F.lit("BU BİLGİ VERİLEN DOKÜMANLARDA YOK")).when(n % 4 == 1, F.concat(F.substring("text", 1, 60), F.lit(f" {phrase}."))).when(n % 4 == 2, F.concat("text", F.lit(f" {phrase}"))).otherwise(F.col("text"))
+    return _said(spark, d).select("query_id", A.abstained(t).alias("abstained"))
 
 
 def reasoning_strip(spark, d):
-    t = F.concat(F.lit("<think>a\nb</THINK> "), "text", F.when(F.length("text") % 2 == 0, F.lit(" <think>open")).otherwise(F.lit("")))
+    """Answers with a closed and an open thinking block, with a block and a stray tag, or as they are."""
+    n = F.length("text")
+    t = F.when(n % 3 == 0, F.concat(F.lit("<think>a\nb</THINK> "), "text", F.lit(" <think>open"))).when(n % 3 == 1, F.concat(F.lit('<THINK x="1">u</think>'), "text", F.lit("</think>\n"))).otherwise(F.col("text"))
     return _said(spark, d).select("query_id", F.sha2(T.strip_reasoning(t), 256).alias("text_sha256"))
 
 
 def groundedness_parse(spark, d):
+    """Verdicts after the answer itself; every fifth lacks the supported number, others have a total of zero."""
     n = F.length("text")
-    verdict = F.concat(F.lit("desteklenen: "), (n % 6).cast("string"), F.lit("\nTOPLAM: "), (n % 5).cast("string"))
+    supported = F.when(n % 5 == 4, F.lit("")).otherwise(F.concat(F.lit("desteklenen:  "), (n % 6).cast("string")))
+    verdict = F.concat(F.col("text"), F.lit("\n"), supported, F.lit("\nToplam: "), (n % 7).cast("string"))
     return _said(spark, d).select("query_id", F.round(A.groundedness(verdict), 6).alias("groundedness"))
 
 
@@ -193,8 +199,9 @@ def sse_frames(spark, d):
 
 
 def stream_filter(spark, d):
-    """Answers with a thinking block, dealt out in pieces of 7 characters."""
-    t = F.concat(F.lit("<think>x < y</think>"), "text")
+    """Answers with thinking blocks before, in or after them, dealt out in pieces of 7 characters."""
+    n, block = F.length("text"), F.lit("<think>x < y</think>")
+    t = F.when(n % 3 == 0, F.concat(block, "text")).when(n % 3 == 1, F.concat(F.substring("text", 1, 11), block, F.lit("a < b"), F.expr("substring(text, 12)"))).otherwise(F.concat("text", block, block))
     at = F.explode(F.sequence(F.lit(0), F.floor(F.length("t") / 7).cast("int")))
     rows = _said(spark, d).select("query_id", t.alias("t")).select("query_id", at.alias("seq"), "t")
     return streams.filter_pieces(rows.select("query_id", "seq", F.substring("t", F.col("seq") * 7 + 1, 7).alias("piece")))
@@ -499,14 +506,19 @@ re AS (SELECT query_id, chunk_id, rank AS former, round(len(list_intersect(qt, d
 SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, former) AS rank FROM re WHERE score >= 0.5) WHERE rank <= {TOP}""",
     "context_pack": f"""WITH {_sql_bm25(True)}
 SELECT query_id, chunk_id, rank, tokens_so_far FROM (SELECT query_id, chunk_id, rank, sum(n) OVER (PARTITION BY query_id ORDER BY rank)::BIGINT AS tokens_so_far FROM hits JOIN (SELECT doc_id, len({_TOKENS}) AS n FROM documents) ON doc_id = chunk_id) WHERE tokens_so_far <= 1000 OR rank = 1""",
-    "citation_markers": f"""WITH {_SAID}, m AS (SELECT query_id, n % 7 AS a, n % 3 AS b FROM said)
-SELECT query_id, CASE WHEN a BETWEEN 1 AND 3 AND b >= 1 AND a <> b THEN least(a, b) || ',' || greatest(a, b) WHEN a BETWEEN 1 AND 3 THEN a::VARCHAR WHEN b >= 1 THEN b::VARCHAR ELSE '' END AS valid,
-  CASE WHEN (a < 1 OR a > 3) AND b < 1 AND a <> b THEN a || ',' || b WHEN a < 1 OR a > 3 THEN a::VARCHAR WHEN b < 1 THEN b::VARCHAR ELSE '' END AS unknown FROM m""",
-    "abstention_flags": f"WITH {_SAID} SELECT query_id, n % 2 = 0 AS abstained FROM said",
-    "reasoning_strip": f"WITH {_SAID} SELECT query_id, sha256(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS text_sha256 FROM said",
-    "groundedness_parse": f"WITH {_SAID} SELECT query_id, CASE WHEN n % 5 > 0 THEN round(least(1.0, (n % 6) / (n % 5)), 6) END AS groundedness FROM said",
+    "citation_markers": f"""WITH {_SAID}, m AS (SELECT query_id, list_transform(regexp_extract_all(text || ' [' || n % 7 || '] [' || n % 3 || '] [123]', '\\[(\\d{{1,2}})\\]', 1), lambda x: x::INT) AS l FROM said)
+SELECT query_id, array_to_string(list_sort(list_distinct(list_filter(l, lambda x: x BETWEEN 1 AND 3))), ',') AS valid, array_to_string(list_filter(l, lambda x, i: (x < 1 OR x > 3) AND list_position(l, x) = i), ',') AS unknown FROM m""",
+    "abstention_flags": f"""WITH {_SAID}, t AS (SELECT query_id, CASE n % 4 WHEN 0 THEN 'BU BİLGİ VERİLEN DOKÜMANLARDA YOK' WHEN 1 THEN substring(text, 1, 60) || ' {A.ABSTAIN_PHRASE}.' WHEN 2 THEN text || ' {A.ABSTAIN_PHRASE}' ELSE text END AS t FROM said)
+SELECT query_id, contains({_FOLD.format('t')}, {_FOLD.format("'" + A.ABSTAIN_PHRASE + "'")}) AND len(t) < {3 * len(A.ABSTAIN_PHRASE)} AS abstained FROM t""",
+    "reasoning_strip": f"""WITH {_SAID}, t AS (SELECT query_id, CASE n % 3 WHEN 0 THEN '<think>a' || chr(10) || 'b</THINK> ' || text || ' <think>open' WHEN 1 THEN '<THINK x="1">u</think>' || text || '</think>' || chr(10) ELSE text END AS t FROM said),
+u AS (SELECT query_id, regexp_replace(regexp_replace(regexp_replace(t, '(?is)<think[^>]*>.*?</think>', '', 'g'), '(?is)<think[^>]*>.*$', ''), '(?i)</?think[^>]*>', '', 'g') AS text FROM t)
+SELECT query_id, sha256({_STRIPPED}) AS text_sha256 FROM u""",
+    "groundedness_parse": f"""WITH {_SAID}, v AS (SELECT query_id, text || chr(10) || CASE WHEN n % 5 = 4 THEN '' ELSE 'desteklenen:  ' || n % 6 END || chr(10) || 'Toplam: ' || n % 7 AS v FROM said),
+w AS (SELECT query_id, try_cast(regexp_extract(v, '(?i)desteklenen:\\s*(\\d+)', 1) AS DOUBLE) AS good, try_cast(regexp_extract(v, '(?i)toplam:\\s*(\\d+)', 1) AS DOUBLE) AS total FROM v)
+SELECT query_id, CASE WHEN total > 0 AND good IS NOT NULL THEN round(least(1.0, good / total), 6) END AS groundedness FROM w""",
     "sse_frames": f"WITH {_SAID} SELECT query_id, 'data: ' || replace(text, chr(10), '\\n') || chr(10) || chr(10) AS frame FROM said",
-    "stream_filter": f"WITH {_SAID} SELECT query_id, text FROM said",
+    "stream_filter": f"""WITH {_SAID}, t AS (SELECT query_id, CASE n % 3 WHEN 0 THEN '<think>x < y</think>' || text WHEN 1 THEN substring(text, 1, 11) || '<think>x < y</think>a < b' || substring(text, 12) ELSE text || '<think>x < y</think><think>x < y</think>' END AS t FROM said)
+SELECT query_id, regexp_replace(t, '(?s)<think>.*?</think>', '', 'g') AS text FROM t""",
     "retrieval_metrics": f"WITH {_METRICS} SELECT * FROM metrics",
     "eval_summary": f"WITH {_JUDGED} SELECT * FROM summary",
     "diagnosis": f"""WITH {_JUDGED}, f AS (SELECT list_filter([CASE WHEN hallucination_rate > 0 THEN 'hallucination' END, CASE WHEN hit_rate < 0.8 THEN 'retrieval' WHEN mrr < 0.5 THEN 'ranking' END,
