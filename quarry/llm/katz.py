@@ -11,7 +11,8 @@ into its own sorted word list, so each distinct n-gram of a chunk is sent once t
 sums it, and the sum is sent back once, with the n-gram's number: an n-gram is the pair of its context's
 number and its last word's. N-grams go to the place that numbered their context, which so knows all that
 follows it and sends back what its backoff weight needs; those of the few contexts with a large share of the
-tokens are dealt by the pair. Scoring evaluates a token by its trigram where that was seen, else by its
+tokens are dealt by the pair. A bigram that a single chunk has is no context in any other: that chunk counts
+its trigrams itself, and only writes them down, by their places in the chunk. Scoring evaluates a token by its trigram where that was seen, else by its
 context's backoff weight times the bigram model of the shorter context, and that likewise by single words.
 """
 
@@ -196,6 +197,7 @@ class Ngrams:
         order = np.lexsort((names, np.where(is_hot, np.uint64(n), home)))
         rank = np.empty(len(names), np.uint64)
         rank[order] = np.arange(len(names), dtype=np.uint64)
+        self.size = len(names)
         self.names, self.cold, home = names[order], int((~is_hot).sum()), home[order]
         slot = np.where(is_hot[order], np.uint64(HOT_SLOT) + np.searchsorted(hot, self.names).astype(np.uint64), (self.names - np.uint64(1)) // np.uint64(n))
         keys, at = np.unique((rank[of] << np.uint64(32)) | word[self.known], return_inverse=True)
@@ -221,15 +223,43 @@ class Ngrams:
     def told(self, replies: list[dict] | None, of_hot: list[tuple[float, list[int]]], hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """What the places reply: training count of each n-gram; sum of lower orders and times by context."""
         replies = sorted(replies or [], key=lambda r: r["place"])
-        low, times = np.zeros(len(self.names)), np.zeros((GT_LIMIT, len(self.names)), np.uint32)
+        low, times = np.zeros(self.size), np.zeros((GT_LIMIT, self.size), np.uint32)
         low[: self.cold] = np.concatenate([np.zeros(0), *[unpacked_floats(r["low"]) for r in replies]])
         if replies:
             times[:, : self.cold] = np.concatenate([unpacked(r["times"], np.uint32).reshape(GT_LIMIT, -1) for r in replies], axis=1)
-        for i in range(self.cold, len(self.names)):
+        for i in range(self.cold, self.size):
             low[i], times[:, i] = of_hot[int(np.searchsorted(hot, self.names[i]))]
         return joined(replies, "n", np.uint32).astype(np.int64), low, times
 
 
+class Lone:
+    """A chunk's distinct trigrams whose contexts (lone, of all contexts) no other chunk has; known, of and at as in Ngrams."""
+
+    def __init__(self, context: np.ndarray, lone: np.ndarray, word: np.ndarray, trained: np.ndarray, lower: np.ndarray):
+        self.known = lone[context]
+        rank = np.cumsum(lone).astype(np.uint64)[context[self.known]] - np.uint64(1)
+        keys, self.at = np.unique((rank << np.uint64(32)) | word[self.known], return_inverse=True)
+        self.of, self.size = (keys >> np.uint64(32)).astype(np.int64), int(lone.sum())
+        self.n = np.bincount(self.at[trained[self.known]], minlength=len(keys))
+        self.lower = np.zeros(len(keys), np.int64)
+        self.lower[self.at] = lower[self.known].astype(np.int64)
+
+    def message(self, chunk: int, place: int) -> dict:
+        """A row (without lower) of the counts, by the places in the chunk where its trigrams first end."""
+        where = np.flatnonzero(self.known)
+        first = np.full(len(self.n), 2**63 - 1, np.int64)
+        np.minimum.at(first, self.at, where)
+        seen = np.flatnonzero(self.n)
+        seen = seen[np.argsort(first[seen])]
+        return {"place": place, "chunk": chunk, "keys": packed_sorted(first[seen].astype(np.uint64)), "n": packed(self.n[seen].astype(np.uint32)), "lower": None}
+
+    def told(self, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What places reply for other trigrams."""
+        seen = self.n > 0
+        times = np.array([np.bincount(self.of[self.n == r], minlength=self.size) for r in range(1, GT_LIMIT + 1)], np.uint32)
+        return self.n, np.bincount(self.of[seen], weights=discounted(self.lower[seen], d), minlength=self.size), times
+
+
 def among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     if not len(ordered):
         return np.zeros(len(x), bool)
@@ -239,7 +269,7 @@ def among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 def _messages(chunk: int, place: np.ndarray, **columns) -> dict:
     """One row a place from arrays in the order of places; columns are (array, how to pack it)."""
     ends = np.flatnonzero(np.diff(place, append=np.uint64(2**64 - 1)) != 0) + 1
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    starts = np.concatenate([[0], ends])[:-1].astype(np.int64)  # none if there is nothing to send
     out = {"place": pa.array([int(place[i]) for i in starts], pa.int32()), "chunk": pa.array([chunk] * len(starts), pa.int64())}
     return out | {k: pa.array([pack(x[a:b]) for a, b in zip(starts, ends)], pa.binary()) for k, (x, pack) in columns.items()}
 
@@ -386,7 +416,7 @@ class KatzModel:
             r, k = np.unique(counts[counts <= FIT_LIMIT], return_counts=True)
             return {"r": pa.array([0, -1, *r.tolist()], pa.int64()), "k": pa.array([int(counts.sum()), len(counts), *k.tolist()], pa.int64())}
 
-        rows = _rows(table.where("kind = 'model'").select("n"), of_place, "r long, k long").groupBy("r").agg(F.sum("k").alias("k")).collect()  # FIT_LIMIT + 2 at most
+        rows = _rows(table.where("kind IN ('model', 'lone')").select("n"), of_place, "r long, k long").groupBy("r").agg(F.sum("k").alias("k")).collect()  # FIT_LIMIT + 2 at most
         k = {r["r"]: r["k"] for r in rows}
         return k.pop(0, 0), k.pop(-1, 0), k
 
@@ -406,7 +436,7 @@ class KatzModel:
     def _replies(self, order: int) -> DataFrame:
         """What the places of this order replied, a row a chunk."""
         table = self.words if order == 1 else self.ngrams[order]
-        names = ["place", "ids", "n"] if order == 1 else ["place", "ids", "n", "low", "times"]
+        names = ["place", "n", *{1: ["ids"], 2: ["ids", "lone", "low", "times"], 3: ["low", "times"]}[order]]
         rows = table.where("kind = 'reply'").select("chunk", *names).repartition(self.n, "chunk")
         return rows.groupBy("chunk").agg(F.collect_list(F.struct(*names)).alias(f"order{order}"))
 
@@ -420,20 +450,27 @@ class KatzModel:
             two = Ngrams(before, c.ids, c.word, hot[2], n)
             if order == 2:
                 return two.messages(row["chunk"], c.trained, c.counts.astype(np.uint64)[c.seq], wave, waves)
-            context, numbers, count = bigrams_of(c, two, row["order2"])
-            return Ngrams(context, numbers, c.word, hot[3], n).messages(row["chunk"], c.trained, count, wave, waves)
+            context, numbers, lone, count = bigrams_of(c, two, row["order2"])
+            del two
+            out = Ngrams(context, numbers, c.word, hot[3], n).messages(row["chunk"], c.trained, count, wave, waves)
+            if wave == 0:
+                own = Lone(context, lone, c.word, c.trained, count).message(row["chunk"], row["chunk"] % n)
+                out = {k: pa.array([*x.to_pylist(), own[k]], x.type) for k, x in out.items()}
+            return out
 
         def lower(x: np.ndarray) -> np.ndarray:
             # of trigrams' lower orders the context's constant factor is left to the chunks
             return law.of_word(x) if order == 2 else discounted(x, d[2])
 
         def summed(rows: list[dict]) -> pa.RecordBatch:
-            place, keys = rows[0]["place"], [unpacked_sorted(r["keys"]) for r in rows]
-            cuts = np.cumsum([len(k) for k in keys])[:-1]
-            every, at = np.unique(np.concatenate(keys), return_inverse=True)
-            totals = np.bincount(at, weights=np.concatenate([unpacked(r["n"], np.uint32) for r in rows])).astype(np.int64)
+            place, alone, rows = rows[0]["place"], [r for r in rows if r["lower"] is None], [r for r in rows if r["lower"] is not None]
+            keys = [unpacked_sorted(r["keys"]) for r in rows]
+            cuts = np.cumsum([len(k) for k in keys], dtype=np.int64)[:-1]
+            every, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *keys]), return_inverse=True)
+            totals = np.bincount(at, weights=joined(rows, "n", np.uint32), minlength=len(every)).astype(np.int64)
+            senders = np.bincount(at, minlength=len(every))
             target = np.zeros(len(every), np.int64)
-            target[at] = np.concatenate([unpacked(r["lower"], np.uint64) for r in rows]).astype(np.int64)
+            target[at] = joined(rows, "lower", np.uint64).astype(np.int64)
             seen = totals > 0
             slot, of = np.unique(every >> np.uint64(32), return_inverse=True)
             times = np.array([np.bincount(of[totals == r], minlength=len(slot)) for r in range(1, GT_LIMIT + 1)], np.uint32)
@@ -442,7 +479,7 @@ class KatzModel:
             ids[seen] = numbered(n, int(seen.sum()), place)
             if len(slot) and seen.sum() >= HOT_SLOT:
                 raise OverflowError("a place numbers fewer than 2**31 n-grams")
-            out: dict[str, list] = {c: [] for c in ("keys", "ids", "n", "slots", "low", "times")}
+            out: dict[str, list] = {c: [] for c in ("keys", "ids", "n", "lone", "slots", "low", "times")}
 
             def add(**columns: bytes) -> None:
                 for c in out:
@@ -451,19 +488,22 @@ class KatzModel:
             stats = lambda which: {"low": packed_floats(low[which]), "times": packed(times[:, which].ravel())}
             for k, part in zip(keys, np.split(at, cuts)):
                 mine = np.unique(k >> np.uint64(32))
-                numbers = {"ids": packed(np.diff(ids[part], prepend=np.uint64(0)))} if order == 2 else {}
+                numbers = {"ids": packed(np.diff(ids[part], prepend=np.uint64(0))), "lone": packed(np.packbits(senders[part] == 1))} if order == 2 else {}
                 add(n=packed(totals[part].astype(np.uint32)), **numbers, **stats(np.searchsorted(slot, mine[mine < HOT_SLOT])))
             cold = slot < HOT_SLOT
             add(keys=packed_sorted(every[seen]), n=packed(totals[seen].astype(np.uint32)))
             add(slots=packed_sorted(slot[~cold]), **stats(~cold))
+            for r in alone:
+                add(keys=r["keys"], n=r["n"])
+            kinds = ["reply"] * len(rows) + ["model", "hot"] + ["lone"] * len(alone)
             return pa.RecordBatch.from_pydict({
-                "kind": ["reply"] * len(rows) + ["model", "hot"],
-                "place": pa.array([place] * (len(rows) + 2), pa.int32()),
-                "chunk": pa.array([*[r["chunk"] for r in rows], -1, -1], pa.int64()),
+                "kind": kinds,
+                "place": pa.array([place] * len(kinds), pa.int32()),
+                "chunk": pa.array([*[r["chunk"] for r in rows], -1, -1, *[r["chunk"] for r in alone]], pa.int64()),
                 **{c: pa.array(x, pa.binary()) for c, x in out.items()},
             })
 
-        schema = "kind string, place int, chunk long, keys binary, ids binary, n binary, slots binary, low binary, times binary"
+        schema = "kind string, place int, chunk long, keys binary, ids binary, n binary, lone binary, slots binary, low binary, times binary"
         message = "place int, chunk long, keys binary, n binary, lower binary"
         parts = [self._exchanged(_rows(self.chunks, functools.partial(sent, wave), message), summed, schema, f"order{order}-{wave}") for wave in range(waves)]
         self.ngrams[order] = functools.reduce(DataFrame.unionByName, parts)
@@ -492,7 +532,7 @@ class KatzModel:
             c = Chunk(row)
             before = c.before()
             two = Ngrams(before, c.ids, c.word, hot[2], n)
-            context, numbers, _ = bigrams_of(c, two, row["order2"])
+            context, numbers, lone, lower = bigrams_of(c, two, row["order2"])
             seen, low, times = two.told(row.pop("order2"), of_hot[2], hot[2])
             # by word of the chunk: its count and weights as a context
             place = np.argsort(c.ids, kind="stable")
@@ -505,19 +545,12 @@ class KatzModel:
             del two, seen, low, times
             p = np.where(pair > 0, discounted(pair, d[2]) * of_context[before], backoff[before] * law.of_word(c.counts)[c.seq])
             three = Ngrams(context, numbers, c.word, hot[3], n)
-            del context, numbers
-            seen, low, times = three.told(row.pop("order3"), of_hot[3], hot[3])
-            # of each context (a bigram): its count, and the factor that its followers' bigrams share
-            count, factor = np.ones(len(three.names), np.int64), np.ones(len(three.names))
-            known = np.flatnonzero(three.known)
-            count[three.of[three.at]] = pair[known - 1]
-            factor[three.of[three.at]] = of_context[before[known]]
-            backoff, scale = weights(count, times, low * factor, d[3])
-            for a in range(0, len(known), _SLICE):
-                at = three.at[a : a + _SLICE]
-                of, k, m = three.of[at], known[a : a + _SLICE], seen[at]
-                p[k] = np.where(m > 0, discounted(m, d[3]) * (scale / count)[of], backoff[of] * p[k])
-            del three, seen, low, times
+            _by_trigram(p, three, *three.told(row.pop("order3"), of_hot[3], hot[3]), pair, of_context[before], d[3])
+            del three
+            own = Lone(context, lone, c.word, c.trained, lower)
+            del context, numbers, lone, lower
+            _by_trigram(p, own, *own.told(d[2]), pair, of_context[before], d[3])
+            del own
             logs = np.log10(np.maximum(p, 1e-300))
             base = np.log10((c.counts + 1) / (law.total + law.distinct + 1))[c.seq]
             per = lambda x: np.add.reduceat(x, c.firsts)  # noqa: E731  every document has an end token at least
@@ -539,18 +572,36 @@ def numbered(n: int, many: int, place: int) -> np.ndarray:
     return np.arange(many, dtype=np.uint64) * np.uint64(n) + np.uint64(place + 1)
 
 
-def bigrams_of(c: Chunk, two: Ngrams, replies: list[dict] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _by_trigram(p: np.ndarray, three: Ngrams | Lone, seen: np.ndarray, low: np.ndarray, times: np.ndarray, pair: np.ndarray, of_context: np.ndarray, d: np.ndarray) -> None:
+    """Turn p by bigram into p by trigram where the context is one of three's; pair: by token the count of the bigram that ends there."""
+    # of each context (a bigram): its count, and the factor that its followers' bigrams share
+    count, factor = np.ones(three.size, np.int64), np.ones(three.size)
+    known = np.flatnonzero(three.known)
+    count[three.of[three.at]] = pair[known - 1]
+    factor[three.of[three.at]] = of_context[known]
+    backoff, scale = weights(count, times, low * factor, d)
+    for a in range(0, len(known), _SLICE):
+        at = three.at[a : a + _SLICE]
+        of, k, m = three.of[at], known[a : a + _SLICE], seen[at]
+        p[k] = np.where(m > 0, discounted(m, d) * (scale / count)[of], backoff[of] * p[k])
+
+
+def bigrams_of(c: Chunk, two: Ngrams, replies: list[dict] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The bigram before each token, by its place in the numbers of bigrams (the last of them is 0, for none: a text's first token
-    has none); and by token the training count of the bigram that ends there."""
+    has none; those that no other chunk has are 0 too); which are of this chunk alone; by token the training count of the bigram
+    that ends there."""
     replies = sorted(replies or [], key=lambda r: r["place"])
     ids = [np.cumsum(unpacked(r["ids"], np.uint64), dtype=np.uint64) for r in replies]
     numbers = np.concatenate([*ids, np.zeros(1, np.uint64)])
+    bits = [np.unpackbits(unpacked(r["lone"], np.uint8), count=len(i)) for r, i in zip(replies, ids)]
+    lone = (np.concatenate([*bits, np.zeros(1, np.uint8)]) > 0) & (numbers > 0)
+    numbers[lone] = 0
     place, count = np.full(len(c.seq), len(numbers) - 1, np.uint32), np.zeros(len(c.seq), np.uint64)
     place[two.known] = two.at
     count[two.known] = joined(replies, "n", np.uint32)[two.at]
     context = np.concatenate([place[:1], place[:-1]])
     context[c.firsts] = len(numbers) - 1
-    return context, numbers, count
+    return context, numbers, lone, count
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
