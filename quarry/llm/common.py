@@ -35,6 +35,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def split_words(text: bytes, table: bytes, piece: int = 2**20) -> Iterator[list[bytes]]:
+    """Words of a UTF-8 text, about a piece at a time; table maps bytes of words to what they become and all others to a blank."""
+    start = 0
+    while start < len(text):
+        part = text[start : start + piece].translate(table)
+        if start + piece < len(text):
+            end = part.rfind(b" ")
+            if end < 0:  # a word longer than a piece
+                part = text[start:].translate(table)
+                end = part.find(b" ") % (len(part) + 1)
+            part = part[:end]
+        start += max(1, len(part))
+        yield part.split()
+
+
 def row_key(col: str = "doc_id") -> Column:
     """A join key that is never null."""
     return F.coalesce(F.col(col), F.lit(NULL_ID).cast("long"))

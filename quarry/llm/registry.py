@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import exact_dedup, katz, packing, phrases, pieces, secret_scan, simhash, spelling, suffix_dedup, token_counts, toxicity
+from quarry.llm import divergence, exact_dedup, katz, licenses, packing, phrases, pieces, secret_scan, simhash, spelling, suffix_dedup, token_counts, toxicity
 from quarry.llm.common import table
 
 
@@ -51,13 +51,21 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_digest(table(spark, sf_dir, "documents"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_katz, op2_phrases, op3_token_counts, op4_simhash, op5_toxicity, op6_suffix_dedup, op7_secret_scan, op8_exact_dedup, op9_packing, op10_pieces, op12_spelling)}
+    return {f.__name__: f for f in (op1_katz, op2_phrases, op3_token_counts, op4_simhash, op5_toxicity, op6_suffix_dedup, op7_secret_scan, op8_exact_dedup, op9_packing, op10_pieces, op11_licenses, op12_spelling, op13_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_token_counts": token_counts.SQL, "op7_secret_scan": secret_scan.SQL, "op8_exact_dedup": exact_dedup.SQL, "op12_spelling": spelling.SQL}
+    return {"op3_token_counts": token_counts.SQL, "op7_secret_scan": secret_scan.SQL, "op8_exact_dedup": exact_dedup.SQL, "op12_spelling": spelling.SQL, "op13_divergence": divergence.SQL}
