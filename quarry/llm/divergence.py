@@ -125,7 +125,7 @@ def _price_block(key: tuple, rows: pa.Table) -> pa.Table:
     names, s = np.array(sources.dictionary.to_pylist(), dtype=object), sources.indices.to_numpy()
     t = terms.indices.to_numpy(zero_copy_only=False)
     n, p, tiles = (rows.column(c).to_numpy() for c in ("n", "p", "tile"))
-    of_source = rows.column("term").is_null().to_numpy()  # a source's own row: the price of no place at all
+    of_source = rows.column("term").is_null().to_numpy()  # a source's own row: the number of the block's terms and the price of no place at all
     base, tile_of = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
     base[s[of_source]] = p[of_source]
     tile_of[s] = tiles
@@ -136,6 +136,9 @@ def _price_block(key: tuple, rows: pa.Table) -> pa.Table:
     counts[at], prices[at] = n[held], p[held]
     left, right = np.flatnonzero(tile_of == tile), np.flatnonzero(tile_of == other)
     value = priced(counts, prices, left, right)
+    # terms of the block that no source of these tiles has: all have the price of no place
+    absent = int(n[of_source].max()) - len(counts)
+    value += absent * np.abs(base[left][:, None] - base[right][None, :])
     i, j = np.nonzero(np.ones_like(value) if tile != other else left[:, None] < right[None, :])
     return pa.table({"lang": pa.array([lang] * len(i), pa.string()), "a": pa.array(names[left[i]], pa.string()), "b": pa.array(names[right[j]], pa.string()), "value": value[i, j]})
 
@@ -152,7 +155,8 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS)
     kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("n_lang"), F.sum("n_docs").alias("n_docs")).where(F.col("n_docs") >= min_docs).drop("n_docs")
     cells = written(counts.drop("n_docs").join(kept, ["lang", "term"]), "divergence-kept")
     # a language's totals from its sources' rows: each kept term once for V
-    of_lang = cells.groupBy("lang", "term").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.count("*").alias("v"), F.sum("n").alias("lang_total"))
+    terms = written(cells.groupBy("lang", "term").agg(F.sum("n").alias("n")), "divergence-terms")
+    of_lang = terms.groupBy("lang").agg(F.count("*").alias("v"), F.sum("n").alias("lang_total"))
     of_group = cells.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     tiles = groups.groupBy("lang").agg(F.ceil(F.count("*") / TILE_SOURCES).cast("int").alias("tiles"))
     own = groups.join(of_group, ["lang", "source"], "left").join(of_lang, "lang", "left").join(tiles, "lang")
@@ -160,9 +164,12 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS)
     own = written(own.withColumn("tile", F.pmod(F.xxhash64("source"), F.col("tiles")).cast("int")), "divergence-groups")
 
     priced_cells = cells.join(own, ["lang", "source"]).withColumn("p", price(F.col("n"), F.col("total"), F.col("v")))
-    of_terms = priced_cells.select("lang", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int").alias("block"), "source", "term", "n", "p", "tile", "tiles")
+    block = F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int").alias("block")
+    sizes = terms.join(own.select("lang", "blocks").distinct(), "lang").groupBy("lang", block).agg(F.count("*").alias("n"))
+    of_terms = priced_cells.select("lang", block, "source", "term", "n", "p", "tile", "tiles")
     none = F.when(F.col("v") > 0, price(F.lit(0).cast("long"), F.col("total"), F.col("v"))).otherwise(0)
-    of_sources = own.select("lang", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "source", F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("n"), none.cast("long").alias("p"), "tile", "tiles")
+    of_sources = own.select("lang", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "source", none.cast("long").alias("p"), "tile", "tiles")
+    of_sources = of_sources.join(sizes, ["lang", "block"], "left").select("lang", "block", "source", F.lit(None).cast("string").alias("term"), F.coalesce("n", F.lit(0).cast("long")).alias("n"), "p", "tile", "tiles")
     met = of_terms.unionByName(of_sources).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     met = met.select("lang", "block", F.least("tile", "with").alias("tile_a"), F.greatest("tile", "with").alias("tile_b"), "source", "term", "n", "p", "tile")
     blocks = met.groupBy("lang", "block", "tile_a", "tile_b").applyInArrow(_price_block, "lang string, a string, b string, value long")
@@ -172,9 +179,9 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS)
 
     q = price(F.col("n_lang"), F.col("lang_total"), F.col("v"))
     above = priced_cells.withColumn("value", F.col("p") - q).where(F.col("value") > 0)
-    terms = above.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value")
+    higher = above.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value")
     rank = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
-    ranked = terms.withColumn("rank", rank).where(F.col("rank") <= top_terms).unionByName(pairs.withColumn("rank", rank))
+    ranked = higher.withColumn("rank", rank).where(F.col("rank") <= top_terms).unionByName(pairs.withColumn("rank", rank))
     return ranked.select("lang", "source", "part", "item", "value", "rank")
 
 
