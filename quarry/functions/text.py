@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import reduce
@@ -22,6 +24,8 @@ SUFFIXES = (
 MIN_STEM = 4
 STEM_PATTERN = f"^(.{{{MIN_STEM},}}?)(?:{'|'.join(SUFFIXES)})$"
 STEM_PASSES = 3
+SOFT, HARD = "ğbcd", "kpçt"
+_HARD = str.maketrans(SOFT, HARD)
 
 
 @F.pandas_udf(StringType())
@@ -46,10 +50,18 @@ def tr_contains(haystack: Column, needle: Column) -> Column:
 def light_stem(token: Column) -> Column:
     """Up to three passes, each taking off the longest listed suffix that leaves four letters; then a hard final letter."""
     stem = reduce(lambda t, _: F.regexp_replace(t, STEM_PATTERN, "$1"), range(STEM_PASSES), token)
-    last = F.translate(F.substring(stem, -1, 1), "ğbcd", "kpçt")
+    last = F.translate(F.substring(stem, -1, 1), SOFT, HARD)
     return F.when(F.length(stem) > MIN_STEM, F.concat(stem.substr(F.lit(1), F.length(stem) - 1), last)).otherwise(stem)
 
 
+@functools.lru_cache(1 << 18)
+def stem_word(token: str) -> str:
+    """light_stem() of one token, for tasks that have their tokens in Python."""
+    for _ in range(STEM_PASSES):
+        token = re.sub(STEM_PATTERN, r"\1", token)
+    return token[:-1] + token[-1].translate(_HARD) if len(token) > MIN_STEM else token
+
+
 def raw_tokens(c: Column) -> Column:
     return F.regexp_extract_all(tr_lower(c), F.lit(TOKEN), F.lit(1))
 

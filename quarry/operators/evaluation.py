@@ -7,11 +7,38 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.text import raw_tokens
 from quarry.operators.answers import found_phrases, missing_phrases, resolve_citations
+from quarry.sources.snapshots import written
 
 MEANS_ANSWERABLE = ("recall", "hit_rate", "mrr", "precision")
 
 
+def holders(questions: DataFrame, docs: DataFrame) -> DataFrame:
+    """questions (query_id, query_text) joined with the docs (text, ...) whose text holds theirs.
+
+    A text that holds the question has all its words whole, but for the first and the last. So a question meets only
+    documents with the rarest of its inner words, by an equi-join; a question without an inner word meets all, in
+    blocks. A document that repeats a row counts as often as it is there.
+    """
+    rows = docs.withColumn("at", F.monotonically_increasing_id())
+    rows = written(rows, "held")
+    words = raw_tokens(F.col("query_text"))
+    inner = F.array_distinct(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))
+    asked = questions.where("query_text IS NOT NULL").select("query_id", "query_text", inner.alias("inner"))
+    wanted = asked.select("query_id", F.explode("inner").alias("word"))
+    held = rows.select("at", F.explode(F.array_distinct(raw_tokens(F.col("text")))).alias("word")).join(wanted.select("word").distinct(), "word", "left_semi")
+    held = written(held, "holding")
+    df = held.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    rarest = wanted.join(df, "word", "left").groupBy("query_id").agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), "word")).alias("word"))
+    pairs = rarest.join(held, "word").select("query_id", "at").join(asked.select("query_id", "query_text"), "query_id").join(rows, "at")
+    found = pairs.where(F.contains("text", "query_text")).drop("at")
+    short = asked.where(F.size("inner") == 0).select("query_id", "query_text")
+    blocks = max(1, -(-short.count() // 256))
+    met = [rows.crossJoin(F.broadcast(short.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b))).where(F.contains("text", "query_text")).drop("at") for b in range(blocks)] if short.head(1) else []
+    return reduce(DataFrame.unionByName, [found, *met])
+
+
 def source_matches(retrieved: DataFrame, expected: DataFrame) -> DataFrame:
     """retrieved (query_id, rank, file_name, page) with is_relevant: an expected row has the file and its page or no page."""
     files = expected.where("page IS NULL").select("query_id", "file_name", F.lit(True).alias("by_file")).distinct()
@@ -87,6 +114,7 @@ def failures(results: DataFrame) -> DataFrame:
 
 def diagnosis(row: DataFrame) -> DataFrame:
     """Names of the rules that a summary row breaks, in order; "none" if no rule is broken."""
+    # fixed values: the rules' thresholds
     rules = [
         ("hallucination", "hallucination_rate > 0"),
         ("retrieval", "hit_rate < 0.8"),

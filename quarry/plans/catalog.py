@@ -16,6 +16,9 @@ from quarry.functions import text as T
 from quarry.functions.embedding import HashingEmbedder
 from quarry.operators import answers as A
 from quarry.operators import chunking, evaluation, library, retrieval
+from quarry.sources import snapshots, store
+from quarry.sources.collection import Collection, ingest_stream, stream_id
+from quarry.sources.term_index import TermIndex
 from quarry.streaming import pieces as streams
 
 TOP, FETCH = 3, 20
@@ -33,8 +36,16 @@ def _questions(spark, d):
     return _table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
 
 
+def _index(spark, d, stem=True):
+    """A stored term index of all documents."""
+    index = TermIndex(spark, snapshots.scratch_path(spark, "terms"), stem)
+    index.add(_docs(spark, d))
+    return index
+
+
 def _bm25(spark, d, k):
-    return retrieval.Bm25Index(_docs(spark, d)).search(_questions(spark, d), k)
+    """Hits of all questions, written once: whatever asks for them again reads them."""
+    return snapshots.written(_index(spark, d).search(_questions(spark, d), k), "hits")
 
 
 def _vectors(spark, d):
@@ -81,28 +92,37 @@ def chunk_stats(spark, d):
 
 
 def bm25_idf(spark, d):
-    return retrieval.Bm25Index(_docs(spark, d)).idf.select("term", "df", F.round("idf", 6).alias("idf"))
+    return _index(spark, d).idf().select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_topk(spark, d):
     return _bm25(spark, d, FETCH)
 
 
+def stored_bm25(spark, d):
+    """An index that takes up the sources in two adds, the second with all rows again, and then loses every copy of an earlier text."""
+    docs = _docs(spark, d)
+    index = TermIndex(spark, snapshots.scratch_path(spark, "terms"))
+    index.add(docs.where("file_name < 'src2'"))
+    index.add(docs)
+    index.remove(duplicate_documents(spark, d).select(F.col("doc_id").alias("chunk_id")))
+    return index.search(_questions(spark, d), FETCH)
+
+
 def dense_topk(spark, d):
     return retrieval.dense_search(*_vectors(spark, d), 10)
 
 
 def rrf_fusion(spark, d):
     """Stemmed and unstemmed term rankings fused."""
-    docs, questions = _docs(spark, d), _questions(spark, d)
-    lists = [retrieval.Bm25Index(docs, stem=s).search(questions, FETCH) for s in (True, False)]
+    questions = _questions(spark, d)
+    lists = [_index(spark, d, s).search(questions, FETCH) for s in (True, False)]
     return retrieval.reciprocal_rank_fusion(lists, limit=FETCH)
 
 
 def hybrid_topk(spark, d):
     """Stemmed and unstemmed term retrievers fused by rank, cut to the first hits."""
-    docs = _docs(spark, d)
-    retrievers = [retrieval.Bm25Index(docs, stem=s).search for s in (True, False)]
+    retrievers = [_index(spark, d, s).search for s in (True, False)]
     return retrieval.hybrid(retrievers, _questions(spark, d), TOP, FETCH)
 
 
@@ -119,13 +139,13 @@ def embedded_topk(spark, d):
 
 def hybrid_embedded(spark, d):
     """Terms and vectors fused by rank, cut to the first hits."""
-    return retrieval.hybrid([retrieval.Bm25Index(_docs(spark, d)).search, _embedded(spark, d)], _questions(spark, d), TOP, FETCH)
+    return retrieval.hybrid([_index(spark, d).search, _embedded(spark, d)], _questions(spark, d), TOP, FETCH)
 
 
 def retrieval_stage_counts(spark, d):
     """Per question: hits of each retriever, of their fusion, and those kept."""
-    docs, questions = _docs(spark, d), _questions(spark, d)
-    lists = [retrieval.Bm25Index(docs, stem=s).search(questions, FETCH) for s in (True, False)]
+    questions = _questions(spark, d)
+    lists = [_index(spark, d, s).search(questions, FETCH) for s in (True, False)]
     stages = {"stemmed": lists[0], "plain": lists[1], "fused": retrieval.reciprocal_rank_fusion(lists, limit=FETCH)}
     rows = reduce(DataFrame.unionByName, [x.select("query_id", F.lit(name).alias("stage"), "rank") for name, x in stages.items()])
     n = lambda name: F.count(F.when(F.col("stage") == name, 1)).alias(f"n_{name}")
@@ -198,28 +218,41 @@ def sse_frames(spark, d):
     return streams.frames(_said(spark, d).select("query_id", F.col("text").alias("piece"))).select("query_id", "frame")
 
 
-def stream_filter(spark, d):
+def _thinking_pieces(spark, d):
     """Answers with thinking blocks before, in or after them, dealt out in pieces of 7 characters."""
     n, block = F.length("text"), F.lit("<think>x < y</think>")
     t = F.when(n % 3 == 0, F.concat(block, "text")).when(n % 3 == 1, F.concat(F.substring("text", 1, 11), block, F.lit("a < b"), F.expr("substring(text, 12)"))).otherwise(F.concat("text", block, block))
     at = F.explode(F.sequence(F.lit(0), F.floor(F.length("t") / 7).cast("int")))
     rows = _said(spark, d).select("query_id", t.alias("t")).select("query_id", at.alias("seq"), "t")
-    return streams.filter_pieces(rows.select("query_id", "seq", F.substring("t", F.col("seq") * 7 + 1, 7).alias("piece")))
+    return rows.select("query_id", "seq", F.substring("t", F.col("seq") * 7 + 1, 7).alias("piece"), (F.col("seq") == F.floor(F.length("t") / 7)).alias("last"))
+
+
+def stream_filter(spark, d):
+    return streams.filter_pieces(_thinking_pieces(spark, d))
+
+
+def stream_filter_late(spark, d):
+    """The same pieces as a stream: four batches, to which the pieces of each answer are dealt by hash, and every eleventh comes twice."""
+    path = snapshots.scratch_path(spark, "pieces")
+    pieces = _thinking_pieces(spark, d)
+    twice = pieces.where("pmod(hash(query_id, seq), 11) = 0").withColumn("batch", F.lit(3))
+    dealt = pieces.withColumn("batch", F.pmod(F.hash("seq", "query_id"), F.lit(4))).unionByName(twice)
+    dealt.repartition(4, "batch").write.partitionBy("batch").parquet(f"{path}/in")
+    stream = spark.readStream.schema("query_id long, seq long, piece string, last boolean").option("maxFilesPerTrigger", 1).parquet(f"{path}/in/batch=*")
+    return streams.shown_texts(stream, path)[0]
 
 
 def _golden(spark, d):
-    """questions (query_id, kind) and expected (query_id, file_name, page)."""
+    """questions (query_id, kind) and expected (query_id, file_name, page): the documents that hold a question's text."""
     docs = _docs(spark, d)
     q = _questions(spark, d).where("query_text <> ''")
-    # the stated question set meets every document in blocks of about 256 questions
-    lanes = max(1, -(-q.count() // 256))
-    blocks = q.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(lanes)).alias("lane")).agg(F.collect_list(F.struct("query_id", "query_text")).alias("block")).select("block")
-    hits = retrieval.spread(docs).crossJoin(blocks).select("file_name", "page", F.explode(F.filter("block", lambda b: F.contains(F.col("text"), b["query_text"]))).alias("b")).select(F.col("b.query_id").alias("query_id"), "file_name", "page")
+    hits = snapshots.written(evaluation.holders(q, docs).select("query_id", "file_name", "page"), "expected")
     kind = F.when(F.col("n").isNull(), "unanswerable").otherwise("answerable").alias("kind")
     return _questions(spark, d).join(hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left").select("query_id", kind), hits
 
 
 def _retrieved(spark, d):
+    """Hits with their files, written once."""
     return _bm25(spark, d, FETCH).withColumn("page", F.col("chunk_id")).join(_docs(spark, d).select("page", "file_name"), "page").select("query_id", "rank", "file_name", "page", "score")
 
 
@@ -231,8 +264,9 @@ def retrieval_metrics(spark, d):
 
 def _results(spark, d):
     """Metrics with a stand-in answerer that abstains unless its best hit scores 20 or more, and cites its first hit."""
-    m = evaluation.retrieval_metrics(*_golden(spark, d), _retrieved(spark, d), TOP)
-    best = _retrieved(spark, d).where("rank = 1").select("query_id", "score")
+    hits = _retrieved(spark, d)
+    m = evaluation.retrieval_metrics(*_golden(spark, d), hits, TOP)
+    best = hits.where("rank = 1").select("query_id", "score")
     r = m.join(best, "query_id", "left").withColumn("abstained", F.coalesce(F.col("score") < 20, F.lit(True)))
     r = r.withColumn("n_citations", F.when(F.col("abstained"), 0).otherwise(1)).withColumn("facts_ok", (F.col("kind") != "answerable") | F.col("hit"))
     r = r.withColumn("forbidden", F.lit(False)).withColumn("citations_correct", F.col("abstained") | (F.col("kind") != "answerable") | F.coalesce(F.col("first_relevant_rank") == 1, F.lit(False)))
@@ -242,7 +276,7 @@ def _results(spark, d):
 def _used(spark, d):
     """The chunks of each question's context, as packed."""
     docs = _docs(spark, d).withColumn("token_count", F.size(T.raw_tokens(F.col("text"))).cast("long"))
-    return A.pack_context(_bm25(spark, d, FETCH).join(docs, "chunk_id"), 1000).withColumn("section", F.lit(""))
+    return snapshots.written(A.pack_context(_bm25(spark, d, FETCH).join(docs, "chunk_id"), 1000).withColumn("section", F.lit("")), "used")
 
 
 def _answers(spark, d, used):
@@ -276,7 +310,7 @@ def _evaluated(spark, d):
     first = F.slice(T.raw_tokens(F.col("query_text")), 1, 1)
     asked = questions.join(_questions(spark, d), "query_id").select("query_id", "kind", first.alias("must_contain"), F.array(F.lit("[2] [9]")).alias("must_not_contain"))
     used = _used(spark, d)
-    return evaluation.evaluate(asked, expected, used, _answers(spark, d, used), TOP)
+    return snapshots.written(evaluation.evaluate(asked, expected, used, _answers(spark, d, used), TOP), "evaluated")
 
 
 _SHOWN = ("query_id", "kind", "first_relevant_rank", "hit", "abstained", "n_citations", "n_wrong", "facts_ok", "forbidden", "citations_correct", "passed")
@@ -364,6 +398,39 @@ def ingest_report(spark, d):
     return s.agg(F.count(F.lit(1)).alias("n_files"), F.sum("page_count").alias("n_pages"), F.sum((F.col("status") == "ok").cast("long")).alias("n_ok"), F.sum((F.col("status") != "ok").cast("long")).alias("n_needs_ocr"))
 
 
+def _page_files(pages):
+    return pages.select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("file_name"), F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("content"))
+
+
+def _page_collection(spark, d):
+    """The web pages as a stream of files into a collection; then the stream again from its checkpoint, and its first batch once more."""
+    path = snapshots.scratch_path(spark, "pages")
+    held = Collection(spark, f"{path}/collection", HashingEmbedder())
+    table = _table(spark, d, "pages")
+    stream = _page_files(spark.readStream.schema(table.schema).option("pathGlobFilter", "pages.parquet*").parquet(d))
+    for _ in range(2):
+        ingest_stream(held, stream, f"{path}/checkpoint")
+    held.ingest(store.read_pages(_page_files(table)), (stream_id(spark, f"{path}/checkpoint"), 0))
+    return held
+
+
+def ingest_pages(spark, d):
+    """The manifest after a stream of web pages, and the pages' chunks in the index."""
+    held = _page_collection(spark, d)
+    n = held.chunks().groupBy("file_name").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("chunk_id").alias("n_ids"))
+    rows = held.manifest().join(n, "file_name", "left")
+    return rows.select("file_name", "content_hash", "status", "page_count", (F.col("n") == F.col("chunk_count")).alias("whole"), (F.col("n") == F.col("n_ids")).alias("once"))
+
+
+def library_delete(spark, d):
+    """Files with text and those without after the pages of mobile hosts have been removed."""
+    held = _page_collection(spark, d)
+    names = _table(spark, d, "pages").where("url LIKE '%://m.%'").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("file_name"))
+    held.remove([r["file_name"] for r in names.toLocalIterator()])
+    indexed = held.chunks().select("file_name").distinct().withColumn("indexed", F.lit(True))
+    return held.manifest().join(indexed, "file_name", "full").select("file_name", "status", F.coalesce("indexed", F.lit(False)).alias("indexed"))
+
+
 def safe_file_names(spark, d):
     p = _table(spark, d, "pages")
     return p.select("page_id", library.safe_name(F.col("url")).alias("safe_name"))
@@ -466,6 +533,13 @@ for _pattern, _new in (
 ):
     _NORMALIZED = f"regexp_replace({_NORMALIZED}, '{_pattern}', '{_new}', 'g')"
 
+# what is left of a page without scripts, styles and tags; entities that pages have
+_PAGE_TEXT = "regexp_replace(coalesce(html, ''), '(?is)<script.*?</script>|<style.*?</style>|<[^>]+>', ' ', 'g')"
+for _entity, _char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&amp;", "&")):
+    _PAGE_TEXT = f"replace({_PAGE_TEXT}, '{_entity}', '{_char}')"
+_PAGES = f"""page_texts AS (SELECT page_id || '.html' AS file_name, url, substr(sha256(coalesce(html, '')), 1, 32) AS content_hash, {_PAGE_TEXT} AS text FROM pages),
+page_files AS (SELECT file_name, url, content_hash, CASE WHEN len({_STRIPPED}) >= 100 THEN 'ok' ELSE 'no_text_layer' END AS status FROM page_texts)"""
+
 _NAME = _STRIPPED.replace("text", "url")
 _SAFE = f"""SELECT page_id, CASE WHEN name <> '' AND base <> '' AND NOT regexp_matches(name, '[\\x00-\\x1f\\x7f-\\x9f\\x{{200b}}-\\x{{200f}}\\x{{2028}}-\\x{{202e}}]') AND NOT starts_with(base, '.') AND len(base) <= 200
   AND lower(regexp_replace(base, '\\.[^.]*$', '')) NOT IN ({", ".join(f"'{r}'" for r in library.RESERVED)}) AND regexp_full_match(base, '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Nl}}\\p{{Pc}}\\s\\p{{Z}}.,()\\[\\]+&#@!''çğıöşüÇĞİÖŞÜ-]+') THEN base END AS safe_name
@@ -481,6 +555,9 @@ SQL = {
     "text_layer_status": f"SELECT file_name, page_count, total_chars, CASE WHEN total_chars >= 100 THEN 'ok' ELSE 'no_text_layer' END AS status FROM (SELECT source AS file_name, count(*) AS page_count, sum(len({_STRIPPED})) AS total_chars FROM documents GROUP BY source)",
     "bm25_idf": f"WITH {_sql_bm25(True)} SELECT term, df, round(idf, 6) AS idf FROM idf",
     "bm25_topk": f"WITH {_sql_bm25(True)} SELECT query_id, chunk_id, score, rank FROM hits",
+    "stored_bm25": f"WITH documents AS (SELECT * FROM main.documents QUALIFY row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id) = 1), {_sql_bm25(True)} SELECT query_id, chunk_id, score, rank FROM hits",
+    "ingest_pages": f"WITH {_PAGES} SELECT file_name, content_hash, status, 1 AS page_count, CASE WHEN status = 'ok' THEN true END AS whole, CASE WHEN status = 'ok' THEN true END AS once FROM page_files",
+    "library_delete": f"WITH {_PAGES} SELECT file_name, status, status = 'ok' AS indexed FROM page_files WHERE url NOT LIKE '%://m.%'",
     "dense_topk": "SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)) WHERE rank <= 10",
     "rrf_fusion": f"WITH {_FUSED} SELECT query_id, chunk_id, score, rank, retriever_hits FROM rrf",
     "hybrid_topk": f"WITH {_FUSED} SELECT query_id, chunk_id, score, rank, retriever_hits FROM rrf WHERE rank <= {TOP}",
@@ -535,9 +612,9 @@ UNION ALL SELECT id, 'unanswerable_with_source' FROM a WHERE kind = 'unanswerabl
 }
 
 _QUERIES = (
-    tr_tokenize_stats, stem_vocabulary, normalized_text, chunk_ids, duplicate_documents, text_layer_status, chunk_documents, chunk_stats, bm25_idf, bm25_topk, dense_topk, rrf_fusion, hybrid_topk, embedded_topk, hybrid_embedded, retrieval_stage_counts, library_totals, fusion_consensus,
-    rerank_minscore, context_pack, citation_markers, abstention_flags, reasoning_strip, groundedness_parse, sse_frames, stream_filter, retrieval_metrics, eval_summary, diagnosis, golden_validation,
-    citation_resolve, answer_view, wrong_citations, eval_used, eval_failures, manifest_currency, library_listing, incremental_ingest, report_lookup, incremental_add, ingest_report, safe_file_names,
+    tr_tokenize_stats, stem_vocabulary, normalized_text, chunk_ids, duplicate_documents, text_layer_status, chunk_documents, chunk_stats, bm25_idf, bm25_topk, stored_bm25, dense_topk, rrf_fusion, hybrid_topk, embedded_topk, hybrid_embedded, retrieval_stage_counts, library_totals, fusion_consensus,
+    rerank_minscore, context_pack, citation_markers, abstention_flags, reasoning_strip, groundedness_parse, sse_frames, stream_filter, stream_filter_late, retrieval_metrics, eval_summary, diagnosis, golden_validation,
+    citation_resolve, answer_view, wrong_citations, eval_used, eval_failures, manifest_currency, library_listing, incremental_ingest, report_lookup, incremental_add, ingest_pages, library_delete, ingest_report, safe_file_names,
 )
 
 
@@ -546,4 +623,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return {**SQL, "stream_filter_late": SQL["stream_filter"]}

@@ -1,10 +1,9 @@
-"""Versioned index folders: a version is written whole, then a pointer file names it; loads check compatibility."""
+"""Versioned index folders: a version is written whole, then a snapshot names it; loads check compatibility."""
 
 from __future__ import annotations
 
 import hashlib
 import html
-import json
 import re
 import unicodedata
 import uuid
@@ -15,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources.snapshots import Snapshots
+
 FORMAT = 1
 
 
@@ -33,43 +34,35 @@ def _folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
 
 
-def _pointers(spark: SparkSession, path: str) -> list[str]:
-    """Pointers that were written whole, oldest first."""
-    found = [f"{path}/pointers/{name}" for name in _folders(spark, f"{path}/pointers")]
-    return [p for p in found if "_SUCCESS" in _folders(spark, p)]
-
-
-def _point(spark: SparkSession, path: str, version: str) -> None:
-    """A new pointer beside the former ones, so that readers always find one; two writers can't take one number."""
-    names = _folders(spark, f"{path}/pointers")
-    number = int(names[-1]) + 1 if names else 0
-    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/pointers/{number:010d}")
-
-
 def save_index(chunks: DataFrame, path: str, model_id: str, dimension: int) -> str:
-    """Write chunks (with embedding) as a new version; readers see it once the pointer has moved."""
-    spark = chunks.sparkSession
+    """Write chunks (with embedding) as a new version; readers see it once a snapshot names it. A writer that another one overtakes gets a Conflict."""
+    spark, states = chunks.sparkSession, Snapshots(chunks.sparkSession, path)
+    number, _ = states.latest()
     version = uuid.uuid4().hex
     chunks.write.parquet(f"{path}/{version}/chunks")
     count = spark.read.parquet(f"{path}/{version}/chunks").count()
-    meta = {"format": FORMAT, "model_id": model_id, "dimension": dimension, "count": count, "version": version}
-    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{path}/{version}/meta")
-    _point(spark, path, version)
+    states.commit(number, {"format": FORMAT, "model_id": model_id, "dimension": dimension, "count": count, "version": version})
     return version
 
 
 def load_index(spark: SparkSession, path: str, model_id: str, dimension: int) -> DataFrame:
-    version = spark.read.text(_pointers(spark, path)[-1]).first()["value"]
-    meta = json.loads(spark.read.text(f"{path}/{version}/meta").first()["value"])
+    number, meta = Snapshots(spark, path).latest()
+    if number < 0:
+        raise IndexCompatibilityError(f"{path} holds no index")
     for name, want in (("format", FORMAT), ("model_id", model_id), ("dimension", dimension)):
         if meta[name] != want:
             raise IndexCompatibilityError(f"{name} is {meta[name]!r}, not {want!r}")
-    chunks = spark.read.parquet(f"{path}/{version}/chunks")
+    chunks = spark.read.parquet(f"{path}/{meta['version']}/chunks")
     if chunks.count() != meta["count"]:
         raise IndexCompatibilityError("row count differs from the one stored")
     return chunks
 
 
+def expire_index(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
+    """Drop all but the last versions."""
+    return Snapshots(spark, path).expire(keep, lambda meta: [meta["version"]])
+
+
 MANIFEST = "file_name string, content_hash string, status string, page_count long, chunk_count long, chunk_ids array<string>, embedder_model_id string, processed_at timestamp, error string"
 
 
@@ -125,8 +118,8 @@ LOADERS: dict[str, Callable[[bytes], list[tuple[int, str]]]] = {
 }
 
 
-def load_files(spark: SparkSession, path: str, loaders: dict[str, Callable[[bytes], list[tuple[int, str]]]] | None = None) -> DataFrame:
-    """Files of a folder (not below it) by the loader of their extension, in either case: file_name, content_hash, page, text, error.
+def read_pages(files: DataFrame, loaders: dict[str, Callable[[bytes], list[tuple[int, str]]]] | None = None) -> DataFrame:
+    """files (file_name, content) by the loader of their extension, in either case: file_name, content_hash, page, text, error.
 
     Files without a loader are left out; one that its loader can't read has one row with the error and no text.
     """
@@ -143,6 +136,15 @@ def load_files(spark: SparkSession, path: str, loaders: dict[str, Callable[[byte
                     rows.append((name, digest, None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["file_name", "content_hash", "page", "text", "error"]).astype({"page": "Int64"})
 
-    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "[^/]*$", 0).alias("file_name"), "content")
     known = files.where(F.lower(F.regexp_extract("file_name", r"\.([^.]+)$", 1)).isin(list(by)))
-    return known.mapInPandas(run, "file_name string, content_hash string, page long, text string, error string")
+    return known.select("file_name", "content").mapInPandas(run, "file_name string, content_hash string, page long, text string, error string")
+
+
+def named(files: DataFrame) -> DataFrame:
+    """Rows of binaryFile as (file_name, content)."""
+    return files.select(F.regexp_extract("path", "[^/]*$", 0).alias("file_name"), "content")
+
+
+def load_files(spark: SparkSession, path: str, loaders: dict[str, Callable[[bytes], list[tuple[int, str]]]] | None = None) -> DataFrame:
+    """read_pages() of the files of a folder (not below it)."""
+    return read_pages(named(spark.read.format("binaryFile").load(path)), loaders)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 OPEN, CLOSE = re.compile(r"<think[^>]*>", re.I), re.compile(r"</think[^>]*>", re.I)
-HOLD = 16
+HOLD = 16  # fixed value: characters of a possible tag that are held back
 
 
 class ReasoningFilter:
@@ -54,25 +56,77 @@ def filter_pieces(pieces: DataFrame) -> DataFrame:
     return pieces.groupBy("query_id").applyInPandas(run, "query_id long, text string")
 
 
-def filter_stream(pieces: DataFrame) -> DataFrame:
-    """Streaming form over (query_id, seq, piece, last): state is the held text and whether a block is open."""
-
-    def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        f = ReasoningFilter(*state.get) if state.exists else ReasoningFilter()
-        for batch in batches:
-            rows = batch.sort_values("seq")
-            for piece, last in zip(rows["piece"], rows["last"]):
-                text = f.feed(piece or "") + (f.finish() if last else "")
-                if text:
-                    yield pd.DataFrame({"query_id": [key[0]], "text": [text]})
-        state.update((f.buffer, f.inside))
-
-    return pieces.groupBy("query_id").applyInPandasWithState(run, "query_id long, text string", "buffer string, inside boolean", "append", "NoTimeout")
-
-
-def ingest_stream(pages: DataFrame, commit, checkpoint: str):
-    """Micro-batches of pages to commit(batch DataFrame, batch id); what is there is taken, then the query ends."""
-    return pages.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+class _Reordered(StatefulProcessor):
+    """A stream's pieces in order of seq, from 0 on, through a ReasoningFilter; the piece marked last ends the stream and its state.
+
+    Pieces that come early wait for those before them; pieces that came already are left out. A stream whose pieces stop coming
+    loses its state after ttl_ms, unless that is None.
+    """
+
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.place = handle.getValueState("place", "next long, buffer string, inside boolean", self.ttl_ms)
+        self.waiting = handle.getMapState("waiting", "seq long", "piece string, last boolean", self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        at, buffer, inside = self.place.get() if self.place.exists() else (0, "", False)
+        f = ReasoningFilter(buffer, inside)
+        early = {}
+        for batch in rows:
+            for seq, piece, last in zip(batch["seq"], batch["piece"], batch["last"]):
+                if seq >= at:
+                    early.setdefault(int(seq), (piece or "", bool(last)))
+        shown, done = [], False
+        while not done:
+            if at in early:
+                piece, done = early.pop(at)
+            elif self.waiting.containsKey((at,)):
+                piece, done = self.waiting.getValue((at,))
+                self.waiting.removeKey((at,))
+            else:
+                break
+            shown.append(f.feed(piece))
+            at += 1
+        if done:
+            shown.append(f.finish())
+            self.place.clear()
+            self.waiting.clear()
+        else:
+            self.place.update((at, f.buffer, f.inside))
+            for seq, value in early.items():
+                self.waiting.updateValue((seq,), value)
+        text = "".join(shown)
+        if text:
+            yield pd.DataFrame({"query_id": [key[0]], "seq": [at - 1], "text": [text]})
+
+    def close(self) -> None:
+        pass
+
+
+def filter_stream(pieces: DataFrame, ttl_ms: int | None = 3_600_000) -> DataFrame:
+    """Streaming form over (query_id, seq, piece, last): query_id, seq of the last piece shown, text. Pieces may come in any order and more than once.
+
+    Needs the RocksDB state store (use_rocksdb). A piece of a stream that has ended opens a new state, which goes by ttl_ms.
+    A finite stream that is to end by itself takes None: while state can expire, Spark goes on making empty batches.
+    """
+    mode = "None" if ttl_ms is None else "ProcessingTime"
+    return pieces.groupBy("query_id").transformWithStateInPandas(_Reordered(ttl_ms), "query_id long, seq long, text string", "Append", mode)
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def shown_texts(pieces: DataFrame, path: str) -> tuple[DataFrame, list[dict]]:
+    """What a finite stream of pieces shows, by query: it runs to its end into a table under path; with the progress of its batches."""
+    use_rocksdb(pieces.sparkSession)
+    query = filter_stream(pieces, None).writeStream.format("parquet").option("path", f"{path}/shown").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    shown = pieces.sparkSession.read.schema("query_id long, seq long, text string").parquet(f"{path}/shown")
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"])
+    return shown.groupBy("query_id").agg(F.array_join(in_order, "").alias("text")), [json.loads(p.json) for p in query.recentProgress]
 
 
 def frames(pieces: DataFrame) -> DataFrame:

@@ -140,13 +140,17 @@ def test_question_sets_evaluations_and_prompts(spark, tmp_path):
             store.load_prompt(spark, path, version, name)
 
 
-def test_readers_take_the_last_whole_pointer(spark, tmp_path):
+def test_readers_take_the_last_whole_version(spark, tmp_path):
     path = f"file://{tmp_path}/index"
     chunks = spark.createDataFrame([("c1", [1.0, 0.0])], "chunk_id string, embedding array<float>")
     store.save_index(chunks, path, "m", 2)
     store.save_index(chunks.union(chunks), path, "m", 2)
-    (tmp_path / "index" / "pointers" / "0000000009").mkdir()  # a writer that was lost
+    (tmp_path / "index" / "snapshots" / ".draft").write_text("{")  # a writer that was lost
+    (tmp_path / "index" / "abc" / "chunks").mkdir(parents=True)
     assert store.load_index(spark, path, "m", 2).count() == 2
+    assert len(store.expire_index(spark, path, 1)) == 1 and store.load_index(spark, path, "m", 2).count() == 2
+    with pytest.raises(store.IndexCompatibilityError, match="no index"):
+        store.load_index(spark, f"{path}2", "m", 2)
 
 
 def test_evaluation_uses_the_citations(spark):
