@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quarry.functions.text import raw_tokens
+from quarry.functions.text import TOKEN, TR_LOWER, TR_UPPER, raw_tokens
 
 
 @functools.lru_cache(1 << 16)
@@ -22,7 +23,8 @@ def _slot(word: str, dimension: int) -> int:
 class HashingEmbedder:
     """Texts as vectors (array<double>); queries and passages have a prefix each. A text without words has a null vector."""
 
-    def __init__(self, dimension: int = 64, query_prefix: str = "query: ", passage_prefix: str = "passage: "):
+    def __init__(self, dimension: int = 64, query_prefix: str = "query: ", passage_prefix: str = "passage: ", max_tokens: int = 1024):
+        self.max_tokens = max_tokens
         self.dimension, self.query_prefix, self.passage_prefix = dimension, query_prefix, passage_prefix
         self.model_id = f"hashed-words-{dimension}"
 
@@ -43,6 +45,11 @@ class HashingEmbedder:
 
         return embed(raw_tokens(text))
 
+    @staticmethod
+    def count_tokens(text: str) -> int:
+        """Words as the vectors have them, of a text as it is given."""
+        return len(re.findall(TOKEN, text.translate(str.maketrans(TR_UPPER, TR_LOWER)).lower()))
+
     def query(self, text: Column) -> Column:
         return self._vectors(F.concat(F.lit(self.query_prefix), text))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
@@ -28,6 +29,29 @@ def count_words(text: str) -> int:
     return len(text.split())
 
 
+#: Of a counter with this mark, a text's count is the sum of its parts', whatever blanks part them.
+count_words.additive = True
+
+
+class TokenCounter:
+    """Counts the tokens of a tokenizer file (library tokenizers) without special ones; each worker loads it once."""
+
+    additive = False
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def __call__(self, text: str) -> int:
+        return len(_tokenizer(self.path).encode(text, add_special_tokens=False).ids)
+
+
+@functools.lru_cache(4)
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def sentences(text: str) -> list[str]:
     """Sentences; the parts on both sides of an abbreviation are one."""
     parts = [p for p in re.split(SENTENCE_END, text) if p.strip()]
@@ -42,6 +66,8 @@ class ChunkRules:
     overlap: int = 80
     least: int = 32
     hard_limit: int = 1024
+    #: Tokens that a longer start of a text may have less than a shorter one, by the counter in use.
+    slack: int = 4
 
     def __post_init__(self):
         if not 0 <= self.overlap < self.target <= self.hard_limit:
@@ -49,26 +75,58 @@ class ChunkRules:
 
 
 class Sizes:
-    """Running sums of the sizes of a list of texts."""
+    """Running sums of the sizes of a list of texts; for additive counters."""
 
     def __init__(self, texts: list[str], count: Callable[[str], int]):
         self.sums = [0, *accumulate(map(count, texts))]
 
-    def of(self, a: int, b: int) -> int:
-        return self.sums[b] - self.sums[a]
+    def reach(self, a: int, room: int, lead: int = 0) -> int:
+        """The first end after a at which texts a to the end, and lead more, are over room; else the end of the list. Less one."""
+        return bisect_right(self.sums, self.sums[a] + room - lead) - 1
+
+
+class Joined:
+    """Sizes of joined texts, counted anew as often as it takes.
+
+    A run ends before the first text with which it is over room. To find it, starts of 1, 2, 4 and so on texts are counted, and halves between
+    the last two; a start that has slack tokens to spare shows that none before it was over. From the largest such start on,
+    each is counted: these are few, as they lie within slack of the room.
+    """
+
+    def __init__(self, texts: list[str], count: Callable[[str], int], gap: str, slack: int, backward: bool = False):
+        self.texts, self.count, self.gap, self.slack, self.step = texts, count, gap, slack, -1 if backward else 1
+
+    def reach(self, a: int, room: int, lead: str = "") -> int:
+        size = lambda b: self.count(self.gap.join([*([lead] if lead else []), *self.texts[a:b]][:: self.step]))
+        n, sure, step = len(self.texts), a, 1
+        while sure < n and size(end := min(n, a + step)) <= room - self.slack:
+            sure, step = end, 2 * step
+        high = min(n, a + step)
+        while high - sure > 1:
+            mid = (sure + high) // 2
+            if size(mid) <= room - self.slack:
+                sure = mid
+            else:
+                high = mid
+        while sure < n and size(sure + 1) <= room:
+            sure += 1
+        return sure
+
 
-    def reach(self, a: int, room: int) -> int:
-        """The end of the longest run from a within room; a run has one text at least."""
-        return max(a + 1, bisect_right(self.sums, self.sums[a] + room) - 1)
+def _sizes(texts: list[str], count: Callable[[str], int], gap: str, slack: int) -> Sizes | Joined:
+    return Sizes(texts, count) if getattr(count, "additive", False) else Joined(texts, count, gap, slack)
 
 
-def _suffix(texts: list[str], room: int, count: Callable[[str], int]) -> str:
-    """The longest suffix of texts within room."""
-    sums = list(accumulate(map(count, reversed(texts))))
-    return " ".join(texts[len(texts) - bisect_right(sums, room) :])
+def _suffix(texts: list[str], room: int, count: Callable[[str], int], slack: int) -> str:
+    """The longest suffix of texts within room, and with it all shorter ones."""
+    if getattr(count, "additive", False):
+        n = Sizes(texts[::-1], count).reach(0, room)
+    else:
+        n = Joined(texts[::-1], count, " ", slack, backward=True).reach(0, room)
+    return " ".join(texts[len(texts) - n :])
 
 
-def units(text: str, target: int, count: Callable[[str], int]) -> list[str]:
+def units(text: str, target: int, count: Callable[[str], int], slack: int = 0) -> list[str]:
     """A page's paragraphs; those over the target as sentences, and sentences over it as runs of words."""
     out: list[str] = []
     for paragraph in filter(None, (p.strip() for p in re.split(PARAGRAPH_END, text))):
@@ -77,9 +135,9 @@ def units(text: str, target: int, count: Callable[[str], int]) -> list[str]:
                 out.append(part)
                 continue
             words = part.split()
-            sizes, a = Sizes(words, count), 0
+            sizes, a = _sizes(words, count, " ", slack), 0
             while a < len(words):
-                b = sizes.reach(a, target)
+                b = max(a + 1, sizes.reach(a, target))
                 out.append(" ".join(words[a:b]))
                 a = b
     return out
@@ -88,21 +146,21 @@ def units(text: str, target: int, count: Callable[[str], int]) -> list[str]:
 def chunk_page(text: str, rules: ChunkRules = ChunkRules(), count: Callable[[str], int] = count_words) -> list[str]:
     """Chunk texts of one page, in order. A word over the hard limit makes a chunk of its own.
 
-    count must be additive over texts parted by blanks, as words and the tokens of blank-splitting tokenizers are.
     A chunk is an overlap (the end of the chunk before it, left out where it would break the hard limit) and a run of
-    units; a short last chunk joins the one before it.
+    units; a short last chunk joins the one before it. Sizes are those of the joined texts, separators included. A counter
+    that isn't additive may give a longer start of a text rules.slack tokens less than a shorter one, at most.
     """
-    parts = units(text, rules.target, count)
-    sizes, chunks, a, lead = Sizes(parts, count), [], 0, ""
+    parts = units(text, rules.target, count, rules.slack)
+    sizes, chunks, a, lead = _sizes(parts, count, GAP, rules.slack), [], 0, ""
     while a < len(parts):
-        used = count(lead)
-        if used + sizes.of(a, a + 1) > rules.hard_limit:
-            lead, used = "", 0
-        b = sizes.reach(a, rules.target - used)
+        if lead and count(GAP.join([lead, parts[a]])) > rules.hard_limit:
+            lead = ""
+        b = max(a + 1, sizes.reach(a, rules.target, count(lead) if isinstance(sizes, Sizes) else lead))
         chunks.append(GAP.join(filter(None, [lead, *parts[a:b]])))
-        lead = _suffix(sentences(chunks[-1]), rules.overlap, count) or _suffix(chunks[-1].split(), rules.overlap, count)
+        if b < len(parts) and rules.overlap:
+            lead = _suffix(sentences(chunks[-1]), rules.overlap, count, rules.slack) or _suffix(chunks[-1].split(), rules.overlap, count, rules.slack)
         a = b
-    if len(chunks) > 1 and count(chunks[-1]) < rules.least and count(chunks[-2]) + count(chunks[-1]) <= rules.hard_limit:
+    if len(chunks) > 1 and count(chunks[-1]) < rules.least and count(GAP.join(chunks[-2:])) <= rules.hard_limit:
         chunks[-2:] = [GAP.join(chunks[-2:])]
     return chunks
 

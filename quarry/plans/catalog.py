@@ -87,6 +87,14 @@ def chunk_documents(spark, d):
     return chunking.chunk_documents(_docs(spark, d).select("file_name", "page", "text"))
 
 
+def chunk_tokens(spark, d):
+    """Chunks by the tokens of a BPE tokenizer, which counts separators and joins as they come."""
+    import public_tokenizers
+
+    count = chunking.TokenCounter(public_tokenizers.path("byte_bpe_50k.json"))
+    return chunking.chunk_documents(_docs(spark, d).select("file_name", "page", "text"), count=count)
+
+
 def chunk_stats(spark, d):
     return chunk_documents(spark, d).groupBy("file_name").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("token_count").alias("n_tokens"), F.max("token_count").alias("max_tokens"))
 
@@ -612,7 +620,7 @@ UNION ALL SELECT id, 'unanswerable_with_source' FROM a WHERE kind = 'unanswerabl
 }
 
 _QUERIES = (
-    tr_tokenize_stats, stem_vocabulary, normalized_text, chunk_ids, duplicate_documents, text_layer_status, chunk_documents, chunk_stats, bm25_idf, bm25_topk, stored_bm25, dense_topk, rrf_fusion, hybrid_topk, embedded_topk, hybrid_embedded, retrieval_stage_counts, library_totals, fusion_consensus,
+    tr_tokenize_stats, stem_vocabulary, normalized_text, chunk_ids, duplicate_documents, text_layer_status, chunk_documents, chunk_tokens, chunk_stats, bm25_idf, bm25_topk, stored_bm25, dense_topk, rrf_fusion, hybrid_topk, embedded_topk, hybrid_embedded, retrieval_stage_counts, library_totals, fusion_consensus,
     rerank_minscore, context_pack, citation_markers, abstention_flags, reasoning_strip, groundedness_parse, sse_frames, stream_filter, stream_filter_late, retrieval_metrics, eval_summary, diagnosis, golden_validation,
     citation_resolve, answer_view, wrong_citations, eval_used, eval_failures, manifest_currency, library_listing, incremental_ingest, report_lookup, incremental_add, ingest_pages, library_delete, ingest_report, safe_file_names,
 )

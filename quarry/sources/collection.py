@@ -25,6 +25,8 @@ class Collection:
     """path: the folder of chunks, manifest and snapshots. embedder: has model_id, dimension and passage(Column). files: the folder that the files lie in."""
 
     def __init__(self, spark: SparkSession, path: str, embedder, files: str | None = None, rules: chunking.ChunkRules = chunking.ChunkRules(), count: Callable[[str], int] = chunking.count_words):
+        if rules.hard_limit > embedder.max_tokens:
+            raise ValueError(f"chunks of {rules.hard_limit} tokens are over the embedder's {embedder.max_tokens}")
         self.spark, self.path, self.embedder, self.files, self.rules, self.count = spark, path.rstrip("/"), embedder, files, rules, count
         self.snapshots = Snapshots(spark, path)
 
