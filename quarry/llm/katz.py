@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -90,6 +91,10 @@ def unpacked_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unpacked(data, np.uint64), dtype=np.uint64)
 
 
+#: Words of more bytes are hashed by XXH64: a polynomial modulo 2**64 gives long words of certain forms one hash.
+LONG_WORD = 64
+
+
 def word_hashes(text: str) -> np.ndarray:
     """Hashes of a text's lower-cased words in order."""
     data = text.encode("utf-8", "surrogatepass").translate(LOWER)
@@ -108,7 +113,10 @@ def word_hashes(text: str) -> np.ndarray:
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(27)
         h *= np.uint64(0x94D049BB133111EB)
-        out.append(h ^ (h >> np.uint64(31)))
+        h ^= h >> np.uint64(31)
+        for i in np.flatnonzero(ends - starts > LONG_WORD):
+            h[i] = xxhash.xxh64_intdigest(data[at + starts[i] : at + ends[i]])
+        out.append(h)
         at = end
     return np.concatenate([*out, [END]]) if out else np.array([END])
 

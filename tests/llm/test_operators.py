@@ -55,8 +55,9 @@ def test_empty_tables(spark, empty):
         assert out.collect() == []
 
 
-def test_exact_dedup(docs):
-    rows = exact_dedup.exact_dedup(docs, salts=2).collect()
+@pytest.mark.parametrize("hot_rows", [1, 1000])
+def test_exact_dedup(docs, hot_rows):
+    rows = exact_dedup.exact_dedup(docs, ranges=100, hot_rows=hot_rows).collect()
     groups = {}
     for i, t, *_ in make():
         groups.setdefault(t or "", []).append(i)
@@ -67,6 +68,27 @@ def test_exact_dedup(docs):
     assert exact_dedup.keep_unique(docs).count() == len(groups)
 
 
+def test_equal_texts_are_neighbours_unless_hot(spark):
+    """Every text that isn't hot is one run, made by comparison; a hot one has a run for each salt, and a hot lead parts different texts only."""
+    lead = "x" * exact_dedup.PREFIX_CHARS
+    texts = ["hot"] * 400 + [f"{lead}{i % 150}" for i in range(600)] + [f"t{i % 90}" for i in range(300)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    runs = exact_dedup.content_runs(rows, ranges=8, hot_rows=1).groupBy("text_sha256").agg(F.countDistinct("run").alias("runs"), F.max("hot").alias("hot"), F.max("run_size").alias("n"), F.count(F.lit(1)).alias("all")).collect()
+    assert len(runs) == 241 and [r.all for r in runs if r.hot] == [400]
+    assert all(r.runs == 1 and r.n == r.all for r in runs if not r.hot) and next(r.runs for r in runs if r.hot) > 5
+    out = exact_dedup.exact_dedup(rows, ranges=8, hot_rows=1).where("kept").collect()
+    assert sorted(r.doc_id for r in out) == sorted(max(i for i, x in enumerate(texts) if x == t) for t in set(texts))
+    assert {r.doc_id: r.group_size for r in out}[399] == 400
+
+
+def test_long_words_of_one_polynomial_hash_differ():
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    assert len(a) == 2048 and len({*katz.word_hashes(a)[:1], *katz.word_hashes(b)[:1], *katz.word_hashes(a[:1024])[:1], *katz.word_hashes(b[:1024])[:1]}) == 4
+    assert list(katz.word_hashes(f"x {a} {b} {a}")[[1, 3]]) == list(katz.word_hashes(a)[:1]) * 2
+
+
 def test_secret_ledger_and_redaction(spark, docs, tmp_path):
     ledger = secret_scan.BlobLedger(spark, f"file://{tmp_path}/ledger")
     found = {r.doc_id: r.spans for r in secret_scan.scan_documents(docs, ledger).collect()}
