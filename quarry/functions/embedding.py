@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quarry.functions.text import TOKEN, TR_LOWER, TR_UPPER, raw_tokens
+from quarry.functions.text import raw_tokens, words
 
 
 @functools.lru_cache(1 << 16)
@@ -33,9 +32,9 @@ class HashingEmbedder:
 
         @F.pandas_udf("array<double>")
         def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for words in batches:
+            for texts in batches:
                 out = []
-                for w in words:
+                for w in texts:
                     if w is None or not len(w):
                         out.append(None)
                         continue
@@ -48,7 +47,7 @@ class HashingEmbedder:
     @staticmethod
     def count_tokens(text: str) -> int:
         """Words as the vectors have them, of a text as it is given."""
-        return len(re.findall(TOKEN, text.translate(str.maketrans(TR_UPPER, TR_LOWER)).lower()))
+        return len(words(text))
 
     def query(self, text: Column) -> Column:
         return self._vectors(F.concat(F.lit(self.query_prefix), text))

@@ -25,7 +25,7 @@ MIN_STEM = 4
 STEM_PATTERN = f"^(.{{{MIN_STEM},}}?)(?:{'|'.join(SUFFIXES)})$"
 STEM_PASSES = 3
 SOFT, HARD = "ğbcd", "kpçt"
-_HARD = str.maketrans(SOFT, HARD)
+_HARD, _LOWER = str.maketrans(SOFT, HARD), str.maketrans(TR_UPPER, TR_LOWER)
 
 
 @F.pandas_udf(StringType())
@@ -66,6 +66,11 @@ def raw_tokens(c: Column) -> Column:
     return F.regexp_extract_all(tr_lower(c), F.lit(TOKEN), F.lit(1))
 
 
+def words(text: str) -> list[str]:
+    """raw_tokens() of one text, for tasks that have their texts in Python."""
+    return re.findall(TOKEN, text.translate(_LOWER).lower())
+
+
 def tokenize(c: Column, stem: bool = True) -> Column:
     return F.transform(raw_tokens(c), light_stem) if stem else raw_tokens(c)
 

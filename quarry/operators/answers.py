@@ -72,7 +72,7 @@ def grounded(is_abstained: Column, n_citations: Column) -> Column:
 
 def groundedness(verdict: Column) -> Column:
     """Supported / total from a judge's text; null without both numbers or with a total of zero."""
-    number = lambda name: F.try_to_number(F.nullif(F.regexp_extract(verdict, rf"(?i){name}:\s*(\d+)", 1), F.lit("")), F.lit("999999999")).cast("double")
+    number = lambda name: F.regexp_extract(verdict, rf"(?i){name}:\s*(\d+)", 1).try_cast("double")
     total, supported = number("TOPLAM"), number("DESTEKLENEN")
     return F.when((total > 0) & supported.isNotNull(), F.least(F.lit(1.0), supported / total))
 
@@ -87,20 +87,33 @@ def found_phrases(answer: Column, needles: Column) -> Column:
     return F.filter(needles, lambda n: F.contains(folded, tr_lower(n)))
 
 
-def answer_pipeline(queries: DataFrame, hits: DataFrame, llm, template: str, budget: int = 4096) -> DataFrame:
-    """queries (query_id, query_text) and ranked hits with chunk columns -> answers.
-
-    llm: DataFrame(query_id, prompt) -> DataFrame(query_id, text). Queries without context never reach it.
-    """
+def contexts(queries: DataFrame, hits: DataFrame, budget: int) -> DataFrame:
+    """queries with context and n_used of their packed hits; null and 0 for those without."""
     used = pack_context(hits, budget)
     context = render_context(used).join(used.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_used")), "query_id")
-    asked = queries.join(context, "query_id", "left")
+    return queries.join(context, "query_id", "left").withColumn("n_used", F.coalesce("n_used", F.lit(0)))
+
+
+def answer_pipeline(queries: DataFrame, hits: DataFrame, llm, template: str, budget: int = 4096, judge=None, judge_template: str | None = None) -> DataFrame:
+    """queries (query_id, query_text) and ranked hits with chunk columns -> query_id, text, abstained, citations, unknown_markers, error, groundedness.
+
+    llm and judge: DataFrame(query_id, prompt) -> DataFrame(query_id, text), with an error column if they tell of errors (see CallTable). Queries
+    without context never reach the llm. A question whose call failed has its error, no text and no citations. The judge reads answers that
+    are no abstention, with their contexts; groundedness is null without it, and where it failed.
+    """
+    asked = contexts(queries, hits, budget)
     prompt = render_prompt(template, context=F.col("context"), question=F.col("query_text"), abstain_phrase=F.lit(ABSTAIN_PHRASE))
     told = llm(asked.where(F.col("context").isNotNull()).select("query_id", prompt.alias("prompt")))
-    out = asked.join(told.select("query_id", F.col("text").alias("told")), "query_id", "left").withColumn("text", F.coalesce("told", F.lit(ABSTAIN_PHRASE + ".")))
-    n_used = F.coalesce("n_used", F.lit(0))
-    is_abstained = F.col("context").isNull() | abstained(F.col("text"))
-    none = F.array().cast("array<int>")
-    return out.select(
-        "query_id", "text", is_abstained.alias("abstained"), F.when(is_abstained, none).otherwise(valid_markers(F.col("text"), n_used)).alias("citations"), invalid_markers(F.col("text"), n_used).alias("unknown_markers")
+    error = F.col("error") if "error" in told.columns else F.lit(None).cast("string").alias("error")
+    out = asked.join(told.select("query_id", F.col("text").alias("told"), error), "query_id", "left")
+    out = out.withColumn("text", F.when(F.col("error").isNull(), F.coalesce("told", F.lit(ABSTAIN_PHRASE + "."))))
+    is_abstained = F.col("context").isNull() | F.coalesce(abstained(F.col("text")), F.lit(False))
+    none, text = F.array().cast("array<int>"), F.coalesce("text", F.lit(""))
+    out = out.select(
+        "query_id", "text", is_abstained.alias("abstained"), F.when(is_abstained, none).otherwise(valid_markers(text, F.col("n_used"))).alias("citations"), invalid_markers(text, F.col("n_used")).alias("unknown_markers"), "error", "context"
     )
+    if judge is None:
+        return out.drop("context").withColumn("groundedness", F.lit(None).cast("double"))
+    verdict = render_prompt(judge_template, context=F.col("context"), answer=F.col("text"))
+    said = judge(out.where(~F.col("abstained") & F.col("text").isNotNull()).select("query_id", verdict.alias("prompt")))
+    return out.join(said.select("query_id", groundedness(F.col("text")).alias("groundedness")), "query_id", "left").drop("context")

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 from quarry.functions.embedding import HashingEmbedder
 from quarry.operators import answers as A
-from quarry.operators import chunking, evaluation, library, retrieval
+from quarry.operators import chunking, evaluation, library, rerank, retrieval
 from quarry.sources import snapshots, store
+from quarry.sources.calls import CallTable
 from quarry.sources.collection import Collection, ingest_stream, stream_id
 from quarry.sources.term_index import TermIndex
 from quarry.streaming import pieces as streams
@@ -180,6 +181,53 @@ def rerank_minscore(spark, d):
     return retrieval.rerank(c, share, TOP, 0.5).select("query_id", "chunk_id", "score", "rank")
 
 
+def rerank_pairs(spark, d):
+    """Two term retrievers fused and reranked by a pair scorer, itself a retriever of an outer fusion with one of them."""
+    docs, questions = _docs(spark, d), _questions(spark, d)
+    stemmed, plain = (_index(spark, d, s).search for s in (True, False))
+    reranker = rerank.PairReranker(rerank.overlap_scorer, questions, docs)
+    inner = lambda q, k: retrieval.hybrid([stemmed, plain], q, k, FETCH, reranker=reranker)
+    return inner(questions, TOP).select("query_id", "chunk_id", "score", "rank", "stage", "retriever_hits")
+
+
+def answers_judged(spark, d):
+    """Every question answered by an extractive answerer through a table of calls, and judged by the words that its context has."""
+    docs = _docs(spark, d).withColumn("token_count", F.size(T.raw_tokens(F.col("text"))).cast("long"))
+    hits = _bm25(spark, d, FETCH).join(docs, "chunk_id").withColumn("section", F.lit(""))
+    calls = [CallTable(spark, snapshots.scratch_path(spark, f.__name__), f.__name__, f) for f in (extract, weigh)]
+    rows = A.answer_pipeline(_questions(spark, d), hits, calls[0], "{context}\n\n{abstain_phrase}\n{question}", 1000, calls[1], "{answer}\n\n\n{context}")
+    joined = lambda c: F.concat_ws(",", F.transform(c, lambda m: m.cast("string")))
+    return rows.select("query_id", F.sha2("text", 256).alias("text_sha256"), "abstained", joined(F.col("citations")).alias("cited"), joined(F.col("unknown_markers")).alias("unknown"), "error", F.round("groundedness", 6).alias("groundedness"))
+
+
+def extract(prompt: str, key: str) -> str:
+    """An answerer without a model: 120 characters of the first part, with markers; the phrase if the question's length is a multiple of 3."""
+    question = prompt.rpartition(f"\n\n{A.ABSTAIN_PHRASE}\n")[2]
+    return f"{A.ABSTAIN_PHRASE}." if len(question) % 3 == 0 else prompt.partition("\n")[2][:120] + " [1] [2] [1] [99]"
+
+
+def weigh(prompt: str, key: str) -> str:
+    """A judge without a model: of the answer's distinct words, how many its context has."""
+    answer, _, context = prompt.partition("\n\n\n")
+    own = set(T.words(answer))
+    return f"TOPLAM: {len(own)}\nDESTEKLENEN: {len(own & set(T.words(context)))}"
+
+
+def retrieval_run(spark, d):
+    """One row of the run that finds the hits: hits, questions with a hit, the best score and the mean one."""
+    rank = F.col("rank") == 1
+    _, seen = snapshots.observed(_index(spark, d).search(_questions(spark, d), FETCH), "hits", n_hits=F.count(F.lit(1)), n_answered=F.count(F.when(rank, 1)), top_score=F.max("score"), mean_score=F.avg("score"))
+    return spark.createDataFrame([(seen["n_hits"], seen["n_answered"], seen["top_score"], round(seen["mean_score"] or 0.0, 6))], "n_hits long, n_answered long, top_score double, mean_score double")
+
+
+def ingest_run(spark, d):
+    """One row of the run that decides on the files: how many of each status."""
+    of = lambda s: F.count(F.when(F.col("status") == s, 1))
+    names = {"n_added": "ok", "n_skipped": "skipped", "n_failed": "failed", "n_needs_ocr": "no_text_layer"}
+    _, seen = snapshots.observed(_plan(spark, d), "plan", n_files=F.count(F.lit(1)), **{k: of(v) for k, v in names.items()})
+    return spark.createDataFrame([tuple(seen[k] for k in ("n_files", *names))], "n_files long, " + ", ".join(f"{k} long" for k in names))
+
+
 def context_pack(spark, d):
     docs = _docs(spark, d).select("chunk_id", F.size(T.raw_tokens(F.col("text"))).cast("long").alias("token_count"))
     packed = A.pack_context(_bm25(spark, d, FETCH).join(docs, "chunk_id"), 1000)
@@ -566,6 +614,19 @@ SQL = {
     "stored_bm25": f"WITH documents AS (SELECT * FROM main.documents QUALIFY row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id) = 1), {_sql_bm25(True)} SELECT query_id, chunk_id, score, rank FROM hits",
     "ingest_pages": f"WITH {_PAGES} SELECT file_name, content_hash, status, 1 AS page_count, CASE WHEN status = 'ok' THEN true END AS whole, CASE WHEN status = 'ok' THEN true END AS once FROM page_files",
     "library_delete": f"WITH {_PAGES} SELECT file_name, status, status = 'ok' AS indexed FROM page_files WHERE url NOT LIKE '%://m.%'",
+    "rerank_pairs": f"""WITH {_FUSED}, qs AS (SELECT item_id, list_distinct({_TOKENS}) AS qt FROM benchmark), ds AS (SELECT doc_id, {_TOKENS} AS dt FROM documents),
+re AS (SELECT query_id, chunk_id, rank AS former, retriever_hits, round(len(list_intersect(qt, dt)) / len(qt), 6) AS score FROM rrf JOIN qs ON item_id = query_id JOIN ds ON doc_id = chunk_id)
+SELECT query_id, chunk_id, score, rank, 'reranked' AS stage, retriever_hits FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, former) AS rank FROM re) WHERE rank <= {TOP}""",
+    "answers_judged": f"""WITH {_USED},
+parts AS (SELECT query_id, rank, coalesce(text, '') AS text, '[' || rank || '] (kaynak: ' || source || ' · s.' || chunk_id || ')' AS head FROM used JOIN documents ON doc_id = chunk_id),
+ctx AS (SELECT query_id, count(*) AS n_used, string_agg(head || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context FROM parts GROUP BY query_id),
+body AS (SELECT b.item_id AS query_id, n_used, context, CASE WHEN context IS NULL OR len(b.text) % 3 = 0 THEN '{A.ABSTAIN_PHRASE}.' ELSE substring(substring(context, strpos(context, chr(10)) + 1) || chr(10) || chr(10) || '{A.ABSTAIN_PHRASE}' || chr(10) || b.text, 1, 120) || ' [1] [2] [1] [99]' END AS text FROM benchmark b LEFT JOIN ctx ON ctx.query_id = item_id),
+marked AS (SELECT *, contains({_FOLD.format('text')}, {_FOLD.format("'" + A.ABSTAIN_PHRASE + "'")}) AND len(text) < {3 * len(A.ABSTAIN_PHRASE)} AS abst, list_transform(regexp_extract_all(text, '\\[(\\d{{1,2}})\\]', 1), lambda x: x::INT) AS m FROM body),
+said AS (SELECT *, list_distinct({_TOKENS}) AS own, {_TOKENS.replace('text', 'context')} AS ctx FROM marked)
+SELECT query_id, sha256(text) AS text_sha256, abst AS abstained, CASE WHEN abst THEN '' ELSE array_to_string(list_sort(list_distinct(list_filter(m, lambda x: x BETWEEN 1 AND n_used))), ',') END AS cited,
+  array_to_string(list_filter(m, lambda x, i: (x < 1 OR x > coalesce(n_used, 0)) AND list_position(m, x) = i), ',') AS unknown, NULL::VARCHAR AS error, CASE WHEN NOT abst AND len(own) > 0 THEN round(len(list_intersect(own, ctx)) / len(own), 6) END AS groundedness FROM said""",
+    "retrieval_run": f"WITH {_sql_bm25(True)} SELECT count(*) AS n_hits, count(*) FILTER (rank = 1) AS n_answered, max(score) AS top_score, round(coalesce(avg(score), 0.0), 6) AS mean_score FROM hits",
+    "ingest_run": f"WITH {_PLAN} SELECT count(*) AS n_files, count(*) FILTER (status = 'ok') AS n_added, count(*) FILTER (status = 'skipped') AS n_skipped, count(*) FILTER (status = 'failed') AS n_failed, count(*) FILTER (status = 'no_text_layer') AS n_needs_ocr FROM plan",
     "dense_topk": "SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)) WHERE rank <= 10",
     "rrf_fusion": f"WITH {_FUSED} SELECT query_id, chunk_id, score, rank, retriever_hits FROM rrf",
     "hybrid_topk": f"WITH {_FUSED} SELECT query_id, chunk_id, score, rank, retriever_hits FROM rrf WHERE rank <= {TOP}",
@@ -621,7 +682,7 @@ UNION ALL SELECT id, 'unanswerable_with_source' FROM a WHERE kind = 'unanswerabl
 
 _QUERIES = (
     tr_tokenize_stats, stem_vocabulary, normalized_text, chunk_ids, duplicate_documents, text_layer_status, chunk_documents, chunk_tokens, chunk_stats, bm25_idf, bm25_topk, stored_bm25, dense_topk, rrf_fusion, hybrid_topk, embedded_topk, hybrid_embedded, retrieval_stage_counts, library_totals, fusion_consensus,
-    rerank_minscore, context_pack, citation_markers, abstention_flags, reasoning_strip, groundedness_parse, sse_frames, stream_filter, stream_filter_late, retrieval_metrics, eval_summary, diagnosis, golden_validation,
+    rerank_minscore, rerank_pairs, answers_judged, retrieval_run, ingest_run, context_pack, citation_markers, abstention_flags, reasoning_strip, groundedness_parse, sse_frames, stream_filter, stream_filter_late, retrieval_metrics, eval_summary, diagnosis, golden_validation,
     citation_resolve, answer_view, wrong_citations, eval_used, eval_failures, manifest_currency, library_listing, incremental_ingest, report_lookup, incremental_add, ingest_pages, library_delete, ingest_report, safe_file_names,
 )
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 class Conflict(RuntimeError):
@@ -112,6 +113,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
 
 
+def observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """written(), with aggregates of the rows that pass, taken by the job that writes them, and its seconds."""
+    watch, began = Observation(), time.time()
+    out = written(df.observe(watch, *[c.alias(k) for k, c in metrics.items()]), name)
+    return out, {**watch.get, "seconds": time.time() - began}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: read as often as wanted, and not made again when an executor is lost."""
     path = scratch_path(df.sparkSession, name)
