@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import row_key, shuffle_partitions, with_text_key, written
 
 #: A lead or text is hot if it has more than 1 / (HOT_SHARE * ranges) of the rows, and more than HOT_ROWS, which fit any range; so there are at most HOT_SHARE * ranges of each, which are broadcast.
-HOT_SHARE, HOT_ROWS = 4, 1000
+HOT_SHARE, HOT_ROWS = 4, 256
 PREFIX_CHARS = 48
 
 
