@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 from quarry.functions.embedding import HashingEmbedder
 from quarry.operators import answers as A
-from quarry.operators import chunking, evaluation, library, rerank, retrieval
+from quarry.operators import chunking, evaluation, library, neighbours, rerank, retrieval
 from quarry.sources import snapshots, store
 from quarry.sources.calls import CallTable
 from quarry.sources.collection import Collection, ingest_stream, stream_id
@@ -122,6 +122,18 @@ def dense_topk(spark, d):
     return retrieval.dense_search(*_vectors(spark, d), 10)
 
 
+def ann_topk(spark, d):
+    """The same queries as dense_topk through random hyperplanes."""
+    queries, vectors = _vectors(spark, d)
+    return neighbours.HyperplaneIndex(vectors, 64).search(queries, 10)
+
+
+def mmr_topk(spark, d):
+    """Of each query's first hits by vectors, a diverse five."""
+    queries, vectors = _vectors(spark, d)
+    return neighbours.diverse(retrieval.dense_search(queries, vectors, FETCH), vectors, 5)
+
+
 def rrf_fusion(spark, d):
     """Stemmed and unstemmed term rankings fused."""
     questions = _questions(spark, d)
@@ -274,6 +286,14 @@ def sse_frames(spark, d):
     return streams.frames(_said(spark, d).select("query_id", F.col("text").alias("piece"))).select("query_id", "frame")
 
 
+def sse_events(spark, d):
+    """Answers in pieces of 50 characters as events; in every fifth the second piece fails."""
+    at = F.explode(F.sequence(F.lit(0), F.floor(F.length("text") / 50).cast("int")))
+    rows = _said(spark, d).select("query_id", at.alias("seq"), "text")
+    error = F.when((F.length("text") % 5 == 0) & (F.col("seq") == 1), F.lit("LLMError"))
+    return streams.events(rows.select("query_id", "seq", F.substring("text", F.col("seq") * 50 + 1, 50).alias("piece"), error.alias("error")))
+
+
 def _thinking_pieces(spark, d):
     """Answers with thinking blocks before, in or after them, dealt out in pieces of 7 characters."""
     n, block = F.length("text"), F.lit("<think>x < y</think>")
@@ -487,6 +507,28 @@ def library_delete(spark, d):
     return held.manifest().join(indexed, "file_name", "full").select("file_name", "status", F.coalesce("indexed", F.lit(False)).alias("indexed"))
 
 
+def _layers(spark, d):
+    """Each document as a file of its own."""
+    return library.text_layer(_docs(spark, d).withColumn("file_name", F.col("page").cast("string")))
+
+
+def text_layer_documents(spark, d):
+    return _layers(spark, d)
+
+
+def library_documents(spark, d):
+    """Documents as files, of which the manifest knows those that have been tried."""
+    layers = _layers(spark, d)
+    tried = layers.where("total_chars % 10 <> 0").select("file_name", "status", F.when(F.col("status") == "ok", F.col("page_count")).otherwise(0).alias("chunk_count"))
+    return library.listing(layers.select("file_name"), tried)
+
+
+def ingest_documents(spark, d):
+    """One row over documents as files: pages, those that go in, those without text, characters of each."""
+    by = lambda s, c: F.sum(F.when(F.col("status") == s, F.col(c)).otherwise(0))
+    return _layers(spark, d).agg(F.count(F.lit(1)).alias("n_files"), by("ok", "page_count").alias("n_ok"), by("no_text_layer", "page_count").alias("n_needs_ocr"), by("ok", "total_chars").alias("ok_chars"), by("no_text_layer", "total_chars").alias("other_chars"))
+
+
 def safe_file_names(spark, d):
     p = _table(spark, d, "pages")
     return p.select("page_id", library.safe_name(F.col("url")).alias("safe_name"))
@@ -578,6 +620,8 @@ _FILES = "files AS (SELECT source AS file_name, sum(('0x' || substr(sha256(doc_i
 
 _STRIPPED = r"regexp_replace(coalesce(text, ''), '^[\s\x0b\x{85}\p{Z}]+|[\s\x0b\x{85}\p{Z}]+$', '', 'g')"
 
+_LAYERS = f"layers AS (SELECT *, CASE WHEN total_chars >= 100 THEN 'ok' ELSE 'no_text_layer' END AS status FROM (SELECT doc_id::VARCHAR AS file_name, len({_STRIPPED}) AS total_chars FROM documents))"
+
 _PLAN = _PLAN.format(files=_FILES, stripped=_STRIPPED)
 
 # white space that is left once control characters are out, but for line ends
@@ -627,6 +671,20 @@ SELECT query_id, sha256(text) AS text_sha256, abst AS abstained, CASE WHEN abst
   array_to_string(list_filter(m, lambda x, i: (x < 1 OR x > coalesce(n_used, 0)) AND list_position(m, x) = i), ',') AS unknown, NULL::VARCHAR AS error, CASE WHEN NOT abst AND len(own) > 0 THEN round(len(list_intersect(own, ctx)) / len(own), 6) END AS groundedness FROM said""",
     "retrieval_run": f"WITH {_sql_bm25(True)} SELECT count(*) AS n_hits, count(*) FILTER (rank = 1) AS n_answered, max(score) AS top_score, round(coalesce(avg(score), 0.0), 6) AS mean_score FROM hits",
     "ingest_run": f"WITH {_PLAN} SELECT count(*) AS n_files, count(*) FILTER (status = 'ok') AS n_added, count(*) FILTER (status = 'skipped') AS n_skipped, count(*) FILTER (status = 'failed') AS n_failed, count(*) FILTER (status = 'no_text_layer') AS n_needs_ocr FROM plan",
+    "mmr_topk": f"""WITH RECURSIVE near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)) WHERE rank <= {FETCH}),
+likes AS (SELECT x.query_id, x.chunk_id, list({{'b': y.chunk_id, 's': round(list_inner_product(p.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)}}) AS likes FROM near x JOIN near y ON x.query_id = y.query_id JOIN embeddings p ON p.vec_id = x.chunk_id JOIN embeddings q ON q.vec_id = y.chunk_id GROUP BY ALL),
+cand AS (SELECT * FROM near JOIN likes USING (query_id, chunk_id)),
+pick AS (SELECT query_id, 1 AS step, [chunk_id] AS sel FROM near WHERE rank = 1
+  UNION ALL SELECT query_id, step + 1, list_append(sel, best) FROM (
+    SELECT p.query_id, p.step, p.sel, first(c.chunk_id ORDER BY round(0.5 * c.score - 0.5 * list_max(list_transform(list_filter(c.likes, lambda x: list_contains(p.sel, x.b)), lambda x: x.s)), 6) DESC, c.rank) AS best
+    FROM pick p JOIN cand c ON c.query_id = p.query_id AND NOT list_contains(p.sel, c.chunk_id) WHERE p.step < 5 GROUP BY p.query_id, p.step, p.sel))
+SELECT p.query_id, c.chunk_id, c.score, list_position(p.sel, c.chunk_id)::BIGINT AS rank, c.rank AS former FROM pick p JOIN near c ON c.query_id = p.query_id AND list_contains(p.sel, c.chunk_id) WHERE p.step = (SELECT max(step) FROM pick x WHERE x.query_id = p.query_id)""",
+    "sse_events": f"""WITH {_SAID}, p AS (SELECT query_id, text, n, unnest(range(n // 50 + 1)) AS k FROM said), q AS (SELECT query_id, k, CASE WHEN n % 5 = 0 AND k = 1 THEN '[HATA] Cevap üretilemedi.' ELSE replace(substring(text, k * 50 + 1, 50), chr(10), '\\n') END AS t, n FROM p WHERE n % 5 <> 0 OR k <= 1),
+e AS (SELECT query_id, k, t FROM q UNION ALL SELECT query_id, max(k) + 1, '[DONE]' FROM q GROUP BY query_id) SELECT query_id, k AS at, 'data: ' || t || chr(10) || chr(10) AS frame FROM e""",
+    "text_layer_documents": f"WITH {_LAYERS} SELECT file_name, 1 AS page_count, total_chars, status FROM layers",
+    "library_documents": f"""WITH {_LAYERS} SELECT file_name, CASE WHEN total_chars % 10 = 0 THEN 'skipped' ELSE status END AS status, CASE WHEN total_chars % 10 <> 0 AND status = 'ok' THEN 1 ELSE 0 END AS chunk_count,
+  total_chars % 10 <> 0 AND status = 'ok' AS is_searchable, total_chars % 10 <> 0 AND status <> 'ok' AS needs_ocr FROM layers""",
+    "ingest_documents": f"WITH {_LAYERS} SELECT count(*) AS n_files, count(*) FILTER (status = 'ok') AS n_ok, count(*) FILTER (status <> 'ok') AS n_needs_ocr, coalesce(sum(total_chars) FILTER (status = 'ok'), 0)::BIGINT AS ok_chars, coalesce(sum(total_chars) FILTER (status <> 'ok'), 0)::BIGINT AS other_chars FROM layers",
     "dense_topk": "SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)) WHERE rank <= 10",
     "rrf_fusion": f"WITH {_FUSED} SELECT query_id, chunk_id, score, rank, retriever_hits FROM rrf",
     "hybrid_topk": f"WITH {_FUSED} SELECT query_id, chunk_id, score, rank, retriever_hits FROM rrf WHERE rank <= {TOP}",
@@ -681,9 +739,9 @@ UNION ALL SELECT id, 'unanswerable_with_source' FROM a WHERE kind = 'unanswerabl
 }
 
 _QUERIES = (
-    tr_tokenize_stats, stem_vocabulary, normalized_text, chunk_ids, duplicate_documents, text_layer_status, chunk_documents, chunk_tokens, chunk_stats, bm25_idf, bm25_topk, stored_bm25, dense_topk, rrf_fusion, hybrid_topk, embedded_topk, hybrid_embedded, retrieval_stage_counts, library_totals, fusion_consensus,
+    tr_tokenize_stats, stem_vocabulary, normalized_text, chunk_ids, duplicate_documents, text_layer_status, chunk_documents, chunk_tokens, chunk_stats, bm25_idf, bm25_topk, stored_bm25, dense_topk, ann_topk, mmr_topk, rrf_fusion, hybrid_topk, embedded_topk, hybrid_embedded, retrieval_stage_counts, library_totals, fusion_consensus,
     rerank_minscore, rerank_pairs, answers_judged, retrieval_run, ingest_run, context_pack, citation_markers, abstention_flags, reasoning_strip, groundedness_parse, sse_frames, stream_filter, stream_filter_late, retrieval_metrics, eval_summary, diagnosis, golden_validation,
-    citation_resolve, answer_view, wrong_citations, eval_used, eval_failures, manifest_currency, library_listing, incremental_ingest, report_lookup, incremental_add, ingest_pages, library_delete, ingest_report, safe_file_names,
+    sse_events, text_layer_documents, library_documents, ingest_documents, citation_resolve, answer_view, wrong_citations, eval_used, eval_failures, manifest_currency, library_listing, incremental_ingest, report_lookup, incremental_add, ingest_pages, library_delete, ingest_report, safe_file_names,
 )
 
 

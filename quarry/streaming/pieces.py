@@ -7,11 +7,14 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from quarry.functions.text import sse_frame
+
 OPEN, CLOSE = re.compile(r"<think[^>]*>", re.I), re.compile(r"</think[^>]*>", re.I)
+ERROR_EVENT, END_EVENT = "[HATA] Cevap üretilemedi.", "[DONE]"  # fixed values
 HOLD = 16  # fixed value: characters of a possible tag that are held back
 
 
@@ -130,6 +133,16 @@ def shown_texts(pieces: DataFrame, path: str) -> tuple[DataFrame, list[dict]]:
 
 
 def frames(pieces: DataFrame) -> DataFrame:
-    from quarry.functions.text import sse_frame
-
     return pieces.withColumn("frame", sse_frame(F.col("piece")))
+
+
+def events(pieces: DataFrame) -> DataFrame:
+    """A stream's server-sent events in order of `at`: a frame for each piece (query_id, seq, piece, error), an error's frame in the place of a piece that failed, and the end's frame after the last.
+
+    Nothing of a stream comes after its first error but the end.
+    """
+    failed = F.min(F.when(F.col("error").isNotNull(), F.col("seq"))).over(Window.partitionBy("query_id"))
+    rows = pieces.withColumn("failed", failed).where(F.col("failed").isNull() | (F.col("seq") <= F.col("failed")))
+    said = rows.select("query_id", F.col("seq").cast("long").alias("at"), sse_frame(F.when(F.col("error").isNull(), F.coalesce("piece", F.lit(""))).otherwise(F.lit(ERROR_EVENT))).alias("frame"))
+    end = rows.groupBy("query_id").agg((F.max("seq") + 1).cast("long").alias("at")).withColumn("frame", sse_frame(F.lit(END_EVENT)))
+    return said.unionByName(end)
