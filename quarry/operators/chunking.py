@@ -143,30 +143,37 @@ def units(text: str, target: int, count: Callable[[str], int], slack: int = 0) -
     return out
 
 
-def chunk_page(text: str, rules: ChunkRules = ChunkRules(), count: Callable[[str], int] = count_words) -> list[str]:
-    """Chunk texts of one page, in order. A word over the hard limit makes a chunk of its own.
+def chunk_spans(text: str, rules: ChunkRules = ChunkRules(), count: Callable[[str], int] = count_words) -> list[tuple[str, int, int]]:
+    """(chunk text, first word, end) of one page, in order; its words are those of the page from the first to the end. A word over the hard limit makes a chunk of its own.
 
     A chunk is an overlap (the end of the chunk before it, left out where it would break the hard limit) and a run of
     units; a short last chunk joins the one before it. Sizes are those of the joined texts, separators included. A counter
     that isn't additive may give a longer start of a text rules.slack tokens less than a shorter one, at most.
     """
     parts = units(text, rules.target, count, rules.slack)
+    ends = [0, *accumulate(len(p.split()) for p in parts)]
     sizes, chunks, a, lead = _sizes(parts, count, GAP, rules.slack), [], 0, ""
     while a < len(parts):
         if lead and count(GAP.join([lead, parts[a]])) > rules.hard_limit:
             lead = ""
         b = max(a + 1, sizes.reach(a, rules.target, count(lead) if isinstance(sizes, Sizes) else lead))
-        chunks.append(GAP.join(filter(None, [lead, *parts[a:b]])))
+        chunks.append((GAP.join(filter(None, [lead, *parts[a:b]])), ends[a] - len(lead.split()), ends[b]))
         if b < len(parts) and rules.overlap:
-            lead = _suffix(sentences(chunks[-1]), rules.overlap, count, rules.slack) or _suffix(chunks[-1].split(), rules.overlap, count, rules.slack)
+            own = chunks[-1][0]
+            lead = _suffix(sentences(own), rules.overlap, count, rules.slack) or _suffix(own.split(), rules.overlap, count, rules.slack)
         a = b
-    if len(chunks) > 1 and count(chunks[-1]) < rules.least and count(GAP.join(chunks[-2:])) <= rules.hard_limit:
-        chunks[-2:] = [GAP.join(chunks[-2:])]
+    if len(chunks) > 1 and count(chunks[-1][0]) < rules.least and count(GAP.join(c[0] for c in chunks[-2:])) <= rules.hard_limit:
+        chunks[-2:] = [(GAP.join(c[0] for c in chunks[-2:]), chunks[-2][1], chunks[-1][2])]
     return chunks
 
 
+def chunk_page(text: str, rules: ChunkRules = ChunkRules(), count: Callable[[str], int] = count_words) -> list[str]:
+    """The texts of chunk_spans()."""
+    return [c[0] for c in chunk_spans(text, rules, count)]
+
+
 def chunk_documents(pages: DataFrame, rules: ChunkRules = ChunkRules(), count: Callable[[str], int] = count_words) -> DataFrame:
-    """pages (file_name, page, text) -> chunk_id, file_name, page, ordinal, token_count, text, error.
+    """pages (file_name, page, text) -> chunk_id, file_name, page, ordinal, token_count, text, error, first_word, end_word.
 
     A chunk over the hard limit (one long word) carries an error instead of failing the job; pages never share a chunk.
     """
@@ -174,11 +181,21 @@ def chunk_documents(pages: DataFrame, rules: ChunkRules = ChunkRules(), count: C
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [
-                (file, page, at, count(t), t, f"over {rules.hard_limit} tokens" if count(t) > rules.hard_limit else None)
+                (file, page, at, count(t), t, f"over {rules.hard_limit} tokens" if count(t) > rules.hard_limit else None, first, end)
                 for file, page, text in zip(batch["file_name"], batch["page"], batch["text"])
-                for at, t in enumerate(chunk_page(text or "", rules, count))
+                for at, (t, first, end) in enumerate(chunk_spans(text or "", rules, count))
             ]
-            yield pd.DataFrame(rows, columns=["file_name", "page", "ordinal", "token_count", "text", "error"])
+            yield pd.DataFrame(rows, columns=["file_name", "page", "ordinal", "token_count", "text", "error", "first_word", "end_word"])
 
-    cut = spread(pages).select("file_name", F.col("page").cast("long").alias("page"), "text").mapInPandas(run, "file_name string, page long, ordinal long, token_count long, text string, error string")
+    cut = spread(pages).select("file_name", F.col("page").cast("long").alias("page"), "text").mapInPandas(run, "file_name string, page long, ordinal long, token_count long, text string, error string, first_word long, end_word long")
     return cut.withColumn("chunk_id", chunk_id(F.col("text"), F.col("file_name"), F.col("page")))
+
+
+def windows(pages: DataFrame, size: int, step: int) -> DataFrame:
+    """pages (text, ...) in windows of size words, one every step words: number, first_word, end_word, text and the other columns. The last one ends with the page; a page without words has none."""
+    n = F.size("words")
+    numbers = F.sequence(F.lit(0), F.greatest(F.ceil((n - size) / step), F.lit(0)).cast("int"))
+    others = [c for c in pages.columns if c != "text"]
+    rows = pages.select(*others, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), 1).alias("words")).where(n > 0).select(*others, "words", F.explode(numbers).alias("number"))
+    first = F.col("number") * step
+    return rows.select(*others, F.col("number").cast("long").alias("number"), first.cast("long").alias("first_word"), F.least(first + size, n).cast("long").alias("end_word"), F.array_join(F.slice("words", first + 1, size), " ").alias("text"))

@@ -139,3 +139,20 @@ def hybrid(retrievers: list[Callable[[DataFrame, int], DataFrame]], queries: Dat
     if reranker is None:
         return reciprocal_rank_fusion(lists, rrf_k, k)
     return reranker(reciprocal_rank_fusion(lists, rrf_k, fetch_k), k)
+
+
+def parent_passages(hits: DataFrame, sections: DataFrame) -> DataFrame:
+    """Hits (query_id, rank, file_name, page, first_word, end_word) as passages: the sections that they touch, neighbours merged.
+
+    sections: file_name, page, number, first_word, end_word; a page's numbers run without gaps. Returns query_id, file_name, page, first_word,
+    end_word, n_hits and rank, by the best hit of a passage. A hit that touches two sections counts once.
+    """
+    s = sections.select("file_name", "page", "number", F.col("first_word").alias("from"), F.col("end_word").alias("to"))
+    touched = hits.select("query_id", "file_name", "page", F.col("rank").alias("hit"), "first_word", "end_word").join(s, ["file_name", "page"]).where((F.col("first_word") < F.col("to")) & (F.col("from") < F.col("end_word")))
+    one = touched.groupBy("query_id", "file_name", "page", "number", "from", "to").agg(F.collect_set("hit").alias("hits"))
+    place = F.row_number().over(Window.partitionBy("query_id", "file_name", "page").orderBy("number"))
+    merged = one.withColumn("island", F.col("number") - place).groupBy("query_id", "file_name", "page", "island").agg(
+        F.min("from").alias("first_word"), F.max("to").alias("end_word"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits")
+    )
+    best = merged.select("query_id", "file_name", "page", "first_word", "end_word", F.size("hits").cast("long").alias("n_hits"), F.array_min("hits").alias("best"))
+    return top_k(best, 2**31 - 1, F.asc("best"), F.asc("file_name"), F.asc("page"), F.asc("first_word")).drop("best")

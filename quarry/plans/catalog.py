@@ -122,6 +122,16 @@ def dense_topk(spark, d):
     return retrieval.dense_search(*_vectors(spark, d), 10)
 
 
+def parent_passages(spark, d):
+    """Windows of 40 words found by terms, and the sections of 200 words that they come from, neighbours merged."""
+    docs = _docs(spark, d).select("chunk_id", "file_name", "page", "text")
+    small = snapshots.written(chunking.windows(docs, 40, 30).withColumn("chunk_id", F.col("chunk_id") * 1_000_000 + F.col("number")), "windows")
+    index = TermIndex(spark, snapshots.scratch_path(spark, "terms"))
+    index.add(small)
+    hits = index.search(_questions(spark, d), FETCH).join(small.select("chunk_id", "file_name", "page", "first_word", "end_word"), "chunk_id")
+    return retrieval.parent_passages(hits, chunking.windows(docs, 200, 200).drop("text"))
+
+
 def ann_topk(spark, d):
     """The same queries as dense_topk through random hyperplanes."""
     queries, vectors = _vectors(spark, d)
@@ -685,6 +695,14 @@ e AS (SELECT query_id, k, t FROM q UNION ALL SELECT query_id, max(k) + 1, '[DONE
     "library_documents": f"""WITH {_LAYERS} SELECT file_name, CASE WHEN total_chars % 10 = 0 THEN 'skipped' ELSE status END AS status, CASE WHEN total_chars % 10 <> 0 AND status = 'ok' THEN 1 ELSE 0 END AS chunk_count,
   total_chars % 10 <> 0 AND status = 'ok' AS is_searchable, total_chars % 10 <> 0 AND status <> 'ok' AS needs_ocr FROM layers""",
     "ingest_documents": f"WITH {_LAYERS} SELECT count(*) AS n_files, count(*) FILTER (status = 'ok') AS n_ok, count(*) FILTER (status <> 'ok') AS n_needs_ocr, coalesce(sum(total_chars) FILTER (status = 'ok'), 0)::BIGINT AS ok_chars, coalesce(sum(total_chars) FILTER (status <> 'ok'), 0)::BIGINT AS other_chars FROM layers",
+    "parent_passages": f"""WITH split AS (SELECT doc_id, source, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM main.documents),
+numbered AS (SELECT doc_id, source, w, unnest(range(greatest(ceil((len(w) - 40) / 30), 0)::BIGINT + 1)) AS k FROM split WHERE len(w) > 0),
+documents AS (SELECT doc_id * 1000000 + k AS doc_id, doc_id AS page, source, k * 30 AS first_word, least(k * 30 + 40, len(w)) AS end_word, array_to_string(w[k * 30 + 1:k * 30 + 40], ' ') AS text FROM numbered),
+{_sql_bm25(True)}, sections AS (SELECT doc_id AS page, k AS number, k * 200 AS s, least(k * 200 + 200, n) AS e FROM (SELECT doc_id, len(w) AS n, unnest(range(greatest(ceil((len(w) - 200) / 200), 0)::BIGINT + 1)) AS k FROM split WHERE len(w) > 0)),
+touched AS (SELECT h.query_id, d.source, d.page, number, s, e, h.rank AS hit FROM hits h JOIN documents d ON d.doc_id = h.chunk_id JOIN sections x ON x.page = d.page AND d.first_word < e AND s < d.end_word),
+one AS (SELECT DISTINCT query_id, source, page, number, s, e FROM touched), islands AS (SELECT *, number - row_number() OVER (PARTITION BY query_id, page ORDER BY number) AS island FROM one),
+merged AS (SELECT i.query_id, i.source, i.page, min(i.s) AS first_word, max(i.e) AS end_word, count(DISTINCT hit) AS n_hits, min(hit) AS best FROM islands i JOIN touched t ON t.query_id = i.query_id AND t.page = i.page AND t.number = i.number GROUP BY i.query_id, i.source, i.page, island)
+SELECT query_id, source AS file_name, page, first_word, end_word, n_hits, row_number() OVER (PARTITION BY query_id ORDER BY best, source, page, first_word) AS rank FROM merged""",
     "dense_topk": "SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)) WHERE rank <= 10",
     "rrf_fusion": f"WITH {_FUSED} SELECT query_id, chunk_id, score, rank, retriever_hits FROM rrf",
     "hybrid_topk": f"WITH {_FUSED} SELECT query_id, chunk_id, score, rank, retriever_hits FROM rrf WHERE rank <= {TOP}",
@@ -739,7 +757,7 @@ UNION ALL SELECT id, 'unanswerable_with_source' FROM a WHERE kind = 'unanswerabl
 }
 
 _QUERIES = (
-    tr_tokenize_stats, stem_vocabulary, normalized_text, chunk_ids, duplicate_documents, text_layer_status, chunk_documents, chunk_tokens, chunk_stats, bm25_idf, bm25_topk, stored_bm25, dense_topk, ann_topk, mmr_topk, rrf_fusion, hybrid_topk, embedded_topk, hybrid_embedded, retrieval_stage_counts, library_totals, fusion_consensus,
+    tr_tokenize_stats, stem_vocabulary, normalized_text, chunk_ids, duplicate_documents, text_layer_status, chunk_documents, chunk_tokens, chunk_stats, bm25_idf, bm25_topk, stored_bm25, dense_topk, parent_passages, ann_topk, mmr_topk, rrf_fusion, hybrid_topk, embedded_topk, hybrid_embedded, retrieval_stage_counts, library_totals, fusion_consensus,
     rerank_minscore, rerank_pairs, answers_judged, retrieval_run, ingest_run, context_pack, citation_markers, abstention_flags, reasoning_strip, groundedness_parse, sse_frames, stream_filter, stream_filter_late, retrieval_metrics, eval_summary, diagnosis, golden_validation,
     sse_events, text_layer_documents, library_documents, ingest_documents, citation_resolve, answer_view, wrong_citations, eval_used, eval_failures, manifest_currency, library_listing, incremental_ingest, report_lookup, incremental_add, ingest_pages, library_delete, ingest_report, safe_file_names,
 )

@@ -97,6 +97,16 @@ def test_words_count_alike_with_and_without_running_sums():
         assert chunk_page(text, ChunkRules(20, 5, 3, 25), plain) == chunk_page(text, ChunkRules(20, 5, 3, 25))
 
 
+def test_chunks_know_their_words():
+    for text in pages(9):
+        words, last = text.split(), 0
+        for chunk, first, end in chunking.chunk_spans(text, ChunkRules(20, 5, 3, 25)):
+            own = chunk.split()
+            assert first <= last <= end and (own == words[first:end] or sorted(set(own)) == sorted(set(words[first:end])))
+            last = end
+        assert last == len(words)
+
+
 def test_few_recounts():
     calls = []
     text = " ".join(["word"] * 3000)
