@@ -495,3 +495,43 @@ def test_suffix_dedup_deals_hot_strings_by_windows(spark, monkeypatch):
         want.append((str(i), int(gone.sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
     got = suffix_dedup.SuffixDedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).result().collect()
     assert sorted(want) == sorted((str(x.doc_id), x.n_removed, x.kept_sha256) for x in got)
+
+
+def plain_fingerprint(text):
+    """LZ78 with a plain set, a phrase's hash by its definition in whole numbers, each bin's least hash by search."""
+    seen, phrases_of, now = set(), [], ""
+    for c in text:
+        now += c
+        if now not in seen:
+            seen.add(now)
+            phrases_of.append(now)
+            now = ""
+    bins = [None] * 128
+    for p in phrases_of:
+        h = (sum((ord(c) + 1) * pow(0x9E3779B97F4A7C15, i, 2**64) for i, c in enumerate(p)) + len(p)) % 2**64
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            h = (h ^ h >> shift) * factor % 2**64
+        at = h >> 57
+        if bins[at] is None or h < bins[at]:
+            bins[at] = h
+    return [0 if h is None else max(1, h & 0xFFFF) for h in bins]
+
+
+def plain_likeness(a, b):
+    filled = [(x, y) for x, y in zip(a, b) if x or y]
+    return sum(x == y for x, y in filled) / len(filled) if filled else 1.0
+
+
+def test_phrases_against_brute_force(spark, docs):
+    """Every column of every row, successors by (id, text), nulls first."""
+    rows = sorted(((i, t or "") for i, t, *_ in make()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    expected = Counter()
+    for k, (i, t) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][1]
+        cut = len(t) - len(t) // 4
+        edited = t[:cut] + after[: len(t) // 4]
+        own, other, following = plain_fingerprint(t), plain_fingerprint(edited), plain_fingerprint(after)
+        as_hex = lambda f: "".join(f"{x:04x}" for x in f)
+        expected[i, len(t), hashlib.sha256(edited.encode()).hexdigest(), as_hex(own), as_hex(other), plain_likeness(own, other), plain_likeness(own, following)] += 1
+    got = phrases.fingerprint_documents(docs).collect()
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in got) == expected
