@@ -38,9 +38,10 @@ def _questions(spark, d):
 
 
 def _index(spark, d, stem=True):
-    """A stored term index of all documents."""
-    index = TermIndex(spark, snapshots.scratch_path(spark, "terms"), stem)
-    index.add(_docs(spark, d))
+    """The stored term index of all documents in their present version: the first query that wants it builds it, later ones find it."""
+    index = TermIndex(spark, f"{snapshots.shared_dir(spark)}/quarry/terms-{snapshots.version(_table(spark, d, 'documents'))}-{'stems' if stem else 'words'}", stem)
+    if index.snapshots.latest()[0] < 0:
+        index.add(_docs(spark, d))
     return index
 
 

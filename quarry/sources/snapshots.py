@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import tempfile
@@ -109,6 +110,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def version(df: DataFrame) -> str:
+    """A name for the files that df reads as they are now: it changes when one of them does."""
+    spark = df.sparkSession
+    said = []
+    for name in sorted(df.inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        said.append([name, status.getLen(), status.getModificationTime()])
+    return hashlib.sha256(json.dumps(said).encode()).hexdigest()[:32]
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
 

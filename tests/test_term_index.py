@@ -9,6 +9,7 @@ from compare import spark_rows
 from quarry.functions import text as T
 from quarry.operators import evaluation
 from quarry.operators.retrieval import Bm25Index
+from quarry.plans import catalog
 from quarry.sources import term_index
 from quarry.sources.snapshots import Conflict, Snapshots
 from quarry.sources.term_index import TermIndex
@@ -120,3 +121,13 @@ def test_holders_of_questions(spark):
     q = ["ab cd ef gh", "cd ef", "cd", "b cd ef ", "İb cd ef", "no such words here", "q", "..."]
     got = evaluation.holders(spark.createDataFrame(list(enumerate(q)), "query_id long, query_text string"), docs)
     assert {(r.query_id, r.page) for r in got.collect()} == {(i, j) for i, x in enumerate(q) for j, t in enumerate(texts) if t is not None and x in t}
+
+
+def test_an_index_of_a_table_is_built_once_a_version(spark, tmp_path):
+    frame(spark, corpus()[:40]).selectExpr("cast(substring(chunk_id, 2) as long) AS doc_id", "text", "'s' AS source").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    one = catalog._index(spark, str(tmp_path))
+    assert catalog._index(spark, str(tmp_path)).snapshots.numbers() == [0] and one.totals()[0] == 40
+    assert catalog._index(spark, str(tmp_path), stem=False).path != one.path
+    spark.createDataFrame([(99, "abc", "s")], "doc_id long, text string, source string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    two = catalog._index(spark, str(tmp_path))
+    assert two.path != one.path and two.totals()[0] == 41
