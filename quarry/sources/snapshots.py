@@ -18,6 +18,27 @@ class Conflict(RuntimeError):
     """Another writer has committed since the state was read."""
 
 
+def put(spark: SparkSession, path: str, data: bytes) -> bool:
+    """A small file in place whole, by a rename that never overwrites; False if one is there already."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    target = hadoop.Path(path)
+    draft, fs = hadoop.Path(target.getParent(), f".{uuid.uuid4().hex}"), target.getFileSystem(conf)
+    stream = fs.create(draft, False)
+    stream.write(data)
+    stream.close()
+    rename = getattr(hadoop, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.NONE
+    try:
+        hadoop.FileContext.getFileContext(target.toUri(), conf).rename(draft, target, options)
+    except Py4JJavaError as e:
+        fs.delete(draft, False)
+        if "FileAlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
 class Snapshots:
     """States of a folder by number, each a small JSON file under snapshots/ that comes into place whole and is never replaced.
 
@@ -53,20 +74,8 @@ class Snapshots:
 
     def commit(self, after: int, state: dict) -> int:
         """Put state in place as the one after number after."""
-        draft, target = self._at(f"snapshots/.{uuid.uuid4().hex}"), self._at(f"snapshots/{after + 1:012d}.json")
-        stream = self._fs.create(draft, False)
-        stream.write(json.dumps(state).encode())
-        stream.close()
-        rename = getattr(self._hadoop, "Options$Rename")
-        options = self.spark.sparkContext._gateway.new_array(rename, 1)
-        options[0] = rename.NONE
-        try:
-            self._hadoop.FileContext.getFileContext(target.toUri(), self._conf).rename(draft, target, options)
-        except Py4JJavaError as e:
-            self._fs.delete(draft, False)
-            if "FileAlreadyExists" in e.java_exception.getClass().getName():
-                raise Conflict(f"{self.path} has a state {after + 1} already") from None
-            raise
+        if not put(self.spark, f"{self.path}/snapshots/{after + 1:012d}.json", json.dumps(state).encode()):
+            raise Conflict(f"{self.path} has a state {after + 1} already")
         return after + 1
 
     def change(self, make: Callable[[dict], dict | None], tries: int = 10) -> dict:
