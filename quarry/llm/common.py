@@ -9,10 +9,11 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources.snapshots import put
+
 #: A document id that is null sorts before all others; this stands for it in join keys.
 NULL_ID = -(2**63)
 
@@ -124,10 +125,10 @@ def with_text_key(docs: DataFrame) -> DataFrame:
 
 
 class Commits:
-    """Committed folders by id, each named by a marker file that is written once, after its data.
+    """Committed folders by id, each named by a marker file that comes into place whole, after its data, and is never replaced.
 
     A folder without a marker counts as nothing, so a half-written commit can be tried again; of two writers of one id
-    the first to make the marker wins. A marker holds the folder (none if there is no data of its own) and a digest of the input.
+    the first to place the marker wins. A marker holds the folder and the ids that it stands for, each with a digest of its input.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -137,34 +138,53 @@ class Commits:
         self.fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
 
     def all(self) -> dict[str, tuple[str, str]]:
+        """Folder and digest of each id, as of one listing."""
         marks = self.fs.globStatus(self.hadoop.Path(f"{self.path}/commits/*.json")) or []
         out = {}
         for m in marks:
             stream = self.fs.open(m.getPath())
-            data = bytes(stream.readAllBytes())
+            said = self._said(bytes(stream.readAllBytes()))
             stream.close()
-            if data.endswith(b"}"):
-                said = json.loads(data)
-                out[said["id"]] = said["folder"], said["digest"]
+            out |= {i: (said["folder"], digest) for i, digest in said["ids"].items()}
         return out
 
+    @staticmethod
+    def _said(data: bytes) -> dict:
+        """A marker's content; one that isn't whole was left by a writer that placed it otherwise, and says nothing."""
+        return json.loads(data) if data.endswith(b"}") else {"folder": "", "ids": {}}
+
     def new_folder(self) -> str:
         return f"{self.path}/data/{uuid.uuid4().hex}"
 
     def add(self, commit_id: str, folder: str, digest: str = "") -> bool:
-        mark = self.hadoop.Path(f"{self.path}/commits/{hashlib.sha256(commit_id.encode()).hexdigest()}.json")
-        try:
-            stream = self.fs.create(mark, commit_id not in self.all() and self.fs.exists(mark))  # replaces only a mark that was left unfinished
-        except Py4JJavaError:
-            return False
-        stream.write(json.dumps({"id": commit_id, "folder": folder, "digest": digest}).encode())
+        return self._placed(commit_id, folder, {commit_id: digest})
+
+    def _placed(self, name: str, folder: str, ids: dict[str, str]) -> bool:
+        mark, data = f"{self.path}/commits/{hashlib.sha256(name.encode()).hexdigest()}.json", json.dumps({"folder": folder, "ids": ids}).encode()
+        if put(self.spark, mark, data):
+            return True
+        path = self.hadoop.Path(mark)
+        stream = self.fs.open(path)
+        whole = bytes(stream.readAllBytes()).endswith(b"}")
         stream.close()
-        return True
+        return not whole and self.fs.delete(path, False) and put(self.spark, mark, data)
 
-    def read(self, schema: str) -> DataFrame:
-        folders = sorted({f for f, _ in self.all().values() if f})
+    def read(self, schema: str, known: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+        """Rows of all committed folders, or of those in known."""
+        folders = sorted({f for f, _ in (self.all() if known is None else known).values() if f})
         return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
+    def take_over(self, known: dict[str, tuple[str, str]], rows: DataFrame) -> None:
+        """Commit rows in the place of all ids of known, in one marker, to this so far empty place; again with the same ids does nothing."""
+        if here := self.all():
+            if {i: d for i, (_, d) in here.items()} != {i: d for i, (_, d) in known.items()}:
+                raise ValueError(f"{self.path} holds other commits")
+            return
+        folder = self.new_folder()
+        with shuffles_dropped(self.spark):
+            rows.write.parquet(folder)
+        self._placed("compacted", folder, {i: d for i, (_, d) in known.items()})
+
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

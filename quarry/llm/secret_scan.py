@@ -30,6 +30,9 @@ RULES_VERSION = "base-1"
 #: Least length of the value of an assignment.
 ASSIGN_LEAST = 6
 
+#: Matches whose spans are walked in one go.
+BLOCK = 128
+
 SPAN = "array<struct<start:int,kind_at:int,kind:string,stop:int>>"
 
 
@@ -40,21 +43,42 @@ def kind_spans(text: Column, at: int) -> Column:
     gaps = F.split(text, pattern, -1)
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if kind == "assign" else whole
     parts = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), F.transform(whole, F.length).alias("len"), F.transform(values, F.length).alias("value"))
-    walked = F.aggregate(
-        F.filter(parts, lambda p: p["len"].isNotNull()),
-        F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN).alias("found")),
-        lambda s, p: F.struct(
-            (s["pos"] + p["gap"] + p["len"]).alias("pos"),
-            F.concat(
-                s["found"],
-                F.when(
-                    (F.lit(kind) != "assign") | (p["value"] >= ASSIGN_LEAST),
-                    F.array(F.struct((s["pos"] + p["gap"]).alias("start"), F.lit(at).alias("kind_at"), F.lit(kind).alias("kind"), (s["pos"] + p["gap"] + p["len"]).alias("stop"))),
-                ).otherwise(F.array().cast(SPAN)),
-            ).alias("found"),
-        ),
-    )["found"]
-    return F.when(F.regexp_like(text, F.lit(pattern)), walked).otherwise(F.array().cast(SPAN))
+    found = F.filter(parts, lambda p: p["len"].isNotNull())
+    return F.when(F.regexp_like(text, F.lit(pattern)), _bound(found, lambda p: _walked(p, at))).otherwise(F.array().cast(SPAN))
+
+
+def _bound(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _walked(parts: Column, at: int) -> Column:
+    """Spans of parts (gap before a match, its length, its value's length). Blocks of BLOCK parts have a running sum each, so that no array grows over more than a block."""
+    kind = RULES[at][0]
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(parts) - 1) / BLOCK), F.lit(0)).cast("int")), lambda i: F.slice(parts, i * BLOCK + 1, BLOCK))
+    none = F.array().cast(SPAN)
+
+    def starts(of: Column) -> Column:
+        length = lambda block: F.aggregate(block, F.lit(0), lambda n, p: n + p["gap"] + p["len"])
+        return F.aggregate(of, F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("at")), lambda s, b: F.struct((s["pos"] + length(b)).alias("pos"), F.concat(s["at"], F.array(s["pos"])).alias("at")))["at"]
+
+    def block_spans(block: Column, start: Column) -> Column:
+        return F.aggregate(
+            block,
+            F.struct(start.alias("pos"), none.alias("found")),
+            lambda s, p: F.struct(
+                (s["pos"] + p["gap"] + p["len"]).alias("pos"),
+                F.concat(
+                    s["found"],
+                    F.when(
+                        (F.lit(kind) != "assign") | (p["value"] >= ASSIGN_LEAST),
+                        F.array(F.struct((s["pos"] + p["gap"]).alias("start"), F.lit(at).alias("kind_at"), F.lit(kind).alias("kind"), (s["pos"] + p["gap"] + p["len"]).alias("stop"))),
+                    ).otherwise(none),
+                ).alias("found"),
+            ),
+        )["found"]
+
+    return _bound(blocks, lambda bs: _bound(starts(bs), lambda at_: F.flatten(F.transform(bs, lambda b, i: block_spans(b, F.get(at_, i))))))
 
 
 def all_spans(text: Column) -> Column:
@@ -109,6 +133,12 @@ class BlobLedger:
             found.write.parquet(folder)
         return int(self.commits.add(scan_id or uuid.uuid4().hex, folder, digest))
 
+    def compacted(self, path: str) -> BlobLedger:
+        """A new ledger with this one's findings in one folder; it knows this one's scans."""
+        known, out = self.commits.all(), BlobLedger(self.spark, path)
+        out.commits.take_over(known, self.commits.read(LEDGER, known).dropDuplicates(["blob", "rule_version"]))
+        return out
+
     def findings(self, rule_version: str = RULES_VERSION) -> DataFrame:
         return self.rows().where(F.col("rule_version") == rule_version).select("blob", "spans")
 
@@ -128,6 +158,20 @@ def scan_documents(docs: DataFrame, ledger: BlobLedger | None = None, rule_versi
     """
     ledger = ledger or BlobLedger(docs.sparkSession)
     ledger.scan(versions_of(docs), rule_version)
+    return findings_of(docs, ledger, rule_version)
+
+
+def scan_deliveries(docs: DataFrame) -> DataFrame:
+    """scan_documents() of a table that comes in two deliveries, half of it and then all of it, the second one twice: the ledger scans what each adds."""
+    ledger, versions = BlobLedger(docs.sparkSession), versions_of(docs)
+    ledger.scan(versions.where(F.col("blob") < "8"), RULES_VERSION, "first")
+    for _ in range(2):
+        ledger.scan(versions, RULES_VERSION, "all")
+    return findings_of(docs, ledger)
+
+
+def findings_of(docs: DataFrame, ledger: BlobLedger, rule_version: str = RULES_VERSION) -> DataFrame:
+    """The ledger's findings joined back to the rows of docs, as scan_documents() has them."""
     # a blob without findings needs no row of the ledger
     found = ledger.findings(rule_version).where(F.size("spans") > 0)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("blob"))

@@ -67,15 +67,19 @@ class TokenRollup:
 
     def totals(self) -> DataFrame:
         """KEYS and SUMS of all keys that still have documents or tokens."""
-        return self.deltas().groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS]).where("n_docs <> 0 OR n_tokens <> 0")
+        return self._sums(self.deltas())
+
+    @staticmethod
+    def _sums(deltas: DataFrame) -> DataFrame:
+        return deltas.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS]).where("n_docs <> 0 OR n_tokens <> 0")
 
     def compacted(self, path: str) -> TokenRollup:
-        """A new rollup whose data are this one's totals; it knows this one's batches, so their replays change nothing there either."""
-        known = self.commits.all()
-        out = TokenRollup(self.spark, path)
-        for batch_id, (_, digest) in known.items():
-            out.commits.add(batch_id, "", digest)
-        out.commit(f"snapshot of {len(known)}", self.totals())
+        """A new rollup whose data are this one's totals; it knows this one's batches, so their replays change nothing there either.
+
+        The batches are listed once, and totals and batches come in one commit: a batch that is committed meanwhile is in neither.
+        """
+        known, out = self.commits.all(), TokenRollup(self.spark, path)
+        out.commits.take_over(known, self._sums(self.commits.read(DELTA, known)))
         return out
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from compare import duckdb_rows, spark_rows
-from quarry.llm import components, exact_dedup, katz, packing, phrases, pieces, registry, secret_scan, simhash, suffix_dedup, token_counts, toxicity
+from quarry.llm import common, components, exact_dedup, katz, packing, phrases, pieces, registry, secret_scan, simhash, suffix_dedup, token_counts, toxicity
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id long, fingerprint string, blob string"
@@ -134,6 +135,50 @@ def test_commits_survive_failures_and_replays(spark, tmp_path):
     assert ledger.scan(blobs("x", "y"), scan_id="2") == 1 and ledger.rows().count() == 3
 
 
+def test_of_two_writers_of_a_batch_the_first_wins(spark, tmp_path, monkeypatch):
+    delta = lambda n: spark.createDataFrame([("s", "en", "v", 1, n)], token_counts.DELTA)
+    one, two = (token_counts.TokenRollup(spark, f"file://{tmp_path}/r") for _ in range(2))
+    monkeypatch.setattr(one.commits, "new_folder", lambda: two.commit("a", delta(5)) and f"file://{tmp_path}/r/data/one")  # the second is done before the first has its marker
+    assert not one.commit("a", delta(5)) and one.totals().first().n_tokens == 5
+    assert two.commit("b", delta(1)) and one.totals().first().n_tokens == 6
+
+
+def test_compaction_knows_what_it_has(spark, tmp_path, monkeypatch):
+    """A batch that comes while it runs is in neither ids nor totals; one that is lost before its commit refuses no replay."""
+    delta = lambda n: spark.createDataFrame([("s", "en", "v", 1, n)], token_counts.DELTA)
+    rollup = token_counts.TokenRollup(spark, f"file://{tmp_path}/r")
+    rollup.commit("a", delta(5))
+    read = common.Commits.read
+    monkeypatch.setattr(common.Commits, "read", lambda self, *a: rollup.commit("b", delta(7)) and read(self, *a))
+    small = rollup.compacted(f"file://{tmp_path}/small")
+    monkeypatch.setattr(common.Commits, "read", read)
+    assert small.totals().first().n_tokens == 5 and small.commit("b", delta(7)) and small.totals().first().n_tokens == 12
+    monkeypatch.setattr(common.Commits, "_placed", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        rollup.compacted(f"file://{tmp_path}/lost")
+    monkeypatch.undo()
+    lost = token_counts.TokenRollup(spark, f"file://{tmp_path}/lost")
+    assert lost.totals().collect() == [] and rollup.compacted(f"file://{tmp_path}/lost").totals().first().n_tokens == 12
+    assert rollup.compacted(f"file://{tmp_path}/lost").totals().first().n_tokens == 12
+    with pytest.raises(ValueError):
+        lost.commit("c", delta(1)) and rollup.compacted(f"file://{tmp_path}/lost")
+    ledger = secret_scan.BlobLedger(spark, f"file://{tmp_path}/l")
+    blobs = secret_scan.versions_of(spark.createDataFrame([("x",), ("AKIA" + "C" * 16,)], "text string"))
+    assert ledger.scan(blobs, scan_id="1") == 1 and ledger.scan(blobs, "next", "2") == 1
+    new = ledger.compacted(f"file://{tmp_path}/l2")
+    assert sorted(map(str, new.rows().collect())) == sorted(map(str, ledger.rows().collect())) and new.scan(blobs, scan_id="1") == 0 and new.unseen(blobs, "next").count() == 0
+
+
+def test_texts_with_very_many_secrets(spark):
+    """Offsets over the borders of blocks, in a time that doesn't grow with the square of the matches."""
+    text = "".join(f'é {"token" if i % 3 else "x"}= "a{i % 7 * "b"}cdef{i}" ' + ("AKIA" + "Q" * 16 + ", ") * (i % 2) for i in range(16_000))
+    began = time.time()
+    row = secret_scan.scan_documents(spark.createDataFrame([(1, text), (2, text[: len(text) // 50])], "doc_id long, text string")).where("doc_id = 1").first()
+    assert time.time() - began < 15
+    want = [(m.start(), 0, m.end()) for m in re.finditer(secret_scan.RULES[0][1], text) if len(m[2]) >= 6] + [(m.start(), 1, m.end()) for m in re.finditer(secret_scan.RULES[1][1], text)]
+    assert row.spans == ",".join(f"{('assign', 'access')[k]}:{a}:{b}" for a, k, b in sorted(want)) and row.n_assign + row.n_access > 16_000
+
+
 def test_rows_keep_their_columns(spark):
     """One hot text and id, nulls and columns named like the operators' own."""
     texts = ["same text here, one two three"] * 40 + ["", None, "token = abcdef99", "other words", "same text here, one two three"]
