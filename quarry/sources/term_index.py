@@ -231,9 +231,10 @@ class TermIndex:
             raise ValueError(f"ids are {kind}, those of the index {state['id_type']}")
         fresh = chunks.select(F.col(id_col).alias("chunk_id"), F.coalesce(text_col, F.lit("")).alias("text"))
         if state["segments"]:
-            fresh = fresh.dropDuplicates(["chunk_id"]).join(self._docs(state).select("chunk_id"), "chunk_id", "left_anti")
-        else:
-            fresh = spread(fresh).dropDuplicates(["chunk_id"])
+            fresh = fresh.join(self._docs(state).select("chunk_id"), "chunk_id", "left_anti")
+        if fresh.groupBy("chunk_id").count().where("count > 1").head(1):  # reads ids alone; texts are dealt by id only if some come twice
+            fresh = fresh.dropDuplicates(["chunk_id"])
+        fresh = spread(fresh)
         segment, kinds = uuid.uuid4().hex, f"chunk_id {kind}, dl long, terms array<string>, tfs array<long>"
         counted = fresh.select("chunk_id", raw_tokens(F.col("text")).alias("tokens")).mapInArrow(_counted(self.stem), kinds)
         # neighbours of like length: their largest weights say more
