@@ -25,6 +25,7 @@ MIN_STEM = 4
 STEM_PATTERN = f"^(.{{{MIN_STEM},}}?)(?:{'|'.join(SUFFIXES)})$"
 STEM_PASSES = 3
 SOFT, HARD = "ğbcd", "kpçt"
+_SUFFIXES, _LONGEST = frozenset(SUFFIXES), max(map(len, SUFFIXES))
 _HARD, _LOWER = str.maketrans(SOFT, HARD), str.maketrans(TR_UPPER, TR_LOWER)
 
 
@@ -58,7 +59,12 @@ def light_stem(token: Column) -> Column:
 def stem_word(token: str) -> str:
     """light_stem() of one token, for tasks that have their tokens in Python."""
     for _ in range(STEM_PASSES):
-        token = re.sub(STEM_PATTERN, r"\1", token)
+        for n in range(min(_LONGEST, len(token) - MIN_STEM), 0, -1):  # the longest suffix first
+            if token[-n:] in _SUFFIXES:
+                token = token[:-n]
+                break
+        else:
+            break
     return token[:-1] + token[-1].translate(_HARD) if len(token) > MIN_STEM else token
 
 

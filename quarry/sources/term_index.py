@@ -11,12 +11,12 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,19 +42,18 @@ def _counted(stem: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = []
-            for tokens in batch.column(1).to_pylist():
-                own = Counter(tokens)
-                if stem:
-                    stemmed: Counter = Counter()
-                    for w, n in own.items():
-                        stemmed[stem_word(w)] += n
-                    own = stemmed
-                counts.append(own)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([c.total() for c in counts], pa.int64()), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))],
-                names=["chunk_id", "dl", "terms", "tfs"],
-            )
+            tokens = batch.column(1)
+            sizes = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+            words = tokens.flatten().dictionary_encode()
+            terms, code = words.dictionary, words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            if stem:  # each word of the batch once
+                stems = pa.array([stem_word(w) for w in terms.to_pylist()], pa.string()).dictionary_encode()
+                terms, code = stems.dictionary, stems.indices.to_numpy(zero_copy_only=False).astype(np.int64)[code]
+            key, tfs = np.unique(np.repeat(np.arange(len(sizes)), sizes) * max(1, len(terms)) + code, return_counts=True)
+            row, at = np.divmod(key, max(1, len(terms)))
+            offsets = pa.array(np.searchsorted(row, np.arange(len(sizes) + 1)), pa.int32())
+            lists = lambda x: pa.ListArray.from_arrays(offsets, x)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), lists(terms.take(pa.array(at))), lists(pa.array(tfs, pa.int64()))], names=["chunk_id", "dl", "terms", "tfs"])
 
     return run
 
