@@ -3,8 +3,8 @@
 Words are 64-bit hashes. Every word of the training documents is a context and a target, whatever the
 corpus; one unknown word has the unseen mass. Counts of one, two and three words cover all training documents
 and are stored in tables, a row a place and a folder a kind; nothing that grows with the corpus is
-gathered or broadcast. The discounts of each order are Simple Good-Turing's: a line through the logarithms
-of the counts of counts gives Katz's factors, which so exist for any corpus.
+gathered or broadcast. The discounts of each order are Simple Good-Turing's: Turing estimates for small counts that
+are known well, then a line through the logarithms of the counts of counts, so that Katz's factors exist for any corpus.
 
 The corpus is worked on in chunks of a few million tokens. A chunk's row holds its documents as numbers
 into its own sorted word list, so each distinct n-gram of a chunk is sent once to the place that
@@ -43,6 +43,8 @@ GT_LIMIT = 5
 FIT_LIMIT = 1000
 #: Its slope must be under -1 (then all factors are in (0, 1)); tiny corpora whose slope isn't have this one.
 LEAST_SLOPE = -1.05
+#: A Turing estimate further than this many standard deviations from the line is taken as it is (fixed by the method).
+DEVIATIONS = 1.96
 #: Trigrams are exchanged in this many waves, a part of the places each, so that fewer of them are under way at once.
 WAVES = 2
 #: A context with this part of the tokens or more (so no more contexts than this) has its bigrams dealt to all places.
@@ -294,10 +296,12 @@ def _rows(df: DataFrame, make, schema: str) -> DataFrame:
 
 
 def discounts(n: dict[int, int], limit: int = GT_LIMIT) -> np.ndarray:
-    """Katz's factors d[r] for counts r = 0..limit from counts of counts, which a line smooths (Simple Good-Turing).
+    """Katz's factors d[r] for counts r = 0..limit from counts of counts, estimated by Simple Good-Turing.
 
-    Each count of counts is spread over the gap to its neighbours; the line's slope b gives counts of counts
-    in proportion to r ** b. Fewer than two different counts have LEAST_SLOPE.
+    From count 1 on, the Turing estimate (r + 1) n[r + 1] / n[r] holds while it differs from the line's by more than
+    DEVIATIONS of its standard deviation; from the first count where it doesn't (or isn't below r, as factors must be), the
+    line holds for all. For the line each count of counts is spread over the gap to its neighbours; its slope b gives counts
+    of counts in proportion to r ** b. Fewer than two different counts have LEAST_SLOPE.
     """
     r = np.array(sorted(k for k in n if k > 0 and n[k]), float)
     slope = LEAST_SLOPE
@@ -305,8 +309,16 @@ def discounts(n: dict[int, int], limit: int = GT_LIMIT) -> np.ndarray:
         gaps = np.concatenate([[r[1]], r[2:] - r[:-2], [2 * (r[-1] - r[-2])]]) / 2
         slope = min(slope, float(np.polyfit(np.log(r), np.log(np.array([n[int(k)] for k in r]) / gaps), 1)[0]))
     up_to = np.arange(1, limit + 1)
-    tail = (limit + 1.0) ** (1 + slope)
-    return np.concatenate([[1.0], (((up_to + 1) / up_to) ** (1 + slope) - tail) / (1 - tail)])
+    kept = ((up_to + 1) / up_to) ** (1 + slope)  # what stays of a count
+    for k in range(1, limit + 1):
+        here, above = n.get(k, 0), n.get(k + 1, 0)
+        turing = (k + 1) * above / here if here else 0.0
+        if not 0 < turing < k or abs(turing - k * kept[k - 1]) <= DEVIATIONS * (k + 1) / here * (above * (1 + above / here)) ** 0.5:
+            break
+        kept[k - 1] = turing / k
+    # (limit + 1) n[limit + 1] / n[1] of the estimates: Katz leaves counts above the limit as they are
+    tail = kept.prod()
+    return np.concatenate([[1.0], (kept - tail) / (1 - tail)])
 
 
 def discounted(counts: np.ndarray, d: np.ndarray) -> np.ndarray:

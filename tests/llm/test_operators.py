@@ -412,7 +412,7 @@ def words_of(text):
 
 
 def slope_factors(counts):
-    """Simple Good-Turing by the book: a line through log counts of counts, then Katz's factors for 1 to 5."""
+    """Simple Good-Turing by the book: Turing estimates, from the first that is near on a line through log counts of counts; then Katz's factors for 1 to 5."""
     n = Counter(c for c in counts if c <= 1000)
     r = sorted(n)
     if len(r) < 2:
@@ -425,9 +425,18 @@ def slope_factors(counts):
             z.append(n[x] / (0.5 * (t - q)))
         x, y = np.log(r), np.log(z)
         b = min(-1.05, ((x - x.mean()) * (y - y.mean())).sum() / ((x - x.mean()) ** 2).sum())
-    new = lambda k: (k + 1) * ((k + 1) / k) ** b  # noqa: E731  the Turing estimate of count k
-    tail = 6 * 6.0**b
-    return {k: (new(k) / k - tail) / (1 - tail) for k in range(1, 6)}
+    new, on_line = {}, False
+    for k in range(1, 6):
+        new[k] = (k + 1) * ((k + 1) / k) ** b
+        if not on_line and n[k] and n[k + 1]:
+            x = (k + 1) * n[k + 1] / n[k]
+            variance = (k + 1) ** 2 * n[k + 1] / n[k] ** 2 * (1 + n[k + 1] / n[k])
+            on_line = x >= k or abs(x - new[k]) <= 1.96 * np.sqrt(variance)
+            new[k] = new[k] if on_line else x
+        else:
+            on_line = True
+    tail = np.prod([x / k for k, x in new.items()])
+    return {k: (x / k - tail) / (1 - tail) for k, x in new.items()}
 
 
 class BruteKatz:
@@ -475,6 +484,19 @@ class BruteKatz:
         return sum(np.log10(self.p(c, w)) for c, w in zip(contexts, d))
 
 
+def test_factors_by_turing_and_by_line():
+    """Exact counts of counts give Katz's own factors; few, odd or rising ones give the line's; in between the first ones are Turing's."""
+    n = {1: 1_000_000, 2: 259_586, 3: 28_000, 4: 9_000, 5: 5_000, 6: 2_000, 7: 1_500, 900: 1}
+    tail = 6 * n[6] / n[1]
+    assert np.allclose(katz.discounts(n)[1:], [((r + 1) * n[r + 1] / n[r] / r - tail) / (1 - tail) for r in range(1, 6)])
+    line = lambda b: [(((r + 1) / r) ** (1 + b) - 6.0 ** (1 + b)) / (1 - 6.0 ** (1 + b)) for r in range(1, 6)]
+    for few in ({}, {3: 4}, {1: 10}):
+        assert np.allclose(katz.discounts(few)[1:], line(katz.LEAST_SLOPE))
+    for m in (n, {1: 20, 2: 9, 3: 5, 4: 3, 5: 2, 8: 1}, {1: 100, 2: 5_000, 3: 10, 4: 9, 5: 8, 6: 7}, {1: 10**6, 2: 10**5, 3: 10, 4: 9, 5: 8, 6: 7}, {2: 10**6, 4: 10**5}):
+        got, want = katz.discounts(m), slope_factors(k for k, v in m.items() for _ in range(v))
+        assert np.allclose(got[1:], list(want.values())) and got[0] == 1 and all(0 < x < 1 for x in got[1:])
+
+
 def check_katz(spark, rows):
     got = {}
     for x in katz.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
