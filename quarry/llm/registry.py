@@ -20,7 +20,7 @@ def op2_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.maintain(table(spark, sf_dir, "documents"))
+    return token_counts.maintain(table(spark, sf_dir, "documents"), tokenizers={"word_bpe_49k": public_tokenizers.path("word_bpe_49k.json")})
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_token_counts": token_counts.SQL, "op7_secret_scan": secret_scan.SQL, "op8_exact_dedup": exact_dedup.SQL, "op12_spelling": spelling.SQL, "op13_divergence": divergence.SQL}
+    return {"op7_secret_scan": secret_scan.SQL, "op8_exact_dedup": exact_dedup.SQL, "op12_spelling": spelling.SQL, "op13_divergence": divergence.SQL}

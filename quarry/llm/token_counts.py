@@ -8,18 +8,21 @@ changes nothing. Totals are the sum of the committed deltas; compaction folds th
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Commits, fresh_path, shuffles_dropped, written
+from quarry.llm.common import Commits, fresh_path, shuffles_dropped, spread, written
+from quarry.llm.word_ids import encode_texts, encoder
 
 KEYS = ["source", "lang", "tokenizer_version"]
 SUMS = ["n_docs", "n_tokens"]
 DELTA = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
 
-#: Tokenizer versions (fixed rules): words are runs without blanks; parts are runs of letters and digits, or single other signs.
+#: Tokenizer versions that are rules (fixed): words are runs without blanks; parts are runs of letters and digits, or single other signs.
 VERSIONS = {
     "words-1": lambda text: F.size(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))),
     "parts-1": lambda text: F.size(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\x20\x09-\x0D]"), F.lit(0))),
@@ -83,30 +86,51 @@ class TokenRollup:
         return out
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """A row per document and tokenizer version: doc_id, source, lang, blob, tokenizer_version, n_tokens, guess."""
+def _tokens(paths: list[str]):
+    """Rows whose last column is a text -> the same with the text's number of tokens by each word-end BPE file in its place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *columns, text = batch.columns
+            # an encoded text has its end id besides
+            counts = [pa.array([len(ids) - 1 for ids in encode_texts(encoder(p), text)], pa.int64()) for p in paths]
+            yield pa.RecordBatch.from_arrays([*columns, *counts], names=[*batch.schema.names[:-1], *[f"t{i}" for i in range(len(paths))]])
+
+    return run
+
+
+def counted(docs: DataFrame, tokenizers: dict[str, str] | None = None) -> DataFrame:
+    """A row per document and tokenizer version: doc_id, source, lang, blob, guess, tokenizer_version, n_tokens.
+
+    Versions are the rules in VERSIONS and tokenizers, which are files of word-end BPE models by the version's name. A text is read and counted once for all.
+    """
+    tokenizers = tokenizers or {}
     text = F.coalesce(F.col("text"), F.lit(""))
     wide = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"),
-        F.sha2(text, 256).alias("blob"), F.ceil(F.length(text) / 6).alias("guess"), *[rule(text).cast("long").alias(f"v{i}") for i, rule in enumerate(VERSIONS.values())],
+        F.sha2(text, 256).alias("blob"), F.ceil(F.length(text) / 6).alias("guess"), *[rule(text).cast("long").alias(f"v{i}") for i, rule in enumerate(VERSIONS.values())], text.alias("text"),
     )
-    slim = written(wide, "token-counts")
-    version = F.explode(F.array(*[F.struct(F.lit(v).alias("tokenizer_version"), F.col(f"v{i}").alias("n_tokens")) for i, v in enumerate(VERSIONS)])).alias("v")
+    if tokenizers:
+        kinds = [f"{n} {t}" for n, t in wide.dtypes[:-1]] + [f"t{i} long" for i in range(len(tokenizers))]
+        wide = spread(wide).mapInArrow(_tokens(list(tokenizers.values())), ", ".join(kinds))
+    slim = written(wide.drop("text"), "token-counts")
+    names = {v: f"v{i}" for i, v in enumerate(VERSIONS)} | {v: f"t{i}" for i, v in enumerate(tokenizers)}
+    version = F.explode(F.array(*[F.struct(F.lit(v).alias("tokenizer_version"), F.col(c).alias("n_tokens")) for v, c in names.items()])).alias("v")
     return slim.select("doc_id", "source", "lang", "blob", "guess", version).select("doc_id", "source", "lang", "blob", "guess", "v.*")
 
 
-def maintain(docs: DataFrame, rollup: TokenRollup | None = None) -> DataFrame:
+def maintain(docs: DataFrame, rollup: TokenRollup | None = None, tokenizers: dict[str, str] | None = None) -> DataFrame:
     """Totals of the corpus without exact copies, reached by three batches over the whole table.
 
     "load" inserts every document with a guessed count (characters / 6), "count" revises every guess to
     the exact count, "copies" deletes each document whose text a smaller doc_id has. Each batch is
-    delivered twice; the replay must change nothing. Returns source, lang, tokenizer_version, n_docs, n_tokens.
+    delivered twice; the replay must change nothing. tokenizers: see counted(). Returns source, lang, tokenizer_version, n_docs, n_tokens.
 
     Nulls: a null text is empty, a null source or lang is a key of its own, a null doc_id sorts last
-    among copies. Repeated rows are copies. An empty table gives no totals; other columns are ignored.
+    among copies. Repeated rows are copies. A very long text is encoded whole, word by word. An empty table gives no totals; other columns are ignored.
     """
     rollup = rollup or TokenRollup(docs.sparkSession)
-    rows = counted(docs)
+    rows = counted(docs, tokenizers)
     # a copy's first row: the text's smallest (doc_id, source, lang); all others go
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "source", "lang")
     one = rows.where(F.col("tokenizer_version") == next(iter(VERSIONS)))
@@ -121,6 +145,7 @@ def maintain(docs: DataFrame, rollup: TokenRollup | None = None) -> DataFrame:
     return rollup.totals()
 
 
+#: SQL for the rules; tests compare the counts of tokenizers with their library's.
 _SQL_VERSION = {
     "words-1": r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))",
     "parts-1": r"len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+|[^\p{L}\p{N}\x20\x09-\x0D]'))",

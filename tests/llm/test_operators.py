@@ -110,6 +110,31 @@ def test_token_rollup_is_idempotent(spark, docs, tmp_path):
     assert sorted(map(str, rollup.compacted(f"file://{tmp_path}/small").totals().collect())) == first
 
 
+def test_token_counts_are_those_of_sql_and_of_the_library(spark, docs):
+    """The query over a whole table: rules by SQL, the tokenizer by its library; nulls, copies and a long text in a small one, where a null is a key."""
+    count = Tokenizer.from_file(WORDS)
+
+    def by_library(rows):
+        out, seen = Counter(), set()
+        for i, t, lang, source in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+            if (t or "") not in seen:
+                seen.add(t or "")
+                out[source, lang, "n_docs"] += 1
+                out[source, lang, "n_tokens"] += len(count.encode(t or "", add_special_tokens=False).ids)
+        return dict(out)
+
+    def found(got):
+        return {(r.source, r.lang, c): r[c] for r in got.where("tokenizer_version = 'word_bpe_49k'").collect() for c in ("n_docs", "n_tokens")}
+
+    got = registry.op3_token_counts(spark, SF).cache()
+    assert spark_rows(got.where("tokenizer_version <> 'word_bpe_49k'")) == duckdb_rows(token_counts.SQL, SF)
+    assert found(got) == by_library(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source").collect())
+    rows = [(*r[:4],) for r in make()] + [(200, "Ünïcode 漢字 don't <|endoftext|> x1 " * 60_000, None, "s0")]
+    small = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    # the repeated row of make() and the copy of "A b" with a null id come last among their texts
+    assert found(token_counts.maintain(small, tokenizers={"word_bpe_49k": WORDS})) == by_library(rows)
+
+
 def test_commits_survive_failures_and_replays(spark, tmp_path):
     delta = lambda n: spark.createDataFrame([("s", "en", "v", 1, n)], token_counts.DELTA)
     rollup = token_counts.TokenRollup(spark, f"file://{tmp_path}/r")
