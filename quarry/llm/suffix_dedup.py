@@ -82,10 +82,10 @@ class Chunk:
         a = np.frombuffer(self.data, np.uint8)
         out: list[tuple[np.ndarray, ...]] = []
         for s in range(0, len(a), _SLICE):
-            h = _gram_hashes(a[s : s + _SLICE + MATCH - 1])
             n = min(_SLICE, len(a) - MATCH + 1 - s)
-            if n <= 0:
+            if n <= 0:  # the last slice is too short for a window, perhaps even for a string
                 break
+            h = _gram_hashes(a[s : s + _SLICE + MATCH - 1])
             # the low bits hold the place, so that the least value tells where it stands
             least = _slide((h & ~_PLACE) | np.arange(len(h), dtype=np.uint64), REACH + 1, np.minimum)[:n]
             start = np.arange(s, s + n)

@@ -307,6 +307,25 @@ def test_suffix_dedup(docs):
     assert sorted(want) == sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs).collect())
 
 
+def test_anchors_of_chunks_of_every_length(monkeypatch):
+    """Each window within a document has one anchor, its leftmost least string, however few bytes the last slice has."""
+    monkeypatch.setattr(suffix_dedup, "_SLICE", 256)
+    r = random.Random(6)
+    data = bytes(r.choice(b"abc") for _ in range(512 + 130))
+    for size in [*range(130), *range(256, 256 + 130), *range(512, 512 + 130)]:
+        lengths = [size // 3, size - size // 3]
+        ids, has = (suffix_dedup.packed(np.array([1, 1], kind)) for kind in (np.int64, np.uint8))
+        row = {"doc_ids": ids, "has_id": has, "lengths": suffix_dedup.packed(np.array(lengths, np.int64)), "data": zlib.compress(data[:size])}
+        at, h, first, last = suffix_dedup.Chunk(row).anchors()
+        starts = suffix_dedup.window_starts(first, last) if len(first) else first
+        assert starts.tolist() == [i for end, n in zip((lengths[0], size), lengths) for i in range(end - n, end - 99)]
+        if len(at):
+            grams = suffix_dedup._gram_hashes(np.frombuffer(data[:size], np.uint8))
+            assert (h == grams[at]).all()
+            rank = grams & ~suffix_dedup._PLACE
+            assert np.repeat(at, last - first + 1).tolist() == [int(i + rank[i : i + 85].argmin()) for i in starts.tolist()]
+
+
 def test_merge_of_runs_knows_its_prefixes():
     r = random.Random(4)
     runs = [sorted(bytes(r.choice(b"ab") for _ in range(12)) for _ in range(r.randint(0, 30))) for _ in range(5)]
