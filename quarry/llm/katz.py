@@ -45,8 +45,6 @@ FIT_LIMIT = 1000
 LEAST_SLOPE = -1.05
 #: A Turing estimate further than this many standard deviations from the line is taken as it is (fixed by the method).
 DEVIATIONS = 1.96
-#: Trigrams are exchanged in this many waves, a part of the places each, so that fewer of them are under way at once.
-WAVES = 2
 #: A context with this part of the tokens or more (so no more contexts than this) has its bigrams dealt to all places.
 HOT_SHARE = 1024
 #: Slots of a place from this one on stand for hot contexts.
@@ -54,6 +52,9 @@ HOT_SLOT = 1 << 31
 #: The end token's hash; words hash to other values but for one in 2**64.
 END = np.uint64(7)
 _SLICE = 1 << 20
+#: Short texts are hashed together, about so many bytes at a time.
+_GROUP = 1 << 18
+_ZSTD, _UNZSTD = zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
@@ -64,25 +65,23 @@ def held_out(doc_id: int | None) -> bool:
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Little-endian integers as compressed byte planes."""
-    return zstandard.compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.dtype.itemsize).T.tobytes(), 3)
+    """Numbers as compressed byte planes, the lowest first; a byte tells how many there are, as those that are 0 throughout on top are left out."""
+    size = values.dtype.itemsize
+    values = np.ascontiguousarray(values)
+    top = int(values.view(f"u{size}").max(initial=0))
+    planes = np.empty((max(1, -(-top.bit_length() // 8)), len(values)), np.uint8)
+    for i, plane in enumerate(planes):
+        plane[:] = values.view(np.uint8)[i::size]
+    return bytes([len(planes)]) + _ZSTD.compress(planes)
 
 
 def unpacked(data: bytes, dtype) -> np.ndarray:
     size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(size, -1).T).view(dtype).ravel()
-
-
-def packed_floats(values: np.ndarray) -> bytes:
-    """Floats of few different values: those, and which each is."""
-    some, at = np.unique(values, return_inverse=True)
-    head = packed(some)
-    return len(head).to_bytes(4, "little") + head + packed(at.astype(np.uint32))
-
-
-def unpacked_floats(data: bytes) -> np.ndarray:
-    size = int.from_bytes(data[:4], "little")
-    return unpacked(data[4 : 4 + size], np.float64)[unpacked(data[4 + size :], np.uint32)]
+    planes = np.frombuffer(_UNZSTD.decompress(memoryview(data)[1:]), np.uint8).reshape(data[0], -1)
+    out = np.zeros(planes.shape[1], dtype)
+    for i, plane in enumerate(planes):
+        out.view(np.uint8)[i::size] = plane
+    return out
 
 
 def packed_sorted(keys: np.ndarray) -> bytes:
@@ -98,29 +97,48 @@ LONG_WORD = 64
 
 
 def word_hashes(text: str) -> np.ndarray:
-    """Hashes of a text's lower-cased words in order."""
-    data = text.encode("utf-8", "surrogatepass").translate(LOWER)
-    out, at = [], 0
+    """Hashes of a text's lower-cased words in order, and of its end."""
+    return hashes_of([text.encode("utf-8", "surrogatepass")])[0]
+
+
+def hashes_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words and the end of each text, one text after the other, and how many each has."""
+    data = b" ".join(texts).translate(LOWER)
+    starts, hashes, at = [], [], 0
     while at < len(data):
         end = len(data)
         if end - at > _SLICE and (found := _BLANK.search(data, at + _SLICE)):
             end = found.start()
-        a = np.frombuffer(data[at:end], np.uint8)
-        edges = np.flatnonzero(np.diff(_SPACE[a], prepend=True, append=True))
-        starts, ends = edges[::2], edges[1::2]
-        up, down = _powers.to(len(a) + 1)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up[: len(a)], dtype=np.uint64)])
-        h = (sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)
-        h ^= h >> np.uint64(30)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(27)
-        h *= np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(31)
-        for i in np.flatnonzero(ends - starts > LONG_WORD):
-            h[i] = xxhash.xxh64_intdigest(data[at + starts[i] : at + ends[i]])
-        out.append(h)
+        s, h = _hashed(data[at:end])
+        starts.append(s + at)
+        hashes.append(h)
         at = end
-    return np.concatenate([*out, [END]]) if out else np.array([END])
+    start = np.concatenate([np.zeros(0, np.int64), *starts])
+    sizes = np.array([len(t) + 1 for t in texts])
+    n = np.diff(np.searchsorted(start, np.cumsum(sizes) - sizes), append=len(start)) + 1
+    out = np.full(n.sum(), END)
+    word = np.ones(len(out), bool)
+    word[np.cumsum(n) - 1] = False
+    out[word] = np.concatenate([np.zeros(0, np.uint64), *hashes])
+    return out, n
+
+
+def _hashed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the words."""
+    a = np.frombuffer(data, np.uint8)
+    edges = np.flatnonzero(np.diff(_SPACE[a], prepend=True, append=True))
+    starts, ends = edges[::2], edges[1::2]
+    up, down = _powers.to(len(a) + 1)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up[: len(a)], dtype=np.uint64)])
+    h = (sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)
+    h ^= h >> np.uint64(30)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    for i in np.flatnonzero(ends - starts > LONG_WORD):
+        h[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]])
+    return starts, h
 
 
 CHUNK = "kind string, chunk long, doc_ids binary, has_id binary, lengths binary, seq binary, words binary, n binary"
@@ -130,12 +148,19 @@ def _chunks(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     """For each chunk a row of its documents (kind seq) and one of its words with their training counts (kind words)."""
     ids: list[int | None] = []
     docs: list[np.ndarray] = []
-    tokens = made = 0
+    sizes: list[np.ndarray] = []
+    texts: list[bytes] = []  # those not hashed yet
+    waiting = tokens = made = 0
     part = TaskContext.get().partitionId()
 
     def rows() -> pa.RecordBatch:
-        words, seq = np.unique(np.concatenate(docs), return_inverse=True)
-        lengths = np.array([len(d) for d in docs], np.int64)
+        coded = pa.array(np.concatenate(docs)).dictionary_encode()
+        words = coded.dictionary.to_numpy()
+        order = np.argsort(words)
+        words, place = words[order], np.empty(len(order), np.uint32)
+        place[order] = np.arange(len(order))
+        seq = place[coded.indices.to_numpy()]
+        lengths = np.concatenate(sizes)
         trained = np.repeat([not held_out(i) for i in ids], lengths)
         n = np.bincount(seq[trained], minlength=len(words)).astype(np.uint32)
         two = lambda of_seq, of_words: pa.array([of_seq, of_words], pa.binary())
@@ -145,19 +170,31 @@ def _chunks(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             "doc_ids": two(packed(np.array([0 if i is None else i for i in ids], np.int64)), None),
             "has_id": two(packed(np.array([i is not None for i in ids], np.uint8)), None),
             "lengths": two(packed(lengths), None),
-            "seq": two(packed(seq.astype(np.uint32)), None),
+            "seq": two(packed(seq), None),
             "words": two(None, packed_sorted(words)),
             "n": two(None, packed(n)),
         })
 
+    def hashed() -> None:
+        nonlocal texts, waiting, tokens
+        hashes, n = hashes_of(texts)
+        docs.append(hashes)
+        sizes.append(n)
+        tokens += len(hashes)
+        texts, waiting = [], 0
+
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
             ids.append(doc_id)
-            docs.append(word_hashes(text.as_py()))
-            tokens += len(docs[-1])
+            texts.append(text.as_py())
+            waiting += len(texts[-1]) + 1  # no fewer than its tokens
+            if waiting >= min(size, _GROUP):
+                hashed()
             if tokens >= size:
                 yield rows()
-                ids, docs, tokens, made = [], [], 0, made + 1
+                ids, docs, sizes, tokens, made = [], [], [], 0, made + 1
+    if texts:
+        hashed()
     if ids:
         yield rows()
 
@@ -193,60 +230,62 @@ class Ngrams:
     """A chunk's distinct n-grams whose context is known, in the order of places.
 
     context: for each token where its context's number stands in numbers, which are distinct but for 0 (unknown).
-    names: the contexts, those that are hot last; keys: a place's slot of the context and the last word's
+    names: the contexts, those that are hot last; index: their places in numbers; keys: a place's slot of the context and the last word's
     number; at: each token's n-gram, for the tokens in known.
     """
 
     def __init__(self, context: np.ndarray, numbers: np.ndarray, word: np.ndarray, hot: np.ndarray, n: int):
-        self.known = numbers[context] > 0
+        self.known = (numbers > 0)[context]
         here = np.zeros(len(numbers), bool)
         here[context[self.known]] = True
         names = numbers[here]
-        of = np.cumsum(here)[context[self.known]] - 1
-        is_hot, home = among(names, hot), (names - np.uint64(1)) % np.uint64(n)
-        order = np.lexsort((names, np.where(is_hot, np.uint64(n), home)))
-        rank = np.empty(len(names), np.uint64)
-        rank[order] = np.arange(len(names), dtype=np.uint64)
-        self.size = len(names)
-        self.names, self.cold, home = names[order], int((~is_hot).sum()), home[order]
-        slot = np.where(is_hot[order], np.uint64(HOT_SLOT) + np.searchsorted(hot, self.names).astype(np.uint64), (self.names - np.uint64(1)) // np.uint64(n))
-        keys, at = np.unique((rank[of] << np.uint64(32)) | word[self.known], return_inverse=True)
-        del of
+        is_hot, slot = among(names, hot), (names - np.uint64(1)) // np.uint64(n)
+        home = names - np.uint64(1) - slot * np.uint64(n)
+        slot[is_hot] = np.uint64(HOT_SLOT) + np.searchsorted(hot, names[is_hot]).astype(np.uint64)
+        home[is_hot] = n  # after all places
+        order = np.argsort((home << np.uint64(32)) | slot)
+        rank = np.zeros(len(numbers), np.uint64)
+        self.size, self.places, self.index = len(names), n, np.flatnonzero(here)[order]
+        rank[self.index] = np.arange(len(names), dtype=np.uint64)
+        self.names, self.cold = names[order], int((~is_hot).sum())
+        keys, at = np.unique((rank[context[self.known]] << np.uint64(32)) | word[self.known], return_inverse=True)
         self.of, last = (keys >> np.uint64(32)).astype(np.int64), keys & np.uint64(2**32 - 1)
-        mixed = (self.names[self.of] * np.uint64(0x9E3779B97F4A7C15)) ^ (last * np.uint64(0xBF58476D1CE4E5B9))
-        place = np.where(self.of >= self.cold, (mixed >> np.uint64(32)) % np.uint64(n), home[self.of])
-        keys = (slot[self.of] << np.uint64(32)) | last
-        by = np.argsort(place, kind="stable")
+        place = home[order][self.of]
+        tail = slice(int(np.searchsorted(self.of, self.cold)), None)
+        mixed = (self.names[self.of[tail]] * np.uint64(0x9E3779B97F4A7C15)) ^ (last[tail] * np.uint64(0xBF58476D1CE4E5B9))
+        place[tail] = (mixed >> np.uint64(32)) % np.uint64(n)
+        keys = (slot[order][self.of] << np.uint64(32)) | last
+        by = np.argsort(place.astype(np.min_scalar_type(n)), kind="stable")  # few bytes, so that it is a radix sort
         self.keys, self.place, self.of = keys[by], place[by], self.of[by]
         back = np.empty(len(by), np.uint32)
         back[by] = np.arange(len(by), dtype=np.uint32)
         self.at = back[at]
 
-    def messages(self, chunk: int, trained: np.ndarray, lower: np.ndarray, wave: int, waves: int) -> dict:
-        """Rows to the places of a wave: training counts in the chunk, and what the place needs of each n-gram's lower order (lower: by token)."""
+    def messages(self, chunk: int, trained: np.ndarray, lower: np.ndarray) -> dict:
+        """Rows to the places: training counts in the chunk, and what the place needs of each n-gram's lower order (lower: by token)."""
         target = np.zeros(len(self.keys), np.uint64)
         target[self.at] = lower[self.known]
         n = np.bincount(self.at[trained[self.known]], minlength=len(self.keys)).astype(np.uint32)
-        now = self.place % np.uint64(waves) == wave
-        return _messages(chunk, self.place[now], keys=(self.keys[now], packed_sorted), n=(n[now], packed), lower=(target[now], packed))
+        return _messages(chunk, self.place, keys=(self.keys, packed_sorted), n=(n, packed), lower=(target, packed))
 
-    def told(self, replies: list[dict] | None, of_hot: list[tuple[float, list[int]]], hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """What the places reply: training count of each n-gram; sum of lower orders and times by context."""
+    def told(self, replies: list[dict] | None, of_hot: list[tuple[float, list[int]]], hot: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What the places reply: training count of each n-gram; sum of lower orders (discounted by d) and times by context."""
         replies = sorted(replies or [], key=lambda r: r["place"])
         low, times = np.zeros(self.size), np.zeros((GT_LIMIT, self.size), np.uint32)
-        low[: self.cold] = np.concatenate([np.zeros(0), *[unpacked_floats(r["low"]) for r in replies]])
         if replies:
-            times[:, : self.cold] = np.concatenate([unpacked(r["times"], np.uint32).reshape(GT_LIMIT, -1) for r in replies], axis=1)
+            stats = [stats_of(r, d) for r in replies]
+            low[: self.cold] = np.concatenate([x for x, _ in stats])
+            times[:, : self.cold] = np.concatenate([x for _, x in stats], axis=1)
         for i in range(self.cold, self.size):
             low[i], times[:, i] = of_hot[int(np.searchsorted(hot, self.names[i]))]
         return joined(replies, "n", np.uint32).astype(np.int64), low, times
 
 
 class Lone:
-    """A chunk's distinct trigrams whose contexts (lone, of all contexts) no other chunk has; known, of and at as in Ngrams."""
+    """A chunk's distinct trigrams whose contexts (lone, of all contexts) no other chunk has; known, of, at and index as in Ngrams."""
 
     def __init__(self, context: np.ndarray, lone: np.ndarray, word: np.ndarray, trained: np.ndarray, lower: np.ndarray):
-        self.known = lone[context]
+        self.known, self.index = lone[context], np.flatnonzero(lone)
         rank = np.cumsum(lone).astype(np.uint64)[context[self.known]] - np.uint64(1)
         keys, self.at = np.unique((rank << np.uint64(32)) | word[self.known], return_inverse=True)
         self.of, self.size = (keys >> np.uint64(32)).astype(np.int64), int(lone.sum())
@@ -270,6 +309,12 @@ class Lone:
         return self.n, np.bincount(self.of[seen], weights=discounted(self.lower[seen], d), minlength=self.size), times
 
 
+def stats_of(row: dict, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By context: sum of its followers' lower orders, discounted by d, and how many followers were seen 1, 2, ... times."""
+    times, small = unpacked(row["times"], np.uint32).reshape(2, GT_LIMIT, -1)
+    return unpacked(row["sums"], np.uint64) - (np.arange(1, len(d)) * (1 - d[1:])) @ small, times
+
+
 def among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     if not len(ordered):
         return np.zeros(len(x), bool)
@@ -340,14 +385,19 @@ class Unigrams:
     def __init__(self, total: int, distinct: int, n: dict[int, int]):
         self.total, self.distinct = total, distinct
         self.d = discounts(n)
-        self.unknown, self.scale = 1.0, 0.0
+        self.unknown, self.scale = 1.0, 0.0  # scale: of seen words
         if total:
             times = np.array([[n.get(r, 0)] for r in range(1, GT_LIMIT + 1)])
             self.unknown, self.scale = (float(x[0]) for x in weights(np.array([total]), times, np.zeros(1), self.d))
 
     def of_word(self, counts: np.ndarray) -> np.ndarray:
         """Probability of words with these counts (0: unknown)."""
-        return np.where(counts > 0, discounted(counts, self.d) / max(1, self.total) * self.scale, self.unknown)
+        return np.where(counts > 0, discounted(counts, self.d) * self.unit, self.unknown)
+
+    @property
+    def unit(self) -> float:
+        """Probability of a seen word by its discounted count."""
+        return self.scale / max(1, self.total)
 
 
 class KatzModel:
@@ -369,12 +419,12 @@ class KatzModel:
         # from here on chunks lie where replies are sent, and carry those of single words
         self.chunks = bucketed(self.chunks.repartition(self.n, "chunk").join(self._replies(1), "chunk"), f"{self.path}/numbered", "chunk", self.n)
         self._delete("chunks", "order1/kind=reply")
-        self._count_ngrams(2, 1)
+        self._count_ngrams(2)
         self.hot[3] = self._frequent(self.ngrams[2], np.uint32)
         # a chunk without a known context has no replies
         self.chunks = self.chunks.join(bucketed(self._replies(2), f"{self.path}/replied", "chunk", self.n), "chunk", "left")
-        self._delete("order2-0/kind=reply")
-        self._count_ngrams(3, WAVES)
+        self._delete("order2/kind=reply")
+        self._count_ngrams(3)
 
     def _delete(self, *parts: str) -> None:
         for part in parts:
@@ -456,31 +506,24 @@ class KatzModel:
     def _replies(self, order: int) -> DataFrame:
         """What the places of this order replied, a row a chunk."""
         table = self.words if order == 1 else self.ngrams[order]
-        names = ["place", "n", *{1: ["ids"], 2: ["ids", "lone", "low", "times"], 3: ["low", "times"]}[order]]
+        names = ["place", "n", *{1: ["ids"], 2: ["ids", "lone", "sums", "times"], 3: ["sums", "times"]}[order]]
         rows = table.where("kind = 'reply'").select("chunk", *names).repartition(self.n, "chunk")
         return rows.groupBy("chunk").agg(F.collect_list(F.struct(*names)).alias(f"order{order}"))
 
-    def _count_ngrams(self, order: int, waves: int) -> None:
-        n, law = self.n, self.law
-        hot, d = self.hot, self.d
+    def _count_ngrams(self, order: int) -> None:
+        n, hot = self.n, self.hot
 
-        def sent(wave: int, row: dict) -> dict:
+        def sent(row: dict) -> dict:
             c = Chunk(row)
             before = c.before()
             two = Ngrams(before, c.ids, c.word, hot[2], n)
             if order == 2:
-                return two.messages(row["chunk"], c.trained, c.counts.astype(np.uint64)[c.seq], wave, waves)
+                return two.messages(row["chunk"], c.trained, c.counts.astype(np.uint64)[c.seq])
             context, numbers, lone, count = bigrams_of(c, two, row["order2"])
             del two
-            out = Ngrams(context, numbers, c.word, hot[3], n).messages(row["chunk"], c.trained, count, wave, waves)
-            if wave == 0:
-                own = Lone(context, lone, c.word, c.trained, count).message(row["chunk"], row["chunk"] % n)
-                out = {k: pa.array([*x.to_pylist(), own[k]], x.type) for k, x in out.items()}
-            return out
-
-        def lower(x: np.ndarray) -> np.ndarray:
-            # of trigrams' lower orders the context's constant factor is left to the chunks
-            return law.of_word(x) if order == 2 else discounted(x, d[2])
+            out = Ngrams(context, numbers, c.word, hot[3], n).messages(row["chunk"], c.trained, count)
+            own = Lone(context, lone, c.word, c.trained, count).message(row["chunk"], row["chunk"] % n)
+            return {k: pa.array([*x.to_pylist(), own[k]], x.type) for k, x in out.items()}
 
         def summed(rows: list[dict]) -> pa.RecordBatch:
             place, alone, rows = rows[0]["place"], [r for r in rows if r["lower"] is None], [r for r in rows if r["lower"] is not None]
@@ -492,24 +535,32 @@ class KatzModel:
             target = np.zeros(len(every), np.int64)
             target[at] = joined(rows, "lower", np.uint64).astype(np.int64)
             seen = totals > 0
-            slot, of = np.unique(every >> np.uint64(32), return_inverse=True)
-            times = np.array([np.bincount(of[totals == r], minlength=len(slot)) for r in range(1, GT_LIMIT + 1)], np.uint32)
-            low = np.bincount(of[seen], weights=lower(target[seen]), minlength=len(slot))
-            ids = np.zeros(len(every), np.uint64)
-            ids[seen] = numbered(n, int(seen.sum()), place)
+            slot = every >> np.uint64(32)
+            first = np.flatnonzero(np.diff(slot, prepend=np.uint64(2**64 - 1)))
+            of = np.repeat(np.arange(len(first)), np.diff(first, append=len(slot)))
+            slot = slot[first]
+            # followers by count and by lower order; discounts and constant factors are left to the chunks
+            times = np.zeros((2, GT_LIMIT, len(slot)), np.uint32)
+            for x, t in zip((totals, target), times):
+                few = np.flatnonzero(seen & (x <= GT_LIMIT) & (x > 0))
+                t[:] = np.bincount((x[few] - 1) * len(slot) + of[few], minlength=GT_LIMIT * len(slot)).reshape(GT_LIMIT, -1)
+            sums = np.bincount(of[seen], weights=target[seen], minlength=len(slot)).astype(np.uint64)  # under 2**53, so exact
+            rank = np.cumsum(seen, dtype=np.uint64) - np.uint64(1)
             if len(slot) and seen.sum() >= HOT_SLOT:
                 raise OverflowError("a place numbers fewer than 2**31 n-grams")
-            out: dict[str, list] = {c: [] for c in ("keys", "ids", "n", "lone", "slots", "low", "times")}
+            out: dict[str, list] = {c: [] for c in ("keys", "ids", "n", "lone", "slots", "sums", "times")}
 
             def add(**columns: bytes) -> None:
                 for c in out:
                     out[c].append(columns.get(c))
 
-            stats = lambda which: {"low": packed_floats(low[which]), "times": packed(times[:, which].ravel())}
-            for k, part in zip(keys, np.split(at, cuts)):
-                mine = np.unique(k >> np.uint64(32))
-                numbers = {"ids": packed(np.diff(ids[part], prepend=np.uint64(0))), "lone": packed(np.packbits(senders[part] == 1))} if order == 2 else {}
-                add(n=packed(totals[part].astype(np.uint32)), **numbers, **stats(np.searchsorted(slot, mine[mine < HOT_SLOT])))
+            stats = lambda which: {"sums": packed(sums[which]), "times": packed(times[:, :, which].ravel())}
+            for _, part in zip(rows, np.split(at, cuts)):
+                # of n-grams that were seen, their ranks among all of the place's; they make their numbers
+                numbers = {"ids": packed_sorted(rank[part[seen[part]]]), "lone": packed(np.packbits(senders[part] == 1))} if order == 2 else {}
+                mine = of[part]
+                mine = mine[np.flatnonzero(np.diff(mine, prepend=-1))]
+                add(n=packed(totals[part].astype(np.uint32)), **numbers, **stats(mine[slot[mine] < HOT_SLOT]))
             cold = slot < HOT_SLOT
             add(keys=packed_sorted(every[seen]), n=packed(totals[seen].astype(np.uint32)))
             add(slots=packed_sorted(slot[~cold]), **stats(~cold))
@@ -523,23 +574,23 @@ class KatzModel:
                 **{c: pa.array(x, pa.binary()) for c, x in out.items()},
             })
 
-        schema = "kind string, place int, chunk long, keys binary, ids binary, n binary, lone binary, slots binary, low binary, times binary"
+        schema = "kind string, place int, chunk long, keys binary, ids binary, n binary, lone binary, slots binary, sums binary, times binary"
         message = "place int, chunk long, keys binary, n binary, lower binary"
-        parts = [self._exchanged(_rows(self.chunks, functools.partial(sent, wave), message), summed, schema, f"order{order}-{wave}") for wave in range(waves)]
-        self.ngrams[order] = functools.reduce(DataFrame.unionByName, parts)
+        self.ngrams[order] = self._exchanged(_rows(self.chunks, sent, message), summed, schema, f"order{order}")
         self.d[order] = discounts(self._counts_of_counts(self.ngrams[order], np.uint32)[2])
         self.of_hot[order] = self._sums_of_hot(order)
 
     def _sums_of_hot(self, order: int) -> list[tuple[float, list[int]]]:
         """Sum of lower orders and times of each hot context, over all places."""
+        d = self.d[order - 1]
         names = [f"n{r}" for r in range(1, GT_LIMIT + 1)]
 
         def rows(row: dict) -> dict:
-            times = unpacked(row["times"], np.uint32).astype(np.int64).reshape(GT_LIMIT, -1)
+            low, times = stats_of(row, d)
             at = unpacked_sorted(row["slots"]) - np.uint64(HOT_SLOT)
-            return {"at": pa.array(at.astype(np.int64)), "low": pa.array(unpacked_floats(row["low"])), **{k: pa.array(x) for k, x in zip(names, times)}}
+            return {"at": pa.array(at.astype(np.int64)), "low": pa.array(low), **{k: pa.array(x) for k, x in zip(names, times.astype(np.int64))}}
 
-        table = self.ngrams[order].where("kind = 'hot'").select("slots", "low", "times")
+        table = self.ngrams[order].where("kind = 'hot'").select("slots", "sums", "times")
         parts = _rows(table, rows, "at long, low double, " + ", ".join(f"{x} long" for x in names))
         found = {r["at"]: (r["low"], [r[x] for x in names]) for r in parts.groupBy("at").agg(*[F.sum(x).alias(x) for x in ("low", *names)]).collect()}  # HOT_SHARE rows at most
         return [found.get(i, (0.0, [0] * GT_LIMIT)) for i in range(len(self.hot[order]))]
@@ -553,23 +604,24 @@ class KatzModel:
             before = c.before()
             two = Ngrams(before, c.ids, c.word, hot[2], n)
             context, numbers, lone, lower = bigrams_of(c, two, row["order2"])
-            seen, low, times = two.told(row.pop("order2"), of_hot[2], hot[2])
+            seen, low, times = two.told(row.pop("order2"), of_hot[2], hot[2], d[1])
             # by word of the chunk: its count and weights as a context
             place = np.argsort(c.ids, kind="stable")
             place = place[np.searchsorted(c.ids[place], two.names)]
             backoff, scale = np.ones(len(c.ids)), np.ones(len(c.ids))
-            backoff[place], scale[place] = weights(c.counts[place], times, low, d[2])
+            backoff[place], scale[place] = weights(c.counts[place], times, low * law.unit, d[2])
             of_context = scale / np.maximum(c.counts, 1)
             pair = np.zeros(len(c.seq), np.int64)
             pair[two.known] = seen[two.at]
+            counts = np.append(seen, 0)  # of bigrams as contexts
             del two, seen, low, times
             p = np.where(pair > 0, discounted(pair, d[2]) * of_context[before], backoff[before] * law.of_word(c.counts)[c.seq])
             three = Ngrams(context, numbers, c.word, hot[3], n)
-            _by_trigram(p, three, *three.told(row.pop("order3"), of_hot[3], hot[3]), pair, of_context[before], d[3])
+            _by_trigram(p, three, *three.told(row.pop("order3"), of_hot[3], hot[3], d[2]), counts, of_context[before], d[3])
             del three
             own = Lone(context, lone, c.word, c.trained, lower)
             del context, numbers, lone, lower
-            _by_trigram(p, own, *own.told(d[2]), pair, of_context[before], d[3])
+            _by_trigram(p, own, *own.told(d[2]), counts, of_context[before], d[3])
             del own
             logs = np.log10(np.maximum(p, 1e-300))
             base = np.log10((c.counts + 1) / (law.total + law.distinct + 1))[c.seq]
@@ -592,18 +644,17 @@ def numbered(n: int, many: int, place: int) -> np.ndarray:
     return np.arange(many, dtype=np.uint64) * np.uint64(n) + np.uint64(place + 1)
 
 
-def _by_trigram(p: np.ndarray, three: Ngrams | Lone, seen: np.ndarray, low: np.ndarray, times: np.ndarray, pair: np.ndarray, of_context: np.ndarray, d: np.ndarray) -> None:
-    """Turn p by bigram into p by trigram where the context is one of three's; pair: by token the count of the bigram that ends there."""
+def _by_trigram(p: np.ndarray, three: Ngrams | Lone, seen: np.ndarray, low: np.ndarray, times: np.ndarray, counts: np.ndarray, of_context: np.ndarray, d: np.ndarray) -> None:
+    """Turn p by bigram into p by trigram where the context is one of three's; counts: training counts of the chunk's bigrams."""
     # of each context (a bigram): its count, and the factor that its followers' bigrams share
-    count, factor = np.ones(three.size, np.int64), np.ones(three.size)
-    known = np.flatnonzero(three.known)
-    count[three.of[three.at]] = pair[known - 1]
-    factor[three.of[three.at]] = of_context[known]
+    known, contexts = np.flatnonzero(three.known), three.of[three.at]
+    count, factor = counts[three.index], np.ones(three.size)
+    factor[contexts] = of_context[known]
     backoff, scale = weights(count, times, low * factor, d)
+    scale /= count
     for a in range(0, len(known), _SLICE):
-        at = three.at[a : a + _SLICE]
-        of, k, m = three.of[at], known[a : a + _SLICE], seen[at]
-        p[k] = np.where(m > 0, discounted(m, d) * (scale / count)[of], backoff[of] * p[k])
+        of, k, m = contexts[a : a + _SLICE], known[a : a + _SLICE], seen[three.at[a : a + _SLICE]]
+        p[k] = np.where(m > 0, discounted(m, d) * scale[of], backoff[of] * p[k])
 
 
 def bigrams_of(c: Chunk, two: Ngrams, replies: list[dict] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -611,14 +662,17 @@ def bigrams_of(c: Chunk, two: Ngrams, replies: list[dict] | None) -> tuple[np.nd
     has none; those that no other chunk has are 0 too); which are of this chunk alone; by token the training count of the bigram
     that ends there."""
     replies = sorted(replies or [], key=lambda r: r["place"])
-    ids = [np.cumsum(unpacked(r["ids"], np.uint64), dtype=np.uint64) for r in replies]
-    numbers = np.concatenate([*ids, np.zeros(1, np.uint64)])
-    bits = [np.unpackbits(unpacked(r["lone"], np.uint8), count=len(i)) for r, i in zip(replies, ids)]
+    n = [unpacked(r["n"], np.uint32) for r in replies]
+    numbers = np.zeros(sum(map(len, n)) + 1, np.uint64)
+    ranks = [unpacked_sorted(r["ids"]) * np.uint64(two.places) + np.uint64(r["place"] + 1) for r in replies]
+    seen = np.concatenate([*n, np.zeros(1, np.uint32)]) > 0
+    numbers[seen] = np.concatenate([np.zeros(0, np.uint64), *ranks])
+    bits = [np.unpackbits(unpacked(r["lone"], np.uint8), count=len(i)) for r, i in zip(replies, n)]
     lone = (np.concatenate([*bits, np.zeros(1, np.uint8)]) > 0) & (numbers > 0)
     numbers[lone] = 0
     place, count = np.full(len(c.seq), len(numbers) - 1, np.uint32), np.zeros(len(c.seq), np.uint64)
     place[two.known] = two.at
-    count[two.known] = joined(replies, "n", np.uint32)[two.at]
+    count[two.known] = np.concatenate([np.zeros(0, np.uint32), *n])[two.at]
     context = np.concatenate([place[:1], place[:-1]])
     context[c.firsts] = len(numbers) - 1
     return context, numbers, lone, count

@@ -580,6 +580,16 @@ def test_katz_knows_rare_words(spark, monkeypatch, hot):
     check_katz(spark, [*rows, (None, None)])
 
 
+def test_katz_replies_are_small(spark, monkeypatch):
+    """What places reply of trigrams and their contexts takes few bytes a token: whole numbers, no floats that can't be compressed."""
+    monkeypatch.setattr(katz, "CHUNK_TOKENS", 20_000)
+    r = random.Random(3)
+    rows = [(i, " ".join(f"w{int(r.paretovariate(0.9)) % 5_000}" for _ in range(2_000))) for i in range(60)]
+    model = katz.KatzModel(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    replies = model.ngrams[3].where("kind = 'reply'").collect()
+    assert sum(len(x) for row in replies for x in row if isinstance(x, (bytes, bytearray))) < 0.55 * 60 * 2_001
+
+
 def test_suffix_dedup_deals_hot_strings_by_windows(spark, monkeypatch):
     """A passage in all documents between different surroundings: no string brings more than HOT_COPIES rows to its place."""
     monkeypatch.setattr(suffix_dedup, "HOT_COPIES", 5, raising=False)
