@@ -90,28 +90,28 @@ class _Reordered(StatefulProcessor):
                 self.waiting.removeKey((at,))
             else:
                 break
-            shown.append(f.feed(piece))
+            shown.append((at, f.feed(piece) + (f.finish() if done else "")))
             at += 1
         if done:
-            shown.append(f.finish())
             self.place.clear()
             self.waiting.clear()
         else:
             self.place.update((at, f.buffer, f.inside))
             for seq, value in early.items():
                 self.waiting.updateValue((seq,), value)
-        text = "".join(shown)
-        if text:
-            yield pd.DataFrame({"query_id": [key[0]], "seq": [at - 1], "text": [text]})
+        shown = [x for x in shown if x[1]]
+        if shown:
+            yield pd.DataFrame({"query_id": key[0], "seq": [n for n, _ in shown], "text": [text for _, text in shown]})
 
     def close(self) -> None:
         pass
 
 
 def filter_stream(pieces: DataFrame, ttl_ms: int | None = 3_600_000) -> DataFrame:
-    """Streaming form over (query_id, seq, piece, last): query_id, seq of the last piece shown, text. Pieces may come in any order and more than once.
+    """Streaming form over (query_id, seq, piece, last): query_id, seq, and the text that may be shown once that piece is there. Pieces may come in any order and more than once.
 
-    Needs the RocksDB state store (use_rocksdb). A piece of a stream that has ended opens a new state, which goes by ttl_ms.
+    Needs the RocksDB state store (use_rocksdb). A piece of a stream that has ended opens a new state, which goes by ttl_ms; it may give rows
+    once more. They equal those before, as a row's text hangs on the pieces up to its own alone: readers take one row of a query_id and seq.
     A finite stream that is to end by itself takes None: while state can expire, Spark goes on making empty batches.
     """
     mode = "None" if ttl_ms is None else "ProcessingTime"
@@ -127,7 +127,7 @@ def shown_texts(pieces: DataFrame, path: str) -> tuple[DataFrame, list[dict]]:
     use_rocksdb(pieces.sparkSession)
     query = filter_stream(pieces, None).writeStream.format("parquet").option("path", f"{path}/shown").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    shown = pieces.sparkSession.read.schema("query_id long, seq long, text string").parquet(f"{path}/shown")
+    shown = pieces.sparkSession.read.schema("query_id long, seq long, text string").parquet(f"{path}/shown").dropDuplicates(["query_id", "seq"])
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"])
     return shown.groupBy("query_id").agg(F.array_join(in_order, "").alias("text")), [json.loads(p.json) for p in query.recentProgress]
 

@@ -49,3 +49,13 @@ def test_state_is_empty_when_all_streams_have_ended(spark, tmp_path):
     _, progress = P.shown_texts(stream, f"{tmp_path}/out")
     left = [p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]]
     assert left[-1] == 0 and max(left) > 0
+
+
+def test_stream_that_comes_again_after_its_end_is_shown_once(spark, tmp_path):
+    rows = [(1, 0, "a <", False), (1, 1, "b <thi", False), (1, 2, "nk>c</think>d <", True), (2, 0, "whole", True)]
+    again = [rows[:1], rows[1:], [rows[0], rows[3]], rows]  # other cuts of the same streams
+    for i, part in enumerate([rows, *again]):
+        write(spark, f"{tmp_path}/in/{i}", part, 1, 1)
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*/*")
+    shown, _ = P.shown_texts(stream, f"{tmp_path}/out")
+    assert sorted((r.query_id, r.text) for r in shown.collect()) == [(1, "a <b d <"), (2, "whole")]
