@@ -52,6 +52,8 @@ HOT_SLOT = 1 << 31
 #: The end token's hash; words hash to other values but for one in 2**64.
 END = np.uint64(7)
 _SLICE = 1 << 20
+#: Tokens scored at once.
+_PART = 1 << 17
 #: Short texts are hashed together, about so many bytes at a time.
 _GROUP = 1 << 18
 _ZSTD, _UNZSTD = zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
@@ -372,7 +374,7 @@ def discounted(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 def weights(c: np.ndarray, times: np.ndarray, low: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Backoff weights and the scale of seen n-grams, for contexts with counts c, times[r - 1] followers seen r times and followers' lower orders summing to low."""
-    kept = c - (np.arange(1, len(d))[:, None] * times * (1 - d[1:, None])).sum(0)
+    kept = c - (np.arange(1, len(d)) * (1 - d[1:])) @ times
     # a context without a discounted count still leaves 1 of c + 1 for what it wasn't seen with
     mass = np.maximum(1 - kept / c, 1 / (c + 1))
     some = 1 - low > 1e-12  # else every word was seen after this one: nothing to back off to
@@ -611,17 +613,19 @@ class KatzModel:
             backoff, scale = np.ones(len(c.ids)), np.ones(len(c.ids))
             backoff[place], scale[place] = weights(c.counts[place], times, low * law.unit, d[2])
             of_context = scale / np.maximum(c.counts, 1)
-            pair = np.zeros(len(c.seq), np.int64)
-            pair[two.known] = seen[two.at]
             counts = np.append(seen, 0)  # of bigrams as contexts
             del two, seen, low, times
-            p = np.where(pair > 0, discounted(pair, d[2]) * of_context[before], backoff[before] * law.of_word(c.counts)[c.seq])
+            p, of_word = np.empty(len(c.seq)), law.of_word(c.counts)
+            for a in range(0, len(p), _PART):
+                part = slice(a, a + _PART)
+                b, pair = before[part], lower[part].astype(np.int64)
+                p[part] = np.where(pair > 0, discounted(pair, d[2]) * of_context[b], backoff[b] * of_word[c.seq[part]])
             three = Ngrams(context, numbers, c.word, hot[3], n)
-            _by_trigram(p, three, *three.told(row.pop("order3"), of_hot[3], hot[3], d[2]), counts, of_context[before], d[3])
+            _by_trigram(p, three, *three.told(row.pop("order3"), of_hot[3], hot[3], d[2]), counts, before, of_context, d[3])
             del three
             own = Lone(context, lone, c.word, c.trained, lower)
             del context, numbers, lone, lower
-            _by_trigram(p, own, *own.told(d[2]), counts, of_context[before], d[3])
+            _by_trigram(p, own, *own.told(d[2]), counts, before, of_context, d[3])
             del own
             logs = np.log10(np.maximum(p, 1e-300))
             base = np.log10((c.counts + 1) / (law.total + law.distinct + 1))[c.seq]
@@ -644,16 +648,19 @@ def numbered(n: int, many: int, place: int) -> np.ndarray:
     return np.arange(many, dtype=np.uint64) * np.uint64(n) + np.uint64(place + 1)
 
 
-def _by_trigram(p: np.ndarray, three: Ngrams | Lone, seen: np.ndarray, low: np.ndarray, times: np.ndarray, counts: np.ndarray, of_context: np.ndarray, d: np.ndarray) -> None:
-    """Turn p by bigram into p by trigram where the context is one of three's; counts: training counts of the chunk's bigrams."""
+def _by_trigram(p: np.ndarray, three: Ngrams | Lone, seen: np.ndarray, low: np.ndarray, times: np.ndarray, counts: np.ndarray, before: np.ndarray, of_context: np.ndarray, d: np.ndarray) -> None:
+    """Turn p by bigram into p by trigram where the context is one of three's; counts: training counts of the chunk's bigrams; before: as in Chunk; of_context: by word."""
     # of each context (a bigram): its count, and the factor that its followers' bigrams share
-    known, contexts = np.flatnonzero(three.known), three.of[three.at]
     count, factor = counts[three.index], np.ones(three.size)
-    factor[contexts] = of_context[known]
+    known = np.flatnonzero(three.known)
+    parts = [slice(a, a + _PART) for a in range(0, len(known), _PART)]
+    for part in parts:
+        factor[three.of[three.at[part]]] = of_context[before[known[part]]]
     backoff, scale = weights(count, times, low * factor, d)
     scale /= count
-    for a in range(0, len(known), _SLICE):
-        of, k, m = contexts[a : a + _SLICE], known[a : a + _SLICE], seen[three.at[a : a + _SLICE]]
+    for part in parts:
+        at, k = three.at[part], known[part]
+        of, m = three.of[at], seen[at]
         p[k] = np.where(m > 0, discounted(m, d) * scale[of], backoff[of] * p[k])
 
 
