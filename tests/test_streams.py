@@ -2,6 +2,9 @@
 
 import random
 
+import pandas as pd
+import pytest
+
 from quarry.streaming import pieces as P
 
 SCHEMA = "query_id long, seq long, piece string, last boolean"
@@ -59,3 +62,73 @@ def test_stream_that_comes_again_after_its_end_is_shown_once(spark, tmp_path):
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*/*")
     shown, _ = P.shown_texts(stream, f"{tmp_path}/out")
     assert sorted((r.query_id, r.text) for r in shown.collect()) == [(1, "a <b d <"), (2, "whole")]
+
+
+class Handle:
+    """State in dictionaries, which counts the calls."""
+
+    def __init__(self):
+        self.calls, self.states = 0, []
+
+    def getMapState(self, *_):
+        self.states.append(State(self))
+        return self.states[-1]
+
+    getValueState = getMapState
+
+
+class State:
+    def __init__(self, handle):
+        self.handle, self.rows = handle, {}
+
+    def __getattr__(self, name):
+        def call(key=(), value=None):
+            self.handle.calls += 1
+            if name == "update":
+                key, value = (), key
+            if name in ("updateValue", "update"):
+                self.rows[key] = value
+            elif name == "clear":
+                self.rows.clear()
+            elif name == "removeKey":
+                self.rows.pop(key, None)
+            return key in self.rows if name in ("containsKey", "exists") else self.rows.get(key)
+
+        return call
+
+
+def in_batches(rows, n, seed):
+    r = random.Random(seed)
+    dealt = [[] for _ in range(n)]
+    for row in rows:
+        dealt[r.randrange(n)].append(row)
+    return [pd.DataFrame(part, columns=["query_id", "seq", "piece", "last"]) for part in dealt if part]
+
+
+def test_state_is_read_once_a_stream_and_batch():
+    processor, handle = P._Reordered(None), Handle()
+    processor.init(handle)
+    rows = [(9, i, "piece %d" % i, i == 199) for i in range(200)]
+    shown = [x for batch in in_batches(rows, 4, 3) for x in processor.handleInputRows((9,), iter([batch]), None)]
+    assert "".join(pd.concat(shown)["text"]) == "".join(r[2] for r in rows)
+    assert handle.calls <= 4 * 4
+
+
+@pytest.mark.parametrize("block", [1, 3, 256])
+def test_blocks_of_waiting_pieces(monkeypatch, block):
+    monkeypatch.setattr(P, "BLOCK", block)
+    rows = [(r[0], r[1], r[2] or "", r[3]) for r in streams(block) if r[0] < 30] + [(50, i, f"<think>{i}</think>{i} < ", i == 40) for i in range(41)]
+    whole = {}
+    for i in sorted({r[0] for r in rows}):
+        f = P.ReasoningFilter()
+        whole[i] = "".join(f.feed(r[2]) for r in sorted(rows) if r[0] == i) + f.finish()
+    for seed in range(5):
+        processor, handle = P._Reordered(None), Handle()
+        processor.init(handle)
+        shown = {}
+        for batch in in_batches(rows + rows[::5], 6, seed):
+            for x in processor.handleInputRows((0,), iter([batch[:7], batch[7:]]), None):
+                shown |= {(q, n): text for q, n, text in x.itertuples(index=False)}
+        assert {i: "".join(text for (q, _), text in sorted(shown.items()) if q == i) for i in whole} == whole
+        ended = {r[0] for r in rows} - {q for (q,) in handle.states[0].rows}  # a piece that comes again after the end opens a state
+        assert {q for q, _ in handle.states[1].rows}.isdisjoint(ended)
