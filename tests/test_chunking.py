@@ -1,5 +1,6 @@
 """Chunks against a plain version that tries one unit after the other and counts the joined text each time."""
 
+import json
 import random
 import re
 
@@ -114,6 +115,50 @@ def test_few_recounts():
     assert len(calls) < 400
 
 
+def test_counts_of_words_are_the_tokenizers():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    count, tokenizer, r = TokenCounter(path), chunking._tokenizer(path), random.Random(3)
+    assert count.parted
+    bits = [*"ab'sé漢1_.<|\x1c\x1f\x85\xa0\u2003\u3000\u180e\u200b\r\t\n", " ", " ", "  ", "\n\n", "'ll", "<|endoftext|>", "Word", "012345"]
+    for _ in range(3000):
+        text = "".join(r.choices(bits, k=r.randint(0, 12)))
+        assert count(text) == len(tokenizer.encode(text, add_special_tokens=False).ids), ascii(text)
+
+
+def test_other_tokenizers_are_asked_whole(tmp_path):
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        said = json.load(f)
+    for change in ({"normalizer": {"type": "Strip", "strip_left": True, "strip_right": True}}, {"pre_tokenizer": None}, {"added_tokens": [{**said["added_tokens"][0], "lstrip": True}]}, {"pre_tokenizer": {**said["pre_tokenizer"], "use_regex": False}}):
+        path = tmp_path / f"{next(iter(change))}{len(list(tmp_path.iterdir()))}.json"
+        path.write_text(json.dumps({**said, **change}), encoding="utf-8")
+        assert not TokenCounter(str(path)).parted
+    assert not COUNTERS["bpe"].parted
+
+
+def test_a_text_is_tokenized_about_once(monkeypatch):
+    path, asked = public_tokenizers.path("byte_bpe_50k.json"), []
+    tokenizer = chunking._tokenizer(path)
+
+    class Heard:
+        def encode(self, text, **options):
+            asked.append(len(text))
+            return tokenizer.encode(text, **options)
+
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(map(len, texts))
+            return tokenizer.encode_batch_fast(texts, **options)
+
+    monkeypatch.setattr(chunking, "_tokenizer", lambda _: Heard())
+    if hasattr(chunking, "_counts"):
+        chunking._counts.cache_clear()
+    r = random.Random(5)
+    text = " ".join("".join(r.choices("abcdefgh", k=r.randint(3, 9))) + r.choice(["", "", "", "", "."]) for _ in range(20_000))
+    assert len(chunk_page(text, ChunkRules(), TokenCounter(path))) > 100
+    assert sum(asked) < 2 * len(text)
+    if hasattr(chunking, "_counts"):
+        chunking._counts.cache_clear()
+
+
 @pytest.mark.parametrize("name", ["chunk_documents", "chunk_tokens"])
 def test_queries_chunk_whole_documents(spark, name):
     sf = "/root/testdata/sf0.001"
