@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,3 +141,35 @@ def test_an_index_of_a_table_is_built_once_a_version(spark, tmp_path):
     spark.createDataFrame([(99, "abc", "s")], "doc_id long, text string, source string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/documents.parquet")
     two = catalog._index(spark, str(tmp_path))
     assert two.path != one.path and two.totals()[0] == 41
+
+
+def test_rows_without_a_telling_word_are_not_scored(monkeypatch):
+    class Add:
+        cells = 0
+
+        def __getattr__(self, name):
+            return getattr(np.add, name)
+
+        def reduceat(self, x, *args, **options):
+            Add.cells += x.size
+            return np.add.reduceat(x, *args, **options)
+
+    class Numpy:
+        add = Add()
+
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+    monkeypatch.setattr(term_index, "np", Numpy())
+    width, n = 1 << term_index.RANGE_BITS, 50
+    rows = []
+    for r in range(n):  # common words in every row, a rare one in one row of a range
+        docs = list(range(r * width, (r + 1) * width))
+        rows += [("s", r, f"common{i}", docs, [1] * width, [40] * width, 0.4, 40.0) for i in range(6)] + [("s", r, "rare", docs[5:6], [1 + r % 7], [40], 0.9, 40.0)]
+    names = "segment", "range", "term", "docs", "tfs", "dls", "top", "avgdl"
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, row)) for row in rows[a : a + 10]]) for a in range(0, len(rows), 10)]
+    weights = pa.table({"query_id": [1] * 7, "term": [f"common{i}" for i in range(6)] + ["rare"], "w": [0.01] * 6 + [9.0]})
+    found = pa.Table.from_batches(list(term_index._best(weights, 4, 40.0)(iter(batches)))).to_pylist()
+    best = sorted(r * width + 5 for r in range(n) if r % 7 == 6)
+    assert sorted(x["doc_no"] for x in found) == best
+    assert Add.cells < 5 * 7 * width  # the whole of the first ranges, until four rows have the rare word
