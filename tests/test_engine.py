@@ -163,3 +163,14 @@ def test_evaluation_uses_the_citations(spark):
     one, two = evaluation.evaluate(questions, expected, used, answers, 3).orderBy("query_id").collect()
     assert (one.hit, one.n_citations, one.n_wrong, one.facts_ok, one.citations_correct, one.passed) == (True, 2, 1, True, False, False)
     assert (two.n_wrong, two.forbidden, two.hallucinated, two.passed) == (0, True, True, False)
+
+
+def test_sections_are_cut_of_pages_with_hits_alone(spark, tmp_path, monkeypatch):
+    docs = [(i, f"word{i} " * 450 if i != 7 else "apple " * 450, "en", f"src{i % 3}", 9) for i in range(12)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "an apple")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    cut, windows = [], chunking.windows
+    monkeypatch.setattr(chunking, "windows", lambda pages, size, step: cut.append((size, pages.count())) or windows(pages, size, step))
+    rows = catalog.parent_passages(spark, str(tmp_path)).collect()
+    assert [(r.query_id, r.page) for r in rows][0] == (1, 7) and {r.page for r in rows} == {7}
+    assert cut == [(40, 12), (200, 1)]
